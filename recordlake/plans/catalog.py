@@ -119,3 +119,128 @@ def q_skills_for_page(spark: SparkSession, sf: str) -> DataFrame:
     jobs, skills = adapters.jobs_store(spark, sf)
     page = reads.top_recent(jobs, 100)
     return flat(reads.skills_for_page(skills, page).select("job_id", "skills"))
+
+
+# ------------------------------------------------------ JSON lines & ingest
+
+import datetime as _dt  # noqa: E402
+
+from recordlake.operators import ingest, validate as V  # noqa: E402
+from recordlake.session import scratch_dir  # noqa: E402
+from recordlake.sources.jsonl import read_lines  # noqa: E402
+
+BATCH_CLOCK = _dt.datetime(2024, 1, 1, tzinfo=_dt.UTC)
+
+
+def _landed(spark: SparkSession, sf: str, half: bool | None = None, root: str | None = None) -> str:
+    docs = adapters.table(spark, sf, "documents")
+    if half is not None:
+        docs = adapters.source_half(docs, half)
+    root = root or scratch_dir(spark, "raw")
+    return adapters.write_raw_records(spark, docs, f"{root}/raw-{'all' if half is None else int(half)}")
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    return V.validate(read_lines(spark, _landed(spark, sf)))
+
+
+@register("jsonl_parse_status")
+def q_jsonl_parse_status(spark: SparkSession, sf: str) -> DataFrame:
+    return V.parse_status(read_lines(spark, _landed(spark, sf)))
+
+
+@register("validate_reasons")
+def q_validate_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    c = _checked(spark, sf)
+    return c.where(F.col("message").isNotNull()).select("line_no", "status", "message")
+
+
+@register("validate_accepted")
+def q_validate_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    c = _checked(spark, sf).where(F.col("status") == "valid")
+    return flat(c.select("line_no", "job_id", "source", "title", "description", "url", "skills",
+                         "hourly_min", "fixed_amount", "raw_id"))
+
+
+@register("private_field_rejects")
+def q_private_field_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    c = _checked(spark, sf)
+    return c.where(F.col("reason").startswith("collector payload contains disallowed private field")) \
+            .select("line_no", "reason")
+
+
+@register("unknown_field_rejects")
+def q_unknown_field_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    c = _checked(spark, sf)
+    return c.where(F.col("reason").startswith("collector payload contains unsupported fields")) \
+            .select("line_no", "reason")
+
+
+@register("skill_canonical")
+def q_skill_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    c = _checked(spark, sf).where(F.col("status") == "valid")
+    return c.select("line_no", F.posexplode("skills").alias("pos", "skill")) \
+            .select("line_no", (F.col("pos") + 1).alias("pos"), "skill")
+
+
+@register("content_hash")
+def q_content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    c = _checked(spark, sf).where(F.col("status") == "valid")
+    return c.select("line_no", "content_hash")
+
+
+def _single_batch_store(spark: SparkSession, sf: str) -> str:
+    root = scratch_dir(spark, "store")
+    ingest.ingest_jsonl(spark, root, _landed(spark, sf, root=root), 1, clock=BATCH_CLOCK, mode="quarantine")
+    return root
+
+
+def _two_batch_store(spark: SparkSession, sf: str, replay: bool = False) -> str:
+    root = scratch_dir(spark, "store")
+    first, second = _landed(spark, sf, True, root), _landed(spark, sf, False, root)
+    ingest.ingest_jsonl(spark, root, first, 1, clock=BATCH_CLOCK, mode="quarantine")
+    ingest.ingest_jsonl(spark, root, second, 2, clock=BATCH_CLOCK, mode="quarantine")
+    if replay:
+        ingest.ingest_jsonl(spark, root, first, 1, clock=BATCH_CLOCK, mode="quarantine")
+    return root
+
+
+LEDGER_COLS = ("batch_id", "seen", "inserted", "skipped", "rejected")
+
+
+@register("ingest_counters")
+def q_ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
+    root = _single_batch_store(spark, sf)
+    return ingest.ledger(spark, root).select(*LEDGER_COLS)
+
+
+@register("new_jobs")
+def q_new_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    root = _single_batch_store(spark, sf)
+    return flat(ingest.new_jobs(spark, root, 1))
+
+
+@register("new_job_skills")
+def q_new_job_skills(spark: SparkSession, sf: str) -> DataFrame:
+    root = _single_batch_store(spark, sf)
+    return ingest.read_job_skills(spark, root).select("job_id", "skill")
+
+
+@register("insert_if_new")
+def q_insert_if_new(spark: SparkSession, sf: str) -> DataFrame:
+    root = _two_batch_store(spark, sf)
+    jobs = ingest.read_jobs(spark, root).where(F.col("batch_id") == 2)
+    return flat(jobs.select("job_id", "ord", "title", "url", "skills", "hourly_min", "fixed_amount", "raw_id"))
+
+
+@register("two_batch_first_wins")
+def q_two_batch_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    root = _two_batch_store(spark, sf)
+    return ingest.read_jobs(spark, root).select("job_id", "batch_id", "ord", "raw_id")
+
+
+@register("replay_idempotent")
+def q_replay_idempotent(spark: SparkSession, sf: str) -> DataFrame:
+    root = _two_batch_store(spark, sf, replay=True)
+    jobs = ingest.read_jobs(spark, root).groupBy("batch_id").agg(F.count(F.lit(1)).alias("stored"))
+    return ingest.ledger(spark, root).select(*LEDGER_COLS).join(jobs, "batch_id", "left")

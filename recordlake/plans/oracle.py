@@ -93,3 +93,132 @@ page AS (SELECT job_id FROM jobs ORDER BY first_seen_at DESC, job_id ASC LIMIT 1
 SELECT p.job_id, coalesce(string_agg(js.skill, ',' ORDER BY js.skill), '') AS skills
   FROM page p LEFT JOIN job_skills js USING (job_id) GROUP BY p.job_id""",
 }
+
+
+# ------------------------------------------------------ raw JSON lines
+
+WS = r"'^\s+|\s+$'"
+
+
+def _raw(where: str = "") -> str:
+    """CTEs d (docs + fault + line_no), r (reason per record line), ck (canonical skills)."""
+    return rf"""
+d0 AS (
+  SELECT doc_id, text, lang, source, n_chars,
+         CASE WHEN doc_id % 41 = 0 THEN 'malformed' WHEN doc_id % 37 = 0 THEN 'private'
+              WHEN doc_id % 31 = 0 THEN 'unknown' WHEN doc_id % 17 = 0 THEN 'source'
+              WHEN doc_id % 29 = 0 THEN 'title' WHEN doc_id % 23 = 0 THEN 'skills'
+              WHEN doc_id % 19 = 0 THEN 'hourly' END AS fault,
+         substr(sha256(text), 1, 16) AS rid
+    FROM documents {where}),
+d AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id)
+            + coalesce(sum(CASE WHEN doc_id % 43 = 0 THEN 1 ELSE 0 END)
+                 OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no,
+         regexp_replace(CASE WHEN fault = 'title' THEN '   ' ELSE '  ' || left(text, 40) END, {WS}, '', 'g') AS title_s,
+         regexp_replace(text, {WS}, '', 'g') AS desc_s,
+         CASE WHEN n_chars % 3 = 1 THEN CAST(n_chars % 100 AS DOUBLE) END AS hourly_min,
+         CASE WHEN n_chars % 3 = 0 THEN CAST(n_chars AS DOUBLE) END AS fixed_amount
+    FROM d0),
+r AS (
+  SELECT *,
+         CASE WHEN fault = 'malformed' THEN NULL
+              WHEN fault = 'private' THEN 'collector payload contains disallowed private field:  Cookie '
+              WHEN fault = 'unknown' THEN 'collector payload contains unsupported fields: alpha_note, zeta_note'
+              WHEN fault = 'source' THEN 'collector field source must be ''{SOURCE}'''
+              WHEN title_s = '' THEN 'record missing required collector field: title'
+              WHEN desc_s = '' THEN 'record missing required collector field: description'
+              WHEN fault = 'skills' THEN 'record missing required collector field: skills'
+              WHEN fault = 'hourly' THEN 'collector field must be numeric or null: hourly_min'
+         END AS reason
+    FROM d),
+v AS (SELECT * FROM r WHERE fault IS NULL AND reason IS NULL),
+ck0 AS (
+  SELECT line_no, i, lower(regexp_replace(regexp_replace(l[i], '\s+', ' ', 'g'), {WS}, '', 'g')) AS skill
+    FROM (SELECT line_no, [lang, ' ' || source || '  x ', upper(lang)] AS l FROM v) s, range(1, 4) t(i)),
+ck AS (
+  SELECT line_no, skill, row_number() OVER (PARTITION BY line_no ORDER BY i) AS pos
+    FROM (SELECT *, min(i) OVER (PARTITION BY line_no, skill) AS first_i FROM ck0 WHERE skill <> '') x
+   WHERE i = first_i),
+cks AS (SELECT line_no, string_agg(skill, ',' ORDER BY pos) AS skills FROM ck GROUP BY line_no)"""
+
+
+def _batches() -> str:
+    """Two batch files: sources src0–9 (batch 1) and src10–19 (batch 2)."""
+    half1 = "WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) < 10"
+    half2 = "WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) >= 10"
+    return (
+        "WITH " + _rename(_raw(half1), "b1_") + ",\n" + _rename(_raw(half2), "b2_") + """,
+allv AS (SELECT 1 AS batch_id, * FROM b1_v UNION ALL SELECT 2 AS batch_id, * FROM b2_v),
+allr AS (SELECT 1 AS batch_id, * FROM b1_r UNION ALL SELECT 2 AS batch_id, * FROM b2_r),
+win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY batch_id, line_no) AS rn FROM allv) x
+         WHERE rn = 1)"""
+    )
+
+
+def _rename(sql: str, prefix: str) -> str:
+    import re as _re
+
+    for name in ("ck0", "cks", "ck", "d0", "d", "r", "v"):
+        sql = _re.sub(rf"(?<![\w.]){name} AS \(", f"{prefix}{name} AS (", sql)
+        sql = _re.sub(rf"FROM {name}(?=[\s)])", f"FROM {prefix}{name}", sql)
+    return sql
+
+
+RAW = "WITH " + _raw()
+ORACLE.update({
+    "jsonl_parse_status": f"""{RAW}
+SELECT line_no, CASE WHEN fault = 'malformed' THEN 'malformed' ELSE 'object' END AS parse_status FROM d
+UNION ALL SELECT line_no + 1, 'blank' FROM d WHERE doc_id % 43 = 0""",
+    "validate_reasons": f"""{RAW}
+SELECT line_no, CASE WHEN fault = 'malformed' THEN 'malformed' ELSE 'invalid' END AS status,
+       CASE WHEN fault = 'malformed' THEN 'malformed JSONL at line ' || line_no
+            ELSE 'invalid collector record at line ' || line_no || ': ' || reason END AS message
+  FROM r WHERE fault = 'malformed' OR reason IS NOT NULL""",
+    "validate_accepted": f"""{RAW}
+SELECT v.line_no, rid AS job_id, '{SOURCE}' AS source, title_s AS title, desc_s AS description,
+       '{URL_PREFIX}' || rid AS url, cks.skills, hourly_min, fixed_amount, CAST(doc_id AS VARCHAR) AS raw_id
+  FROM v JOIN cks USING (line_no)""",
+    "private_field_rejects": f"{RAW} SELECT line_no, reason FROM r WHERE fault = 'private'",
+    "unknown_field_rejects": f"{RAW} SELECT line_no, reason FROM r WHERE fault = 'unknown'",
+    "skill_canonical": f"{RAW} SELECT line_no, pos, skill FROM ck",
+    "content_hash": f"""{RAW}
+SELECT line_no, sha256(to_json({{
+  'contractor_tier': NULL::VARCHAR, 'description': text, 'fixed_amount': fixed_amount,
+  'hourly_max': NULL::DOUBLE, 'hourly_min': hourly_min, 'id': rid, 'job_type': NULL::VARCHAR,
+  'posted_at': NULL::VARCHAR, 'raw_id': CAST(doc_id AS VARCHAR),
+  'skills': [lang, ' ' || source || '  x ', upper(lang)], 'source': '{SOURCE}',
+  'title': '  ' || left(text, 40), 'url': '{URL_PREFIX}' || rid}})) AS content_hash
+  FROM v""",
+    "ingest_counters": f"""{RAW}
+SELECT 1 AS batch_id, (SELECT count(*) FROM v) AS seen, (SELECT count(DISTINCT rid) FROM v) AS inserted,
+       (SELECT count(*) FROM v) - (SELECT count(DISTINCT rid) FROM v) AS skipped,
+       (SELECT count(*) FROM r WHERE fault = 'malformed' OR reason IS NOT NULL) AS rejected""",
+    "new_jobs": f"""{RAW},
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY line_no) AS rn FROM v) x WHERE rn = 1)
+SELECT rid AS job_id, '{SOURCE}' AS source, title_s AS title, desc_s AS description, '{URL_PREFIX}' || rid AS url,
+       cks.skills, NULL::VARCHAR AS posted_at, NULL::VARCHAR AS job_type, NULL::VARCHAR AS contractor_tier,
+       hourly_min, NULL::DOUBLE AS hourly_max, fixed_amount, CAST(doc_id AS VARCHAR) AS raw_id
+  FROM w JOIN cks USING (line_no)""",
+    "new_job_skills": f"""{RAW},
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY line_no) AS rn FROM v) x WHERE rn = 1)
+SELECT w.rid AS job_id, ck.skill FROM w JOIN ck USING (line_no)""",
+})
+
+
+BATCHES = _batches()
+ORACLE.update({
+    "insert_if_new": f"""{BATCHES}
+SELECT w.rid AS job_id, w.line_no AS ord, w.title_s AS title, '{URL_PREFIX}' || w.rid AS url, c.skills,
+       w.hourly_min, w.fixed_amount, CAST(w.doc_id AS VARCHAR) AS raw_id
+  FROM win w JOIN b2_cks c USING (line_no) WHERE w.batch_id = 2""",
+    "two_batch_first_wins": f"""{BATCHES}
+SELECT rid AS job_id, batch_id, line_no AS ord, CAST(doc_id AS VARCHAR) AS raw_id FROM win""",
+    "replay_idempotent": f"""{BATCHES},
+seen AS (SELECT batch_id, count(*) AS seen FROM allv GROUP BY batch_id),
+ins AS (SELECT batch_id, count(*) AS inserted FROM win GROUP BY batch_id),
+rej AS (SELECT batch_id, count(*) AS rejected FROM allr WHERE fault = 'malformed' OR reason IS NOT NULL GROUP BY batch_id)
+SELECT s.batch_id, s.seen, coalesce(i.inserted, 0) AS inserted, s.seen - coalesce(i.inserted, 0) AS skipped,
+       coalesce(j.rejected, 0) AS rejected, i.inserted AS stored
+  FROM seen s LEFT JOIN ins i USING (batch_id) LEFT JOIN rej j USING (batch_id)""",
+})

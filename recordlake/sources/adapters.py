@@ -76,3 +76,79 @@ def jobs_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     jobs = jobs_from_orders(table(spark, sf_dir, "orders"))
     skills = job_skills_from_lineitem(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
     return jobs, skills
+
+
+# --------------------------------------------------------- raw JSON lines
+
+# Fixed fault plan: (divisor of doc_id, fault); the first divisor that matches wins.
+RAW_FAULTS = (
+    (41, "malformed"),
+    (37, "private"),
+    (31, "unknown"),
+    (17, "source"),
+    (29, "title"),
+    (23, "skills"),
+    (19, "hourly"),
+)
+BLANK_LINE_EVERY = 43
+
+
+def raw_record_rows(documents: DataFrame, source: str = DEFAULT_SOURCE,
+                    url_prefix: str = DEFAULT_URL_PREFIX) -> DataFrame:
+    """``(ord, line)`` JSON lines, one per document, in ``doc_id`` order.
+
+    id = first 16 hex digits of sha256(text) (copied texts share an id);
+    title = two spaces + first 40 characters; description = text;
+    skills = [lang, " "+source+"  x ", upper(lang)];
+    hourly_min = n_chars mod 100 when n_chars mod 3 = 1; fixed_amount = n_chars
+    when n_chars mod 3 = 0. Faults per ``RAW_FAULTS``. A whitespace-only line
+    follows every document whose id is a multiple of ``BLANK_LINE_EVERY``.
+    """
+    d, n = F.col("doc_id"), F.col("n_chars")
+    fault = F.lit(None).cast("string")
+    for div, name in reversed(RAW_FAULTS):
+        fault = F.when(d % div == 0, F.lit(name)).otherwise(fault)
+    rid = F.substring(F.sha2(F.col("text"), 256), 1, 16)
+    core = F.to_json(F.struct(
+        F.when(fault == "source", F.lit("other-" + source)).otherwise(F.lit(source)).alias("source"),
+        rid.alias("id"),
+        F.when(fault == "title", F.lit("   ")).otherwise(F.concat(F.lit("  "), F.substring("text", 1, 40))).alias("title"),
+        F.col("text").alias("description"),
+        F.concat(F.lit(url_prefix), rid).alias("url"),
+        F.when(n % 3 == 0, n.cast("double")).alias("fixed_amount"),
+        d.cast("string").alias("raw_id"),
+    ))
+    skills = F.when(fault == "skills", F.concat(F.lit('"'), F.col("lang"), F.lit('"'))).otherwise(
+        F.to_json(F.array(F.col("lang"), F.concat(F.lit(" "), F.col("source"), F.lit("  x ")), F.upper("lang")))
+    )
+    hourly = F.when(fault == "hourly", F.lit('"12.5"')).when(n % 3 == 1, (n % 100).cast("string"))
+    body = F.concat(
+        F.lit('{"skills":'), skills,
+        F.coalesce(F.concat(F.lit(',"hourly_min":'), hourly), F.lit("")),
+        F.lit(","), F.expr("substring(_core, 2)"),
+    )
+    rest = F.expr("substring(_body, 2)")
+    line = (
+        F.when(fault == "malformed", rest)
+        .when(fault == "private", F.concat(F.lit('{" Cookie ":"session=abc",'), rest))
+        .when(fault == "unknown", F.concat(F.lit('{"zeta_note":"z","alpha_note":"a",'), rest))
+        .otherwise(F.col("_body"))
+    )
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars", fault.alias("_fault"))
+    docs = docs.withColumn("_core", core).withColumn("_body", body.alias("_body"))
+    records = docs.select((d * 2).alias("ord"), line.alias("line"))
+    blanks = docs.where(d % BLANK_LINE_EVERY == 0).select((d * 2 + 1).alias("ord"), F.lit("   ").alias("line"))
+    return records.unionByName(blanks)
+
+
+def write_raw_records(spark: SparkSession, documents: DataFrame, path: str, parts: int = 4) -> str:
+    """Land the raw JSON lines as text files whose path order is line order."""
+    from recordlake.sources.jsonl import write_lines
+
+    return write_lines(raw_record_rows(documents), path, "ord", parts=parts)
+
+
+def source_half(documents: DataFrame, first: bool) -> DataFrame:
+    """Documents of sources src0–src9 (first) or src10–src19 (second)."""
+    num = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return documents.where(num < 10 if first else num >= 10)
