@@ -244,3 +244,66 @@ def q_replay_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     root = _two_batch_store(spark, sf, replay=True)
     jobs = ingest.read_jobs(spark, root).groupBy("batch_id").agg(F.count(F.lit(1)).alias("stored"))
     return ingest.ledger(spark, root).select(*LEDGER_COLS).join(jobs, "batch_id", "left")
+
+
+# ------------------------------------------------- envelopes & normaliser
+
+from recordlake.operators import normalize as N  # noqa: E402
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    conv = adapters.table(spark, sf, "conversations")
+    path = adapters.write_responses(spark, conv, f"{scratch_dir(spark, 'landing')}/responses")
+    return read_lines(spark, path).select("line_no", F.col("line").alias("body"))
+
+
+def _normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return N.normalize(_responses(spark, sf))
+
+
+@register("envelope_audit")
+def q_envelope_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return N.audit(_responses(spark, sf)).select("line_no", "audit_class")
+
+
+@register("envelope_extract")
+def q_envelope_extract(spark: SparkSession, sf: str) -> DataFrame:
+    a = N.audit(_responses(spark, sf)).where(F.col("audit_class") == "ok")
+    items = a.select("line_no", F.posexplode("_results").alias("pos", "_r"))
+    return items.select("line_no", "pos", N.first_text(F.col("_r"), "$.id", "$.uid").alias("top_id"))
+
+
+@register("normalize_records")
+def q_normalize_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = N.records(_normalized(spark, sf), ["line_no"])
+    return r.select("line_no", "pos", F.col("id").alias("job_id"), "source", "title", "description", "url",
+                    "posted_at", "job_type", "contractor_tier", "raw_id")
+
+
+@register("normalize_rejects")
+def q_normalize_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return N.rejects(_normalized(spark, sf), ["line_no"])
+
+
+@register("normalize_skills")
+def q_normalize_skills(spark: SparkSession, sf: str) -> DataFrame:
+    r = N.records(_normalized(spark, sf), ["line_no"])
+    return flat(r.select("line_no", "pos", "skills"))
+
+
+@register("normalize_budgets")
+def q_normalize_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    r = N.records(_normalized(spark, sf), ["line_no"])
+    return r.select("line_no", "pos", "hourly_min", "hourly_max", "fixed_amount")
+
+
+@register("jsonl_roundtrip")
+def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised records → JSON lines (S9) → read back (S1) → validated records."""
+    r = N.records(_normalized(spark, sf), ["line_no"]).withColumn("ord", F.col("line_no") * 1000 + F.col("pos"))
+    out = f"{scratch_dir(spark, 'jsonl')}/records"
+    from recordlake.sources.jsonl import write_lines
+    write_lines(r.select("ord", N.jsonl_value().alias("line")), out, "ord", parts=4)
+    checked = V.validate(read_lines(spark, out)).where(F.col("status") == "valid")
+    return flat(checked.select("job_id", "title", "url", "skills", "posted_at", "job_type", "contractor_tier",
+                               "hourly_min", "hourly_max", "fixed_amount", "raw_id"))

@@ -222,3 +222,74 @@ SELECT s.batch_id, s.seen, coalesce(i.inserted, 0) AS inserted, s.seen - coalesc
        coalesce(j.rejected, 0) AS rejected, i.inserted AS stored
   FROM seen s LEFT JOIN ins i USING (batch_id) LEFT JOIN rej j USING (batch_id)""",
 })
+
+
+# ------------------------------------------------- envelopes & normaliser
+
+ENV = rf"""WITH cv AS (
+  SELECT conv_id, turn, role, text, turn // 50 AS page,
+         CASE WHEN conv_id % 13 = 0 THEN 'errors' WHEN conv_id % 17 = 0 THEN 'path_missing'
+              WHEN conv_id % 19 = 0 THEN 'not_list' WHEN conv_id % 23 = 0 THEN 'item_not_object'
+              WHEN conv_id % 11 = 0 THEN 'missing_identity' WHEN conv_id % 7 = 0 THEN 'non_decimal_id' END AS fault
+    FROM conversations),
+resp AS (
+  SELECT conv_id, page, any_value(fault) AS fault, count(*) AS n,
+         row_number() OVER (ORDER BY conv_id, page) AS line_no
+    FROM cv GROUP BY conv_id, page),
+aud AS (
+  SELECT *, CASE fault WHEN 'errors' THEN 'errors_present' WHEN 'path_missing' THEN 'path_missing'
+                       WHEN 'not_list' THEN 'not_list' WHEN 'item_not_object' THEN 'item_not_object'
+                       ELSE 'ok' END AS audit_class,
+         CASE fault WHEN 'errors' THEN 'upstream GraphQL returned errors'
+                    WHEN 'path_missing' THEN 'upstream response missing job results path'
+                    WHEN 'not_list' THEN 'upstream job results path is not a list'
+                    WHEN 'item_not_object' THEN 'upstream job result item is not an object' END AS audit_error
+    FROM resp),
+t AS (
+  SELECT a.line_no, a.audit_class, a.fault, a.n, cv.conv_id, cv.turn, cv.role, cv.text,
+         row_number() OVER (PARTITION BY a.line_no ORDER BY cv.turn) - 1 AS pos,
+         CAST(cv.conv_id * 1000 + cv.turn AS VARCHAR) AS idtxt,
+         regexp_replace(left(cv.text, 30), {WS}, '', 'g') AS title_s,
+         regexp_replace(cv.text, {WS}, '', 'g') AS desc_s
+    FROM cv JOIN aud a ON cv.conv_id = a.conv_id AND cv.page = a.page),
+te AS (
+  SELECT *, CASE WHEN title_s = '' OR desc_s = '' THEN 'job result missing title or description' END AS item_error FROM t),
+rerr AS (
+  SELECT a.line_no, a.audit_class,
+         coalesce(a.audit_error,
+                  (SELECT min_by(item_error, pos) FROM te WHERE te.line_no = a.line_no AND item_error IS NOT NULL),
+                  CASE a.fault WHEN 'missing_identity' THEN 'job result missing required raw identity field'
+                               WHEN 'non_decimal_id' THEN 'job result missing required ciphertext for permalink' END)
+           AS error
+    FROM aud a),
+rec AS (
+  SELECT te.line_no, te.pos,
+         CASE WHEN turn % 4 IN (0, 1) THEN '~01' || idtxt ELSE '~02' || idtxt END AS job_id,
+         '{SOURCE}' AS source, title_s AS title, desc_s AS description,
+         '{URL_PREFIX}' || CASE WHEN turn % 4 IN (0, 1) THEN '~01' || idtxt ELSE '~02' || idtxt END AS url,
+         role AS skills,
+         '2024-01-' || lpad(CAST(turn + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS posted_at,
+         CASE WHEN turn % 2 = 0 THEN 'HOURLY' ELSE 'FIXED' END AS job_type,
+         CASE WHEN role = 'assistant' THEN 'EXPERT' END AS contractor_tier,
+         CAST(turn + 0.5 AS DOUBLE) AS hourly_min,
+         CASE WHEN turn % 2 = 0 THEN CAST(turn + 10 AS DOUBLE) END AS hourly_max,
+         CASE WHEN turn % 3 = 2 THEN CAST(length(text) AS DOUBLE) END AS fixed_amount,
+         idtxt AS raw_id
+    FROM te JOIN rerr USING (line_no) WHERE rerr.error IS NULL)"""
+
+ORACLE.update({
+    "envelope_audit": f"{ENV} SELECT line_no, audit_class FROM aud",
+    "envelope_extract": f"""{ENV}
+SELECT line_no, pos, CASE WHEN turn % 3 IN (0, 1) THEN idtxt END AS top_id FROM t WHERE audit_class = 'ok'
+UNION ALL
+SELECT line_no, n AS pos, CASE WHEN fault = 'non_decimal_id' THEN 'abc' END AS top_id
+  FROM aud WHERE fault IN ('missing_identity', 'non_decimal_id')""",
+    "normalize_records": f"""{ENV}
+SELECT line_no, pos, job_id, source, title, description, url, posted_at, job_type, contractor_tier, raw_id FROM rec""",
+    "normalize_rejects": f"{ENV} SELECT line_no, audit_class, error FROM rerr WHERE error IS NOT NULL",
+    "normalize_skills": f"{ENV} SELECT line_no, pos, skills FROM rec",
+    "normalize_budgets": f"{ENV} SELECT line_no, pos, hourly_min, hourly_max, fixed_amount FROM rec",
+    "jsonl_roundtrip": f"""{ENV}
+SELECT job_id, title, url, skills, posted_at, job_type, contractor_tier, hourly_min, hourly_max, fixed_amount,
+       raw_id FROM rec""",
+})

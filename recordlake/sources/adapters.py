@@ -152,3 +152,120 @@ def source_half(documents: DataFrame, first: bool) -> DataFrame:
     """Documents of sources src0–src9 (first) or src10–src19 (second)."""
     num = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     return documents.where(num < 10 if first else num >= 10)
+
+
+# ------------------------------------------------------- response envelopes
+
+# Fixed fault plan for envelopes: (divisor of conv_id, fault), first match wins.
+ENVELOPE_FAULTS = (
+    (13, "errors"),
+    (17, "path_missing"),
+    (19, "not_list"),
+    (23, "item_not_object"),
+    (11, "missing_identity"),
+    (7, "non_decimal_id"),
+)
+PAGE_SIZE = 50
+
+
+def _q(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def response_result_json(conversations: DataFrame) -> DataFrame:
+    """One search-result JSON object per conversation turn.
+
+    Turn t of conversation c: digits id = c*1000+t placed at ``id`` (t mod 3 = 0),
+    ``uid`` (1) or ``jobTile.job.id`` (2); ciphertext ``~01``+id at ``ciphertext``
+    (t mod 4 = 0) or ``jobTile.job.cipherText`` (1), none otherwise; title = first
+    30 characters at the top (even t) or in the job (odd t); description / snippet /
+    job description by t mod 3; skills as ``[{name}]``, ``[role, "  "]``,
+    ``ontologySkills [{prefLabel}]`` or job ``[{prettyName}]`` by t mod 4;
+    ``hourlyBudgetMin`` = t+0.5 as text, ``hourlyBudgetMax`` = t+10 for even t;
+    ``fixedPriceAmount {amount: length}`` for t mod 3 = 2.
+    """
+    t, c = F.col("turn"), F.col("conv_id")
+    idtxt = (c * 1000 + t).cast("string")
+    head = F.substring("text", 1, 30)
+    job = F.to_json(F.struct(
+        F.when(t % 3 == 2, idtxt).alias("id"),
+        F.when(t % 4 == 1, F.concat(F.lit("~01"), idtxt)).alias("cipherText"),
+        F.when(t % 2 == 1, head).alias("title"),
+        F.when(t % 3 == 2, F.col("text")).alias("description"),
+        F.when(t % 4 == 3, F.array(F.struct(F.col("role").alias("prettyName")))).alias("skills"),
+        (t + F.lit(0.5)).cast("string").alias("hourlyBudgetMin"),
+        F.when(t % 2 == 0, t + 10).alias("hourlyBudgetMax"),
+        F.when(t % 3 == 2, F.struct(F.length("text").alias("amount"))).alias("fixedPriceAmount"),
+        F.when(t % 2 == 1, F.lit("FIXED")).alias("jobType"),
+        F.when(F.col("role") == "assistant", F.lit("EXPERT")).alias("contractorTier"),
+        F.concat(F.lit("2024-01-"), F.lpad((t + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("publishTime"),
+    ))
+    top = F.to_json(F.struct(
+        F.when(t % 3 == 0, idtxt).alias("id"),
+        F.when(t % 3 == 1, idtxt).alias("uid"),
+        F.when(t % 4 == 0, F.concat(F.lit("~01"), idtxt)).alias("ciphertext"),
+        F.when(t % 2 == 0, head).alias("title"),
+        F.when(t % 3 == 0, F.col("text")).alias("description"),
+        F.when(t % 3 == 1, F.col("text")).alias("snippet"),
+        F.when(t % 2 == 0, F.lit("HOURLY")).alias("jobType"),
+    ))
+    inner = F.regexp_replace(top, r"^\{|\}$", "")
+    skills = (
+        F.when(t % 4 == 0, F.concat(F.lit(',"skills":[{"name":'), _q(F.col("role")), F.lit("}]")))
+        .when(t % 4 == 1, F.concat(F.lit(',"skills":['), _q(F.col("role")), F.lit(',"  "]')))
+        .when(t % 4 == 2, F.concat(F.lit(',"ontologySkills":[{"prefLabel":'), _q(F.col("role")), F.lit("}]")))
+        .otherwise(F.lit(""))
+    )
+    obj = F.concat(
+        F.lit('{"jobTile":{"job":'), job, F.lit("}"),
+        F.when(inner != "", F.concat(F.lit(","), inner)).otherwise(F.lit("")),
+        skills, F.lit("}"),
+    )
+    return conversations.select("conv_id", "turn", obj.alias("result"))
+
+
+def response_rows(conversations: DataFrame, path: str = "$.data.search.universalSearchNuxt.visitorJobSearchV1.results") -> DataFrame:
+    """``(ord, line)``: one response envelope per (conversation, page of 50 turns).
+
+    Faults per ``ENVELOPE_FAULTS``: an ``errors`` envelope, a missing results
+    path, results as an object, a trailing non-object item, a trailing result
+    without any identity, a trailing result with a non-digit id and no ciphertext.
+    """
+    c = F.col("conv_id")
+    fault = F.lit(None).cast("string")
+    for div, name in reversed(ENVELOPE_FAULTS):
+        fault = F.when(c % div == 0, F.lit(name)).otherwise(fault)
+    pages = (
+        response_result_json(conversations)
+        .withColumn("page", F.floor(F.col("turn") / PAGE_SIZE))
+        .groupBy("conv_id", "page")
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "result"))).alias("rs"))
+    )
+    results = F.concat_ws(",", F.transform("rs", lambda x: x["result"]))
+    extra = (
+        F.when(fault == "item_not_object", F.lit(",5"))
+        .when(fault == "missing_identity", F.lit(',{"title":"no id","description":"missing identity"}'))
+        .when(fault == "non_decimal_id", F.lit(',{"id":"abc","title":"t","description":"d"}'))
+        .otherwise(F.lit(""))
+    )
+    n = F.size("rs").cast("string")
+    keys = path.lstrip("$.").split(".")
+    opening = "".join('{"' + k + '":' for k in keys[:-1])
+    closing = "}" * (len(keys) - 1)
+    ok_body = F.concat(
+        F.lit(opening + '{"paging":{"total":'), n, F.lit(',"offset":0,"count":'), n,
+        F.lit('},"' + keys[-1] + '":['), results, extra, F.lit("]}" + closing),
+    )
+    body = (
+        F.when(fault == "errors", F.lit('{"errors":[{"message":"boom"}],"data":null}'))
+        .when(fault == "path_missing", F.lit('{"' + keys[0] + '":{"' + keys[1] + '":{}}}'))
+        .when(fault == "not_list", F.lit(opening + '{"' + keys[-1] + '":{}}' + closing))
+        .otherwise(ok_body)
+    )
+    return pages.select((c * 1000 + F.col("page")).alias("ord"), body.alias("line"))
+
+
+def write_responses(spark: SparkSession, conversations: DataFrame, path: str, parts: int = 4) -> str:
+    from recordlake.sources.jsonl import write_lines
+
+    return write_lines(response_rows(conversations), path, "ord", parts=parts)
