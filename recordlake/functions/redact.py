@@ -29,18 +29,21 @@ SECRET_KEY_WORDS = (
     "secret",
 )
 
-BEARER_RE = r"(?i)\bbearer\s+[^\s\"',;]+"
+# A key or the word "bearer" starts at the beginning of the text or after a
+# character that cannot be part of it (an explicit class instead of \b, whose
+# meaning differs between Java regex and RE2 for non-ASCII letters).
+BEARER_RE = r"(?i)(^|[^a-z0-9_])bearer\s+[^\s\"',;]+"
 _KEY_ALT = "token|cookies?|session(?:_id)?|authorization|proxy(?:_url)?|password|secret"
 KEY_VALUE_RE = (
-    r"(?i)\b([A-Za-z0-9_\-]*(?:" + _KEY_ALT + r"))(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s\"',;&]+)"
+    r"(?i)(^|[^a-z0-9_\-])([a-z0-9_\-]*(?:" + _KEY_ALT + r"))(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s\"',;&]+)"
 )
 URL_USERINFO_RE = r"(://)[^/\s:@]+:[^/\s@]+@"
 
 
 def redact(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    out = F.regexp_replace(col, BEARER_RE, "Bearer " + MASK)
-    out = F.regexp_replace(out, KEY_VALUE_RE, "$1$2" + MASK)
+    out = F.regexp_replace(col, BEARER_RE, "$1Bearer " + MASK)
+    out = F.regexp_replace(out, KEY_VALUE_RE, "$1$2$3" + MASK)
     return F.regexp_replace(out, URL_USERINFO_RE, "$1" + MASK + "@")
 
 

@@ -307,3 +307,183 @@ def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     checked = V.validate(read_lines(spark, out)).where(F.col("status") == "valid")
     return flat(checked.select("job_id", "title", "url", "skills", "posted_at", "job_type", "contractor_tier",
                                "hourly_min", "hourly_max", "fixed_amount", "raw_id"))
+
+
+# -------------------------------------------------- audit, ledger, control
+
+from recordlake.operators import control as C, ledger as L, quality as Q  # noqa: E402
+from recordlake.plans.collection import collection_plan  # noqa: E402
+from recordlake.sources import store as S  # noqa: E402
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.table(spark, sf, "events")
+
+
+def _classified(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.response_classes(adapters.http_log(_events(spark, sf)))
+
+
+@register("response_class")
+def q_response_class(spark: SparkSession, sf: str) -> DataFrame:
+    return _classified(spark, sf).select("event_id", "status", "response_class", "error_type", "exit_code")
+
+
+@register("retry_verdict")
+def q_retry_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    v = Q.retry_verdict(_classified(spark, sf))
+    return v.select("event_id", "response_class", "attempt_no", "retry_cap", "retry", "exhausted",
+                    "backoff_min_s", "backoff_max_s")
+
+
+@register("attempt_rollup")
+def q_attempt_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.attempt_rollup(_classified(spark, sf), ["run_id", "query"])
+
+
+@register("redacted_text")
+def q_redacted_text(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.redacted_documents(adapters.table(spark, sf, "documents"))
+
+
+@register("collection_plan")
+def q_collection_plan(spark: SparkSession, sf: str) -> DataFrame:
+    nation = adapters.table(spark, sf, "nation")
+    text = F.when(F.col("n_nationkey") % 5 == 0, F.lit(" , , ")).otherwise(
+        F.concat(F.lit(" "), F.lower("n_name"), F.lit(" , ,"), F.col("n_name"), F.lit(" ")))
+    lists = nation.select("n_nationkey", text.alias("queries"))
+    return collection_plan(lists, "n_nationkey", "queries", max_pages=5, page_size=50)
+
+
+def _run_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    ev = _events(spark, sf)
+    results = adapters.run_results(ev)
+    return L.runs(adapters.run_events(ev), results), results
+
+
+@register("run_totals")
+def q_run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return L.run_totals(adapters.run_results(_events(spark, sf)))
+
+
+@register("run_current_state")
+def q_run_current_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_rows(spark, sf)[0]
+
+
+@register("latest_run")
+def q_latest_run(spark: SparkSession, sf: str) -> DataFrame:
+    return L.latest_run(_run_rows(spark, sf)[0])
+
+
+@register("recent_runs")
+def q_recent_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return L.recent_runs(_run_rows(spark, sf)[0], 5)
+
+
+@register("recent_results")
+def q_recent_results(spark: SparkSession, sf: str) -> DataFrame:
+    runs, results = _run_rows(spark, sf)
+    return L.recent_results(results, run_rows=runs, limit=5)
+
+
+@register("failed_run_probe")
+def q_failed_run_probe(spark: SparkSession, sf: str) -> DataFrame:
+    return L.failed_run_probe(_run_rows(spark, sf)[0], "worker_interval", "UpstreamSchemaOrTemporaryError")
+
+
+def _commands(spark: SparkSession, sf: str) -> DataFrame:
+    return C.command_state(adapters.command_events(_events(spark, sf)))
+
+
+CMD_COLS = ("command_id", "command_type", "payload_json", "status", "created_at", "started_at", "finished_at",
+            "requested_by")
+
+
+@register("command_state")
+def q_command_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _commands(spark, sf).select(*CMD_COLS)
+
+
+@register("command_fifo")
+def q_command_fifo(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fifo_head(_commands(spark, sf)).select("command_id", "created_at")
+
+
+@register("recent_commands")
+def q_recent_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return C.recent_commands(_commands(spark, sf), 5).select(*CMD_COLS)
+
+
+@register("config_validation")
+def q_config_validation(spark: SparkSession, sf: str) -> DataFrame:
+    ev = adapters.config_events(_events(spark, sf))
+    return C.validate_config_events(ev).select("seq", "key", "error")
+
+
+@register("config_current")
+def q_config_current(spark: SparkSession, sf: str) -> DataFrame:
+    return C.config_state(adapters.config_events(_events(spark, sf)))
+
+
+@register("config_seeded")
+def q_config_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    ev = adapters.config_events(_events(spark, sf))
+    return C.seeded(C.config_state(ev), ev.select("scope").distinct())
+
+
+@register("config_after_commands")
+def q_config_after_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return C.config_after_commands(spark, None, adapters.command_events(_events(spark, sf)))
+
+
+@register("status_document")
+def q_status_document(spark: SparkSession, sf: str) -> DataFrame:
+    """One row assembled from the five bounded reads (no joins between them)."""
+    ev = _events(spark, sf)
+    runs, results = _run_rows(spark, sf)
+    cmds = C.command_state(adapters.command_events(ev))
+    cfg = C.config_after_commands(spark, None, adapters.command_events(ev))
+
+    def joined(df: DataFrame, part: str, order: list[str], value: str, desc: bool = True) -> DataFrame:
+        arr = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(value).cast("string").alias("_v"))),
+                           asc=not desc)
+        return df.agg(F.array_join(F.transform(arr, lambda s: s["_v"]), ",").alias("text")).select(
+            F.lit(part).alias("part"), "text")
+
+    last = L.latest_run(runs)
+    parts = [
+        last.select(F.lit("status").alias("part"), F.col("status").alias("text")),
+        last.select(F.lit("last_run_id").alias("part"), F.col("run_id").alias("text")),
+        joined(L.recent_runs(runs, 5), "recent_runs", ["started_at", "run_id"], "run_id"),
+        joined(L.recent_results(results, run_rows=runs, limit=5), "recent_results", ["started_at", "id"], "id"),
+        joined(C.recent_commands(cmds, 5), "recent_commands", ["created_at", "command_id"], "command_id"),
+        joined(cfg.select("key", F.concat("key", F.lit("="), "value_json").alias("kv")), "config", ["key"], "kv",
+               desc=False),
+    ]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    pick = {p: F.max(F.when(F.col("part") == p, F.col("text"))).alias(p)
+            for p in ("status", "last_run_id", "recent_runs", "recent_results", "recent_commands", "config")}
+    return u.agg(*pick.values()).select(
+        F.coalesce(F.col("status"), F.lit("empty")).alias("status"),
+        *[c for c in pick if c != "status"])
+
+
+@register("readiness_verdict")
+def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Q8: verdicts of four stores built from the test tables (rows-only check)."""
+    base = scratch_dir(spark, "ready")
+    ev = _events(spark, sf)
+    partial, full, newer = f"{base}/partial", f"{base}/full", f"{base}/newer"
+    for root in (partial, full, newer):
+        ingest.ingest_jsonl(spark, root, _landed(spark, sf, root=root), 1, clock=BATCH_CLOCK, mode="quarantine")
+        S.init_store(spark, root, 2 if root == newer else 1)
+    for root in (full, newer):
+        S.write_table(adapters.run_events(ev), root, "run_events")
+        S.write_table(adapters.run_results(ev), root, "run_results")
+        S.write_table(adapters.config_events(ev), root, "config_events")
+        S.write_table(adapters.command_events(ev), root, "command_events")
+    return S.readiness_table(spark, {"missing": f"{base}/missing", "partial": partial, "full": full,
+                                     "newer": newer})

@@ -293,3 +293,253 @@ SELECT line_no, pos, job_id, source, title, description, url, posted_at, job_typ
 SELECT job_id, title, url, skills, posted_at, job_type, contractor_tier, hourly_min, hourly_max, fixed_amount,
        raw_id FROM rec""",
 })
+
+
+# -------------------------------------------------- audit, ledger, control
+
+from recordlake.functions.redact import BEARER_RE, KEY_VALUE_RE, URL_USERINFO_RE  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _redact_sql(col: str) -> str:
+    a = f"regexp_replace({col}, {_sql_str(BEARER_RE)}, '\\1Bearer <redacted>', 'g')"
+    b = f"regexp_replace({a}, {_sql_str(KEY_VALUE_RE)}, '\\1\\2\\3<redacted>', 'g')"
+    return f"regexp_replace({b}, {_sql_str(URL_USERINFO_RE)}, '\\1<redacted>@', 'g')"
+
+
+EV = """WITH e AS (
+  SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS run_id,
+         date_trunc('second', ts) AS ts_s
+    FROM events)"""
+
+HTTP = EV + """,
+h AS (
+  SELECT event_id, run_id, 'q' || CAST(user_id % 10 AS VARCHAR) AS query, 1 + k % 3 AS attempt_no,
+         CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 403 WHEN 'error' THEN 500
+                         WHEN 'signup' THEN 429 ELSE 404 END AS status,
+         CASE WHEN k % 15 = 0 THEN 'Forbidden' WHEN k % 10 = 0 THEN 'rate limit hit'
+              ELSE 'body ' || CAST(k AS VARCHAR) END AS body
+    FROM e),
+c AS (
+  SELECT *, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok'
+                 WHEN status IN (401, 403) OR lower(body) LIKE '%access denied%' OR lower(body) LIKE '%forbidden%' THEN 'blocked'
+                 WHEN status = 429 OR lower(body) LIKE '%rate limit%' OR lower(body) LIKE '%throttle%' THEN 'rate_limited'
+                 WHEN status >= 500 THEN 'temporary' ELSE 'passed' END AS response_class
+    FROM h),
+cc AS (
+  SELECT *, CASE response_class WHEN 'blocked' THEN 1 WHEN 'rate_limited' THEN 2 WHEN 'temporary' THEN 3 END AS retry_cap
+    FROM c)"""
+
+RUNS = EV + f""",
+res AS (
+  SELECT run_id, event_id AS id, event_type AS query,
+         CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
+         CAST(1 + k % 3 AS BIGINT) AS attempts,
+         CAST(CASE WHEN event_type = 'error' THEN 0 ELSE k END AS BIGINT) AS seen_count,
+         CAST(CASE WHEN event_type = 'error' THEN 0 ELSE k // 3 END AS BIGINT) AS inserted_count,
+         CAST(CASE WHEN event_type = 'error' THEN 0 ELSE k - k // 3 END AS BIGINT) AS skipped_count,
+         CASE WHEN event_type = 'error' THEN 'UpstreamSchemaOrTemporaryError' END AS error_type,
+         CASE WHEN event_type = 'error' THEN 'upstream temporary server failure token=' || CAST(k AS VARCHAR) END AS error_text,
+         ts_s AS started, ts_s + to_seconds(k % 7) AS finished
+    FROM e),
+ev AS (
+  SELECT run_id, event_id AS seq, ts_s AS ts,
+         CASE WHEN event_type = 'error' THEN 'failed' WHEN k % 20 = 0 THEN 'running' ELSE 'success' END AS status,
+         CASE user_id % 3 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'worker_interval' ELSE 'mcp_run_once' END AS trigger,
+         CASE WHEN event_type = 'error' THEN 'UpstreamSchemaOrTemporaryError' END AS error_type,
+         CASE WHEN event_type = 'error' THEN 'upstream temporary server failure token=' || CAST(k AS VARCHAR) END AS error_text
+    FROM e),
+lst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id
+                   ORDER BY ts DESC, CASE WHEN status = 'running' THEN 0 ELSE 1 END DESC, seq DESC) AS rn FROM ev) x
+   WHERE rn = 1),
+fst AS (
+  SELECT run_id, min(ts) AS started, arg_min(trigger, seq) AS trigger FROM ev GROUP BY run_id),
+tot AS (
+  SELECT run_id, count(*) AS query_count,
+         coalesce(sum(CASE WHEN status = 'success' THEN seen_count END), 0) AS total_seen,
+         coalesce(sum(CASE WHEN status = 'success' THEN inserted_count END), 0) AS total_inserted,
+         coalesce(sum(CASE WHEN status = 'success' THEN skipped_count END), 0) AS total_skipped
+    FROM res GROUP BY run_id),
+runs AS (
+  SELECT f.run_id, strftime(f.started, {ISO}) AS started_at,
+         CASE WHEN l.status <> 'running' THEN strftime(l.ts, {ISO}) END AS finished_at,
+         CASE WHEN l.status <> 'running' THEN CAST(epoch(l.ts) - epoch(f.started) AS BIGINT) END AS duration_seconds,
+         l.status, f.trigger,
+         CAST(coalesce(t.query_count, 0) AS BIGINT) AS query_count,
+         CAST(coalesce(t.total_seen, 0) AS BIGINT) AS total_seen,
+         CAST(coalesce(t.total_inserted, 0) AS BIGINT) AS total_inserted,
+         CAST(coalesce(t.total_skipped, 0) AS BIGINT) AS total_skipped,
+         CASE WHEN l.status = 'failed' THEN l.error_type END AS error_type,
+         CASE WHEN l.status = 'failed' THEN {_redact_sql('l.error_text')} END AS redacted_error
+    FROM fst f JOIN lst l USING (run_id) LEFT JOIN tot t USING (run_id)),
+latest AS (SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 1),
+rres AS (
+  SELECT id, run_id, query, status, attempts, seen_count, inserted_count, skipped_count, error_type,
+         {_redact_sql('error_text')} AS redacted_error,
+         strftime(started, {ISO}) AS started_at, strftime(finished, {ISO}) AS finished_at
+    FROM res)"""
+
+CMDS = EV + f""",
+ce AS (
+  SELECT 'cmd-' || lpad(CAST(event_id // 4 AS VARCHAR), 6, '0') AS command_id, event_id AS seq, ts_s AS ts,
+         CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'failed'
+                         ELSE 'queued' END AS status,
+         CASE (event_id // 4) % 4 WHEN 0 THEN 'run_once' WHEN 1 THEN 'pause' WHEN 2 THEN 'resume'
+                                  ELSE 'update_config' END AS command_type,
+         CASE WHEN (event_id // 4) % 4 = 3 THEN
+                CASE WHEN k % 7 = 0 THEN '{{"updates":{{"bogus":1}}}}'
+                     ELSE '{{"updates":{{"max_pages":' || CAST(k % 5 + 1 AS VARCHAR) || '}}}}' END
+              ELSE '{{}}' END AS payload_json,
+         k
+    FROM e),
+rk AS (SELECT *, CASE status WHEN 'queued' THEN 0 WHEN 'running' THEN 1 ELSE 2 END AS rnk FROM ce),
+cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY command_id ORDER BY ts DESC, rnk DESC, seq DESC) AS rn
+                        FROM rk) x WHERE rn = 1),
+cf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY command_id ORDER BY ts, seq) AS rn FROM rk) x
+        WHERE rn = 1),
+ct AS (
+  SELECT command_id, coalesce(min(ts) FILTER (WHERE status = 'queued'), min(ts)) AS created,
+         min(ts) FILTER (WHERE status = 'running') AS started,
+         min(ts) FILTER (WHERE status IN ('applied', 'failed')) AS finished
+    FROM rk GROUP BY command_id),
+cs AS (
+  SELECT cf.command_id, cf.command_type, cf.payload_json, cl.status, strftime(ct.created, {ISO}) AS created_at,
+         strftime(ct.started, {ISO}) AS started_at, strftime(ct.finished, {ISO}) AS finished_at,
+         'mcp' AS requested_by, cl.ts AS applied_ts, cl.seq AS applied_seq, cf.k AS first_k
+    FROM cf JOIN cl USING (command_id) JOIN ct USING (command_id))"""
+
+CFG = EV + """,
+cfg AS (
+  SELECT CAST(user_id AS VARCHAR) AS scope,
+         CASE k % 6 WHEN 0 THEN 'interval_seconds' WHEN 1 THEN 'queries' WHEN 2 THEN 'max_pages'
+                    WHEN 3 THEN 'page_size' WHEN 4 THEN 'paused' ELSE 'colour' END AS key,
+         event_type, k, ts_s AS ts, event_id AS seq, 'mcp' AS updated_by,
+         CASE event_type WHEN 'view' THEN CAST(k + 1 AS VARCHAR) WHEN 'click' THEN '"0"' WHEN 'signup' THEN 'true'
+                         WHEN 'error' THEN '"text"'
+                         ELSE CASE WHEN k % 2 = 0 THEN '["", "b"]' ELSE '[" a ", "b"]' END END AS value_json
+    FROM e),
+val AS (
+  SELECT *, CASE WHEN key = 'colour' THEN 'unsupported config keys: colour'
+                 WHEN key IN ('interval_seconds', 'max_pages', 'page_size') AND event_type <> 'view'
+                   THEN key || ' must be a positive integer'
+                 WHEN key = 'paused' AND event_type <> 'signup' THEN 'paused must be a boolean'
+                 WHEN key = 'queries' AND NOT (event_type = 'purchase' AND k % 2 = 1)
+                   THEN 'queries must be a list of non-empty strings' END AS error
+    FROM cfg),
+cur AS (
+  SELECT scope, key, value_json, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, updated_by
+    FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY ts DESC, seq DESC) AS rn
+            FROM val WHERE error IS NULL) x WHERE rn = 1)"""
+
+DEFAULTS = """defaults AS (
+  SELECT * FROM (VALUES ('interval_seconds', '3600'), ('queries', '[]'), ('max_pages', '5'),
+                        ('page_size', '50'), ('paused', 'false')) t(key, default_json))"""
+
+AFTER = CMDS + f""",
+chg AS (
+  SELECT 'paused' AS key, CASE command_type WHEN 'pause' THEN 'true' ELSE 'false' END AS value_json,
+         applied_ts AS ts, applied_seq AS seq
+    FROM cs WHERE status = 'applied' AND command_type IN ('pause', 'resume')
+  UNION ALL
+  SELECT 'max_pages', CAST(first_k % 5 + 1 AS VARCHAR), applied_ts, applied_seq
+    FROM cs WHERE status = 'applied' AND command_type = 'update_config' AND first_k % 7 <> 0),
+fin AS (SELECT key, value_json FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn
+                                       FROM chg) x WHERE rn = 1),
+{DEFAULTS},
+wcfg AS (
+  SELECT 'worker' AS scope, d.key, coalesce(f.value_json, d.default_json) AS value_json,
+         CASE WHEN f.value_json IS NULL THEN 'default' ELSE 'persisted' END AS origin
+    FROM defaults d LEFT JOIN fin f USING (key))"""
+
+_WS_SQL = "'^\\s+|\\s+$'"
+_RED = _redact_sql("text")
+
+ORACLE.update({
+    "response_class": f"""{HTTP}
+SELECT event_id, status, response_class,
+       CASE response_class WHEN 'blocked' THEN 'UpstreamBlockedError' WHEN 'rate_limited' THEN 'RateLimitedError'
+                           WHEN 'temporary' THEN 'UpstreamSchemaOrTemporaryError' END AS error_type,
+       CAST(CASE response_class WHEN 'blocked' THEN 20 WHEN 'rate_limited' THEN 21 WHEN 'temporary' THEN 30
+                                ELSE 0 END AS INTEGER) AS exit_code
+  FROM c""",
+    "retry_verdict": f"""{HTTP}
+SELECT event_id, response_class, attempt_no, retry_cap,
+       retry_cap IS NOT NULL AND attempt_no < retry_cap AS retry,
+       retry_cap IS NOT NULL AND attempt_no >= retry_cap AS exhausted,
+       CASE WHEN retry_cap IS NOT NULL AND attempt_no < retry_cap THEN
+            CASE response_class WHEN 'rate_limited' THEN 120.0 WHEN 'temporary' THEN 30.0 * pow(2, attempt_no - 1) * 0.8 END
+       END::DOUBLE AS backoff_min_s,
+       CASE WHEN retry_cap IS NOT NULL AND attempt_no < retry_cap THEN
+            CASE response_class WHEN 'rate_limited' THEN 300.0 WHEN 'temporary' THEN 30.0 * pow(2, attempt_no - 1) * 1.2 END
+       END::DOUBLE AS backoff_max_s
+  FROM cc""",
+    "attempt_rollup": f"""{HTTP},
+x AS (SELECT *, retry_cap IS NULL OR attempt_no >= retry_cap AS ends FROM cc)
+SELECT run_id, query, count(*) AS attempts_logged, max(attempt_no) AS max_attempt_no,
+       min(attempt_no) FILTER (WHERE ends) AS ending_attempt,
+       CASE WHEN count(*) FILTER (WHERE ends) = 0 THEN 'pending'
+            WHEN arg_min(response_class, attempt_no * 1000000 + event_id) FILTER (WHERE ends) IN ('ok', 'passed')
+              THEN 'success'
+            ELSE arg_min(response_class, attempt_no * 1000000 + event_id) FILTER (WHERE ends) END AS outcome,
+       arg_max(response_class, attempt_no * 1000000 + event_id) AS last_class
+  FROM x GROUP BY run_id, query""",
+    "redacted_text": f"""WITH r AS (SELECT doc_id, text, {_RED} AS red FROM documents),
+s AS (SELECT *, regexp_replace(red, {_WS_SQL}, '', 'g') AS st FROM r)
+SELECT doc_id, red <> text AS changed, sha256(red) AS redacted_sha256,
+       CASE WHEN st = '' THEN 'unexpected runtime failure'
+            WHEN length(st) <= 200 THEN st
+            ELSE regexp_replace(left(st, 200), '\\s+$', '', 'g') || '...' END AS short_message
+  FROM s""",
+    "collection_plan": """WITH l AS (
+  SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN [] ELSE [lower(n_name), n_name] END AS items FROM nation),
+q AS (
+  SELECT n_nationkey, i - 1 AS query_pos, items[i] AS query FROM l, range(1, len(items) + 1) t(i)
+  UNION ALL SELECT n_nationkey, 0, NULL FROM l WHERE len(items) = 0)
+SELECT n_nationkey, CAST(query_pos AS INTEGER) AS query_pos, query, CAST(p AS INTEGER) AS page,
+       CAST(p * 50 AS INTEGER) AS "offset", 50 AS count
+  FROM q, range(0, 5) t(p)""",
+    "run_totals": f"{RUNS} SELECT * FROM tot",
+    "run_current_state": f"{RUNS} SELECT * FROM runs",
+    "latest_run": f"{RUNS} SELECT * FROM latest",
+    "recent_runs": f"{RUNS} SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 5",
+    "recent_results": f"""{RUNS}
+SELECT * FROM rres WHERE run_id = (SELECT run_id FROM latest) ORDER BY started_at DESC, id DESC LIMIT 5""",
+    "failed_run_probe": f"""{RUNS}
+SELECT run_id, started_at, error_type FROM runs
+ WHERE trigger = 'worker_interval' AND status = 'failed' AND error_type = 'UpstreamSchemaOrTemporaryError'
+ ORDER BY started_at DESC, run_id DESC LIMIT 1""",
+    "command_state": f"""{CMDS}
+SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by FROM cs""",
+    "command_fifo": f"""{CMDS}
+SELECT command_id, created_at FROM cs WHERE status = 'queued' ORDER BY created_at, command_id LIMIT 1""",
+    "recent_commands": f"""{CMDS}
+SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by
+  FROM cs ORDER BY created_at DESC, command_id DESC LIMIT 5""",
+    "config_validation": f"{CFG} SELECT seq, key, error FROM val",
+    "config_current": f"{CFG} SELECT * FROM cur",
+    "config_seeded": f"""{CFG}, {DEFAULTS},
+sc AS (SELECT DISTINCT scope FROM cfg),
+base AS (SELECT sc.scope, d.key, d.default_json FROM sc, defaults d)
+SELECT coalesce(b.scope, c.scope) AS scope, coalesce(b.key, c.key) AS key,
+       coalesce(c.value_json, b.default_json) AS value_json,
+       CASE WHEN c.value_json IS NULL THEN 'default' ELSE 'persisted' END AS origin
+  FROM base b FULL OUTER JOIN cur c ON b.scope = c.scope AND b.key = c.key""",
+    "config_after_commands": f"{AFTER} SELECT * FROM wcfg",
+    "status_document": RUNS + ",\n" + AFTER[len(EV):].lstrip(",\n") + f""",
+rr AS (SELECT string_agg(run_id, ',' ORDER BY started_at DESC, run_id DESC) AS t
+         FROM (SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 5) x),
+rs AS (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY started_at DESC, id DESC) AS t
+         FROM (SELECT * FROM rres WHERE run_id = (SELECT run_id FROM latest)
+                ORDER BY started_at DESC, id DESC LIMIT 5) x),
+rc AS (SELECT string_agg(command_id, ',' ORDER BY created_at DESC, command_id DESC) AS t
+         FROM (SELECT * FROM cs ORDER BY created_at DESC, command_id DESC LIMIT 5) x),
+kv AS (SELECT string_agg(key || '=' || value_json, ',' ORDER BY key || '=' || value_json) AS t FROM wcfg)
+SELECT coalesce((SELECT status FROM latest), 'empty') AS status, (SELECT run_id FROM latest) AS last_run_id,
+       (SELECT t FROM rr) AS recent_runs, (SELECT t FROM rs) AS recent_results,
+       (SELECT t FROM rc) AS recent_commands, (SELECT t FROM kv) AS config""",
+})

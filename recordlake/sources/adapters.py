@@ -269,3 +269,133 @@ def write_responses(spark: SparkSession, conversations: DataFrame, path: str, pa
     from recordlake.sources.jsonl import write_lines
 
     return write_lines(response_rows(conversations), path, "ord", parts=parts)
+
+
+# ------------------------------------------------------------- event logs
+
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _sec(c: str = "ts") -> Column:
+    return F.date_trunc("second", F.col(c).cast("timestamp"))
+
+
+def http_log(events: DataFrame) -> DataFrame:
+    """Response/attempt log: one fetch attempt per event.
+
+    status by event type (view 200, click 403, error 500, signup 429,
+    purchase 404); body ``Forbidden`` when k mod 15 = 0, ``rate limit hit``
+    when k mod 10 = 0, else ``body <k>``; run = user-day; query = q<user mod 10>;
+    attempt number 1 + k mod 3.
+    """
+    k = _k()
+    status = (
+        F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 403)
+        .when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 429)
+        .otherwise(404)
+    )
+    body = (
+        F.when(k % 15 == 0, F.lit("Forbidden")).when(k % 10 == 0, F.lit("rate limit hit"))
+        .otherwise(F.concat(F.lit("body "), k.cast("string")))
+    )
+    return events.select(
+        "event_id", _sec().alias("ts"),
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
+        F.concat(F.lit("q"), (F.col("user_id") % 10).cast("string")).alias("query"),
+        status.alias("status"), body.alias("body"), (1 + k % 3).alias("attempt_no"),
+    )
+
+
+def run_results(events: DataFrame) -> DataFrame:
+    """Per-query result rows: one per event, run = user-day.
+
+    failed for ``error`` events (zero counters, error type and message),
+    else success with seen = k, inserted = floor(k/3); attempts 1 + k mod 3;
+    finished k mod 7 seconds after start.
+    """
+    k = _k()
+    failed = F.col("event_type") == "error"
+    start = _sec()
+    return events.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
+        F.col("event_id").alias("query_ix"),
+        F.col("event_type").alias("query"),
+        F.when(failed, "failed").otherwise("success").alias("status"),
+        (1 + k % 3).cast("long").alias("attempts"),
+        F.when(failed, 0).otherwise(k).cast("long").alias("seen_count"),
+        F.when(failed, 0).otherwise(F.floor(k / 3)).cast("long").alias("inserted_count"),
+        F.when(failed, 0).otherwise(k - F.floor(k / 3)).cast("long").alias("skipped_count"),
+        F.when(failed, F.lit("UpstreamSchemaOrTemporaryError")).alias("error_type"),
+        F.when(failed, F.concat(F.lit("upstream temporary server failure token="), k.cast("string"))).alias("error_text"),
+        start.alias("started_at"),
+        (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 7).cast("decimal(8,6)"))).alias("finished_at"),
+    )
+
+
+def run_events(events: DataFrame) -> DataFrame:
+    """Run status log: every event updates its run (user-day).
+
+    status failed for ``error``, running when k mod 20 = 0, else success;
+    trigger by user mod 3 (scheduled, worker_interval, mcp_run_once).
+    """
+    k = _k()
+    status = F.when(F.col("event_type") == "error", "failed").when(k % 20 == 0, "running").otherwise("success")
+    trig = F.element_at(F.array(F.lit("scheduled"), F.lit("worker_interval"), F.lit("mcp_run_once")),
+                        (F.col("user_id") % 3 + 1).cast("int"))
+    failed = F.col("event_type") == "error"
+    return events.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
+        F.col("event_id").alias("seq"), _sec().alias("ts"), status.alias("status"), trig.alias("trigger"),
+        F.when(failed, F.lit("UpstreamSchemaOrTemporaryError")).alias("error_type"),
+        F.when(failed, F.concat(F.lit("upstream temporary server failure token="), k.cast("string"))).alias("error_text"),
+    )
+
+
+COMMAND_TYPES_BY_MOD = ("run_once", "pause", "resume", "update_config")
+
+
+def command_events(events: DataFrame) -> DataFrame:
+    """Command lifecycle log: command = event_id div 4, seq = event_id.
+
+    status view running, purchase applied, error failed, else queued;
+    type by command mod 4 (run_once, pause, resume, update_config);
+    update payload ``{"updates":{"max_pages":k mod 5 + 1}}``, or an unknown key
+    when k mod 7 = 0.
+    """
+    k = _k()
+    cid = F.floor(F.col("event_id") / 4)
+    et = F.col("event_type")
+    status = F.when(et == "view", "running").when(et == "purchase", "applied").when(et == "error", "failed").otherwise("queued")
+    ctype = F.element_at(F.array(*[F.lit(t) for t in COMMAND_TYPES_BY_MOD]), (cid % 4 + 1).cast("int"))
+    payload = F.when(ctype == "update_config", F.when(
+        k % 7 == 0, F.lit('{"updates":{"bogus":1}}')
+    ).otherwise(F.concat(F.lit('{"updates":{"max_pages":'), (k % 5 + 1).cast("string"), F.lit("}}")))
+    ).otherwise(F.lit("{}"))
+    return events.select(
+        F.concat(F.lit("cmd-"), F.lpad(cid.cast("string"), 6, "0")).alias("command_id"),
+        F.col("event_id").alias("seq"), _sec().alias("ts"), status.alias("status"),
+        ctype.alias("command_type"), payload.alias("payload_json"), F.lit("mcp").alias("requested_by"),
+    )
+
+
+CONFIG_KEY_BY_MOD = ("interval_seconds", "queries", "max_pages", "page_size", "paused", "colour")
+
+
+def config_events(events: DataFrame) -> DataFrame:
+    """Config update log: scope = user, key = k mod 6 over the five config keys
+    and one unknown key; value by event type: view → k+1, click → "0" (text),
+    signup → true, error → "text", purchase → [" a ", "b"] (or ["", "b"] when k is even)."""
+    k = _k()
+    key = F.element_at(F.array(*[F.lit(x) for x in CONFIG_KEY_BY_MOD]), (k % 6 + 1).cast("int"))
+    et = F.col("event_type")
+    value = (
+        F.when(et == "view", (k + 1).cast("string")).when(et == "click", F.lit('"0"'))
+        .when(et == "signup", F.lit("true")).when(et == "error", F.lit('"text"'))
+        .otherwise(F.when(k % 2 == 0, F.lit('["", "b"]')).otherwise(F.lit('[" a ", "b"]')))
+    )
+    return events.select(
+        F.col("user_id").cast("string").alias("scope"), key.alias("key"), value.alias("value_json"),
+        _sec().alias("ts"), F.col("event_id").alias("seq"), F.lit("mcp").alias("updated_by"),
+    )
