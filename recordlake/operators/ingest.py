@@ -44,7 +44,9 @@ LEDGER = T.StructType([
     T.StructField("seen", T.LongType()), T.StructField("inserted", T.LongType()),
     T.StructField("skipped", T.LongType()), T.StructField("rejected", T.LongType()),
     T.StructField("source_query", T.StringType()), T.StructField("input_path", T.StringType()),
-    T.StructField("committed_at", T.TimestampType()), T.StructField("batch_id", T.LongType()),
+    T.StructField("committed_at", T.TimestampType()), T.StructField("status", T.StringType()),
+    T.StructField("error_type", T.StringType()), T.StructField("redacted_error", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
 ])
 REJECTS = T.StructType([
     T.StructField("line_no", T.LongType()), T.StructField("status", T.StringType()),
@@ -78,7 +80,8 @@ def _committed(spark: SparkSession, root: str, name: str, schema: T.StructType)
     df, led = _table(spark, root, name, schema), ledger(spark, root)
     if df is None or led is None:
         return None
-    return df.join(led.select("batch_id"), "batch_id", "left_semi")
+    ok = led.where(F.col("status") == "success").select("batch_id")
+    return df.join(ok, "batch_id", "left_semi")
 
 
 def read_jobs(spark: SparkSession, root: str) -> DataFrame | None:
@@ -156,7 +159,7 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     existing = None
     jobs_all = _table(spark, root, "jobs", STORE_JOBS)
     if jobs_all is not None and led is not None:
-        done = led.where(F.col("batch_id") != batch_id).select("batch_id")
+        done = led.where((F.col("batch_id") != batch_id) & (F.col("status") == "success")).select("batch_id")
         existing = jobs_all.join(done, "batch_id", "left_semi")
     valid = checked.where(F.col("status") == "valid")
     new = plan_new_records(valid, existing, clock, candidate_bound=int(stats["seen"]))
@@ -173,11 +176,28 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(f"{root}/job_skills"))
     seen = int(stats["seen"])
-    row = (seen, inserted, seen - inserted, int(stats["rejected"]), source_query, input_path, clock, batch_id)
+    row = (seen, inserted, seen - inserted, int(stats["rejected"]), source_query, input_path, clock,
+           "success", None, None, batch_id)
+    write_ledger_row(spark, root, row)
+    return ledger(spark, root).where(F.col("batch_id") == batch_id)
+
+
+def write_ledger_row(spark: SparkSession, root: str, row: tuple) -> None:
+    """One ledger row per batch, replacing an earlier attempt of the same batch."""
     (spark.createDataFrame([row], LEDGER).coalesce(1)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(f"{root}/batches"))
-    return ledger(spark, root).where(F.col("batch_id") == batch_id)
+
+
+def record_failed_batch(spark: SparkSession, root: str, batch_id: int, error: BaseException,
+                        clock: dt.datetime | None = None, source_query: str | None = None) -> None:
+    """K4: a failed batch leaves zero counters, its error type and a redacted message;
+    nothing of it becomes visible (its data partitions, if any, are never committed)."""
+    from recordlake.functions.redact import redact
+
+    msg = spark.range(1).select(redact(F.lit(str(error))).alias("m")).first()["m"]
+    row = (0, 0, 0, 0, source_query, None, second_clock(clock), "failed", type(error).__name__, msg, batch_id)
+    write_ledger_row(spark, root, row)
 
 
 def ingest_jsonl(spark: SparkSession, root: str, path: str | list[str], batch_id: int, *,

@@ -487,3 +487,43 @@ def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
         S.write_table(adapters.command_events(ev), root, "command_events")
     return S.readiness_table(spark, {"missing": f"{base}/missing", "partial": partial, "full": full,
                                      "newer": newer})
+
+
+# ----------------------------------------------------------------- streaming
+
+from recordlake.streaming import ingest_stream as R  # noqa: E402
+
+
+def _stream_store(spark: SparkSession, sf: str) -> str:
+    """Two one-shot stream runs over one landing folder: sources src0–9 land
+    first, src10–19 later; a third run finds nothing new."""
+    root = scratch_dir(spark, "stream")
+    landing, ckpt = f"{root}/landing", f"{root}/_checkpoints/ingest"
+    docs = adapters.table(spark, sf, "documents")
+    for first in (True, False):
+        adapters.write_raw_records(spark, adapters.source_half(docs, first), landing, mode="append")
+        R.run_ingest_once(spark, landing, f"{root}/store", ckpt, clock=BATCH_CLOCK)
+    R.run_ingest_once(spark, landing, f"{root}/store", ckpt, clock=BATCH_CLOCK)
+    return f"{root}/store"
+
+
+@register("stream_insert_if_new")
+def q_stream_insert_if_new(spark: SparkSession, sf: str) -> DataFrame:
+    store = _stream_store(spark, sf)
+    return ingest.read_jobs(spark, store).select("job_id", "batch_id", "ord", "raw_id")
+
+
+@register("stream_ledger")
+def q_stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    store = _stream_store(spark, sf)
+    return ingest.ledger(spark, store).select(*LEDGER_COLS)
+
+
+@register("stream_command_state")
+def q_stream_command_state(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_dir(spark, "cmdstream")
+    landing = f"{root}/landing"
+    adapters.command_events(_events(spark, sf)).write.mode("overwrite").json(landing)
+    q = R.start_command_stream(spark, landing, f"{root}/store", f"{root}/_checkpoints/commands")
+    q.awaitTermination()
+    return C.command_state(R.read_command_log(spark, f"{root}/store")).select(*CMD_COLS)

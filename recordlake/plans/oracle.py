@@ -543,3 +543,18 @@ SELECT coalesce((SELECT status FROM latest), 'empty') AS status, (SELECT run_id
        (SELECT t FROM rr) AS recent_runs, (SELECT t FROM rs) AS recent_results,
        (SELECT t FROM rc) AS recent_commands, (SELECT t FROM kv) AS config""",
 })
+
+
+# ----------------------------------------------------------------- streaming
+
+ORACLE.update({
+    "stream_insert_if_new": ORACLE["two_batch_first_wins"],
+    "stream_ledger": f"""{BATCHES},
+seen AS (SELECT batch_id, count(*) AS seen FROM allv GROUP BY batch_id),
+ins AS (SELECT batch_id, count(*) AS inserted FROM win GROUP BY batch_id),
+rej AS (SELECT batch_id, count(*) AS rejected FROM allr WHERE fault = 'malformed' OR reason IS NOT NULL GROUP BY batch_id)
+SELECT s.batch_id, s.seen, coalesce(i.inserted, 0) AS inserted, s.seen - coalesce(i.inserted, 0) AS skipped,
+       coalesce(j.rejected, 0) AS rejected
+  FROM seen s LEFT JOIN ins i USING (batch_id) LEFT JOIN rej j USING (batch_id)""",
+    "stream_command_state": ORACLE["command_state"],
+})

@@ -141,11 +141,12 @@ def raw_record_rows(documents: DataFrame, source: str = DEFAULT_SOURCE,
     return records.unionByName(blanks)
 
 
-def write_raw_records(spark: SparkSession, documents: DataFrame, path: str, parts: int = 4) -> str:
+def write_raw_records(spark: SparkSession, documents: DataFrame, path: str, parts: int = 4,
+                      mode: str = "overwrite") -> str:
     """Land the raw JSON lines as text files whose path order is line order."""
     from recordlake.sources.jsonl import write_lines
 
-    return write_lines(raw_record_rows(documents), path, "ord", parts=parts)
+    return write_lines(raw_record_rows(documents), path, "ord", parts=parts, mode=mode)
 
 
 def source_half(documents: DataFrame, first: bool) -> DataFrame:

@@ -28,19 +28,23 @@ class InputPathError(ValueError):
     """Missing or unreadable input path (usage error)."""
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file_path, line_no, line)`` for every physical line of the input."""
+def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(line, file_path, block_start)`` rows of text files (S7: path, folder or glob)."""
     configure(spark)
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
         if "*" not in p and not path_exists(spark, p):
             raise InputPathError("input path is missing or unreadable")
-    raw = spark.read.text(paths).select(
+    return spark.read.text(paths).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("_rid"),
     )
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """``(file_path, line_no, line)`` from ``(line, file_path, block_start)`` rows of one scan."""
+    raw = raw.withColumn("_rid", F.monotonically_increasing_id())
     splits = raw.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0")
     )
@@ -58,7 +62,13 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def write_lines(df: DataFrame, path: str, order_col: str, column: str = "line", parts: int | None = None) -> str:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file_path, line_no, line)`` for every physical line of the input."""
+    return number_lines(scan_lines(spark, path))
+
+
+def write_lines(df: DataFrame, path: str, order_col: str, column: str = "line", parts: int | None = None,
+                mode: str = "overwrite") -> str:
     """Write one text line per row, files in ``order_col`` order (range-partitioned,
     sorted within each file) so that path order is stream order."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -66,7 +76,7 @@ def write_lines(df: DataFrame, path: str, order_col: str, column: str = "line",
         df.repartitionByRange(n, order_col)
         .sortWithinPartitions(order_col)
         .select(column)
-        .write.mode("overwrite")
+        .write.mode(mode)
         .text(path)
     )
     return path
