@@ -214,6 +214,13 @@ def q_ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.ledger(spark, root).select(*LEDGER_COLS)
 
 
+@register("ingest_skill_frequency")
+def q_ingest_skill_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: raw JSON lines → validate → first-write-wins append → skill frequency of the store."""
+    root = _single_batch_store(spark, sf)
+    return analytics.skill_frequency(ingest.read_job_skills(spark, root))
+
+
 @register("new_jobs")
 def q_new_jobs(spark: SparkSession, sf: str) -> DataFrame:
     root = _single_batch_store(spark, sf)

@@ -200,6 +200,9 @@ SELECT rid AS job_id, '{SOURCE}' AS source, title_s AS title, desc_s AS descript
        cks.skills, NULL::VARCHAR AS posted_at, NULL::VARCHAR AS job_type, NULL::VARCHAR AS contractor_tier,
        hourly_min, NULL::DOUBLE AS hourly_max, fixed_amount, CAST(doc_id AS VARCHAR) AS raw_id
   FROM w JOIN cks USING (line_no)""",
+    "ingest_skill_frequency": f"""{RAW},
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY line_no) AS rn FROM v) x WHERE rn = 1)
+SELECT ck.skill, count(*) AS count FROM w JOIN ck USING (line_no) GROUP BY ck.skill ORDER BY count DESC, skill""",
     "new_job_skills": f"""{RAW},
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY line_no) AS rn FROM v) x WHERE rn = 1)
 SELECT w.rid AS job_id, ck.skill FROM w JOIN ck USING (line_no)""",
