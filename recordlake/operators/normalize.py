@@ -74,9 +74,14 @@ def skills_of(raw: Column) -> Column:
     return F.coalesce(F.filter(names, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
-def result_fields(r: Column, source: str = DEFAULT_SOURCE, url_prefix: str = DEFAULT_URL_PREFIX) -> dict[str, Column]:
-    """N5–N11 for one result object: the record fields plus ``error``."""
-    job = _job(r)
+def result_fields(r: Column, source: str = DEFAULT_SOURCE, url_prefix: str = DEFAULT_URL_PREFIX,
+                  job: Column | None = None) -> dict[str, Column]:
+    """N5–N11 for one result object: the record fields plus ``error``.
+
+    ``job`` may be passed as an already computed column (see ``records``) so the
+    job-object resolution is evaluated once per row rather than in every field.
+    """
+    job = _job(r) if job is None else job
     raw_id = F.coalesce(first_text(r, "$.id", "$.uid"), first_text(job, "$.id"))
     cipher = F.coalesce(first_text(r, "$.cipherText", "$.ciphertext"), first_text(job, "$.cipherText", "$.ciphertext"))
     decimal = F.coalesce(raw_id.rlike(r"^\p{Nd}+$"), F.lit(False))
@@ -175,8 +180,9 @@ def records(normalized: DataFrame, keys: list[str], source: str = DEFAULT_SOURCE
             url_prefix: str = DEFAULT_URL_PREFIX) -> DataFrame:
     """Accepted responses → one normalised record per result, with ``pos`` (0-based)."""
     ok = normalized.where(F.col("status") == "ok").select(*keys, F.posexplode("_results").alias("pos", "_r"))
-    f = result_fields(F.col("_r"), source, url_prefix)
-    return ok.select(*keys, "pos", *[f[k].alias(k) for k in f if k != "error"])
+    staged = ok.select(*keys, "pos", "_r", _job(F.col("_r")).alias("_job"))
+    f = result_fields(F.col("_r"), source, url_prefix, job=F.col("_job"))
+    return staged.select(*keys, "pos", *[f[k].alias(k) for k in f if k != "error"])
 
 
 def rejects(normalized: DataFrame, keys: list[str]) -> DataFrame:

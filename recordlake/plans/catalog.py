@@ -534,3 +534,29 @@ def q_stream_command_state(spark: SparkSession, sf: str) -> DataFrame:
     q = R.start_command_stream(spark, landing, f"{root}/store", f"{root}/_checkpoints/commands")
     q.awaitTermination()
     return C.command_state(R.read_command_log(spark, f"{root}/store")).select(*CMD_COLS)
+
+
+# ---------------------------------------------------------- scheduled run
+
+from recordlake.plans import scheduled as SCH  # noqa: E402
+
+
+def _scheduled_store(spark: SparkSession, sf: str) -> str:
+    root = scratch_dir(spark, "sched")
+    queries = adapters.land_query_pages(spark, adapters.table(spark, sf, "conversations"), f"{root}/landing")
+    SCH.run_collection(spark, f"{root}/store", f"{root}/landing", queries, run_id="run-0001",
+                       clock=BATCH_CLOCK, raise_on_failure=False)
+    return f"{root}/store"
+
+
+@register("scheduled_run_results")
+def q_scheduled_run_results(spark: SparkSession, sf: str) -> DataFrame:
+    ev, res = SCH.read_runs(spark, _scheduled_store(spark, sf))
+    return L.result_rows(res).select("id", "query", "status", "seen_count", "inserted_count", "skipped_count",
+                                     "error_type", "redacted_error")
+
+
+@register("scheduled_run_state")
+def q_scheduled_run_state(spark: SparkSession, sf: str) -> DataFrame:
+    ev, res = SCH.read_runs(spark, _scheduled_store(spark, sf))
+    return L.runs(ev, res)

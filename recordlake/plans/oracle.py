@@ -561,3 +561,27 @@ SELECT s.batch_id, s.seen, coalesce(i.inserted, 0) AS inserted, s.seen - coalesc
   FROM seen s LEFT JOIN ins i USING (batch_id) LEFT JOIN rej j USING (batch_id)""",
     "stream_command_state": ORACLE["command_state"],
 })
+
+
+# ---------------------------------------------------------- scheduled run
+
+SCHED = """WITH t AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+q AS (
+  SELECT 0 AS id, 'q_even' AS query, (SELECT sum(n) FROM t WHERE conv_id % 2 = 0) AS seen,
+         (SELECT sum(n) FROM t WHERE conv_id % 2 = 0) AS inserted
+  UNION ALL SELECT 1, 'q_odd', (SELECT sum(n) FROM t WHERE conv_id % 2 = 1), (SELECT sum(n) FROM t WHERE conv_id % 2 = 1)
+  UNION ALL SELECT 2, 'q_again', (SELECT sum(n) FROM t), 0)"""
+
+ORACLE.update({
+    "scheduled_run_results": SCHED + """
+SELECT CAST(id AS BIGINT) AS id, query, 'success' AS status, CAST(seen AS BIGINT) AS seen_count,
+       CAST(inserted AS BIGINT) AS inserted_count, CAST(seen - inserted AS BIGINT) AS skipped_count,
+       NULL::VARCHAR AS error_type, NULL::VARCHAR AS redacted_error FROM q
+UNION ALL SELECT 3, 'q_missing', 'failed', 0, 0, 0, 'CollectorError', 'live collection returned zero jobs'""",
+    "scheduled_run_state": SCHED + """
+SELECT 'run-0001' AS run_id, '2024-01-01T00:00:00Z' AS started_at, '2024-01-01T00:00:00Z' AS finished_at,
+       CAST(0 AS BIGINT) AS duration_seconds, 'failed' AS status, 'scheduled' AS trigger, CAST(4 AS BIGINT) AS query_count,
+       CAST((SELECT sum(seen) FROM q) AS BIGINT) AS total_seen, CAST((SELECT sum(inserted) FROM q) AS BIGINT) AS total_inserted,
+       CAST((SELECT sum(seen - inserted) FROM q) AS BIGINT) AS total_skipped,
+       'CollectorError' AS error_type, 'live collection returned zero jobs' AS redacted_error""",
+})

@@ -225,7 +225,8 @@ def response_result_json(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", obj.alias("result"))
 
 
-def response_rows(conversations: DataFrame, path: str = "$.data.search.universalSearchNuxt.visitorJobSearchV1.results") -> DataFrame:
+def response_rows(conversations: DataFrame, path: str = "$.data.search.universalSearchNuxt.visitorJobSearchV1.results",
+                  faults: bool = True) -> DataFrame:
     """``(ord, line)``: one response envelope per (conversation, page of 50 turns).
 
     Faults per ``ENVELOPE_FAULTS``: an ``errors`` envelope, a missing results
@@ -234,7 +235,7 @@ def response_rows(conversations: DataFrame, path: str = "$.data.search.universal
     """
     c = F.col("conv_id")
     fault = F.lit(None).cast("string")
-    for div, name in reversed(ENVELOPE_FAULTS):
+    for div, name in (reversed(ENVELOPE_FAULTS) if faults else ()):
         fault = F.when(c % div == 0, F.lit(name)).otherwise(fault)
     pages = (
         response_result_json(conversations)
@@ -266,10 +267,23 @@ def response_rows(conversations: DataFrame, path: str = "$.data.search.universal
     return pages.select((c * 1000 + F.col("page")).alias("ord"), body.alias("line"))
 
 
-def write_responses(spark: SparkSession, conversations: DataFrame, path: str, parts: int = 4) -> str:
+def write_responses(spark: SparkSession, conversations: DataFrame, path: str, parts: int = 4,
+                    faults: bool = True) -> str:
     from recordlake.sources.jsonl import write_lines
 
-    return write_lines(response_rows(conversations), path, "ord", parts=parts)
+    return write_lines(response_rows(conversations, faults=faults), path, "ord", parts=parts)
+
+
+def land_query_pages(spark: SparkSession, conversations: DataFrame, landing: str) -> list[str]:
+    """Landing folders for a scheduled run: ``q_even`` / ``q_odd`` hold the clean
+    envelopes of even / odd conversations, ``q_again`` all of them once more
+    (a re-fetch, so every record is a duplicate); ``q_missing`` is configured
+    but never landed."""
+    parity = F.col("conv_id") % 2
+    write_responses(spark, conversations.where(parity == 0), f"{landing}/query=q_even", faults=False)
+    write_responses(spark, conversations.where(parity == 1), f"{landing}/query=q_odd", faults=False)
+    write_responses(spark, conversations, f"{landing}/query=q_again", faults=False)
+    return ["q_even", "q_odd", "q_again", "q_missing"]
 
 
 # ------------------------------------------------------------- event logs
