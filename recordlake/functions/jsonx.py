@@ -96,3 +96,15 @@ def variant_array(v: Column, path: str) -> Column:
 def object_keys_in_order(text: Column | str) -> Column:
     """Top-level keys in text order (duplicates kept), NULL if not an object."""
     return F.json_object_keys(_col(text))
+
+
+def evaluate_once(df, keep: list[str], named: dict[str, Column]):
+    """Project ``named`` expressions as generator output (``inline`` of a
+    one-element array of structs).
+
+    A filter on a generated column cannot be pushed below the generator, so
+    Catalyst never copies these (expensive, parse-heavy) expressions into pushed
+    down predicates or join conditions: each is evaluated once per row.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in named.items()]))
+    return df.select(*keep, F.inline(packed))

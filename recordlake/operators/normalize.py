@@ -133,11 +133,15 @@ def _truthy(e: Column) -> Column:
 
 
 def audit(responses: DataFrame, body: str = "body", path: str = RESULTS_PATH) -> DataFrame:
-    """Classify each response; adds ``audit_class``, ``audit_error`` and ``_results``."""
-    text = py_strip(F.col(body))
-    staged = responses.withColumn("_v", J.parse(text)).withColumn("_ok_text", F.col(body).isNotNull())
-    v = F.col("_v")
-    res = F.try_variant_get(v, path, "variant")
+    """Classify each response; adds ``audit_class``, ``audit_error`` and ``_results``.
+
+    The parse and the result-list lookup are computed once per response; the
+    verdict is generator output so later filters cannot copy the parse.
+    """
+    base = list(responses.columns)
+    staged = responses.select(*base, J.parse(py_strip(F.col(body))).alias("_v"))
+    staged = staged.select(*base, "_v", F.try_variant_get(F.col("_v"), path, "variant").alias("_res"))
+    v, res = F.col("_v"), F.col("_res")
     arr = F.when(J.is_array(res), F.try_variant_get(res, "$", "array<variant>"))
     bad_item = F.exists(arr, lambda e: ~J.is_object(e))
     cls = (
@@ -153,11 +157,12 @@ def audit(responses: DataFrame, body: str = "body", path: str = RESULTS_PATH) ->
         "invalid_json": ERR_INVALID_JSON, "not_object": ERR_NOT_OBJECT, "errors_present": ERR_ERRORS,
         "path_missing": ERR_PATH, "not_list": ERR_NOT_LIST, "item_not_object": ERR_ITEM,
     }
+    out = J.evaluate_once(staged, base, {"audit_class": cls, "_arr": arr})
     err = F.lit(None).cast("string")
     for k, m in reversed(list(msg.items())):
         err = F.when(F.col("audit_class") == k, F.lit(m)).otherwise(err)
-    out = staged.withColumn("audit_class", cls).withColumn("audit_error", err)
-    return out.withColumn("_results", F.when(F.col("audit_class") == "ok", arr)).drop("_v", "_ok_text")
+    return out.select(*base, "audit_class", err.alias("audit_error"),
+                      F.when(F.col("audit_class") == "ok", F.col("_arr")).alias("_results"))
 
 
 def normalize(responses: DataFrame, body: str = "body", source: str = DEFAULT_SOURCE,
@@ -171,9 +176,9 @@ def normalize(responses: DataFrame, body: str = "body", source: str = DEFAULT_SO
         F.lit(1),
     )
     err = F.coalesce(F.col("audit_error"), first_bad)
-    return a.withColumn("error", err).withColumn(
-        "status", F.when(F.col("error").isNull(), "ok").otherwise("rejected")
-    )
+    keep = [c for c in a.columns]
+    out = J.evaluate_once(a, keep, {"error": err})
+    return out.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("rejected"))
 
 
 def records(normalized: DataFrame, keys: list[str], source: str = DEFAULT_SOURCE,

@@ -65,10 +65,16 @@ def canonical_payload(v: Column) -> Column:
 
 
 def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
-    """Classify every line and project the typed record of the valid ones."""
-    parsed = lines.select("*", py_strip(F.col("line")).alias("_t")).withColumn("_v", J.parse(F.col("_t")))
-    text, v = F.col("_t"), F.col("_v")
-    keys = J.object_keys_in_order(text)
+    """Classify every line and project the typed record of the valid ones.
+
+    The stripped text, its parse, its key list and its skills array are
+    computed once per line; the verdict (status/reason/message) is produced as
+    generator output so filters on it stay above the parse.
+    """
+    base = list(lines.columns)
+    t0 = lines.select(*base, py_strip(F.col("line")).alias("_t"))
+    t1 = t0.select(*base, "_t", J.parse(F.col("_t")).alias("_v"), J.object_keys_in_order(F.col("_t")).alias("_keys"))
+    text, v, keys = F.col("_t"), F.col("_v"), F.col("_keys")
     private = F.try_element_at(
         F.filter(keys, lambda k: F.lower(py_strip(k)).isin(*PRIVATE_FIELD_NAMES)), F.lit(1)
     )
@@ -113,9 +119,9 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
         .when(~blank & reason.isNotNull(),
               F.concat(F.lit("invalid collector record at line "), line_no, F.lit(": "), reason))
     )
-    staged = parsed.select(
-        "*", status.alias("status"), F.when(~blank & ~malformed, reason).alias("reason"), message.alias("message"),
-    )
+    verdict = J.evaluate_once(t1, [*base, "_v"], {
+        "status": status, "reason": F.when(~blank & ~malformed, reason), "message": message,
+    })
     vv = F.col("_v")
     valid = F.col("status") == "valid"
     canon = canonical_payload(vv)
@@ -132,7 +138,7 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
         F.when(valid, canon).alias("payload_json"),
         F.when(valid, F.sha2(canon, 256)).alias("content_hash"),
     ]
-    return staged.select(*[c for c in lines.columns], "status", "reason", "message", *record)
+    return verdict.select(*base, "status", "reason", "message", *record)
 
 
 def first_failure(checked: DataFrame) -> DataFrame:
