@@ -486,7 +486,7 @@ def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
     partial, full, newer = f"{base}/partial", f"{base}/full", f"{base}/newer"
     for root in (partial, full, newer):
         ingest.ingest_jsonl(spark, root, _landed(spark, sf, root=root), 1, clock=BATCH_CLOCK, mode="quarantine")
-        S.init_store(spark, root, 2 if root == newer else 1)
+        S.init_store(spark, root, 2 if root == newer else 1, tables=False)
     for root in (full, newer):
         S.write_table(adapters.run_events(ev), root, "run_events")
         S.write_table(adapters.run_results(ev), root, "run_results")
@@ -560,3 +560,34 @@ def q_scheduled_run_results(spark: SparkSession, sf: str) -> DataFrame:
 def q_scheduled_run_state(spark: SparkSession, sf: str) -> DataFrame:
     ev, res = SCH.read_runs(spark, _scheduled_store(spark, sf))
     return L.runs(ev, res)
+
+
+# ------------------------------------------------ whole-file responses, S8
+
+from recordlake.sources.jsonl import read_whole_files  # noqa: E402
+
+
+@register("fixture_audit")
+def q_fixture_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every envelope landed as its own JSON file, read whole and audited."""
+    root = scratch_dir(spark, "fixtures")
+    rows = adapters.response_rows(adapters.table(spark, sf, "conversations"))
+    rows.select((F.col("ord") / 1000).cast("long").alias("conv_id"), F.col("line").alias("value")) \
+        .write.partitionBy("conv_id").text(f"{root}/files")
+    norm = N.normalize(read_whole_files(spark, f"{root}/files"))
+    return norm.select(F.regexp_extract("file_path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"),
+                       "audit_class", "error")
+
+
+@register("recent_envelope")
+def q_recent_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    jobs, skills = adapters.jobs_store(spark, sf)
+    env = reads.envelope(reads.recent(jobs, skills, limit=20))
+    return env.select("ok", "status", F.size("rows").alias("n_rows"))
+
+
+@register("get_missing_envelope")
+def q_get_missing_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    jobs, skills = adapters.jobs_store(spark, sf)
+    env = reads.get_envelope(reads.get(jobs, skills, "no-such-job"), "no-such-job")
+    return env.select("ok", "error", "job_id")

@@ -585,3 +585,14 @@ SELECT 'run-0001' AS run_id, '2024-01-01T00:00:00Z' AS started_at, '2024-01-01T0
        CAST((SELECT sum(seen - inserted) FROM q) AS BIGINT) AS total_skipped,
        'CollectorError' AS error_type, 'live collection returned zero jobs' AS redacted_error""",
 })
+
+
+# ------------------------------------------------ whole-file responses, S8
+
+ORACLE.update({
+    "fixture_audit": f"""{ENV}
+SELECT a.conv_id, a.audit_class, r.error FROM aud a JOIN rerr r USING (line_no)""",
+    "recent_envelope": "SELECT true AS ok, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS status, "
+                       "CAST(least(count(*), 20) AS INTEGER) AS n_rows FROM orders",
+    "get_missing_envelope": "SELECT false AS ok, 'not_found' AS error, 'no-such-job' AS job_id",
+})

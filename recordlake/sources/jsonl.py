@@ -80,3 +80,14 @@ def write_lines(df: DataFrame, path: str, order_col: str, column: str = "line",
         .text(path)
     )
     return path
+
+
+def read_whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per file, ``(file_path, body)`` — each file is one JSON document."""
+    configure(spark)
+    paths = [path] if isinstance(path, str) else list(path)
+    for p in paths:
+        if "*" not in p and not path_exists(spark, p):
+            raise InputPathError("fixture path is missing or unreadable")
+    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(paths).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body"))

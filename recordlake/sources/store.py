@@ -19,9 +19,22 @@ CONTROL_TABLES = {"config_events", "command_events"}
 META = T.StructType([T.StructField("schema_version", T.IntegerType())])
 
 
-def init_store(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) -> None:
-    """Create the version marker (idempotent overwrite of one row)."""
+def _table_schemas() -> dict[str, T.StructType]:
+    from recordlake.operators.ingest import STORE_JOBS, STORE_SKILLS
+    from recordlake.schemas import COMMAND_EVENTS, CONFIG_EVENTS, RUN_EVENTS, RUN_RESULTS
+
+    return {"jobs": STORE_JOBS, "job_skills": STORE_SKILLS, "run_events": RUN_EVENTS, "run_results": RUN_RESULTS,
+            "config_events": CONFIG_EVENTS, "command_events": COMMAND_EVENTS}
+
+
+def init_store(spark: SparkSession, root: str, version: int = SCHEMA_VERSION, tables: bool = True) -> None:
+    """Write the version marker and create every missing table empty (idempotent)."""
     spark.createDataFrame([(version,)], META).coalesce(1).write.mode("overwrite").parquet(f"{root}/_meta")
+    if not tables:
+        return
+    for name, schema in _table_schemas().items():
+        if not path_exists(spark, f"{root}/{name}"):
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
