@@ -145,6 +145,13 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
         raise ValueError("mode must be 'strict' or 'quarantine'")
     configure(spark)
     clock = second_clock(clock)
+    # Parse once: the validated batch is written to a staging table under the
+    # store and every later step (stats, rejects, first-wins) reads that
+    # columnar copy instead of re-parsing the input.
+    staging = f"{root}/_staging/batch_id={batch_id}"
+    keep = ["line_no", "ord", "status", "reason", "message", *RECORD_OUT, "content_hash"]
+    checked.select(*keep).write.mode("overwrite").parquet(staging)
+    checked = spark.read.parquet(staging)
     stats = first_failure(checked).first()
     if mode == "strict" and stats["first_error"] is not None:
         raise RecordValidationError(stats["first_error"])
