@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.functions.redact import redact, redacted_short
+from recordlake.functions.redact import redact
+from recordlake.functions.text import truncate_message
 
 # Response classes, the error each one raises and its exit code.
 ERROR_TYPE = {
@@ -110,10 +111,11 @@ def attempt_rollup(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 def redacted_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Q9/X16 over whole texts: changed flag, digest of the redacted text, short diagnostic."""
-    r = redact(text)
-    return docs.select(
+    staged = docs.select(key, text, redact(text).alias("_r"))
+    r = F.col("_r")
+    return staged.select(
         key,
         (r != F.col(text)).alias("changed"),
         F.sha2(r, 256).alias("redacted_sha256"),
-        redacted_short(text).alias("short_message"),
+        truncate_message(r).alias("short_message"),
     )

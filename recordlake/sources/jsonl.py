@@ -42,8 +42,37 @@ def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def number_lines(raw: DataFrame) -> DataFrame:
-    """``(file_path, line_no, line)`` from ``(line, file_path, block_start)`` rows of one scan."""
+def _bytes(text: str) -> int:
+    t = str(text).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
+    return int(float(t[:-1] if t[-1:] in "kmgt" and t[-1:] else t) * mult)
+
+
+def split_bound(spark: SparkSession, paths: list[str]) -> int | None:
+    """Upper bound on the number of input splits, from file-system metadata only
+    (total bytes / split size + file count); None for globs."""
+    if any("*" in p for p in paths):
+        return None
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    # Splits are never smaller than min(maxPartitionBytes, openCostInBytes).
+    split = min(_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")),
+                _bytes(spark.conf.get("spark.sql.files.openCostInBytes", "4m")))
+    total, files = 0, 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        summary = hp.getFileSystem(conf).getContentSummary(hp)
+        total += int(summary.getLength())
+        files += int(summary.getFileCount())
+    return total // max(split, 1) + files + 1
+
+
+def number_lines(raw: DataFrame, bound: int | None = None) -> DataFrame:
+    """``(file_path, line_no, line)`` from ``(line, file_path, block_start)`` rows of one scan.
+
+    ``bound`` is a known upper bound on the number of splits; without one the
+    split table is counted before deciding to broadcast it.
+    """
     raw = raw.withColumn("_rid", F.monotonically_increasing_id())
     splits = raw.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0")
@@ -53,7 +82,7 @@ def number_lines(raw: DataFrame) -> DataFrame:
         "file_path", "block_start", "_rid0",
         F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"),
     )
-    n_splits = offsets.count()
+    n_splits = bound if bound is not None else offsets.count()
     side = F.broadcast(offsets) if n_splits <= MAX_BROADCAST_SPLITS else offsets
     return raw.join(side, ["file_path", "block_start"]).select(
         "file_path",
@@ -64,7 +93,9 @@ def number_lines(raw: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file_path, line_no, line)`` for every physical line of the input."""
-    return number_lines(scan_lines(spark, path))
+    paths = [path] if isinstance(path, str) else list(path)
+    raw = scan_lines(spark, paths)
+    return number_lines(raw, split_bound(spark, paths))
 
 
 def write_lines(df: DataFrame, path: str, order_col: str, column: str = "line", parts: int | None = None,
