@@ -172,6 +172,7 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     new = plan_new_records(valid, existing, clock, candidate_bound=int(stats["seen"]))
     (new.withColumn("batch_id", bid).sortWithinPartitions("job_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("parquet.bloom.filter.enabled#job_id", "true")
      .partitionBy("batch_id").parquet(f"{root}/jobs"))
 
     part = f"{root}/jobs/batch_id={batch_id}"
@@ -180,7 +181,9 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
         written = spark.read.schema(T.StructType(STORE_JOBS.fields[:-1])).parquet(part)
         inserted = written.count()
         (written.select("job_id", F.explode("skills").alias("skill"), bid.alias("batch_id"))
+         .sortWithinPartitions("job_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("parquet.bloom.filter.enabled#job_id", "true")
          .partitionBy("batch_id").parquet(f"{root}/job_skills"))
     seen = int(stats["seen"])
     row = (seen, inserted, seen - inserted, int(stats["rejected"]), source_query, input_path, clock,
