@@ -112,9 +112,9 @@ d0 AS (
          substr(sha256(text), 1, 16) AS rid
     FROM documents {where}),
 d AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id)
+  SELECT *, CAST(row_number() OVER (ORDER BY doc_id)
             + coalesce(sum(CASE WHEN doc_id % 43 = 0 THEN 1 ELSE 0 END)
-                 OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no,
+                 OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no,
          regexp_replace(CASE WHEN fault = 'title' THEN '   ' ELSE '  ' || left(text, 40) END, {WS}, '', 'g') AS title_s,
          regexp_replace(text, {WS}, '', 'g') AS desc_s,
          CASE WHEN n_chars % 3 = 1 THEN CAST(n_chars % 100 AS DOUBLE) END AS hourly_min,
@@ -137,7 +137,7 @@ ck0 AS (
   SELECT line_no, i, lower(regexp_replace(regexp_replace(l[i], '\s+', ' ', 'g'), {WS}, '', 'g')) AS skill
     FROM (SELECT line_no, [lang, ' ' || source || '  x ', upper(lang)] AS l FROM v) s, range(1, 4) t(i)),
 ck AS (
-  SELECT line_no, skill, row_number() OVER (PARTITION BY line_no ORDER BY i) AS pos
+  SELECT line_no, skill, CAST(row_number() OVER (PARTITION BY line_no ORDER BY i) AS INTEGER) AS pos
     FROM (SELECT *, min(i) OVER (PARTITION BY line_no, skill) AS first_i FROM ck0 WHERE skill <> '') x
    WHERE i = first_i),
 cks AS (SELECT line_no, string_agg(skill, ',' ORDER BY pos) AS skills FROM ck GROUP BY line_no)"""
@@ -149,8 +149,8 @@ def _batches() -> str:
     half2 = "WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) >= 10"
     return (
         "WITH " + _rename(_raw(half1), "b1_") + ",\n" + _rename(_raw(half2), "b2_") + """,
-allv AS (SELECT 1 AS batch_id, * FROM b1_v UNION ALL SELECT 2 AS batch_id, * FROM b2_v),
-allr AS (SELECT 1 AS batch_id, * FROM b1_r UNION ALL SELECT 2 AS batch_id, * FROM b2_r),
+allv AS (SELECT CAST(1 AS BIGINT) AS batch_id, * FROM b1_v UNION ALL SELECT CAST(2 AS BIGINT) AS batch_id, * FROM b2_v),
+allr AS (SELECT CAST(1 AS BIGINT) AS batch_id, * FROM b1_r UNION ALL SELECT CAST(2 AS BIGINT) AS batch_id, * FROM b2_r),
 win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY batch_id, line_no) AS rn FROM allv) x
          WHERE rn = 1)"""
     )
@@ -191,7 +191,7 @@ SELECT line_no, sha256(to_json({{
   'title': '  ' || left(text, 40), 'url': '{URL_PREFIX}' || rid}})) AS content_hash
   FROM v""",
     "ingest_counters": f"""{RAW}
-SELECT 1 AS batch_id, (SELECT count(*) FROM v) AS seen, (SELECT count(DISTINCT rid) FROM v) AS inserted,
+SELECT CAST(1 AS BIGINT) AS batch_id, (SELECT count(*) FROM v) AS seen, (SELECT count(DISTINCT rid) FROM v) AS inserted,
        (SELECT count(*) FROM v) - (SELECT count(DISTINCT rid) FROM v) AS skipped,
        (SELECT count(*) FROM r WHERE fault = 'malformed' OR reason IS NOT NULL) AS rejected""",
     "new_jobs": f"""{RAW},
@@ -250,7 +250,7 @@ aud AS (
     FROM resp),
 t AS (
   SELECT a.line_no, a.audit_class, a.fault, a.n, cv.conv_id, cv.turn, cv.role, cv.text,
-         row_number() OVER (PARTITION BY a.line_no ORDER BY cv.turn) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY a.line_no ORDER BY cv.turn) - 1 AS INTEGER) AS pos,
          CAST(cv.conv_id * 1000 + cv.turn AS VARCHAR) AS idtxt,
          regexp_replace(left(cv.text, 30), {WS}, '', 'g') AS title_s,
          regexp_replace(cv.text, {WS}, '', 'g') AS desc_s
@@ -285,7 +285,7 @@ ORACLE.update({
     "envelope_extract": f"""{ENV}
 SELECT line_no, pos, CASE WHEN turn % 3 IN (0, 1) THEN idtxt END AS top_id FROM t WHERE audit_class = 'ok'
 UNION ALL
-SELECT line_no, n AS pos, CASE WHEN fault = 'non_decimal_id' THEN 'abc' END AS top_id
+SELECT line_no, CAST(n AS INTEGER) AS pos, CASE WHEN fault = 'non_decimal_id' THEN 'abc' END AS top_id
   FROM aud WHERE fault IN ('missing_identity', 'non_decimal_id')""",
     "normalize_records": f"""{ENV}
 SELECT line_no, pos, job_id, source, title, description, url, posted_at, job_type, contractor_tier, raw_id FROM rec""",
@@ -364,9 +364,9 @@ fst AS (
   SELECT run_id, min(ts) AS started, arg_min(trigger, seq) AS trigger FROM ev GROUP BY run_id),
 tot AS (
   SELECT run_id, count(*) AS query_count,
-         coalesce(sum(CASE WHEN status = 'success' THEN seen_count END), 0) AS total_seen,
-         coalesce(sum(CASE WHEN status = 'success' THEN inserted_count END), 0) AS total_inserted,
-         coalesce(sum(CASE WHEN status = 'success' THEN skipped_count END), 0) AS total_skipped
+         CAST(coalesce(sum(CASE WHEN status = 'success' THEN seen_count END), 0) AS BIGINT) AS total_seen,
+         CAST(coalesce(sum(CASE WHEN status = 'success' THEN inserted_count END), 0) AS BIGINT) AS total_inserted,
+         CAST(coalesce(sum(CASE WHEN status = 'success' THEN skipped_count END), 0) AS BIGINT) AS total_skipped
     FROM res GROUP BY run_id),
 runs AS (
   SELECT f.run_id, strftime(f.started, {ISO}) AS started_at,
