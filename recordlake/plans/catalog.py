@@ -8,6 +8,7 @@ by value across engines.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,16 @@ from pyspark.sql import types as T
 
 from recordlake.operators import analytics, reads
 from recordlake.sources import adapters
+from recordlake.operators import control as C, ledger as L, quality as Q
+from recordlake.operators import ingest, validate as V
+from recordlake.operators import normalize as N
+from recordlake.plans import scheduled as SCH
+from recordlake.plans.collection import collection_plan
+from recordlake.session import scratch_dir
+from recordlake.sources import store as S
+from recordlake.sources.jsonl import read_lines
+from recordlake.sources.jsonl import read_whole_files
+from recordlake.streaming import ingest_stream as R
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, QueryFn] = {}
@@ -123,11 +134,6 @@ def q_skills_for_page(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------ JSON lines & ingest
 
-import datetime as _dt  # noqa: E402
-
-from recordlake.operators import ingest, validate as V  # noqa: E402
-from recordlake.session import scratch_dir  # noqa: E402
-from recordlake.sources.jsonl import read_lines  # noqa: E402
 
 BATCH_CLOCK = _dt.datetime(2024, 1, 1, tzinfo=_dt.UTC)
 
@@ -255,8 +261,6 @@ def q_replay_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------- envelopes & normaliser
 
-from recordlake.operators import normalize as N  # noqa: E402
-
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     conv = adapters.table(spark, sf, "conversations")
@@ -318,10 +322,6 @@ def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 # -------------------------------------------------- audit, ledger, control
 
-from recordlake.operators import control as C, ledger as L, quality as Q  # noqa: E402
-from recordlake.plans.collection import collection_plan  # noqa: E402
-from recordlake.sources import store as S  # noqa: E402
-
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.table(spark, sf, "events")
@@ -498,8 +498,6 @@ def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------- streaming
 
-from recordlake.streaming import ingest_stream as R  # noqa: E402
-
 
 def _stream_store(spark: SparkSession, sf: str) -> str:
     """Two one-shot stream runs over one landing folder: sources src0–9 land
@@ -538,8 +536,6 @@ def q_stream_command_state(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------- scheduled run
 
-from recordlake.plans import scheduled as SCH  # noqa: E402
-
 
 def _scheduled_store(spark: SparkSession, sf: str) -> str:
     root = scratch_dir(spark, "sched")
@@ -564,8 +560,6 @@ def q_scheduled_run_state(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------ whole-file responses, S8
 
-from recordlake.sources.jsonl import read_whole_files  # noqa: E402
-
 
 @register("fixture_audit")
 def q_fixture_audit(spark: SparkSession, sf: str) -> DataFrame:

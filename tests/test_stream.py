@@ -36,3 +36,18 @@ def test_strict_stream_records_failed_batch_and_continues(spark, scratch):
     assert led[1] == ("failed", "RecordValidationError", "malformed JSONL at line 2")
     assert led[2][0] == "success"
     assert [r.job_id for r in ingest.read_jobs(spark, store).collect()] == ["id2"]
+
+
+def test_interval_trigger_picks_up_new_files(spark, scratch):
+    """A recurring stream keeps ingesting files as they land."""
+    landing, store, ckpt = f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt"
+    write_text(f"{landing}/a.jsonl", [rec(1)])
+    q = R.start_ingest_stream(spark, landing, store, ckpt, interval="1 second", clock=CLOCK)
+    try:
+        q.processAllAvailable()
+        write_text(f"{landing}/b.jsonl", [rec(1, "dup"), rec(2)])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    jobs = {r.job_id: r.batch_id for r in ingest.read_jobs(spark, store).collect()}
+    assert jobs == {"id1": 1, "id2": 2}
