@@ -412,6 +412,16 @@ def q_command_state(spark: SparkSession, sf: str) -> DataFrame:
     return _commands(spark, sf).select(*CMD_COLS)
 
 
+@register("command_vocabulary")
+def q_command_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return C.command_checks(adapters.command_events(_events(spark, sf)))
+
+
+@register("command_status_one")
+def q_command_status_one(spark: SparkSession, sf: str) -> DataFrame:
+    return C.command_status(_commands(spark, sf), "cmd-000007").select(*CMD_COLS)
+
+
 @register("command_fifo")
 def q_command_fifo(spark: SparkSession, sf: str) -> DataFrame:
     return C.fifo_head(_commands(spark, sf)).select("command_id", "created_at")

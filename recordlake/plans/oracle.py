@@ -596,3 +596,13 @@ SELECT a.conv_id, a.audit_class, r.error FROM aud a JOIN rerr r USING (line_no)"
                        "CAST(least(count(*), 20) AS INTEGER) AS n_rows FROM orders",
     "get_missing_envelope": "SELECT false AS ok, 'not_found' AS error, 'no-such-job' AS job_id",
 })
+
+
+ORACLE.update({
+    "command_vocabulary": f"""{CMDS}
+SELECT command_id, seq, command_type IN ('run_once', 'pause', 'resume', 'update_config') AS type_ok,
+       status IN ('queued', 'running', 'applied', 'failed') AS status_ok FROM ce""",
+    "command_status_one": f"""{CMDS}
+SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by
+  FROM cs WHERE command_id = 'cmd-000007'""",
+})
