@@ -161,6 +161,12 @@ def q_validate_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(F.col("message").isNotNull()).select("line_no", "status", "message")
 
 
+@register("strict_first_error")
+def q_strict_first_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1/Q2: what a strict ingest of the whole input reports before writing anything."""
+    return V.first_failure(_checked(spark, sf))
+
+
 @register("validate_accepted")
 def q_validate_accepted(spark: SparkSession, sf: str) -> DataFrame:
     c = _checked(spark, sf).where(F.col("status") == "valid")

@@ -606,3 +606,14 @@ SELECT command_id, seq, command_type IN ('run_once', 'pause', 'resume', 'update_
 SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by
   FROM cs WHERE command_id = 'cmd-000007'""",
 })
+
+
+ORACLE.update({
+    "strict_first_error": f"""{RAW},
+bad AS (
+  SELECT line_no, CASE WHEN fault = 'malformed' THEN 'malformed JSONL at line ' || line_no
+                       ELSE 'invalid collector record at line ' || line_no || ': ' || reason END AS message
+    FROM r WHERE fault = 'malformed' OR reason IS NOT NULL)
+SELECT (SELECT count(*) FROM v) AS seen, (SELECT count(*) FROM bad) AS rejected,
+       (SELECT arg_min(message, line_no) FROM bad) AS first_error""",
+})
