@@ -183,14 +183,30 @@ def worker_tick(spark: SparkSession, root: str, landing: str, *, run_id: str | N
     collection unless paused. Recurrence is the caller's trigger (e.g. a
     Structured Streaming ``processingTime`` trigger or a job scheduler)."""
     ensure_ready(spark, root)
+    drained = drain_commands(spark, root, clock=clock)
     cfg = {r.key: json.loads(r.value_json) for r in config(spark, root).collect()}
-    if cfg.get("paused"):
-        return {"ok": True, "ran": False, "config": cfg}
-    queries = cfg.get("queries") or None
+    ran = False
     rid = run_id or uuid.uuid4().hex
-    try:
-        SCH.run_collection(spark, root, landing, queries, run_id=rid, trigger=trigger, clock=clock)
-    except Exception as exc:  # noqa: BLE001
-        if not is_expected_failure(spark, root, exc, trigger):
-            raise
-    return {"ok": True, "ran": True, "run_id": rid, "config": cfg}
+    if drained["run_once"] or not cfg.get("paused"):
+        queries = cfg.get("queries") or None
+        trig = "mcp_run_once" if drained["run_once"] else trigger
+        try:
+            SCH.run_collection(spark, root, landing, queries, run_id=rid, trigger=trig, clock=clock)
+        except Exception as exc:  # noqa: BLE001
+            if not is_expected_failure(spark, root, exc, trig):
+                raise
+        ran = True
+    return {"ok": True, "ran": ran, "run_id": rid if ran else None, "config": cfg, **drained}
+
+
+def drain_commands(spark: SparkSession, root: str, clock: dt.datetime | None = None) -> dict:
+    """T5: mark every queued command applied/failed in one append (see ``control.drain_events``)."""
+    log = _log(spark, root, "command_events", COMMAND_EVENTS)
+    events = C.drain_events(C.command_state(log), I.second_clock(clock)).select(*COMMAND_EVENTS.fieldNames())
+    path = f"{root}/_staging/drain-{uuid.uuid4().hex}"
+    events.write.parquet(path)
+    staged = spark.read.schema(COMMAND_EVENTS).parquet(path)
+    counts = staged.agg(F.count(F.lit(1)).alias("n"),
+                        F.count(F.when(F.col("command_type") == "run_once", 1)).alias("run_once")).first()
+    staged.write.mode("append").parquet(f"{root}/command_events")
+    return {"drained": int(counts["n"]), "run_once": int(counts["run_once"])}

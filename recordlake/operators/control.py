@@ -188,3 +188,36 @@ READINESS_SCHEMA = T.StructType([
     T.StructField("store", T.StringType()), T.StructField("ok", T.BooleanType()),
     T.StructField("reason", T.StringType()), T.StructField("details", T.StringType()),
 ])
+
+
+def drain_events(state: DataFrame, clock_ts) -> DataFrame:
+    """T5 as one set operation: terminal events for every queued command.
+
+    pause / resume / run_once → ``applied``; update_config → ``applied`` when
+    every update is valid, else ``failed`` with the first reason (the config is
+    then left unchanged, because only applied commands are folded into it).
+    The events carry the drain clock and ``seq`` just after the command's last
+    event, so they win the per-command fold; FIFO order between commands is
+    kept by their (created_at, command_id) order in ``seq``.
+    """
+    queued = state.where(F.col("status") == "queued")
+    upd = F.try_variant_get(J.parse(F.col("payload_json")), "$.updates", "map<string, variant>")
+    errs = F.filter(
+        F.transform(F.map_entries(F.coalesce(upd, F.create_map().cast("map<string, variant>"))),
+                    lambda e: config_value_error(e["key"], F.to_json(e["value"]))),
+        lambda x: x.isNotNull(),
+    )
+    bad_shape = (F.col("command_type") == "update_config") & upd.isNull()
+    err = (
+        F.when(bad_shape, F.lit("update_config payload must be an object"))
+        .when(F.col("command_type") == "update_config", F.try_element_at(errs, F.lit(1)))
+    )
+    ts = F.lit(clock_ts).cast("timestamp")
+    return queued.select(
+        "command_id", (F.col("_applied_seq") + 1).alias("seq"), ts.alias("ts"),
+        F.when(err.isNull(), "applied").otherwise("failed").alias("status"),
+        "command_type", "payload_json", "requested_by",
+        F.when(err.isNull(), F.lit("{}")).alias("result_json"),
+        F.when(err.isNotNull(), F.lit("ValueError")).alias("error_type"),
+        err.alias("redacted_error"),
+    )

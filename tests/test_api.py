@@ -74,3 +74,21 @@ def test_collect_fixture_and_jsonl(spark, scratch):
     out = api.write_jsonl(recs, f"{scratch}/out")
     line = json.loads(spark.read.text(out).first()[0])
     assert line["id"] == "~029" and line["hourly_min"] is None and list(line)[0] == "source"
+
+
+def test_drain_applies_queue_in_one_pass(spark, scratch):
+    root, landing = f"{scratch}/store", f"{scratch}/landing"
+    _ready_store(spark, root)
+    api.enqueue(spark, root, "pause", command_id="c1", clock=CLOCK)
+    api.enqueue(spark, root, "update_config", {"updates": {"max_pages": 3}}, command_id="c2", clock=CLOCK)
+    from recordlake.schemas import COMMAND_EVENTS
+    bad = (("c3", 5, CLOCK.replace(tzinfo=None), "queued", "update_config",
+            json.dumps({"updates": {"bogus": 1}}), "mcp", None, None, None),)
+    spark.createDataFrame(bad, COMMAND_EVENTS).write.mode("append").parquet(f"{root}/command_events")
+    out = api.worker_tick(spark, root, landing, run_id="r1", clock=CLOCK)
+    assert out["drained"] == 3 and out["ran"] is False
+    st = {c: api.command_status(spark, root, c).first() for c in ("c1", "c2", "c3")}
+    assert st["c1"].status == "applied" and st["c2"].status == "applied"
+    assert st["c3"].status == "failed"
+    cfg = {r.key: r.value_json for r in api.config(spark, root).collect()}
+    assert cfg["paused"] == "true" and cfg["max_pages"] == "3"
