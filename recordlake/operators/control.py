@@ -21,6 +21,12 @@ from recordlake.functions.text import iso_utc, py_strip
 from recordlake.operators.reads import validate_limit
 from recordlake.schemas import COMMAND_STATUSES, COMMAND_TYPES, CONFIG_KEYS, TERMINAL_STATUSES
 
+# Config-update diagnostics.
+MSG_UNSUPPORTED_KEYS = "unsupported config keys: "
+MSG_POSITIVE_INT = " must be a positive integer"
+MSG_PAUSED_BOOL = "paused must be a boolean"
+MSG_QUERIES_LIST = "queries must be a list of non-empty strings"
+
 # Worker defaults persisted when a key has no value yet.
 DEFAULT_CONFIG = {"interval_seconds": 3600, "queries": [], "max_pages": 5, "page_size": 50, "paused": False}
 INT_KEYS = ("interval_seconds", "max_pages", "page_size")
@@ -35,11 +41,11 @@ def config_value_error(key: Column, value_json: Column) -> Column:
     arr = F.when(J.is_array(v), F.try_variant_get(v, "$", "array<variant>"))
     strings_ok = F.forall(arr, lambda e: J.is_string(e) & (py_strip(J.typed_str(e)) != ""))
     return (
-        F.when(~key.isin(*CONFIG_KEYS), F.concat(F.lit("unsupported config keys: "), key))
-        .when(key.isin(*INT_KEYS) & ~positive, F.concat(key, F.lit(" must be a positive integer")))
-        .when((key == "paused") & ~F.coalesce(t == "BOOLEAN", F.lit(False)), F.lit("paused must be a boolean"))
+        F.when(~key.isin(*CONFIG_KEYS), F.concat(F.lit(MSG_UNSUPPORTED_KEYS), key))
+        .when(key.isin(*INT_KEYS) & ~positive, F.concat(key, F.lit(MSG_POSITIVE_INT)))
+        .when((key == "paused") & ~F.coalesce(t == "BOOLEAN", F.lit(False)), F.lit(MSG_PAUSED_BOOL))
         .when((key == "queries") & ~F.coalesce(strings_ok, F.lit(False)),
-              F.lit("queries must be a list of non-empty strings"))
+              F.lit(MSG_QUERIES_LIST))
     )
 
 

@@ -26,6 +26,19 @@ from recordlake.schemas import (
 )
 
 
+# The record contract's diagnostics ({key}/{keys}/{source}/{line}/{reason} are filled in).
+MSG_NOT_OBJECT = "JSONL line must contain a JSON object"
+MSG_PRIVATE = "collector payload contains disallowed private field: "
+MSG_UNKNOWN = "collector payload contains unsupported fields: "
+MSG_MISSING = "record missing required collector field: {key}"
+MSG_SOURCE = "collector field source must be '{source}'"
+MSG_SKILLS_TYPE = "collector field must be list[string]: skills"
+MSG_STRING = "collector field must be string or null: {key}"
+MSG_NUMBER = "collector field must be numeric or null: {key}"
+MSG_MALFORMED = "malformed JSONL at line "
+MSG_INVALID = "invalid collector record at line {line}: {reason}"
+
+
 class RecordValidationError(ValueError):
     """Fail-closed rejection of a batch; carries the first diagnostic."""
 
@@ -84,24 +97,24 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
     skills_arr, skills = _skills_state(v)
 
     checks: list[tuple[Column, Column]] = [
-        (~J.is_object(v), F.lit("JSONL line must contain a JSON object")),
-        (private.isNotNull(), F.concat(F.lit("collector payload contains disallowed private field: "), private)),
-        (unknown != "", F.concat(F.lit("collector payload contains unsupported fields: "), unknown)),
-        (src.isNull(), F.lit("record missing required collector field: source")),
-        (src != F.lit(source), F.lit(f"collector field source must be '{source}'")),
+        (~J.is_object(v), F.lit(MSG_NOT_OBJECT)),
+        (private.isNotNull(), F.concat(F.lit(MSG_PRIVATE), private)),
+        (unknown != "", F.concat(F.lit(MSG_UNKNOWN), unknown)),
+        (src.isNull(), F.lit(MSG_MISSING.format(key="source"))),
+        (src != F.lit(source), F.lit(MSG_SOURCE.format(source=source))),
     ]
     for key in ("id", "title", "description", "url"):
-        checks.append((_req(v, key).isNull(), F.lit(f"record missing required collector field: {key}")))
-    checks.append((skills_arr.isNull(), F.lit("record missing required collector field: skills")))
-    checks.append((skills.isNull(), F.lit("collector field must be list[string]: skills")))
+        checks.append((_req(v, key).isNull(), F.lit(MSG_MISSING.format(key=key))))
+    checks.append((skills_arr.isNull(), F.lit(MSG_MISSING.format(key="skills"))))
+    checks.append((skills.isNull(), F.lit(MSG_SKILLS_TYPE)))
     for key in OPTIONAL_STRING_FIELDS[:3]:
         bad = ~(J.is_null_or_absent(v, f"$.{key}") | J.is_string(v, f"$.{key}"))
-        checks.append((bad, F.lit(f"collector field must be string or null: {key}")))
+        checks.append((bad, F.lit(MSG_STRING.format(key=key))))
     for key in OPTIONAL_NUMBER_FIELDS:
         bad = ~(J.is_null_or_absent(v, f"$.{key}") | J.is_number(v, f"$.{key}"))
-        checks.append((bad, F.lit(f"collector field must be numeric or null: {key}")))
+        checks.append((bad, F.lit(MSG_NUMBER.format(key=key))))
     bad_raw = ~(J.is_null_or_absent(v, "$.raw_id") | J.is_string(v, "$.raw_id"))
-    checks.append((bad_raw, F.lit("collector field must be string or null: raw_id")))
+    checks.append((bad_raw, F.lit(MSG_STRING.format(key="raw_id"))))
 
     reason = F.lit(None).cast("string")
     for cond, msg in reversed(checks):
@@ -115,9 +128,9 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
     )
     line_no = F.col("line_no").cast("string")
     message = (
-        F.when(malformed, F.concat(F.lit("malformed JSONL at line "), line_no))
+        F.when(malformed, F.concat(F.lit(MSG_MALFORMED), line_no))
         .when(~blank & reason.isNotNull(),
-              F.concat(F.lit("invalid collector record at line "), line_no, F.lit(": "), reason))
+              F.concat(F.lit(MSG_INVALID.split("{line}")[0]), line_no, F.lit(": "), reason))
     )
     verdict = J.evaluate_once(t1, [*base, "_v"], {
         "status": status, "reason": F.when(~blank & ~malformed, reason), "message": message,
