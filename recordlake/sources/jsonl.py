@@ -9,8 +9,11 @@ Numbering never funnels the data through one task. Each input split reports
 row per split) turns counts into offsets, and every line gets
 ``offset + (row_id - first_row_id) + 1``. Rows of one split are contiguous
 inside their task, so the difference of ``monotonically_increasing_id`` values
-is the position within the split. The offsets table is broadcast only after
-its size has been counted; beyond the bound it is joined by a shuffle.
+is the position within the split. The offsets table is broadcast only when
+its size is bounded — from file-system metadata (bytes / minimum split size +
+files) or, for globs and micro-batches, by counting it; beyond the bound it is
+joined by a shuffle. The one single-task step (the running sum) sees one row
+per split, never lines.
 """
 
 from __future__ import annotations

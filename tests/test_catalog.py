@@ -44,6 +44,8 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF"))
 
 
 def test_entry_smoke(spark):
