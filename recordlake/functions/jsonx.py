@@ -36,9 +36,17 @@ def well_formed(text: Column | str) -> Column:
 
 
 def parse(text: Column | str) -> Column:
-    """VARIANT of well-formed text, else NULL."""
+    """VARIANT of well-formed text, else NULL.
+
+    The value is taken from the sentinel probe itself (``$.r`` of
+    ``{"r":<text>,"_z":0}``), so a line is parsed into a VARIANT once; the
+    array probe only counts elements.
+    """
     t = _col(text)
-    return F.when(well_formed(t), F.try_parse_json(t))
+    probe = F.try_parse_json(F.concat(F.lit('{"r":'), t, F.lit(',"_z":0}')))
+    one_value = F.expr("1") == F.json_array_length(F.concat(F.lit("["), t, F.lit("]")))
+    ok = F.coalesce(one_value & (F.try_variant_get(probe, "$._z", "int") == 0), F.lit(False))
+    return F.when(ok, F.try_variant_get(probe, "$.r", "variant"))
 
 
 def node(v: Column, path: str) -> Column:

@@ -23,6 +23,14 @@ def py_strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), rf"(?U)^{PY_WS}+|{PY_WS}+$", "")
 
 
+def py_strip_column(name: str) -> Column:
+    """``py_strip`` for a plain column: the regex runs only when the first or
+    last character is white space (most lines need no work)."""
+    c = F.col(name)
+    edge = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(edge.rlike(rf"(?U){PY_WS}"), py_strip(c)).otherwise(c)
+
+
 def blank_to_null(c: Column | str) -> Column:
     """Strip; an empty result becomes NULL."""
     s = py_strip(c)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions import jsonx as J
-from recordlake.functions.text import blank_to_null, canonical_token, py_strip
+from recordlake.functions.text import blank_to_null, canonical_token, py_strip, py_strip_column
 from recordlake.schemas import (
     ALLOWED_FIELDS,
     DEFAULT_SOURCE,
@@ -85,7 +85,7 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
     generator output so filters on it stay above the parse.
     """
     base = list(lines.columns)
-    t0 = lines.select(*base, py_strip(F.col("line")).alias("_t"))
+    t0 = lines.select(*base, py_strip_column("line").alias("_t"))
     t1 = t0.select(*base, "_t", J.parse(F.col("_t")).alias("_v"), J.object_keys_in_order(F.col("_t")).alias("_keys"))
     text, v, keys = F.col("_t"), F.col("_v"), F.col("_keys")
     private = F.try_element_at(
