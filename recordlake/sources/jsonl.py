@@ -12,8 +12,8 @@ inside their task, so the difference of ``monotonically_increasing_id`` values
 is the position within the split. The offsets table is broadcast only when
 its size is bounded — from file-system metadata (bytes / minimum split size +
 files) or, for globs and micro-batches, by counting it; beyond the bound it is
-joined by a shuffle. The one single-task step (the running sum) sees one row
-per split, never lines.
+joined by a shuffle. Offsets inside a file come from a window partitioned by
+file; the only single-task step is the running sum over one row per file.
 """
 
 from __future__ import annotations
@@ -80,11 +80,19 @@ def number_lines(raw: DataFrame, bound: int | None = None) -> DataFrame:
     splits = raw.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0")
     )
-    order = Window.orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.unboundedPreceding, -1
+    # Offset of a split inside its file: a window per file over its splits.
+    in_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(*before)
+    # Offset of a file in the stream: one row per file, in path order.
+    files = splits.groupBy("file_path").agg(F.sum("_n").alias("_fn"))
+    file_off = files.select(
+        "file_path", F.coalesce(F.sum("_fn").over(Window.orderBy("file_path").rowsBetween(*before)),
+                                F.lit(0)).alias("_foff"))
     offsets = splits.select(
         "file_path", "block_start", "_rid0",
-        F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"),
-    )
+        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_soff"),
+    ).join(file_off, "file_path").select(
+        "file_path", "block_start", "_rid0", (F.col("_foff") + F.col("_soff")).alias("_offset"))
     n_splits = bound if bound is not None else offsets.count()
     side = F.broadcast(offsets) if n_splits <= MAX_BROADCAST_SPLITS else offsets
     return raw.join(side, ["file_path", "block_start"]).select(

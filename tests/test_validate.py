@@ -80,3 +80,16 @@ def test_line_numbers_exact_over_many_splits(spark, scratch):
         assert bad == 0 and got.count() == n - len(range(0, n, 97))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_line_numbers_exact_over_many_files_and_splits(spark, scratch):
+    n_files, per = 3, 4000
+    for f in range(n_files):
+        write_text(f"{scratch}/multi/part-{f}.jsonl", [json.dumps({"i": f * per + j}) for j in range(per)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = read_lines(spark, f"{scratch}/multi")
+        bad = got.where(F.get_json_object("line", "$.i").cast("long") + 1 != F.col("line_no")).count()
+        assert bad == 0 and got.count() == n_files * per
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
