@@ -41,12 +41,14 @@ def run_state(events: DataFrame) -> DataFrame:
     """Last status per run (ties on the 1-second clock broken by rank, then seq)."""
     order = F.struct(F.col("ts"), _status_rank(F.col("status")), F.col("seq"))
     last = F.max_by(F.struct("status", "ts", "error_type", "error_text"), order)
+    planned = F.max("query_count") if "query_count" in events.columns else F.lit(None).cast("long")
     return events.groupBy("run_id").agg(
         F.min("ts").alias("_started"),
         F.min_by("trigger", F.struct("ts", "seq")).alias("trigger"),
+        planned.alias("_planned"),
         last.alias("_last"),
     ).select(
-        "run_id", "_started", "trigger",
+        "run_id", "_started", "trigger", "_planned",
         F.col("_last.status").alias("status"),
         F.when(F.col("_last.status") != "running", F.col("_last.ts")).alias("_finished"),
         F.when(F.col("_last.status") == "failed", F.col("_last.error_type")).alias("error_type"),
@@ -55,7 +57,12 @@ def run_state(events: DataFrame) -> DataFrame:
 
 
 def runs(events: DataFrame, results: DataFrame) -> DataFrame:
-    """Current run rows (12 columns, ISO text times)."""
+    """Current run rows (12 columns, ISO text times).
+
+    ``query_count`` is the planned query count carried by the run's events when
+    present (a run that stops early still reports its plan), else the number
+    of result rows.
+    """
     state = run_state(events)
     totals = run_totals(results)
     j = state.join(totals, "run_id", "left")
@@ -64,8 +71,9 @@ def runs(events: DataFrame, results: DataFrame) -> DataFrame:
         "run_id", started.alias("started_at"), finished.alias("finished_at"),
         duration_seconds(started, finished).alias("duration_seconds"),
         "status", "trigger",
+        F.coalesce(F.col("_planned"), F.col("query_count"), F.lit(0)).cast("long").alias("query_count"),
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-          for c in ("query_count", "total_seen", "total_inserted", "total_skipped")],
+          for c in ("total_seen", "total_inserted", "total_skipped")],
         "error_type", "redacted_error",
     )
 

@@ -111,7 +111,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
         except (CollectorError, RecordValidationError) as exc:
             failure = exc
             msg = _redacted(spark, str(exc))
-            _result(spark, store, (run_id, ix, query, "failed", 1, 0, 0, 0, type(exc).__name__, str(exc), ts, ts))
+            _result(spark, store, (run_id, ix, query, "failed", 1, 0, 0, 0, type(exc).__name__, msg, ts, ts))
             _run_event(spark, store, run_id, 1, ts, "failed", trigger, len(resolved), type(exc).__name__, msg)
             break
     else:

@@ -92,3 +92,23 @@ def test_drain_applies_queue_in_one_pass(spark, scratch):
     assert st["c3"].status == "failed"
     cfg = {r.key: r.value_json for r in api.config(spark, root).collect()}
     assert cfg["paused"] == "true" and cfg["max_pages"] == "3"
+
+
+def test_failed_run_stores_only_redacted_text(spark, scratch, monkeypatch):
+    root = f"{scratch}/store"
+    _ready_store(spark, root)
+
+    def blocked(*_a, **_k):
+        raise api.SCH.CollectorError("blocked token=secret")
+
+    monkeypatch.setattr(api.SCH, "collect_query", blocked)
+    api.SCH.run_collection(spark, root, f"{scratch}/landing", ["python", "scraping"], run_id="r9",
+                           clock=CLOCK, raise_on_failure=False)
+    from recordlake.schemas import RUN_EVENTS, RUN_RESULTS
+    res = spark.read.schema(RUN_RESULTS).parquet(f"{root}/run_results").collect()
+    ev = spark.read.schema(RUN_EVENTS).parquet(f"{root}/run_events").collect()
+    stored = [r.redacted_error for r in res + ev if r.redacted_error]
+    assert stored and all(m == "blocked token=<redacted>" for m in stored)
+    ev_df, res_df = api.SCH.read_runs(spark, root)
+    run = api.L.runs(ev_df, res_df).first()
+    assert run.status == "failed" and run.query_count == 2 and len(res) == 1
