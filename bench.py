@@ -33,20 +33,27 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="recordlake-bench")
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         fn = CATALOG[name]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-        runs = []
-        for _ in range(repeats):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(runs), 3)
+        try:
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+            runs = []
+            for _ in range(repeats):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                runs.append(time.perf_counter() - t0)
+            times[name] = round(statistics.median(runs), 3)
+        except Exception as exc:  # noqa: BLE001 - report and keep measuring the rest
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({
+    out = {
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": sf, "cpus": cpus, "spark": spark.version,
-    }))
+    }
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
