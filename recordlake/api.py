@@ -210,3 +210,34 @@ def drain_commands(spark: SparkSession, root: str, clock: dt.datetime | None = N
                         F.count(F.when(F.col("command_type") == "run_once", 1)).alias("run_once")).first()
     staged.write.mode("append").parquet(f"{root}/command_events")
     return {"drained": int(counts["n"]), "run_once": int(counts["run_once"])}
+
+
+def update_config(spark: SparkSession, root: str, updates: dict, **kw) -> dict:
+    """``config_update``: validated, then queued as an ``update_config`` command."""
+    return enqueue(spark, root, "update_config", {"updates": updates}, **kw)
+
+
+def pause(spark: SparkSession, root: str, **kw) -> dict:
+    return enqueue(spark, root, "pause", **kw)
+
+
+def resume(spark: SparkSession, root: str, **kw) -> dict:
+    return enqueue(spark, root, "resume", **kw)
+
+
+def run_once(spark: SparkSession, root: str, **kw) -> dict:
+    return enqueue(spark, root, "run_once", **kw)
+
+
+def normalize_responses(responses: DataFrame, body: str = "body", **kw) -> tuple[DataFrame, DataFrame]:
+    """CLI ``collect``: (records, rejected responses) of a DataFrame of response bodies."""
+    norm = N.normalize(responses, body, **kw)
+    keys = [c for c in responses.columns if c != body]
+    return N.records(norm, keys, **kw), N.rejects(norm, keys)
+
+
+def run_collection(spark: SparkSession, root: str, landing: str, queries: list[str] | None, *,
+                   trigger: str = "scheduled", run_id: str | None = None, **kw) -> DataFrame:
+    """CLI ``collect-scheduled``: one run over landed pages (see ``plans.scheduled``)."""
+    return SCH.run_collection(spark, root, landing, queries, run_id=run_id or uuid.uuid4().hex,
+                              trigger=trigger, **kw)
