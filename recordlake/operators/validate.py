@@ -120,21 +120,26 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
     for cond, msg in reversed(checks):
         reason = F.when(cond, msg).otherwise(reason)
 
-    blank = text == ""
-    malformed = ~blank & v.isNull()
+    # The contract check chain is evaluated once per line (generator output);
+    # status and message are cheap projections of its result.
+    verdict = J.evaluate_once(t1, [*base, "_v"], {
+        "_blank": text == "",
+        "_malformed": (text != "") & v.isNull(),
+        "_reason": reason,
+    })
+    blank, malformed, why = F.col("_blank"), F.col("_malformed"), F.col("_reason")
     status = (
         F.when(blank, "blank").when(malformed, "malformed")
-        .when(reason.isNotNull(), "invalid").otherwise("valid")
+        .when(why.isNotNull(), "invalid").otherwise("valid")
     )
     line_no = F.col("line_no").cast("string")
     message = (
         F.when(malformed, F.concat(F.lit(MSG_MALFORMED), line_no))
-        .when(~blank & reason.isNotNull(),
-              F.concat(F.lit(MSG_INVALID.split("{line}")[0]), line_no, F.lit(": "), reason))
+        .when(~blank & why.isNotNull(),
+              F.concat(F.lit(MSG_INVALID.split("{line}")[0]), line_no, F.lit(": "), why))
     )
-    verdict = J.evaluate_once(t1, [*base, "_v"], {
-        "status": status, "reason": F.when(~blank & ~malformed, reason), "message": message,
-    })
+    verdict = verdict.select(*base, "_v", status.alias("status"),
+                             F.when(~blank & ~malformed, why).alias("reason"), message.alias("message"))
     vv = F.col("_v")
     valid = F.col("status") == "valid"
     canon = canonical_payload(vv)
@@ -149,9 +154,9 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
         *[F.when(valid, J.typed_double(vv, f"$.{k}")).alias(k) for k in OPTIONAL_NUMBER_FIELDS],
         F.when(valid, blank_to_null(J.typed_str(vv, "$.raw_id"))).alias("raw_id"),
         F.when(valid, canon).alias("payload_json"),
-        F.when(valid, F.sha2(canon, 256)).alias("content_hash"),
     ]
-    return verdict.select(*base, "status", "reason", "message", *record)
+    out = verdict.select(*base, "status", "reason", "message", *record)
+    return out.withColumn("content_hash", F.sha2(F.col("payload_json"), 256))
 
 
 def first_failure(checked: DataFrame) -> DataFrame:
