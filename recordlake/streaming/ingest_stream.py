@@ -27,7 +27,7 @@ from recordlake.operators.ingest import ingest_checked, record_failed_batch
 from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
 from recordlake.session import configure
-from recordlake.sources.jsonl import number_lines
+from recordlake.sources.jsonl import number_lines, split_bound
 
 
 def _trigger(writer, interval: str | None):
@@ -49,7 +49,9 @@ def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, chec
         batch_id = epoch_id + batch_offset
         raw = df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
                         F.col("_metadata.file_block_start").alias("block_start"))
-        checked = validate(number_lines(raw), source=source).withColumn("ord", F.col("line_no"))
+        files = df.inputFiles()
+        bound = split_bound(spark, list(files)) if files else None
+        checked = validate(number_lines(raw, bound), source=source).withColumn("ord", F.col("line_no"))
         try:
             ingest_checked(spark, store_root, checked, batch_id, clock=clock, mode=mode, input_path=landing)
         except RecordValidationError as exc:
