@@ -19,19 +19,17 @@ def _col(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """``str.strip()``: drop leading and trailing Unicode white space.
-
-    The regex only runs when the first or last character is white space; on
-    long texts it would otherwise be tried at every inner space.
-    """
-    col = _col(c)
-    edge = F.concat(F.substring(col, 1, 1), F.substring(col, -1, 1))
-    return F.when(edge.rlike(rf"(?U){PY_WS}"), F.regexp_replace(col, rf"(?U)^{PY_WS}+|{PY_WS}+$", "")).otherwise(col)
+    """``str.strip()``: drop leading and trailing Unicode white space."""
+    return F.regexp_replace(_col(c), rf"(?U)^{PY_WS}+|{PY_WS}+$", "")
 
 
 def py_strip_column(name: str) -> Column:
-    """``py_strip`` of a named column."""
-    return py_strip(F.col(name))
+    """``py_strip`` of a named column (e.g. a whole input line): the regex only
+    runs when the first or last character is white space. For expressions,
+    plain ``py_strip`` is cheaper (the check would re-evaluate its argument)."""
+    c = F.col(name)
+    edge = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(edge.rlike(rf"(?U){PY_WS}"), py_strip(c)).otherwise(c)
 
 
 def blank_to_null(c: Column | str) -> Column:
