@@ -66,12 +66,19 @@ def like_contains(value: str) -> str:
     return "%" + value.lower().replace("\\", "\\\\") + "%"
 
 
-def truncate_message(c: Column | str, limit: int = 200, empty: str = "unexpected runtime failure") -> Column:
-    """Strip; blank -> default text; longer than ``limit`` -> cut, rstrip, '...'."""
-    s = py_strip(c)
-    s = F.when(s == "", F.lit(empty)).otherwise(s)
+def shorten(stripped: Column | str, limit: int = 200, empty: str = "unexpected runtime failure") -> Column:
+    """X16 on already-stripped text: blank -> default text; longer than ``limit``
+    -> first ``limit`` characters, right-stripped, plus '...'."""
+    s = _col(stripped)
     cut = F.regexp_replace(F.substring(s, 1, limit), rf"(?U){PY_WS}+$", "")
-    return F.when(F.length(s) <= limit, s).otherwise(F.concat(cut, F.lit("...")))
+    return (F.when(s == "", F.lit(empty)).when(F.length(s) <= limit, s)
+            .otherwise(F.concat(cut, F.lit("..."))))
+
+
+def truncate_message(c: Column | str, limit: int = 200, empty: str = "unexpected runtime failure") -> Column:
+    """Strip, then ``shorten`` (for short diagnostics; stage long texts with
+    ``py_strip_column`` + ``shorten`` instead)."""
+    return shorten(py_strip(c), limit, empty)
 
 
 def comma_list(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions.redact import redact
-from recordlake.functions.text import truncate_message
+from recordlake.functions.text import py_strip_column, shorten
 
 # Response classes, the error each one raises and its exit code.
 ERROR_TYPE = {
@@ -112,10 +112,11 @@ def attempt_rollup(attempts: DataFrame, keys: list[str]) -> DataFrame:
 def redacted_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Q9/X16 over whole texts: changed flag, digest of the redacted text, short diagnostic."""
     staged = docs.select(key, text, redact(text).alias("_r"))
+    staged = staged.select(key, text, "_r", py_strip_column("_r").alias("_s"))
     r = F.col("_r")
     return staged.select(
         key,
         (r != F.col(text)).alias("changed"),
         F.sha2(r, 256).alias("redacted_sha256"),
-        truncate_message(r).alias("short_message"),
+        shorten("_s").alias("short_message"),
     )
