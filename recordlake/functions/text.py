@@ -34,8 +34,8 @@ def py_strip_column(name: str) -> Column:
 
 def blank_to_null(c: Column | str) -> Column:
     """Strip; an empty result becomes NULL."""
-    s = py_strip(c)
-    return F.when(s != "", s)
+    # nullif evaluates its argument once (Spark rewrites it with a common expression).
+    return F.nullif(py_strip(c), F.lit(""))
 
 
 def collapse_ws(c: Column | str) -> Column:
