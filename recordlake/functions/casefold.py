@@ -1,0 +1,21 @@
+"""Opt-in exact ``str.casefold`` (X2) as an Arrow-batched pandas UDF.
+
+Kept in its own module (without postponed annotations) so the pandas type
+hints resolve when the UDF is created.
+"""
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.str.casefold()
+
+
+def casefold_udf():
+    return F.pandas_udf(_casefold, "string")
+
+
+def casefold(c: Column) -> Column:
+    return casefold_udf()(c)

@@ -43,18 +43,32 @@ def collapse_ws(c: Column | str) -> Column:
     return py_strip(F.regexp_replace(_col(c), rf"(?U){PY_WS}+", " "))
 
 
-def canonical_token(c: Column | str) -> Column:
+def casefold_exact(c: Column | str) -> Column:
+    """Python ``str.casefold`` through an Arrow-batched pandas UDF.
+
+    Opt-in only (``exact_casefold=True``): it leaves the JVM, so it is the slow
+    path. The default ``lower`` differs only on a few letters (ß, ſ, ς, ...).
+    """
+    from recordlake.functions.casefold import casefold
+
+    return casefold(_col(c))
+
+
+def canonical_token(c: Column | str, exact_casefold: bool = False) -> Column:
     """Whitespace collapse + strip + lower-case.
 
-    ``lower`` stands in for ``casefold``; they differ only on a handful of
-    letters such as the German sharp s and the final sigma.
+    ``lower`` stands in for ``casefold`` unless ``exact_casefold`` is set; they
+    differ only on a handful of letters such as the German sharp s and the
+    final sigma.
     """
-    return F.lower(collapse_ws(c))
+    collapsed = collapse_ws(c)
+    return casefold_exact(collapsed) if exact_casefold else F.lower(collapsed)
 
 
-def canonical_token_py(value: str) -> str:
+def canonical_token_py(value: str, exact_casefold: bool = False) -> str:
     """Driver-side twin of :func:`canonical_token` for query arguments."""
-    return " ".join(value.strip().split()).lower()
+    collapsed = " ".join(value.strip().split())
+    return collapsed.casefold() if exact_casefold else collapsed.lower()
 
 
 def like_contains(value: str) -> str:

@@ -212,10 +212,10 @@ def record_failed_batch(spark: SparkSession, root: str, batch_id: int, error: Ba
 
 def ingest_jsonl(spark: SparkSession, root: str, path: str | list[str], batch_id: int, *,
                  source: str = DEFAULT_SOURCE, clock: dt.datetime | None = None, mode: str = "strict",
-                 source_query: str | None = None) -> DataFrame:
+                 source_query: str | None = None, exact_casefold: bool = False) -> DataFrame:
     """CLI ``ingest``: JSON lines file(s) → validated → first-wins append."""
     lines = read_lines(spark, path)
-    checked = validate(lines, source=source).withColumn("ord", F.col("line_no"))
+    checked = validate(lines, source=source, exact_casefold=exact_casefold).withColumn("ord", F.col("line_no"))
     return ingest_checked(spark, root, checked, batch_id, clock=clock, mode=mode, source_query=source_query,
                           input_path=path if isinstance(path, str) else ",".join(path))
 

@@ -16,7 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions import jsonx as J
-from recordlake.functions.text import blank_to_null, canonical_token, py_strip, py_strip_column
+from recordlake.functions.text import (
+    blank_to_null,
+    canonical_token,
+    casefold_exact,
+    collapse_ws,
+    py_strip,
+    py_strip_column,
+)
 from recordlake.schemas import (
     ALLOWED_FIELDS,
     DEFAULT_SOURCE,
@@ -47,15 +54,18 @@ def _req(v: Column, key: str) -> Column:
     return blank_to_null(J.typed_str(v, f"$.{key}"))
 
 
-def _skills_state(v: Column) -> tuple[Column, Column]:
+def _skills_state(v: Column, exact_casefold: bool = False) -> tuple[Column, Column]:
     arr = J.variant_array(v, "$.skills")
     all_strings = F.forall(arr, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
-    canon = F.array_distinct(
-        F.filter(
-            F.transform(arr, lambda e: canonical_token(F.try_variant_get(e, "$", "string"))),
-            lambda s: s != "",
-        )
-    )
+    if exact_casefold:
+        # The pandas UDF cannot run inside a lambda: collapse in the JVM, then
+        # casefold the joined list once (the unit separator never occurs in skills).
+        collapsed = F.transform(arr, lambda e: collapse_ws(F.try_variant_get(e, "$", "string")))
+        folded = F.split(casefold_exact(F.array_join(collapsed, "\u001f")), "\u001f")
+        folded = F.when(F.size(arr) > 0, folded).otherwise(F.array().cast("array<string>"))
+    else:
+        folded = F.transform(arr, lambda e: canonical_token(F.try_variant_get(e, "$", "string")))
+    canon = F.array_distinct(F.filter(folded, lambda s: s != ""))
     return arr, F.when(all_strings, canon)
 
 
@@ -77,7 +87,7 @@ def canonical_payload(v: Column) -> Column:
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
-def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
+def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: bool = False) -> DataFrame:
     """Classify every line and project the typed record of the valid ones.
 
     The stripped text, its parse, its key list and its skills array are
@@ -88,13 +98,19 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
     t0 = lines.select(*base, py_strip_column("line").alias("_t"))
     t1 = t0.select(*base, "_t", J.parse(F.col("_t")).alias("_v"), J.object_keys_in_order(F.col("_t")).alias("_keys"))
     text, v, keys = F.col("_t"), F.col("_v"), F.col("_keys")
-    private = F.try_element_at(
-        F.filter(keys, lambda k: F.lower(py_strip(k)).isin(*PRIVATE_FIELD_NAMES)), F.lit(1)
-    )
+    if exact_casefold:
+        folded = F.split(casefold_exact(F.array_join(F.transform(keys, lambda k: py_strip(k)), "\u001f")), "\u001f")
+        pairs = F.arrays_zip(keys.alias("k"), folded.alias("f"))
+        private = F.try_element_at(
+            F.transform(F.filter(pairs, lambda p: p["f"].isin(*PRIVATE_FIELD_NAMES)), lambda p: p["k"]), F.lit(1))
+    else:
+        private = F.try_element_at(
+            F.filter(keys, lambda k: F.lower(py_strip(k)).isin(*PRIVATE_FIELD_NAMES)), F.lit(1)
+        )
     allowed = F.array(*[F.lit(k) for k in ALLOWED_FIELDS])
     unknown = F.array_join(F.array_sort(F.array_except(keys, allowed)), ", ")
     src = _req(v, "source")
-    skills_arr, skills = _skills_state(v)
+    skills_arr, skills = _skills_state(v)  # validity only needs the element types
 
     checks: list[tuple[Column, Column]] = [
         (~J.is_object(v), F.lit(MSG_NOT_OBJECT)),
@@ -149,7 +165,7 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
         F.when(valid, _req(vv, "title")).alias("title"),
         F.when(valid, _req(vv, "description")).alias("description"),
         F.when(valid, _req(vv, "url")).alias("url"),
-        F.when(valid, _skills_state(vv)[1]).alias("skills"),
+        F.when(valid, _skills_state(vv, exact_casefold)[1]).alias("skills"),
         *[F.when(valid, blank_to_null(J.typed_str(vv, f"$.{k}"))).alias(k) for k in OPTIONAL_STRING_FIELDS[:3]],
         *[F.when(valid, J.typed_double(vv, f"$.{k}")).alias(k) for k in OPTIONAL_NUMBER_FIELDS],
         F.when(valid, blank_to_null(J.typed_str(vv, "$.raw_id"))).alias("raw_id"),

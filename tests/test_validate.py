@@ -93,3 +93,19 @@ def test_line_numbers_exact_over_many_files_and_splits(spark, scratch):
         assert bad == 0 and got.count() == n_files * per
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_exact_casefold_option(spark):
+    payload = {**GOOD, "skills": ["Straße", " STRASSE ", "Σίσυφος"]}
+    df = spark.createDataFrame([(1, json.dumps(payload))], "line_no long, line string")
+    default = validate(df).first().skills
+    exact = validate(df, exact_casefold=True).first().skills
+    assert default == ["straße", "strasse", "σίσυφος"]
+    assert exact == ["strasse", "σίσυφοσ"]
+
+
+def test_exact_casefold_private_key(spark):
+    df = spark.createDataFrame([(1, json.dumps({**GOOD, "ſession": "x"}))], "line_no long, line string")
+    assert validate(df).first().reason == "collector payload contains unsupported fields: ſession"
+    assert validate(df, exact_casefold=True).first().reason == (
+        "collector payload contains disallowed private field: ſession")
