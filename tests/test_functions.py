@@ -1,6 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
 
 from recordlake.functions import jsonx as J
 from recordlake.functions import text as T
