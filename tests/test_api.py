@@ -112,3 +112,28 @@ def test_failed_run_stores_only_redacted_text(spark, scratch, monkeypatch):
     ev_df, res_df = api.SCH.read_runs(spark, root)
     run = api.L.runs(ev_df, res_df).first()
     assert run.status == "failed" and run.query_count == 2 and len(res) == 1
+
+
+def test_end_to_end_worker_flow(spark, scratch):
+    """init → land pages → queue run_once + config → worker tick → reads and status."""
+    from recordlake.sources import adapters
+
+    root, landing = f"{scratch}/store", f"{scratch}/landing"
+    S.init_store(spark, root)
+    conv = adapters.table(spark, "/root/testdata/sf0.001", "conversations")
+    adapters.write_responses(spark, conv, f"{landing}/query=python", faults=False)
+    api.update_config(spark, root, {"queries": ["python"]}, command_id="c1", clock=CLOCK)
+    api.pause(spark, root, command_id="c2", clock=CLOCK)
+    api.run_once(spark, root, command_id="c3", clock=CLOCK)
+    out = api.worker_tick(spark, root, landing, run_id="run-1", clock=CLOCK)
+    assert out["drained"] == 3 and out["ran"] is True
+    status = api.run_status(spark, root)
+    last = status["last_run"].first()
+    assert last.status == "success" and last.trigger == "mcp_run_once" and last.total_inserted > 0
+    assert status["recent_results"].first().query == "python"
+    page = api.recent(spark, root, limit=5).collect()
+    assert len(page) == 5 and all(r.url.endswith(r.job_id) for r in page)
+    cfg = {r.key: r.value_json for r in status["config"].collect()}
+    assert cfg["paused"] == "true" and cfg["queries"] == '["python"]'
+    again = api.worker_tick(spark, root, landing, run_id="run-2", clock=CLOCK)
+    assert again["ran"] is False  # paused, nothing queued
