@@ -203,7 +203,7 @@ def drain_commands(spark: SparkSession, root: str, clock: dt.datetime | None = N
     """T5: mark every queued command applied/failed in one append (see ``control.drain_events``)."""
     log = _log(spark, root, "command_events", COMMAND_EVENTS)
     events = C.drain_events(C.command_state(log), I.second_clock(clock)).select(*COMMAND_EVENTS.fieldNames())
-    path = f"{root}/_staging/drain-{uuid.uuid4().hex}"
+    path = f"{root}/_staging/drain/{uuid.uuid4().hex}"
     events.write.parquet(path)
     staged = spark.read.schema(COMMAND_EVENTS).parquet(path)
     counts = staged.agg(F.count(F.lit(1)).alias("n"),

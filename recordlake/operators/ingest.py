@@ -4,7 +4,7 @@ Store layout under one root folder (``batch_id`` is a partition column)::
 
     jobs/batch_id=N/        first-written records (15 store columns + skills)
     job_skills/batch_id=N/  (job_id, skill) of those records
-    rejects/batch_id=N/     quarantined lines (quarantine mode only)
+    _staging/batches/batch_id=N/  validated copy of the batch (every line's status, reason, record)
     batches/batch_id=N/     ledger row: seen, inserted, skipped, rejected, ...
 
 A batch is visible to readers only once its ledger row exists, and the
@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +74,16 @@ def _table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+def read_rejects(spark: SparkSession, root: str) -> DataFrame | None:
+    """Quarantined lines of committed batches: ``(batch_id, line_no, status, reason, message)``."""
+    path, led = f"{root}/_staging/batches", ledger(spark, root)
+    if led is None or not path_exists(spark, path):
+        return None
+    staged = spark.read.parquet(path).where(F.col("message").isNotNull())
+    ok = led.where(F.col("status") == "success").select("batch_id")
+    return staged.join(ok, "batch_id", "left_semi").select("batch_id", "line_no", "status", "reason", "message")
+
+
 def ledger(spark: SparkSession, root: str) -> DataFrame | None:
     return _table(spark, root, "batches", LEDGER)
 
@@ -139,7 +151,8 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     an ``ord`` column) as batch ``batch_id``; returns the ledger row.
 
     ``strict``: any rejected line aborts before anything is written (Q1).
-    ``quarantine``: rejected lines go to ``rejects/`` and the rest is ingested.
+    ``quarantine``: rejected lines stay readable from the staged batch
+    (``read_rejects``) and the rest is ingested.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError("mode must be 'strict' or 'quarantine'")
@@ -148,7 +161,7 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     # Parse once: the validated batch is written to a staging table under the
     # store and every later step (stats, rejects, first-wins) reads that
     # columnar copy instead of re-parsing the input.
-    staging = f"{root}/_staging/batch_id={batch_id}"
+    staging = f"{root}/_staging/batches/batch_id={batch_id}"
     keep = ["line_no", "ord", "status", "reason", "message", *RECORD_OUT, "content_hash"]
     checked.select(*keep).write.mode("overwrite").parquet(staging)
     checked = spark.read.parquet(staging)
@@ -156,11 +169,6 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     if mode == "strict" and stats["first_error"] is not None:
         raise RecordValidationError(stats["first_error"])
     bid = F.lit(batch_id).cast("long")
-    if mode == "quarantine":
-        (checked.where(F.col("message").isNotNull())
-         .select("line_no", "status", "reason", "message", bid.alias("batch_id"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{root}/rejects"))
 
     led = ledger(spark, root)
     existing = None
@@ -170,16 +178,17 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
         existing = jobs_all.join(done, "batch_id", "left_semi")
     valid = checked.where(F.col("status") == "valid")
     new = plan_new_records(valid, existing, clock, candidate_bound=int(stats["seen"]))
+    counted = Observation(f"inserted-{batch_id}-{uuid.uuid4().hex}")
+    new = new.observe(counted, F.count(F.lit(1)).alias("inserted"))
     (new.withColumn("batch_id", bid).sortWithinPartitions("job_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("parquet.bloom.filter.enabled#job_id", "true")
      .partitionBy("batch_id").parquet(f"{root}/jobs"))
 
     part = f"{root}/jobs/batch_id={batch_id}"
-    inserted = 0
-    if path_exists(spark, part):
+    inserted = int(counted.get["inserted"])
+    if inserted:
         written = spark.read.schema(T.StructType(STORE_JOBS.fields[:-1])).parquet(part)
-        inserted = written.count()
         (written.select("job_id", F.explode("skills").alias("skill"), bid.alias("batch_id"))
          .sortWithinPartitions("job_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

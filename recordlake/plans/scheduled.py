@@ -101,7 +101,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
     failure: BaseException | None = None
     for ix, query in enumerate(resolved):
         try:
-            staged = collect_query(spark, landing, query, f"{store}/_staging/run_id={run_id}/query_ix={ix}",
+            staged = collect_query(spark, landing, query, f"{store}/_staging/collect/run_id={run_id}/query_ix={ix}",
                                    source, url_prefix)
             checked = validate(read_lines(spark, staged), source=source).withColumn("ord", F.col("line_no"))
             led = I.ingest_checked(spark, store, checked, _next_batch_id(spark, store), clock=ts,

@@ -74,3 +74,18 @@ def test_first_per_key_plan_is_partial_aggregate(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("a", 0, "y"), ("b", 2, "z")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan
+
+
+def test_hot_key_a_third_of_lines(spark, scratch):
+    """One id on a third of all lines: first wins, counters exact, rejects readable."""
+    lines = []
+    for i in range(3000):
+        lines.append(rec("hot", title=f"copy {i}") if i % 3 == 0 else rec(i))
+    lines.append("{bad")
+    write_text(f"{scratch}/in/x.jsonl", lines)
+    led = ingest.ingest_jsonl(spark, f"{scratch}/store", f"{scratch}/in", 1, clock=CLOCK, mode="quarantine").first()
+    assert (led.seen, led.inserted, led.skipped, led.rejected) == (3000, 2001, 999, 1)
+    hot = ingest.read_jobs(spark, f"{scratch}/store").where(F.col("job_id") == "idhot").first()
+    assert hot.title == "copy 0" and hot.ord == 1
+    rej = ingest.read_rejects(spark, f"{scratch}/store").collect()
+    assert [(r.line_no, r.status) for r in rej] == [(3001, "malformed")]
