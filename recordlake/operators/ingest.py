@@ -19,12 +19,15 @@ Against the store it is a left-anti join on the key; when the batch's key
 count is within ``MAX_BROADCAST_KEYS`` the store's key column is probed
 against a broadcast of the batch keys (no shuffle of the store), otherwise
 both sides are shuffled on the key.
+
+The input is parsed and validated once, into the staged batch; failure
+statistics, first-wins and quarantine reads use that columnar copy, and the
+inserted count is an ``Observation`` on the jobs write itself.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession

@@ -3,11 +3,12 @@
 Input: ``(line_no, line)``. Output adds ``status`` (``blank``, ``malformed``,
 ``invalid`` or ``valid``), ``reason`` (the contract message, NULL if valid),
 ``message`` (the line-numbered diagnostic) and the typed, canonical record
-fields. All checks are one projection of built-in expressions, evaluated in
-the contract's order so the first failing check names the reason:
-object → private key → unknown keys → source → id, title, description, url →
-skills → posted_at, job_type, contractor_tier → hourly_min, hourly_max,
-fixed_amount → raw_id.
+fields. Each line is stripped and parsed once; the checks form one CASE
+chain of built-in expressions in the contract's order, so the first failing
+check names the reason: object → private key → unknown keys → source → id,
+title, description, url → skills → posted_at, job_type, contractor_tier →
+hourly_min, hourly_max, fixed_amount → raw_id. The chain is evaluated once
+per line as generator output, so filters on the verdict cannot copy it.
 """
 
 from __future__ import annotations
