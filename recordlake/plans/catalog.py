@@ -361,11 +361,13 @@ def q_redacted_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("collection_plan")
 def q_collection_plan(spark: SparkSession, sf: str) -> DataFrame:
-    nation = adapters.table(spark, sf, "nation")
-    text = F.when(F.col("n_nationkey") % 5 == 0, F.lit(" , , ")).otherwise(
-        F.concat(F.lit(" "), F.lower("n_name"), F.lit(" , ,"), F.col("n_name"), F.lit(" ")))
-    lists = nation.select("n_nationkey", text.alias("queries"))
-    return collection_plan(lists, "n_nationkey", "queries", max_pages=5, page_size=50)
+    """One configured query list per customer (market segment and name; every
+    fifth list is blank, i.e. the unfiltered default) × five pages."""
+    customer = adapters.table(spark, sf, "customer")
+    text = F.when(F.col("c_custkey") % 5 == 0, F.lit(" , , ")).otherwise(
+        F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit(" , ,"), F.col("c_name"), F.lit(" ")))
+    lists = customer.select("c_custkey", text.alias("queries"))
+    return collection_plan(lists, "c_custkey", "queries", max_pages=5, page_size=50)
 
 
 def _run_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -499,11 +499,11 @@ SELECT doc_id, red <> text AS changed, sha256(red) AS redacted_sha256,
             ELSE regexp_replace(left(st, 200), '\\s+$', '', 'g') || '...' END AS short_message
   FROM s""",
     "collection_plan": """WITH l AS (
-  SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN [] ELSE [lower(n_name), n_name] END AS items FROM nation),
+  SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE [lower(c_mktsegment), c_name] END AS items FROM customer),
 q AS (
-  SELECT n_nationkey, i - 1 AS query_pos, items[i] AS query FROM l, range(1, len(items) + 1) t(i)
-  UNION ALL SELECT n_nationkey, 0, NULL FROM l WHERE len(items) = 0)
-SELECT n_nationkey, CAST(query_pos AS INTEGER) AS query_pos, query, CAST(p AS INTEGER) AS page,
+  SELECT c_custkey, i - 1 AS query_pos, items[i] AS query FROM l, range(1, len(items) + 1) t(i)
+  UNION ALL SELECT c_custkey, 0, NULL FROM l WHERE len(items) = 0)
+SELECT c_custkey, CAST(query_pos AS INTEGER) AS query_pos, query, CAST(p AS INTEGER) AS page,
        CAST(p * 50 AS INTEGER) AS "offset", 50 AS count
   FROM q, range(0, 5) t(p)""",
     "run_totals": f"{RUNS} SELECT * FROM tot",
