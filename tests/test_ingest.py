@@ -89,3 +89,15 @@ def test_hot_key_a_third_of_lines(spark, scratch):
     assert hot.title == "copy 0" and hot.ord == 1
     rej = ingest.read_rejects(spark, f"{scratch}/store").collect()
     assert [(r.line_no, r.status) for r in rej] == [(3001, "malformed")]
+
+
+def test_store_reads_prune_batches_dynamically(spark, scratch):
+    """Readers join the committed-batch ledger on the partition column: the jobs
+    scan gets a dynamic partition-pruning filter instead of reading every batch."""
+    store = f"{scratch}/store"
+    for b in (1, 2):
+        write_text(f"{scratch}/b{b}/x.jsonl", [rec(b * 10 + i) for i in range(3)])
+        ingest.ingest_jsonl(spark, store, f"{scratch}/b{b}", b, clock=CLOCK)
+    plan = ingest.read_jobs(spark, store)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert ingest.read_jobs(spark, store).count() == 6
