@@ -15,17 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlake.operators import analytics, reads
-from recordlake.sources import adapters
-from recordlake.operators import control as C, ledger as L, quality as Q
-from recordlake.operators import ingest, validate as V
+from recordlake.operators import analytics, ingest, reads
+from recordlake.operators import control as C
+from recordlake.operators import ledger as L
 from recordlake.operators import normalize as N
+from recordlake.operators import quality as Q
+from recordlake.operators import validate as V
+from recordlake.sources import adapters
 from recordlake.plans import scheduled as SCH
 from recordlake.plans.collection import collection_plan
 from recordlake.session import scratch_dir
 from recordlake.sources import store as S
-from recordlake.sources.jsonl import read_lines
-from recordlake.sources.jsonl import read_whole_files
+from recordlake.sources.jsonl import read_lines, read_whole_files
 from recordlake.streaming import ingest_stream as R
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
