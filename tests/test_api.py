@@ -137,3 +137,10 @@ def test_end_to_end_worker_flow(spark, scratch):
     assert cfg["paused"] == "true" and cfg["queries"] == '["python"]'
     again = api.worker_tick(spark, root, landing, run_id="run-2", clock=CLOCK)
     assert again["ran"] is False  # paused, nothing queued
+
+
+def test_parse_queries_cli_form():
+    assert api.parse_queries(" python , scraping,automation , ") == ["python", "scraping", "automation"]
+    for bad in ("", ",", " , , "):
+        with pytest.raises(ValueError):
+            api.parse_queries(bad)
