@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,7 +114,9 @@ def enqueue(spark: SparkSession, root: str, command_type: str, payload: dict | N
     ensure_ready(spark, root)
     cid = command_id or uuid.uuid4().hex
     ts = I.second_clock(clock)
-    seq = int(ts.timestamp() * 1000)
+    # Event order within the same clock second: a nanosecond counter, so two
+    # commands queued back to back fold in the order they were queued.
+    seq = time.time_ns()
     row = (cid, seq, ts, "queued", command_type, json.dumps(payload), requested_by, None, None, None)
     spark.createDataFrame([row], COMMAND_EVENTS).write.mode("append").parquet(f"{root}/command_events")
     return {"ok": True, "command_id": cid, "status": "queued"}
