@@ -101,3 +101,22 @@ def test_store_reads_prune_batches_dynamically(spark, scratch):
     plan = ingest.read_jobs(spark, store)._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
     assert ingest.read_jobs(spark, store).count() == 6
+
+
+def test_anti_join_broadcasts_only_within_its_bound(spark):
+    cands = spark.createDataFrame([("a", 1), ("b", 2)], "job_id string, ord long")
+    store = spark.createDataFrame([("b",), ("c",)], "job_id string")
+    small = ingest.new_only(cands, store, candidate_bound=2)
+    big = ingest.new_only(cands, store, candidate_bound=ingest.MAX_BROADCAST_KEYS + 1)
+    splan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in splan and "LeftSemi" in splan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        bplan = big._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in bplan and "BroadcastExchange" not in bplan
+        assert [r.job_id for r in big.collect()] == ["a"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert [r.job_id for r in small.collect()] == ["a"]
