@@ -604,3 +604,26 @@ def q_get_missing_envelope(spark: SparkSession, sf: str) -> DataFrame:
     jobs, skills = adapters.jobs_store(spark, sf)
     env = reads.get_envelope(reads.get(jobs, skills, "no-such-job"), "no-such-job")
     return env.select("ok", "error", "job_id")
+
+
+# ------------------------------------------------- reads on an ingested store
+
+
+def _store_page(df: DataFrame) -> DataFrame:
+    return flat(df.select("job_id", "title", "url", "skills", "hourly_min", "fixed_amount", "raw_id",
+                          "first_seen_at"))
+
+
+@register("store_recent")
+def q_store_recent(spark: SparkSession, sf: str) -> DataFrame:
+    """O1/J2 on a real Parquet store: key-column top-k, then key-pruned row and skill fetch."""
+    root = _single_batch_store(spark, sf)
+    return _store_page(reads.recent(ingest.read_jobs(spark, root), ingest.read_job_skills(spark, root), 20))
+
+
+@register("store_search")
+def q_store_search(spark: SparkSession, sf: str) -> DataFrame:
+    """O2/F1–F3/J1 on a real Parquet store."""
+    root = _single_batch_store(spark, sf)
+    return _store_page(reads.search(ingest.read_jobs(spark, root), ingest.read_job_skills(spark, root),
+                                    title="the", skill=" EN ", limit=20))

@@ -617,3 +617,23 @@ bad AS (
 SELECT (SELECT count(*) FROM v) AS seen, (SELECT count(*) FROM bad) AS rejected,
        (SELECT arg_min(message, line_no) FROM bad) AS first_error""",
 })
+
+
+# ------------------------------------------------- reads on an ingested store
+
+
+def _store_page(where: str) -> str:
+    return f"""{RAW},
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY line_no) AS rn FROM v) x WHERE rn = 1),
+page AS (SELECT w.* FROM w JOIN cks USING (line_no) {where} ORDER BY rid LIMIT 20)
+SELECT p.rid AS job_id, p.title_s AS title, '{URL_PREFIX}' || p.rid AS url, c.skills, p.hourly_min, p.fixed_amount,
+       CAST(p.doc_id AS VARCHAR) AS raw_id, '2024-01-01T00:00:00Z' AS first_seen_at
+  FROM page p JOIN (SELECT line_no, string_agg(skill, ',' ORDER BY skill) AS skills FROM ck GROUP BY line_no) c
+       USING (line_no)"""
+
+
+ORACLE.update({
+    "store_recent": _store_page(""),
+    "store_search": _store_page(
+        "WHERE lower(w.title_s) LIKE '%the%' AND EXISTS (SELECT 1 FROM ck WHERE ck.line_no = w.line_no AND ck.skill = 'en')"),
+})
