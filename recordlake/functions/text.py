@@ -7,6 +7,8 @@ information separators U+001C..U+001F, so the class below adds those.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,6 +111,22 @@ def truthy_setting(c: Column | str) -> Column:
     )
 
 
+def second_clock(clock: dt.datetime | None = None) -> dt.datetime:
+    """The given batch clock (naive means UTC) or the wall clock, as an
+    aware UTC datetime at second precision. Aware values convert to Spark
+    timestamps without depending on the process's local time zone."""
+    now = clock or dt.datetime.now(dt.UTC)
+    if now.tzinfo is None:
+        now = now.replace(tzinfo=dt.UTC)
+    return now.astimezone(dt.UTC).replace(microsecond=0)
+
+
+def clock_literal(clock: dt.datetime) -> Column:
+    """A timestamp literal for a clock, parsed from UTC text in the session time
+    zone (UTC, see ``session.configure``) rather than from a local-time object."""
+    return F.to_timestamp(F.lit(second_clock(clock).strftime("%Y-%m-%d %H:%M:%S")))
+
+
 def iso_utc(c: Column | str) -> Column:
     """Render a timestamp as ISO-8601 UTC text with second precision and ``Z``."""
     return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")

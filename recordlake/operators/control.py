@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlake.functions import jsonx as J
-from recordlake.functions.text import iso_utc, py_strip
+from recordlake.functions.text import clock_literal, iso_utc, py_strip
 from recordlake.operators.reads import validate_limit
 from recordlake.schemas import COMMAND_STATUSES, COMMAND_TYPES, CONFIG_KEYS, TERMINAL_STATUSES
 
@@ -218,7 +218,7 @@ def drain_events(state: DataFrame, clock_ts) -> DataFrame:
         F.when(bad_shape, F.lit("update_config payload must be an object"))
         .when(F.col("command_type") == "update_config", F.try_element_at(errs, F.lit(1)))
     )
-    ts = F.lit(clock_ts).cast("timestamp")
+    ts = clock_literal(clock_ts)
     return queued.select(
         "command_id", (F.col("_applied_seq") + 1).alias("seq"), ts.alias("ts"),
         F.when(err.isNull(), "applied").otherwise("failed").alias("status"),

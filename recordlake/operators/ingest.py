@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordlake.functions.text import clock_literal, second_clock
 from recordlake.operators.validate import RecordValidationError, first_failure, validate
 from recordlake.schemas import DEFAULT_SOURCE, JOBS
 from recordlake.session import configure, path_exists
@@ -62,14 +63,6 @@ RECORD_OUT = ("job_id", "source", "title", "description", "url", "skills", "post
               "contractor_tier", "hourly_min", "hourly_max", "fixed_amount", "raw_id")
 
 
-def second_clock(clock: dt.datetime | None = None) -> dt.datetime:
-    """UTC wall clock (or the given batch clock) at second precision."""
-    now = clock or dt.datetime.now(dt.UTC)
-    if now.tzinfo is None:
-        now = now.replace(tzinfo=dt.UTC)
-    return now.astimezone(dt.UTC).replace(microsecond=0, tzinfo=None)
-
-
 def _table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame | None:
     path = f"{root}/{name}"
     if not path_exists(spark, path):
@@ -140,7 +133,7 @@ def plan_new_records(valid: DataFrame, existing: DataFrame | None, clock: dt.dat
     """K1+S10: the store rows a batch would insert (first per key, absent from store)."""
     firsts = first_per_key(valid.select(*RECORD_OUT, "content_hash", "ord"))
     fresh = new_only(firsts, existing, candidate_bound=candidate_bound)
-    ts = F.lit(second_clock(clock)).cast("timestamp")
+    ts = clock_literal(clock)
     return fresh.select(
         *[c for c in JOBS.fieldNames() if c not in ("first_seen_at", "created_at")],
         ts.alias("first_seen_at"), ts.alias("created_at"), "skills", "ord",
