@@ -29,8 +29,14 @@ def local(path: str) -> str:
 
 
 def write_text(path: str, lines: list[str]) -> str:
+    """Land a text file atomically: write a hidden temp file (Spark skips names
+    starting with '.'), then rename it, so a running file stream never lists a
+    half-written file."""
     path = local(path)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
+    folder = os.path.dirname(path)
+    os.makedirs(folder, exist_ok=True)
+    tmp = os.path.join(folder, "." + os.path.basename(path) + ".tmp")
+    with open(tmp, "w", encoding="utf-8") as f:
         f.write("\n".join(lines) + "\n")
+    os.replace(tmp, path)
     return path
