@@ -144,3 +144,20 @@ def test_parse_queries_cli_form():
     for bad in ("", ",", " , , "):
         with pytest.raises(ValueError):
             api.parse_queries(bad)
+
+
+def test_input_and_command_contracts(spark, scratch):
+    from recordlake.sources.jsonl import InputPathError
+
+    with pytest.raises(InputPathError, match="fixture path is missing or unreadable"):
+        api.collect_fixture(spark, f"{scratch}/no-such-fixture.json")
+    root = f"{scratch}/store"
+    _ready_store(spark, root)
+    with pytest.raises(ValueError, match="unsupported command type: reboot"):
+        api.enqueue(spark, root, "reboot")
+    with pytest.raises(ValueError, match="unsupported config keys: colour"):
+        api.update_config(spark, root, {"colour": "red"})
+    with pytest.raises(ValueError, match="limit must be <= 100"):
+        api.analytics(spark, root, "jobs", limit=101)
+    with pytest.raises(ValueError, match="unknown analytics query: nope"):
+        api.analytics(spark, root, "nope")
