@@ -17,7 +17,7 @@ from check_oracle import TABLES, digest  # noqa: E402
 
 SUBSET = ("summary", "search_both", "validate_reasons", "ingest_skill_frequency", "normalize_records",
           "attempt_rollup", "redacted_text", "run_current_state", "config_after_commands", "status_document")
-NAMES = sorted(E.queries()) if os.environ.get("RECORDLAKE_FULL_ORACLE") else SUBSET
+NAMES = sorted(E.oracle_sql()) if os.environ.get("RECORDLAKE_FULL_ORACLE") else SUBSET
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
@@ -51,3 +51,9 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["skill", "count"] and df.count() > 0
+
+
+def test_rows_only_readiness_verdicts(spark):
+    rows = {r.store: r.reason for r in E.queries()["readiness_verdict"](spark, SF).collect()}
+    assert rows == {"missing": "db_missing", "partial": "schema_missing", "full": "ready",
+                    "newer": "unsupported_schema"}
