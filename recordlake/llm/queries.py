@@ -48,3 +48,30 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordlake.llm.bpe_codec import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digests=True)
+
+
+@register("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to WARC archives in the shared folder and reads them back."""
+    from recordlake.llm.warc import read_archives, write_archives
+    from recordlake.session import scratch_dir
+
+    path = write_archives(table(spark, sf_dir, "pages"), f"{scratch_dir(spark, 'warc')}/archives")
+    return read_archives(spark, path, payloads=False).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLE["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS leader FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> leader THEN leader END AS refers_to
+FROM g
+"""
