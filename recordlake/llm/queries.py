@@ -75,3 +75,24 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> leader THEN leader END AS refers_to
 FROM g
 """
+
+
+@register("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; fitted on labels outside the held-out fold."""
+    from recordlake.llm.quality_classifier import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(crc_fold() != 0))
+    return score(docs, model).select("doc_id", (crc_fold() == 0).alias("held_out"), "score",
+                                     (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; learned from those outside the held-out fold."""
+    from recordlake.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs.where(crc_fold() != 0))).select(
+        "doc_id", (crc_fold() == 0).alias("held_out"), "lang_pred", "score")
