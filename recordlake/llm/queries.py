@@ -96,3 +96,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs.where(crc_fold() != 0))).select(
         "doc_id", (crc_fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+@register("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and weakly supervised verdict for every document."""
+    from recordlake.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
