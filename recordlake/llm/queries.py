@@ -104,3 +104,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordlake.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"))
+
+
+@register("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    import public_tokenizers
+
+    from recordlake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
