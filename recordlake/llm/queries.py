@@ -114,3 +114,32 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@register("op1_embedding_near_dedup")
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels at cosine 0.93."""
+    from recordlake.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op1_embedding_near_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), u AS (
+  SELECT * FROM e
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x : x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(vec_id, via) AS (
+  SELECT vec_id, vec_id FROM e
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.via
+), root AS (SELECT vec_id, min(via) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN root USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
