@@ -143,3 +143,35 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
 SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM e JOIN root USING (vec_id) LEFT JOIN n USING (vec_id)
 """
+
+
+@register("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at 85 % similarity of their five-word shingles."""
+    from recordlake.llm.minhash_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+#: The sets as DuckDB lists; a link needs a common shingle, so pairs come from the shingles' postings.
+ORACLE["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i + 4], ' '))) END AS g FROM d
+), u AS (
+  SELECT g, min(doc_id) AS rep, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s) WHERE len(g) > 0 GROUP BY g
+), p AS (SELECT rep, n, unnest(g) AS x FROM u
+), link AS (
+  SELECT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.x = b.x AND a.rep <> b.rep
+   AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(rep, via) AS (
+  SELECT rep, rep FROM u UNION SELECT r.rep, l.b FROM reach r JOIN link l ON l.a = r.via
+), root AS (SELECT rep, min(via) AS component_id FROM reach GROUP BY rep)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(root.component_id, s.doc_id) AS component_id,
+       coalesce(root.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN u ON u.g = list_sort(s.g) LEFT JOIN root USING (rep)
+"""
