@@ -175,3 +175,13 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(root.component_id, s.d
        coalesce(root.component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN u ON u.g = list_sort(s.g) LEFT JOIN root USING (rep)
 """
+
+
+@register("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that all documents share, at similarity 0.8."""
+    from recordlake.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "start_word", "end_word", F.col("ref").alias("ref_doc_id"), "ref_start_word",
+        "ref_end_word", "similarity")
