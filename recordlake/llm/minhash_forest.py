@@ -228,6 +228,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that ``near_duplicates`` (``found``) keeps, with their columns: one of each
+    component. Of rows that repeat an id the smallest (by all columns) stays; null ids stay."""
+    dropped = found.where(~F.col("kept")).select(id_col).distinct()
+    left = docs.join(dropped, id_col, "left_anti")
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = (left.join(again, id_col, "left_semi").groupBy(id_col)
+            .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*"))
+    return left.join(again, id_col, "left_anti").select(*docs.columns).union(once)
+
+
 def _candidate_edges(trees: DataFrame, percent: int, kept) -> DataFrame:
     """Edges between documents of a region with well-agreeing sketches; at most one per document and region."""
     rows = trees.withColumn("region", F.col(f"p{DEPTHS[0]}")).withColumn("part", F.lit(0))

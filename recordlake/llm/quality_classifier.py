@@ -193,3 +193,26 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double"
     return texts.map_rows(docs, [id_col, text_col], _Score(model), schema)
+
+
+@dataclass(frozen=True)
+class _Keep:
+    model: Trees
+    threshold: float
+
+    def __call__(self):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            good = self.model.score(features(batch.column(batch.num_columns - 1))) >= self.threshold
+            return batch.select(list(range(batch.num_columns - 1))).filter(pa.array(good))
+
+        return work
+
+
+def accepted(docs: DataFrame, model: Trees, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents whose score reaches ``threshold``, with all their columns; row by row, no shuffle."""
+    ship(docs.sparkSession)
+    columns = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
+    rows = docs.select(*columns, F.col(text_col).cast("string").alias("text"))
+    out = texts.map_rows(rows, rows.columns, _Keep(model, threshold), ", ".join(f"c{k} {t}" for k, t in enumerate(kinds)))
+    return out.toDF(*docs.columns)

@@ -29,16 +29,19 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """Per row: id, the base counts and those that the rules need (all long). Null text has no words.
+    With ``whole_rows`` the first column is not the id but ``_row``, a struct of all columns.
 
     Repeated words are those in windows of eight words that occur twice or more
     in the text. A text whose windows are all different (by their 64-bit
     hashes) is done with that; only others are sorted by window.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row") if whole_rows else F.col(id_col)
+    id_col = "_row" if whole_rows else id_col
     split = docs.select(
-        F.col(id_col), text.alias("text"),
+        first, text.alias("text"),
         F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda line: F.translate(line, WHITE, "") != "").alias("lines"))
     n = F.size("words")
@@ -149,14 +152,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     through row by row; other columns are not read. The counts are written
     once to the shared folder, and votes are read from there.
     """
-    spark = docs.sparkSession
-    path = f"{scratch_dir(spark, 'rules')}"
-    statistics(docs, id_col, text_col).write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
+    return _judged(statistics(docs, id_col, text_col)).select(
+        id_col, *BASE, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+
+
+def accepted(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. They are written once, with their
+    counts, to the shared folder, so the counts are not taken twice."""
+    judged = _judged(statistics(docs, text_col=text_col, whole_rows=True))
+    return judged.where(~F.col("base_failed") & (F.col("quality") >= threshold)).select("_row.*")
+
+
+def _judged(counted: DataFrame) -> DataFrame:
+    spark = counted.sparkSession
+    path = scratch_dir(spark, "rules")
+    counted.write.parquet(f"{path}/counts")
     votes = {f"vote_{k}": v.cast("int") for k, v in rules().items()}
-    judged = counts.withColumns(votes)
+    judged = spark.read.parquet(f"{path}/counts").withColumns(votes)
     judged.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/patterns")
     accuracy = estimate(spark.read.parquet(f"{path}/patterns"), list(rules()))
-    return (judged.withColumn("base_failed", base_failed()).withColumn("quality", posterior(accuracy))
-            .select(id_col, *BASE, "base_failed", "quality",
-                    (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept")))
+    return judged.withColumn("base_failed", base_failed()).withColumn("quality", posterior(accuracy))
