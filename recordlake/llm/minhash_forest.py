@@ -5,8 +5,8 @@ with a long common prefix in some order are candidates. The depth adapts to
 the region: a prefix of ``shallow`` values is enough where few documents share
 it, and where many do the prefix is taken deeper until few are left. So regions
 stay small, and those that are still large at full depth (texts almost alike)
-are cut into parts, each of which also meets the pivots, the smallest documents
-of the region at every depth.
+are cut into parts. Deeper regions and parts also meet the pivot, the smallest
+document of the shallow region.
 
 Candidates whose signatures agree well enough join a candidate group, and
 within a group links are confirmed on full shingle sets. Large groups are cut
@@ -81,7 +81,7 @@ class _Sign:
 
 @dataclass(frozen=True)
 class _Trees:
-    """One row per tree: the prefixes' hashes, and a byte of every second value as a sketch."""
+    """One row per tree: the hashes of the prefixes."""
 
     def __call__(self, batches):
         for whole in batches:
@@ -89,7 +89,6 @@ class _Trees:
                 batch = whole.slice(a, 2048)
                 n = batch.num_rows
                 values = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(1)])
-                sketch = pa.array([r.tobytes() for r in values[:, ::2].astype(np.uint8)], pa.binary())
                 parts = values.reshape(n, TREES, DEPTH).astype(np.uint64)
                 hashed = np.broadcast_to(np.arange(TREES, dtype=np.uint64)[None, :] + np.uint64(1), (n, TREES))
                 at = {}
@@ -98,8 +97,18 @@ class _Trees:
                     at[d + 1] = hashed
                 take = pa.array(np.repeat(np.arange(n), TREES))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), *(pa.array(at[d].ravel().view(np.int64)) for d in DEPTHS), sketch.take(take)],
-                    ["id", *(f"p{d}" for d in DEPTHS), "sketch"])
+                    [batch.column(0).take(take), *(pa.array(at[d].ravel().view(np.int64)) for d in DEPTHS)],
+                    ["id", *(f"p{d}" for d in DEPTHS)])
+
+
+@dataclass(frozen=True)
+class _Sketches:
+    """A byte of every second value of the signature."""
+
+    def __call__(self, batches):
+        for batch in batches:
+            made = [np.frombuffer(v.as_buffer(), np.uint32)[::2].astype(np.uint8).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "sketch"])
 
 
 @dataclass(frozen=True)
@@ -217,8 +226,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
                 .select(F.col("id").alias("a"), F.col("rep").alias("b")), "same")
     # One document per set; the others hang on it.
     alone = usable.join(copies, ["f1", "f2"], "left").where("rep is null or rep = id").select("id", "signature")
-    trees = kept(alone.mapInArrow(_Trees(), "id long, p4 long, p6 long, p8 long, sketch binary"), "trees")
-    groups = connected_components(_candidate_edges(trees, percent, kept).union(same))
+    alone = kept(alone, "alone")
+    trees = kept(alone.mapInArrow(_Trees(), "id long, p4 long, p6 long, p8 long"), "trees")
+    sketches = alone.mapInArrow(_Sketches(), "id long, sketch binary")
+    groups = connected_components(_candidate_edges(trees, sketches, percent, kept).union(same))
     groups = kept(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "groups")
     links = _confirm(source, groups, same, percent, words, kept)
     found = connected_components(links.union(same))
@@ -241,44 +252,32 @@ def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") ->
     return left.join(again, id_col, "left_anti").select(*docs.columns).union(once)
 
 
-def _candidate_edges(trees: DataFrame, percent: int, kept) -> DataFrame:
+def _candidate_edges(trees: DataFrame, sketches: DataFrame, percent: int, kept) -> DataFrame:
     """Edges between documents of a region with well-agreeing sketches; at most one per document and region."""
-    rows = trees.withColumn("region", F.col(f"p{DEPTHS[0]}")).withColumn("part", F.lit(0))
-    extra = None
+    current = trees.withColumn("region", F.col(f"p{DEPTHS[0]}")).withColumn("pivot", F.lit(None).cast("long"))
+    done = []
     for at, depth in enumerate(DEPTHS):
-        large = kept(rows.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("id", "sketch")).alias("pivot"))
-                     .where(F.col("size") > REGION), f"large{depth}")
+        sizes = kept(current.groupBy("region").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+                     .where("size > 1"), f"sizes{depth}")
+        # Alone in a region: no candidate, but for the pivot of the shallower region.
+        sized = kept(current.join(sizes, "region", "left" if at else "inner"), f"sized{depth}")
+        large = sized.where(F.col("size") > REGION)
+        done.append(sized.where(F.coalesce("size", F.lit(1)) <= REGION).select("region", F.lit(0).alias("part"), "id", "pivot"))
         if large.isEmpty():
             break
-        marked = rows.join(large, "region", "left")
-        last = at == len(DEPTHS) - 1
-        parts = F.ceil(F.col("size") / (REGION // 2)).cast("int")
-        # Deeper where it is crowded; what is crowded at full depth is cut. Each document of
-        # a crowded region meets the region's pivot besides.
-        key = F.col("region") if last else F.xxhash64(F.col(f"p{DEPTHS[min(at + 1, len(DEPTHS) - 1)]}"))
-        deeper = marked.withColumn("part", F.when(F.col("size").isNotNull() & F.lit(last), F.pmod(F.xxhash64("id"), parts))
-                                   .otherwise(F.col("part")).cast("int"))
-        met = marked.where("size is not null and id <> pivot.id").select(
-            F.col("id").alias("a"), F.col("pivot.id").alias("b"), "sketch", F.col("pivot.sketch").alias("other"))
-        extra = met if extra is None else extra.union(met)
-        rows = kept(deeper.select(*trees.columns, F.when(F.col("size").isNotNull(), key).otherwise(F.col("region")).alias("region"),
-                                  "part"), f"rows{depth}")
+        pivot = F.coalesce("pivot", "least").alias("pivot")
+        if at == len(DEPTHS) - 1:  # crowded at full depth
+            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (REGION // 2))).cast("int").alias("part")
+            done.append(large.select("region", part, "id", pivot))
+        else:
+            current = large.select(*trees.columns, F.xxhash64(F.col(f"p{DEPTHS[at + 1]}")).alias("region"), pivot)
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.union(more)
+    pivots = rows.where("pivot is not null and pivot <> id").select("region", "part", F.col("pivot").alias("id")).distinct()
+    rows = rows.select("region", "part", "id").union(pivots).join(sketches, "id")
     share = max(0.0, percent / 100 - 0.19)  # four standard deviations of the sketch's agreement
-    edges = grouped(rows.select("region", "part", "id", "sketch"), ["region", "part"], _Candidates(share), "a long, b long")
-    if extra is not None:
-        edges = edges.union(extra.mapInArrow(_Agree(share), "a long, b long"))
-    return kept(edges.distinct(), "candidates")
-
-
-@dataclass(frozen=True)
-class _Agree:
-    share: float
-
-    def __call__(self, batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(k)]) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).mean(1) >= self.share))
+    return kept(grouped(rows, ["region", "part"], _Candidates(share), "a long, b long").where("a <> b").distinct(), "candidates")
 
 
 def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int, words: int, kept) -> DataFrame:
