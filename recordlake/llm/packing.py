@@ -77,66 +77,82 @@ def dominated(a: Filling, b: Filling) -> bool:
     return a != b
 
 
-def completions(counts: dict[int, int], sizes: list[int], room: int, most: int = 6, nodes: int = 3000) -> list[Filling]:
+class Effort:
+    """Steps that the search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def completions(counts: dict[int, int], sizes: list[int], room: int, effort: Effort, most: int = 6, steps: int = 2000) -> list[Filling]:
     """Undominated fillings of ``room`` from the remaining pieces, the fullest first; those that
-    leave room for another piece are dominated and not listed. The search stops after ``nodes`` steps."""
+    leave room for another piece are dominated and not listed. The search ends with ``most`` exact
+    fillings or after ``steps``."""
     found: list[Filling] = []
+    exact = 0
+    stop = effort.left - steps
     smallest = sizes[-1] if sizes else room + 1
-    budget = nodes
 
-    def extend(at: int, left: int, chosen: list[int]) -> None:
-        nonlocal budget
-        budget -= 1
-        if left < smallest or at == len(sizes):
-            found.append(tuple(chosen))
+    def extend(at: int, left: int, chosen: Filling) -> None:
+        nonlocal exact
+        effort.left -= 1
+        if left < smallest:
+            found.append(chosen)
+            exact += not left
             return
+        # Sizes descend: skip those that are too large.
+        low, high = at, len(sizes)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if sizes[middle] > left else (low, middle)
         fitted = False
-        for k in range(at, len(sizes)):
+        for k in range(low, len(sizes)):
             size = sizes[k]
-            if size > left or counts[size] <= chosen.count(size):
-                continue
-            fitted = True
-            chosen.append(size)
-            extend(k, left - size, chosen)
-            chosen.pop()
-            if budget <= 0 or sum(sum(f) == room for f in found) >= most:
-                return
+            if counts[size] > chosen.count(size):
+                fitted = True
+                extend(k, left - size, (*chosen, size))
+                if effort.left <= stop or exact >= most:
+                    return
         if not fitted:
-            found.append(tuple(chosen))
+            found.append(chosen)
 
-    extend(0, room, [])
-    ranked = sorted(set(found), key=lambda f: (-sum(f), tuple(-s for s in f)))[:4 * most]
+    extend(0, room, ())
+    ranked = sorted(set(found), key=lambda f: (-sum(f), tuple(-s for s in f)))[:3 * most]
     kept: list[Filling] = []
     for f in ranked:
-        if not any(dominated(f, g) for g in kept):
+        if len(kept) < most and not any(dominated(f, g) for g in kept):
             kept.append(f)
-    return kept[:most]
+    return kept
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 400) -> list[tuple[Filling, int]]:
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 1_500_000) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used; every piece is used exactly once.
 
     Best fit is the incumbent. Depth-first, the largest remaining piece is
     completed in every undominated way, the fullest first, as often as its
     pieces last. A branch is left as soon as its sequences and the bound on
-    the rest's waste cannot beat the incumbent; the search ends at the lower
-    bound or after ``nodes`` leaves and cut-offs.
+    the rest's waste cannot beat the incumbent. The search ends at the lower
+    bound, when all is searched, or after ``steps``; the best packing so far is
+    the result.
     """
     counts = {s: c for s, c in counts.items() if c}
     incumbent = best_fit(counts, capacity)
     best = sum(n for _, n in incumbent)
     bound = lower_bound(counts, capacity)
     left = dict(counts)
+    order = sorted(left, reverse=True)
     total = sum(s * c for s, c in left.items())
+    effort = Effort(steps)
     used: list[tuple[Filling, int]] = []
     choices: list[list[Filling]] = []
     bins = 0
-    while best > bound and nodes > 0:
-        sizes = sorted((s for s, c in left.items() if c), reverse=True)
+    while best > bound and effort.left > 0:
+        sizes = [s for s in order if left[s]]
+        effort.left -= len(order) // 8
         if not sizes or bins + -(-total // capacity) >= best:
-            nodes -= 1
             if not sizes and bins < best:
                 incumbent, best = list(used), bins
+            # Back to the last piece with another filling.
             while used:
                 filling, n = used.pop()
                 for s in filling:
@@ -152,7 +168,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 400) -> l
             largest = sizes[0]
             left[largest] -= 1
             fits = [s for s in sizes if s <= capacity - largest and left[s]]
-            options = completions(left, fits, capacity - largest)
+            options = completions(left, fits, capacity - largest, effort)
             left[largest] += 1
             choices.append([(largest, *f) for f in reversed(options)])
         filling = choices[-1].pop()
