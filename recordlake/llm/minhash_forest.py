@@ -11,8 +11,9 @@ document of the shallow region.
 Candidates whose signatures agree well enough join a candidate group, and
 within a group links are confirmed on full shingle sets. Large groups are cut
 into parts that share some pivots; what is then not yet connected with the
-group's largest component is compared with every part, so that nothing a group
-holds is left uncompared.
+group's largest component is compared with every part by bit tables that bound
+what two sets can share, and pairs that may link are confirmed on the sets; so
+nothing a group holds is left uncompared.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlake.llm import texts
@@ -157,17 +158,13 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 @dataclass(frozen=True)
 class _Confirm:
-    """A spanning forest of the true links of each part of a candidate group.
-
-    Rows are compared unless they are already connected; with ``every`` false,
-    only rows with a mark and rows without are compared with each other.
-    """
+    """A spanning forest of the true links of each part of a candidate group; rows are compared
+    unless they are already connected."""
 
     percent: int
-    every: bool
 
     def __call__(self, table: pa.Table, starts: np.ndarray) -> pa.Table | None:
-        ids, data, marks = table.column("id").to_numpy(), table.column("s").chunk(0), table.column("mark").to_numpy(zero_copy_only=False)
+        ids, data = table.column("id").to_numpy(), table.column("s").chunk(0)
         one, other = [], []
         for k in np.flatnonzero(np.diff(starts) > 1):
             a, z = int(starts[k]), int(starts[k + 1])
@@ -178,8 +175,7 @@ class _Confirm:
                 rest = []
                 for part in parts:
                     # The newest first: near copies sort next to each other.
-                    if any((self.every or marks[a + i] != marks[a + j]) and ids[a + i] != ids[a + j]
-                           and alike(sets[i], sets[j], self.percent) for j in reversed(part)):
+                    if any(ids[a + i] != ids[a + j] and alike(sets[i], sets[j], self.percent) for j in reversed(part)):
                         joined = part + joined
                     else:
                         rest.append(part)
@@ -226,7 +222,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
                 .select(F.col("id").alias("a"), F.col("rep").alias("b")), "same")
     # One document per set; the others hang on it.
     alone = usable.join(copies, ["f1", "f2"], "left").where("rep is null or rep = id").select("id", "signature")
-    alone = kept(alone, "alone")
     trees = kept(alone.mapInArrow(_Trees(), "id long, p4 long, p6 long, p8 long"), "trees")
     sketches = alone.mapInArrow(_Sketches(), "id long, sketch binary")
     groups = connected_components(_candidate_edges(trees, sketches, percent, kept).union(same))
@@ -294,16 +289,16 @@ def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int
     sets = kept(texts.map_rows(texts_of, ["id", "g", "parts", "text"], _Sets(words), "id long, g long, parts int, s binary"), "sets")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     pivots = None
-    first = sets.select("g", part.alias("part"), "id", "s", F.lit(True).alias("mark"))
+    first = sets.select("g", part.alias("part"), "id", "s")
     if not large.isEmpty():
         # The pivots, some documents of each large group, meet every part of it.
-        rank = F.row_number().over(_window())
-        chosen = sets.where("parts > 1").select("g", "id", "parts").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-        pivots = kept(sets.join(chosen.select("g", "id"), ["g", "id"], "left_semi"), "pivots")
-        first = first.union(pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "s",
-                                          F.lit(True).alias("mark")))
+        names = sets.where("parts > 1").select("g", "id")
+        chosen = [names.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+                  .where(F.col("rank") <= PIVOTS // 2).drop("rank") for order in (["id"], [F.xxhash64("id"), "id"])]
+        pivots = kept(sets.join(chosen[0].union(chosen[1]), ["g", "id"], "left_semi"), "pivots")
+        first = first.union(pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "s"))
     schema = "a long, b long"
-    links = kept(grouped(first, ["g", "part"], _Confirm(percent, True), schema, ("id",)), "links")
+    links = kept(grouped(first, ["g", "part"], _Confirm(percent), schema, ("id",)), "links")
     if pivots is None:
         return links
     # In large groups: what the largest component doesn't hold is compared with every part.
@@ -315,16 +310,82 @@ def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int
     if rest.isEmpty():
         return links
     blocks = kept(rest.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
-    concerned = sets.where("parts > 1").join(blocks, "g").select("g", "id", "s", part.alias("part"), "parts", "blocks")
+    state = labelled.select("id", "c").join(rest.select("id", F.lit(True).alias("open")), "id", "left")
+    bits = kept(sets.where("parts > 1").join(blocks, "g").select("id", "g", "parts", "blocks", "s")
+                .mapInArrow(_Bits(), "id long, g long, parts int, blocks int, n long, bits binary")
+                .join(state, "id").withColumn("open", F.coalesce("open", F.lit(False))), "bits")
     block = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("blocks")).cast("int")
-    every = concerned.select("g", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "s",
-                             F.lit(False).alias("mark"))
-    moved = concerned.join(rest.select("id"), "id", "left_semi").select(
-        "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"), "id", "s", F.lit(True).alias("mark"))
-    return links.union(kept(grouped(every.union(moved), ["g", "part", "block"], _Confirm(percent, False), schema, ("id",)), "more"))
+    every = bits.select("g", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                        "id", "c", "n", "bits", F.lit(False).alias("mark"))
+    moved = bits.where("open").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"),
+                                      "id", "c", "n", "bits", F.lit(True).alias("mark"))
+    pairs = kept(grouped(every.union(moved), ["g", "part", "block"], _Bound(percent), schema).distinct(), "pairs")
+    own = sets.select("id", "s")
+    both = pairs.join(own.withColumnRenamed("id", "a"), "a").withColumnRenamed("s", "x").join(own.withColumnRenamed("id", "b"), "b")
+    return links.union(kept(both.select("a", "b", "x", "s").mapInArrow(_Alike(percent), schema), "more"))
+
+
+@dataclass(frozen=True)
+class _Bits:
+    """The parity of how many of a set's elements fall on each of 4 to 8 bits per element."""
+
+    def __call__(self, batches):
+        for batch in batches:
+            made, sizes = [], []
+            for v in batch.column(4):
+                x = np.frombuffer(v.as_buffer(), np.uint64)
+                m = max(64, 1 << int(4 * len(x) - 1).bit_length())
+                parity = np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
+                made.append(np.packbits(parity, bitorder="little").tobytes())
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())],
+                                             ["id", "g", "parts", "blocks", "n", "bits"])
+
 
+@dataclass(frozen=True)
+class _Bound:
+    """Pairs (marked and not, of different components) whose sets may link: two sets differ in as many
+    elements, at least, as their parities differ in bits, and that bounds what they share."""
 
-def _window():
-    from pyspark.sql import Window
+    percent: int
 
-    return Window.partitionBy("g").orderBy(F.xxhash64("id"), "id")
+    def __call__(self, table: pa.Table, starts: np.ndarray) -> pa.Table | None:
+        ids, comp, n = (table.column(c).to_numpy() for c in ("id", "c", "n"))
+        mark, bits = table.column("mark").to_numpy(zero_copy_only=False), table.column("bits").chunk(0)
+        one, other = [], []
+        for a, z in zip(starts, starts[1:]):
+            rows = np.arange(a, z)
+            open_, rest = rows[mark[a:z]], rows[~mark[a:z]]
+            if not len(open_) or not len(rest):
+                continue
+            words = {i: np.frombuffer(bits[i].as_buffer(), np.uint64) for i in rows.tolist()}
+            by_size = {m: [i for i in rest.tolist() if len(words[i]) == m] for m in {len(words[i]) for i in rest.tolist()}}
+            stacked = {m: np.stack([words[i] for i in own]) for m, own in by_size.items()}
+            for i in open_.tolist():
+                for m, own in by_size.items():
+                    x, y = words[i], stacked[m]
+                    while len(x) > m:  # a table of half the size is the parity of both halves
+                        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                    while y.shape[1] > len(x):
+                        y = y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+                    at = np.array(own)
+                    total = n[i] + n[at]
+                    shared = np.minimum((total - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2, np.minimum(n[i], n[at]))
+                    hit = at[(100 * shared >= self.percent * (total - shared)) & (comp[at] != comp[i])]
+                    one.append(np.minimum(ids[hit], ids[i]))
+                    other.append(np.maximum(ids[hit], ids[i]))
+        if not one:
+            return None
+        return pa.table({"a": np.concatenate(one), "b": np.concatenate(other)})
+
+
+@dataclass(frozen=True)
+class _Alike:
+    percent: int
+
+    def __call__(self, batches):
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            hit = [alike(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), self.percent)
+                   for p, q in zip(x, y)]
+            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
