@@ -24,8 +24,13 @@ from recordlake.operators import reads as R
 from recordlake.plans import scheduled as SCH
 from recordlake.schemas import COMMAND_EVENTS, COMMAND_TYPES, CONFIG_EVENTS
 from recordlake.sources import store as S
+from recordlake.functions.text import comma_list
+from recordlake.session import delete_path
 from recordlake.sources.jsonl import read_whole_files, write_lines
 
+# Fixed value: the command line's diagnostic.
+MSG_NO_QUERIES = "--queries must contain at least one query"
+
 
 class NotReadyError(RuntimeError):
     def __init__(self, verdict: dict):
@@ -74,7 +79,7 @@ def get(spark: SparkSession, root: str, job_id: str) -> DataFrame:
 
 def analytics(spark: SparkSession, root: str, name: str, skill: str | None = None, title: str | None = None,
               limit: int | None = None) -> DataFrame:
-    jobs, skills = I.read_jobs(spark, root), I.read_job_skills(spark, root)
+    jobs, skills = _jobs(spark, root)
     return A.run_query(spark, name, jobs, skills, skill=skill, title=title, limit=limit)
 
 
@@ -84,7 +89,8 @@ def _log(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     path = f"{root}/{name}"
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.dropDuplicates(["command_id", "seq", "status"]) if schema is COMMAND_EVENTS else rows
 
 
 def config(spark: SparkSession, root: str) -> DataFrame:
@@ -99,25 +105,19 @@ def enqueue(spark: SparkSession, root: str, command_type: str, payload: dict | N
             requested_by: str = "mcp") -> dict:
     """T4: append a queued command event; ``update_config`` payloads are validated first (Q6)."""
     if command_type not in COMMAND_TYPES:
-        raise ValueError(f"unsupported command type: {command_type}")
-    payload = payload or {}
+        raise ValueError(C.MSG_UNSUPPORTED_COMMAND + command_type)
+    text = json.dumps(payload or {})
     if command_type == "update_config":
-        updates = payload.get("updates", payload)
-        invalid = sorted(set(updates) - set(C.DEFAULT_CONFIG))
-        if invalid:
-            raise ValueError(f"unsupported config keys: {', '.join(invalid)}")
-        rows = [(k, json.dumps(v)) for k, v in updates.items()]
-        errs = spark.createDataFrame(rows, "key string, value_json string").select(
-            C.config_value_error(F.col("key"), F.col("value_json")).alias("e")).where("e IS NOT NULL").first()
-        if errs is not None:
-            raise ValueError(errs["e"])
+        reason = C.update_error(spark, text)
+        if reason is not None:
+            raise ValueError(reason)
     ensure_ready(spark, root)
     cid = command_id or uuid.uuid4().hex
     ts = I.second_clock(clock)
     # Event order within the same clock second: a nanosecond counter, so two
     # commands queued back to back fold in the order they were queued.
     seq = time.time_ns()
-    row = (cid, seq, ts, "queued", command_type, json.dumps(payload), requested_by, None, None, None)
+    row = (cid, seq, ts, "queued", command_type, text, requested_by, None, None, None)
     spark.createDataFrame([row], COMMAND_EVENTS).write.mode("append").parquet(f"{root}/command_events")
     return {"ok": True, "command_id": cid, "status": "queued"}
 
@@ -145,8 +145,6 @@ def run_status(spark: SparkSession, root: str, limit: int = 5) -> dict[str, Data
 
 def ingest_jsonl(spark: SparkSession, root: str, path: str, batch_id: int | None = None, **kw) -> DataFrame:
     """CLI ``ingest``: one JSON-lines input as one atomic batch (strict by default)."""
-    if batch_id is None:
-        batch_id = SCH._next_batch_id(spark, root)
     return I.ingest_jsonl(spark, root, path, batch_id, **kw)
 
 
@@ -154,9 +152,9 @@ def collect_fixture(spark: SparkSession, path: str, **kw) -> DataFrame:
     """CLI ``collect --fixture``: whole-file responses → normalised records (rejects raise)."""
     resp = read_whole_files(spark, path)
     norm = N.normalize(resp, **kw)
-    bad = norm.where(F.col("status") == "rejected").select("error").first()
+    bad = norm.where(F.col("status") == "rejected").agg(F.min_by("error", "file_path").alias("error")).first()["error"]
     if bad is not None:
-        raise SCH.UpstreamSchemaOrTemporaryError(bad["error"])
+        raise SCH.UpstreamSchemaOrTemporaryError(bad)
     return N.records(norm, ["file_path"], **kw)
 
 
@@ -182,37 +180,64 @@ def is_expected_failure(spark: SparkSession, root: str, error: BaseException, tr
 
 def worker_tick(spark: SparkSession, root: str, landing: str, *, run_id: str | None = None,
                 clock: dt.datetime | None = None, trigger: str = "worker_interval") -> dict:
-    """T5/T6/R1 one step: fold queued commands into the config, then run a
-    collection unless paused. Recurrence is the caller's trigger (e.g. a
+    """T5/T6/R1 one step: fold the queued config commands, then run every queued
+    ``run_once`` in order, or, without one and unless paused, one interval run.
+    A ``run_once`` command becomes applied (with its run id) or failed (with its
+    error) only after its run. Recurrence is the caller's trigger (e.g. a
     Structured Streaming ``processingTime`` trigger or a job scheduler)."""
     ensure_ready(spark, root)
     drained = drain_commands(spark, root, clock=clock)
     cfg = {r.key: json.loads(r.value_json) for r in config(spark, root).collect()}
-    ran = False
+    wanted = C.queued_runs(_commands(spark, root)).limit(R.MAX_QUERY_LIMIT).collect()
     rid = run_id or uuid.uuid4().hex
-    if drained["run_once"] or not cfg.get("paused"):
-        queries = cfg.get("queries") or None
-        trig = "mcp_run_once" if drained["run_once"] else trigger
+    ran = []
+
+    def collect(name: str, why: str) -> BaseException | None:
+        ran.append(name)
         try:
-            SCH.run_collection(spark, root, landing, queries, run_id=rid, trigger=trig, clock=clock)
+            SCH.run_collection(spark, root, landing, cfg.get("queries") or None, run_id=name, trigger=why, clock=clock,
+                               max_pages=cfg.get("max_pages"), page_size=cfg.get("page_size"))
         except Exception as exc:  # noqa: BLE001
-            if not is_expected_failure(spark, root, exc, trig):
-                raise
-        ran = True
-    return {"ok": True, "ran": ran, "run_id": rid if ran else None, "config": cfg, **drained}
-
-
-def drain_commands(spark: SparkSession, root: str, clock: dt.datetime | None = None) -> dict:
-    """T5: mark every queued command applied/failed in one append (see ``control.drain_events``)."""
-    log = _log(spark, root, "command_events", COMMAND_EVENTS)
-    events = C.drain_events(C.command_state(log), I.second_clock(clock)).select(*COMMAND_EVENTS.fieldNames())
-    path = f"{root}/_staging/drain/{uuid.uuid4().hex}"
-    events.write.parquet(path)
+            return exc
+        return None
+
+    for k, command in enumerate(wanted):
+        name = rid if k == 0 else f"{rid}-{k}"
+        error = collect(name, "mcp_run_once")
+        state = C.command_status(_commands(spark, root), command["command_id"])
+        _append_events(spark, root, C.finished_event(
+            state, I.second_clock(clock), {"run_id": name}, type(error).__name__ if error else None,
+            SCH.redacted(spark, str(error)) if error else None))
+        if error and not is_expected_failure(spark, root, error, "mcp_run_once"):
+            raise error
+    if not wanted and not cfg.get("paused"):
+        error = collect(rid, trigger)
+        if error and not is_expected_failure(spark, root, error, trigger):
+            raise error
+    return {"ok": True, "ran": bool(ran), "run_id": ran[0] if ran else None, "config": cfg,
+            "drained": drained + len(wanted), "run_once": len(wanted)}
+
+
+def _commands(spark: SparkSession, root: str) -> DataFrame:
+    return C.command_state(_log(spark, root, "command_events", COMMAND_EVENTS))
+
+
+def _append_events(spark: SparkSession, root: str, events: DataFrame) -> int:
+    """Appends events computed from the log that they go to: staged first, then moved."""
+    path = f"{root}/_staging/events-{uuid.uuid4().hex}"
+    events.select(*COMMAND_EVENTS.fieldNames()).write.parquet(path)
     staged = spark.read.schema(COMMAND_EVENTS).parquet(path)
-    counts = staged.agg(F.count(F.lit(1)).alias("n"),
-                        F.count(F.when(F.col("command_type") == "run_once", 1)).alias("run_once")).first()
-    staged.write.mode("append").parquet(f"{root}/command_events")
-    return {"drained": int(counts["n"]), "run_once": int(counts["run_once"])}
+    n = staged.count()
+    if n:
+        staged.coalesce(1).write.mode("append").parquet(f"{root}/command_events")
+    delete_path(spark, path)
+    return n
+
+
+def drain_commands(spark: SparkSession, root: str, clock: dt.datetime | None = None) -> int:
+    """T5: mark every queued config command applied/failed in one append (see ``control.drain_events``);
+    returns their number."""
+    return _append_events(spark, root, C.drain_events(_commands(spark, root), I.second_clock(clock)))
 
 
 def update_config(spark: SparkSession, root: str, updates: dict, **kw) -> dict:
@@ -246,11 +271,10 @@ def run_collection(spark: SparkSession, root: str, landing: str, queries: list[s
                               trigger=trigger, **kw)
 
 
-def parse_queries(text: str) -> list[str]:
-    """X14 (command-line form): comma-separated queries, stripped, blanks dropped;
-    an empty result is an error. The config form (``functions.text.comma_list``
-    + ``plans.collection``) instead falls back to one unfiltered query (X15)."""
-    items = [part.strip() for part in text.split(",") if part.strip()]
-    if not items:
-        raise ValueError("--queries must contain at least one query")
-    return items
+def parse_queries(spark: SparkSession, text: str) -> list[str]:
+    """X14 (command-line form): the library's comma list, of which nothing left is an error.
+    The config form (``plans.collection``) instead falls back to one unfiltered query (X15)."""
+    found = spark.range(1).select(comma_list(F.lit(text)).alias("q")).first()["q"]
+    if not found:
+        raise ValueError(MSG_NO_QUERIES)
+    return found

@@ -111,6 +111,22 @@ def truthy_setting(c: Column | str) -> Column:
     )
 
 
+def positive_integer(value: object, name: str) -> int:
+    """X19 for arguments: the one rule for limits and whole-number settings; a boolean is no number."""
+    if type(value) is int and value >= 1:
+        return value
+    raise ValueError(f"{name} must be a positive integer")
+
+
+def integer_setting(c: Column | str) -> Column:
+    """Whole-number setting text (>= 1); NULL/blank keep the default (NULL here), and
+    anything else raises when it is evaluated."""
+    v = py_strip(_col(c))
+    number = F.when(v.rlike(r"^[+]?[0-9]+$"), v.try_cast("bigint"))
+    return F.when(v.isNull() | (v == ""), F.lit(None).cast("bigint")).when(number >= 1, number).otherwise(
+        F.raise_error(F.concat(F.lit("setting must be a positive integer: "), v)).cast("bigint"))
+
+
 def second_clock(clock: dt.datetime | None = None) -> dt.datetime:
     """The given batch clock (naive means UTC) or the wall clock, as an
     aware UTC datetime at second precision. Aware values convert to Spark

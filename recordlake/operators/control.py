@@ -4,8 +4,9 @@
 Config events ``(scope, key, value_json, ts, seq, updated_by)`` and command
 events ``(command_id, seq, ts, status, command_type, payload_json, ...)`` are
 only ever appended. Current state is a per-key ``max_by`` over
-``(ts, rank, seq)`` — one hash aggregation with map-side partial aggregation,
-so even a key updated by a third of all events costs one partial row per task.
+``(ts, rank, seq)``: a sort-based aggregation (its buffers are structs), combined
+within each task before the shuffle, so even a key updated by a third of all
+events costs one partial row per task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from recordlake.schemas import COMMAND_STATUSES, COMMAND_TYPES, CONFIG_KEYS, TER
 
 # Config-update diagnostics.
 MSG_UNSUPPORTED_KEYS = "unsupported config keys: "
+MSG_UNSUPPORTED_COMMAND = "unsupported command type: "
+MSG_UPDATE_SHAPE = "update_config payload must be an object"
 MSG_POSITIVE_INT = " must be a positive integer"
 MSG_PAUSED_BOOL = "paused must be a boolean"
 MSG_QUERIES_LIST = "queries must be a list of non-empty strings"
@@ -92,13 +95,18 @@ def _rank(c: Column) -> Column:
 
 
 def command_state(events: DataFrame) -> DataFrame:
-    """Current status per command with the time of each transition."""
+    """Current status per command with the time of each transition, and of the
+    last event its result and error (N13: 11 columns)."""
+    for name in ("result_json", "error_type", "redacted_error"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast("string"))
     order = F.struct(F.col("ts"), _rank(F.col("status")), F.col("seq"))
     first = F.struct("ts", "seq")
     st = F.col("status")
     return events.groupBy("command_id").agg(
         F.max_by("status", order).alias("status"),
         F.max(order).alias("_last"),
+        F.max_by(F.struct("result_json", "error_type", "redacted_error"), order).alias("_end"),
         F.min_by("command_type", first).alias("command_type"),
         F.min_by("payload_json", first).alias("payload_json"),
         F.min_by("requested_by", first).alias("requested_by"),
@@ -109,6 +117,7 @@ def command_state(events: DataFrame) -> DataFrame:
         "command_id", "command_type", "payload_json", "status",
         iso_utc("_created").alias("created_at"), iso_utc("_started").alias("started_at"),
         iso_utc("_finished").alias("finished_at"), "requested_by",
+        "_end.result_json", "_end.error_type", "_end.redacted_error",
         F.col("_last.ts").alias("_applied_ts"), F.col("_last.seq").alias("_applied_seq"),
     )
 
@@ -138,6 +147,15 @@ def command_status(state: DataFrame, command_id: str) -> DataFrame:
     return state.where(F.col("command_id") == command_id)
 
 
+def payload_updates(payload: Column | str = "payload_json") -> Column:
+    """The updates of an ``update_config`` payload: its ``updates`` object, or the payload itself
+    where it has none (a bare payload). NULL when that is not an object."""
+    v = J.parse(F.col(payload) if isinstance(payload, str) else payload)
+    inner = F.try_variant_get(v, "$.updates", "variant")
+    return F.when(inner.isNull(), F.try_variant_get(v, "$", "map<string, variant>")).otherwise(
+        F.try_variant_get(v, "$.updates", "map<string, variant>"))
+
+
 def config_changes_from_commands(state: DataFrame) -> DataFrame:
     """Applied commands as config updates (scope ``worker``).
 
@@ -146,7 +164,7 @@ def config_changes_from_commands(state: DataFrame) -> DataFrame:
     (the command fails as a whole, U2).
     """
     applied = state.where(F.col("status") == "applied")
-    upd = F.try_variant_get(J.parse(F.col("payload_json")), "$.updates", "map<string, variant>")
+    upd = payload_updates()
     pairs = F.when(F.col("command_type") == "pause",
                    F.map_from_arrays(F.array(F.lit("paused")), F.array(F.lit("true")))) \
         .when(F.col("command_type") == "resume",
@@ -197,17 +215,18 @@ READINESS_SCHEMA = T.StructType([
 
 
 def drain_events(state: DataFrame, clock_ts) -> DataFrame:
-    """T5 as one set operation: terminal events for every queued command.
-
-    pause / resume / run_once → ``applied``; update_config → ``applied`` when
-    every update is valid, else ``failed`` with the first reason (the config is
-    then left unchanged, because only applied commands are folded into it).
-    The events carry the drain clock and ``seq`` just after the command's last
-    event, so they win the per-command fold; FIFO order between commands is
-    kept by their (created_at, command_id) order in ``seq``.
+    """T5 as one set operation: terminal events for every queued command but ``run_once``.
+
+    pause / resume → ``applied``; update_config → ``applied`` when every update
+    is valid, else ``failed`` with the first reason (the config is then left
+    unchanged, because only applied commands are folded into it). A ``run_once``
+    ends with its run, see ``finished_event``. The events carry the drain clock
+    and ``seq`` just after the command's last event, so they win the
+    per-command fold; FIFO order between commands is kept by their
+    (created_at, command_id) order in ``seq``.
     """
-    queued = state.where(F.col("status") == "queued")
-    upd = F.try_variant_get(J.parse(F.col("payload_json")), "$.updates", "map<string, variant>")
+    queued = state.where((F.col("status") == "queued") & (F.col("command_type") != "run_once"))
+    upd = payload_updates()
     errs = F.filter(
         F.transform(F.map_entries(F.coalesce(upd, F.create_map().cast("map<string, variant>"))),
                     lambda e: config_value_error(e["key"], F.to_json(e["value"]))),
@@ -215,7 +234,7 @@ def drain_events(state: DataFrame, clock_ts) -> DataFrame:
     )
     bad_shape = (F.col("command_type") == "update_config") & upd.isNull()
     err = (
-        F.when(bad_shape, F.lit("update_config payload must be an object"))
+        F.when(bad_shape, F.lit(MSG_UPDATE_SHAPE))
         .when(F.col("command_type") == "update_config", F.try_element_at(errs, F.lit(1)))
     )
     ts = clock_literal(clock_ts)
@@ -227,3 +246,35 @@ def drain_events(state: DataFrame, clock_ts) -> DataFrame:
         F.when(err.isNotNull(), F.lit("ValueError")).alias("error_type"),
         err.alias("redacted_error"),
     )
+
+
+def update_error(spark: SparkSession, payload_json: str) -> str | None:
+    """Why an ``update_config`` payload is refused, or None. Unknown keys come first, all of
+    them in order; then the first key whose value is refused."""
+    row = spark.createDataFrame([(payload_json,)], "payload_json string").select(payload_updates().alias("u"))
+    pairs = row.select(F.explode(F.map_entries(F.transform_values("u", lambda k, v: F.to_json(v))))).select("col.*")
+    if row.where("u is not null").isEmpty():
+        return MSG_UPDATE_SHAPE
+    unknown = pairs.where(~F.col("key").isin(*CONFIG_KEYS)).agg(F.array_join(F.sort_array(F.collect_set("key")), ", ").alias("k")).first()["k"]
+    if unknown:
+        return MSG_UNSUPPORTED_KEYS + unknown
+    bad = pairs.select("key", config_value_error(F.col("key"), F.col("value")).alias("e")).where("e is not null")
+    return bad.agg(F.min_by("e", "key").alias("e")).first()["e"]
+
+
+def queued_runs(state: DataFrame) -> DataFrame:
+    """T5: the queued ``run_once`` commands, oldest first."""
+    runs = state.where((F.col("status") == "queued") & (F.col("command_type") == "run_once"))
+    return runs.orderBy(F.col("created_at").asc(), F.col("command_id").asc())
+
+
+def finished_event(command: DataFrame, clock_ts, result: dict | None = None, error_type: str | None = None,
+                   redacted_error: str | None = None) -> DataFrame:
+    """The terminal event of a command (a row of ``command_state``) after its run: applied with
+    its result, or failed with its error."""
+    failed = error_type is not None
+    return command.select(
+        "command_id", (F.col("_applied_seq") + 1).alias("seq"), clock_literal(clock_ts).alias("ts"),
+        F.lit("failed" if failed else "applied").alias("status"), "command_type", "payload_json", "requested_by",
+        F.lit(None if failed else json.dumps(result or {})).cast("string").alias("result_json"),
+        F.lit(error_type).cast("string").alias("error_type"), F.lit(redacted_error).cast("string").alias("redacted_error"))

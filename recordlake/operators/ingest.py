@@ -1,28 +1,33 @@
 """Keyed first-write-wins append into a Parquet record store.
 
-Store layout under one root folder (``batch_id`` is a partition column)::
-
-    jobs/batch_id=N/        first-written records (15 store columns + skills)
-    job_skills/batch_id=N/  (job_id, skill) of those records
-    _staging/batches/batch_id=N/  validated copy of the batch (every line's status, reason, record)
-    batches/batch_id=N/     ledger row: seen, inserted, skipped, rejected, ...
-
-A batch is visible to readers only once its ledger row exists, and the
-ledger row is written last, so a half-written batch is invisible. A batch
-never counts its own partition as "existing", so re-running batch N rewrites
-the same rows (replay is idempotent).
-
-First-wins inside a batch is a hash aggregation ``min_by(record, ord)`` per
-key: the partial aggregate keeps one row per key per task before the
-shuffle, so a key repeated in a third of the input costs one row per task.
-Against the store it is a left-anti join on the key; when the batch's key
-count is within ``MAX_BROADCAST_KEYS`` the store's key column is probed
-against a broadcast of the batch keys (no shuffle of the store), otherwise
-both sides are shuffled on the key.
-
-The input is parsed and validated once, into the staged batch; failure
-statistics, first-wins and quarantine reads use that columnar copy, and the
-inserted count is an ``Observation`` on the jobs write itself.
+Store layout under one root folder (``batch_id`` and ``attempt`` are partition columns)::
+
+    jobs/batch_id=N/attempt=A/        first-written records (15 store columns + skills)
+    job_skills/batch_id=N/attempt=A/  (job_id, skill) of those records
+    rejects/batch_id=N/attempt=A/     quarantined lines
+    batches/batch_id=N/               ledger row: attempt, fingerprint, seen, inserted, skipped, ...
+    _staging/A/                       validated copy of the input while attempt A runs
+
+Commit protocol. Every attempt writes below a fresh attempt id, and the ledger
+row, written last, names the attempt it commits; readers join the data with
+the ledger on (batch_id, attempt). So what a crashed attempt leaves behind is
+never read, whatever a later batch of that number holds. A committed batch is
+never overwritten: the same input (by fingerprint) under its id returns the
+ledger row and writes nothing, another input raises ``BatchConflictError``.
+``next_batch_id`` is the one allocator (ledger maximum + 1) for callers,
+scheduled runs and streams; one writer at a time is the contract.
+
+First-wins inside a batch is a hash aggregation ``min(ord)`` per key over two
+narrow columns, combined within each task before the shuffle, so a key repeated
+in a third of the input costs one row per task. The narrow winners are
+anti-joined with the store's keys, and only then are the full records fetched
+from the staged batch. Where the batch's keys are proven small (their bytes are
+counted while staging) the store's key column is probed against a broadcast of
+them; otherwise both sides are shuffled on the key.
+
+The input is parsed and validated once, into the staged batch; statistics,
+first-wins and rejects use that columnar copy, which goes when the batch is
+committed. The inserted count is an ``Observation`` on the jobs write itself.
 """
 
 from __future__ import annotations
@@ -30,34 +35,37 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlake.functions.text import clock_literal, second_clock
 from recordlake.operators.validate import RecordValidationError, first_failure, validate
 from recordlake.schemas import DEFAULT_SOURCE, JOBS
-from recordlake.session import configure, path_exists
+from recordlake.session import configure, delete_path, path_exists
 from recordlake.sources.jsonl import read_lines
 
-MAX_BROADCAST_KEYS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20  # of a batch's keys
 
 STORE_JOBS = T.StructType([*JOBS.fields, T.StructField("skills", T.ArrayType(T.StringType())),
-                           T.StructField("ord", T.LongType()), T.StructField("batch_id", T.LongType())])
+                           T.StructField("ord", T.LongType()), T.StructField("batch_id", T.LongType()),
+                           T.StructField("attempt", T.StringType())])
 STORE_SKILLS = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("skill", T.StringType()),
-                             T.StructField("batch_id", T.LongType())])
+                             T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType())])
 LEDGER = T.StructType([
     T.StructField("seen", T.LongType()), T.StructField("inserted", T.LongType()),
     T.StructField("skipped", T.LongType()), T.StructField("rejected", T.LongType()),
     T.StructField("source_query", T.StringType()), T.StructField("input_path", T.StringType()),
     T.StructField("committed_at", T.TimestampType()), T.StructField("status", T.StringType()),
     T.StructField("error_type", T.StringType()), T.StructField("redacted_error", T.StringType()),
+    T.StructField("attempt", T.StringType()), T.StructField("fingerprint", T.StringType()),
+    T.StructField("stream_id", T.StringType()), T.StructField("epoch", T.LongType()),
     T.StructField("batch_id", T.LongType()),
 ])
 REJECTS = T.StructType([
     T.StructField("line_no", T.LongType()), T.StructField("status", T.StringType()),
     T.StructField("reason", T.StringType()), T.StructField("message", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
+    T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()),
 ])
 RECORD_OUT = ("job_id", "source", "title", "description", "url", "skills", "posted_at", "job_type",
               "contractor_tier", "hourly_min", "hourly_max", "fixed_amount", "raw_id")
@@ -70,14 +78,14 @@ def _table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+class BatchConflictError(ValueError):
+    """A committed batch id was given another input."""
+
+
 def read_rejects(spark: SparkSession, root: str) -> DataFrame | None:
     """Quarantined lines of committed batches: ``(batch_id, line_no, status, reason, message)``."""
-    path, led = f"{root}/_staging/batches", ledger(spark, root)
-    if led is None or not path_exists(spark, path):
-        return None
-    staged = spark.read.parquet(path).where(F.col("message").isNotNull())
-    ok = led.where(F.col("status") == "success").select("batch_id")
-    return staged.join(ok, "batch_id", "left_semi").select("batch_id", "line_no", "status", "reason", "message")
+    rejects = _committed(spark, root, "rejects", REJECTS)
+    return None if rejects is None else rejects.select("batch_id", "line_no", "status", "reason", "message")
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame | None:
@@ -88,8 +96,8 @@ def _committed(spark: SparkSession, root: str, name: str, schema: T.StructType)
     df, led = _table(spark, root, name, schema), ledger(spark, root)
     if df is None or led is None:
         return None
-    ok = led.where(F.col("status") == "success").select("batch_id")
-    return df.join(ok, "batch_id", "left_semi")
+    ok = led.where(F.col("status") == "success").select("batch_id", "attempt")
+    return df.join(ok, ["batch_id", "attempt"], "left_semi")
 
 
 def read_jobs(spark: SparkSession, root: str) -> DataFrame | None:
@@ -101,38 +109,42 @@ def read_job_skills(spark: SparkSession, root: str) -> DataFrame | None:
     return _committed(spark, root, "job_skills", STORE_SKILLS)
 
 
+def next_batch_id(spark: SparkSession, root: str) -> int:
+    """The id after all that the ledger holds, failed batches included."""
+    led = ledger(spark, root)
+    top = None if led is None else led.agg(F.max("batch_id")).first()[0]
+    return 1 if top is None else int(top) + 1
+
+
 def first_per_key(records: DataFrame, key: str = "job_id", order: str = "ord") -> DataFrame:
-    """K1 within a batch: the earliest record per key."""
-    others = [c for c in records.columns if c != key]
-    return (
-        records.groupBy(key)
-        .agg(F.min_by(F.struct(*others), F.col(order)).alias("_r"))
-        .select(key, "_r.*")
-    )
+    """K1 within a batch: ``(key, order)`` of the earliest record per key."""
+    return records.groupBy(key).agg(F.min(order).alias(order))
 
 
 def new_only(candidates: DataFrame, existing: DataFrame | None, key: str = "job_id",
-             candidate_bound: int | None = None) -> DataFrame:
+             candidate_bytes: int | None = None) -> DataFrame:
     """Candidates whose key is not in ``existing`` (left anti).
 
-    ``candidate_bound`` is a proven upper bound on the candidate count (e.g. the
-    counted size of the batch); within ``MAX_BROADCAST_KEYS`` the store is only
-    probed against broadcast batch keys.
+    ``candidate_bytes`` is a counted bound on the size of the candidates'
+    keys; within ``MAX_BROADCAST_BYTES`` the store is only probed against
+    broadcast batch keys.
     """
     if existing is None:
         return candidates
     store_keys = existing.select(key)
-    if candidate_bound is not None and candidate_bound <= MAX_BROADCAST_KEYS:
+    if candidate_bytes is not None and candidate_bytes <= MAX_BROADCAST_BYTES:
         hit = store_keys.join(F.broadcast(candidates.select(key)), key, "left_semi")
         return candidates.join(F.broadcast(hit), key, "left_anti")
     return candidates.join(store_keys, key, "left_anti")
 
 
 def plan_new_records(valid: DataFrame, existing: DataFrame | None, clock: dt.datetime,
-                     candidate_bound: int | None = None) -> DataFrame:
+                     candidate_bytes: int | None = None) -> DataFrame:
     """K1+S10: the store rows a batch would insert (first per key, absent from store)."""
-    firsts = first_per_key(valid.select(*RECORD_OUT, "content_hash", "ord"))
-    fresh = new_only(firsts, existing, candidate_bound=candidate_bound)
+    winners = new_only(first_per_key(valid.select("job_id", "ord")), existing, candidate_bytes=candidate_bytes)
+    if candidate_bytes is not None and candidate_bytes <= MAX_BROADCAST_BYTES:
+        winners = F.broadcast(winners)
+    fresh = valid.select(*RECORD_OUT, "content_hash", "ord").join(winners, ["job_id", "ord"], "left_semi")
     ts = clock_literal(clock)
     return fresh.select(
         *[c for c in JOBS.fieldNames() if c not in ("first_seen_at", "created_at")],
@@ -140,82 +152,109 @@ def plan_new_records(valid: DataFrame, existing: DataFrame | None, clock: dt.dat
     )
 
 
-def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id: int, *,
+def _staged_facts(staged: DataFrame) -> tuple[str, int]:
+    """Fingerprint of the input (order and content of every line) and the bytes of its keys with their orders."""
+    line = F.xxhash64("ord", "status", F.coalesce("content_hash", "message", F.lit("")))
+    row = staged.agg(F.count("*").alias("n"), F.bit_xor(line).alias("x"), F.sum(F.pmod(line, F.lit(1 << 31))).alias("s"),
+                     F.sum(F.coalesce(F.octet_length("job_id"), F.lit(0)) + 24).alias("size")).first()
+    return f"{row['n']}:{row['x'] or 0}:{row['s'] or 0}", int(row["size"] or 0)
+
+
+def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id: int | None = None, *,
                    clock: dt.datetime | None = None, mode: str = "strict",
-                   source_query: str | None = None, input_path: str | None = None) -> DataFrame:
+                   source_query: str | None = None, input_path: str | None = None,
+                   stream: tuple[str, int] | None = None) -> DataFrame:
     """K1–K5: append the valid lines of ``checked`` (output of ``validate`` with
-    an ``ord`` column) as batch ``batch_id``; returns the ledger row.
+    an ``ord`` column) as batch ``batch_id`` (None: the next id); returns the ledger row.
 
     ``strict``: any rejected line aborts before anything is written (Q1).
-    ``quarantine``: rejected lines stay readable from the staged batch
-    (``read_rejects``) and the rest is ingested.
+    ``quarantine``: rejected lines are kept (``read_rejects``) and the rest is
+    ingested. ``stream`` is the (stream id, epoch) that the batch comes from.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError("mode must be 'strict' or 'quarantine'")
     configure(spark)
     clock = second_clock(clock)
-    # Parse once: the validated batch is written to a staging table under the
-    # store and every later step (stats, rejects, first-wins) reads that
-    # columnar copy instead of re-parsing the input.
-    staging = f"{root}/_staging/batches/batch_id={batch_id}"
+    attempt = uuid.uuid4().hex
+    staging = f"{root}/_staging/{attempt}"
     keep = ["line_no", "ord", "status", "reason", "message", *RECORD_OUT, "content_hash"]
-    checked.select(*keep).write.mode("overwrite").parquet(staging)
-    checked = spark.read.parquet(staging)
-    stats = first_failure(checked).first()
-    if mode == "strict" and stats["first_error"] is not None:
-        raise RecordValidationError(stats["first_error"])
-    bid = F.lit(batch_id).cast("long")
+    try:
+        checked.select(*keep).write.parquet(staging)
+        staged = spark.read.parquet(staging)
+        stats = first_failure(staged).first()
+        if mode == "strict" and stats["first_error"] is not None:
+            raise RecordValidationError(stats["first_error"])
+        fingerprint, key_bytes = _staged_facts(staged)
+        batch_id = next_batch_id(spark, root) if batch_id is None else batch_id
+        prior = committed_batch(spark, root, batch_id)
+        if prior is not None:
+            if prior["fingerprint"] != fingerprint:
+                raise BatchConflictError(f"batch {batch_id} is already committed with another input")
+            return ledger(spark, root).where(F.col("batch_id") == batch_id)
+        inserted = write_attempt(spark, root, staged, batch_id, attempt, clock, key_bytes, int(stats["rejected"]))
+        seen = int(stats["seen"])
+        write_ledger_row(spark, root, (seen, inserted, seen - inserted, int(stats["rejected"]), source_query, input_path,
+                                       clock, "success", None, None, attempt, fingerprint, *(stream or (None, None)), batch_id))
+    finally:
+        delete_path(spark, staging)
+    return ledger(spark, root).where(F.col("batch_id") == batch_id)
 
-    led = ledger(spark, root)
-    existing = None
-    jobs_all = _table(spark, root, "jobs", STORE_JOBS)
-    if jobs_all is not None and led is not None:
-        done = led.where((F.col("batch_id") != batch_id) & (F.col("status") == "success")).select("batch_id")
-        existing = jobs_all.join(done, "batch_id", "left_semi")
-    valid = checked.where(F.col("status") == "valid")
-    new = plan_new_records(valid, existing, clock, candidate_bound=int(stats["seen"]))
-    counted = Observation(f"inserted-{batch_id}-{uuid.uuid4().hex}")
-    new = new.observe(counted, F.count(F.lit(1)).alias("inserted"))
-    (new.withColumn("batch_id", bid).sortWithinPartitions("job_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("parquet.bloom.filter.enabled#job_id", "true")
-     .partitionBy("batch_id").parquet(f"{root}/jobs"))
 
-    part = f"{root}/jobs/batch_id={batch_id}"
+def write_attempt(spark: SparkSession, root: str, staged: DataFrame, batch_id: int, attempt: str, clock: dt.datetime,
+                  key_bytes: int | None = None, rejected: int = 0) -> int:
+    """The data of one attempt, unread until the ledger names it; returns the number of new records."""
+    named = [F.lit(batch_id).cast("long").alias("batch_id"), F.lit(attempt).alias("attempt")]
+
+    def put(df: DataFrame, name: str, bloom: bool = True) -> None:
+        writer = df.select("*", *named).write.mode("append").partitionBy("batch_id", "attempt")
+        (writer.option("parquet.bloom.filter.enabled#job_id", "true") if bloom else writer).parquet(f"{root}/{name}")
+
+    new = plan_new_records(staged.where(F.col("status") == "valid"), read_jobs(spark, root), clock, key_bytes)
+    counted = Observation(f"inserted-{attempt}")
+    put(new.observe(counted, F.count(F.lit(1)).alias("inserted")).sortWithinPartitions("job_id"), "jobs")
     inserted = int(counted.get["inserted"])
     if inserted:
-        written = spark.read.schema(T.StructType(STORE_JOBS.fields[:-1])).parquet(part)
-        (written.select("job_id", F.explode("skills").alias("skill"), bid.alias("batch_id"))
-         .sortWithinPartitions("job_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .option("parquet.bloom.filter.enabled#job_id", "true")
-         .partitionBy("batch_id").parquet(f"{root}/job_skills"))
-    seen = int(stats["seen"])
-    row = (seen, inserted, seen - inserted, int(stats["rejected"]), source_query, input_path, clock,
-           "success", None, None, batch_id)
-    write_ledger_row(spark, root, row)
-    return ledger(spark, root).where(F.col("batch_id") == batch_id)
+        written = spark.read.schema(T.StructType(STORE_JOBS.fields[:-2])).parquet(
+            f"{root}/jobs/batch_id={batch_id}/attempt={attempt}")
+        put(written.select("job_id", F.explode("skills").alias("skill")).sortWithinPartitions("job_id"), "job_skills")
+    if rejected:
+        put(staged.where(F.col("message").isNotNull()).select("line_no", "status", "reason", "message"), "rejects", False)
+    return inserted
+
+
+def committed_batch(spark: SparkSession, root: str, batch_id: int) -> Row | None:
+    led = ledger(spark, root)
+    return None if led is None else led.where((F.col("batch_id") == batch_id) & (F.col("status") == "success")).first()
+
+
+def stream_batch(spark: SparkSession, root: str, stream_id: str, epoch: int) -> Row | None:
+    """The ledger row of a stream's micro-batch, if it has one."""
+    led = ledger(spark, root)
+    return None if led is None else led.where((F.col("stream_id") == stream_id) & (F.col("epoch") == epoch)).first()
 
 
 def write_ledger_row(spark: SparkSession, root: str, row: tuple) -> None:
-    """One ledger row per batch, replacing an earlier attempt of the same batch."""
+    """One ledger row per batch; only the row of a failed batch is ever replaced."""
     (spark.createDataFrame([row], LEDGER).coalesce(1)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(f"{root}/batches"))
 
 
 def record_failed_batch(spark: SparkSession, root: str, batch_id: int, error: BaseException,
-                        clock: dt.datetime | None = None, source_query: str | None = None) -> None:
+                        clock: dt.datetime | None = None, source_query: str | None = None,
+                        stream: tuple[str, int] | None = None) -> None:
     """K4: a failed batch leaves zero counters, its error type and a redacted message;
-    nothing of it becomes visible (its data partitions, if any, are never committed)."""
+    nothing of it becomes visible. A committed batch stays as it is."""
     from recordlake.functions.redact import redact
 
+    if committed_batch(spark, root, batch_id) is not None:
+        raise BatchConflictError(f"batch {batch_id} is already committed")
     msg = spark.range(1).select(redact(F.lit(str(error))).alias("m")).first()["m"]
-    row = (0, 0, 0, 0, source_query, None, second_clock(clock), "failed", type(error).__name__, msg, batch_id)
-    write_ledger_row(spark, root, row)
+    write_ledger_row(spark, root, (0, 0, 0, 0, source_query, None, second_clock(clock), "failed", type(error).__name__, msg,
+                                   None, None, *(stream or (None, None)), batch_id))
 
 
-def ingest_jsonl(spark: SparkSession, root: str, path: str | list[str], batch_id: int, *,
+def ingest_jsonl(spark: SparkSession, root: str, path: str | list[str], batch_id: int | None = None, *,
                  source: str = DEFAULT_SOURCE, clock: dt.datetime | None = None, mode: str = "strict",
                  source_query: str | None = None, exact_casefold: bool = False) -> DataFrame:
     """CLI ``ingest``: JSON lines file(s) → validated → first-wins append."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions import jsonx as J
 from recordlake.functions.text import blank_to_null, py_strip
-from recordlake.schemas import DEFAULT_SOURCE, DEFAULT_URL_PREFIX
+from recordlake.schemas import DEFAULT_SOURCE, DEFAULT_URL_PREFIX, RECORD_FIELDS
 
 # Where the upstream search response keeps its result list.
 RESULTS_PATH = "$.data.search.universalSearchNuxt.visitorJobSearchV1.results"
@@ -194,14 +194,6 @@ def rejects(normalized: DataFrame, keys: list[str]) -> DataFrame:
     return normalized.where(F.col("status") == "rejected").select(*keys, "audit_class", "error")
 
 
-RECORD_FIELDS = ("source", "id", "title", "description", "url", "skills", "posted_at", "job_type",
-                 "contractor_tier", "hourly_min", "hourly_max", "fixed_amount", "raw_id")
-
-
 def jsonl_value() -> Column:
     """One compact JSON object per record, record field order, nulls kept."""
     return F.to_json(F.struct(*RECORD_FIELDS), {"ignoreNullFields": "false"})
-
-
-def to_jsonl(recs: DataFrame) -> DataFrame:
-    return recs.select(jsonl_value().alias("value"))

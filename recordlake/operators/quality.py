@@ -19,12 +19,6 @@ ERROR_TYPE = {
     "temporary": "UpstreamSchemaOrTemporaryError",
 }
 EXIT_CODE = {"ok": 0, "passed": 0, "blocked": 20, "rate_limited": 21, "temporary": 30}
-# The full exit-code vocabulary (collector and ingest).
-EXIT_CODES = {
-    "SUCCESS": 0, "USAGE_ERROR": 2, "CREDENTIAL_REQUIRED": 10, "UPSTREAM_BLOCKED": 20,
-    "RATE_LIMITED": 21, "UPSTREAM_SCHEMA_OR_TEMPORARY_FAILURE": 30, "VALIDATION_ERROR": 30,
-    "INTERNAL_FAILURE": 40,
-}
 # Retry caps per class and backoff windows (seconds).
 RETRY_CAP = {"blocked": 1, "rate_limited": 2, "temporary": 3}
 RATE_LIMIT_BACKOFF = (120.0, 300.0)

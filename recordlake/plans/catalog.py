@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordlake.functions.redact import redact
 from recordlake.operators import analytics, ingest, reads
 from recordlake.operators import control as C
 from recordlake.operators import ledger as L
@@ -413,7 +414,7 @@ def _commands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CMD_COLS = ("command_id", "command_type", "payload_json", "status", "created_at", "started_at", "finished_at",
-            "requested_by")
+            "requested_by", "result_json", "error_type", "redacted_error")
 
 
 @register("command_state")
@@ -499,7 +500,7 @@ def q_status_document(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("readiness_verdict")
 def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Q8: verdicts of four stores built from the test tables (rows-only check)."""
+    """Verdicts of five stores built from the test tables."""
     base = scratch_dir(spark, "ready")
     ev = _events(spark, sf)
     partial, full, newer = f"{base}/partial", f"{base}/full", f"{base}/newer"
@@ -511,7 +512,10 @@ def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
         S.write_table(adapters.run_results(ev), root, "run_results")
         S.write_table(adapters.config_events(ev), root, "config_events")
         S.write_table(adapters.command_events(ev), root, "command_events")
-    return S.readiness_table(spark, {"missing": f"{base}/missing", "partial": partial, "full": full,
+    unseeded = f"{base}/unseeded"
+    S.init_store(spark, unseeded)
+    ingest.ingest_jsonl(spark, unseeded, _landed(spark, sf, root=unseeded), mode="quarantine")
+    return S.readiness_table(spark, {"unseeded": unseeded, "missing": f"{base}/missing", "partial": partial, "full": full,
                                      "newer": newer})
 
 
@@ -585,7 +589,9 @@ def q_fixture_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Every envelope landed as its own JSON file, read whole and audited."""
     root = scratch_dir(spark, "fixtures")
     rows = adapters.response_rows(adapters.table(spark, sf, "conversations"))
-    rows.select((F.col("ord") / 1000).cast("long").alias("conv_id"), F.col("line").alias("value")) \
+    # Pretty-printed where the response is JSON at all, so most files span lines.
+    pretty = F.coalesce(F.to_json(F.try_parse_json("line"), {"pretty": "true"}), F.col("line"))
+    rows.select((F.col("ord") / 1000).cast("long").alias("conv_id"), pretty.alias("value")) \
         .write.partitionBy("conv_id").text(f"{root}/files")
     norm = N.normalize(read_whole_files(spark, f"{root}/files"))
     return norm.select(F.regexp_extract("file_path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"),
@@ -627,3 +633,67 @@ def q_store_search(spark: SparkSession, sf: str) -> DataFrame:
     root = _single_batch_store(spark, sf)
     return _store_page(reads.search(ingest.read_jobs(spark, root), ingest.read_job_skills(spark, root),
                                     title="the", skill=" EN ", limit=20))
+
+
+@register("store_get")
+def q_store_get(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 on a real Parquet store: the key filter reaches the scan and its bloom filter."""
+    root = _single_batch_store(spark, sf)
+    jobs, skills = ingest.read_jobs(spark, root), ingest.read_job_skills(spark, root)
+    first = jobs.agg(F.min("job_id").alias("k")).first()["k"]
+    return _store_page(reads.get(jobs, skills, first))
+
+
+def _store_analytics(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    root = _single_batch_store(spark, sf)
+    return analytics.run_query(spark, name, ingest.read_jobs(spark, root), ingest.read_job_skills(spark, root))
+
+
+@register("store_summary")
+def q_store_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 on a real Parquet store."""
+    return _store_analytics(spark, sf, "summary")
+
+
+@register("store_skills")
+def q_store_skills(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 on a real Parquet store."""
+    return _store_analytics(spark, sf, "skills")
+
+
+@register("store_budgets")
+def q_store_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 on a real Parquet store."""
+    return _store_analytics(spark, sf, "budgets")
+
+
+@register("redaction_cases")
+def q_redaction_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Q9: quoted keys, whole header values and further key endings, with a secret per document."""
+    docs = adapters.table(spark, sf, "documents")
+    secret = F.concat(F.lit("S"), F.col("doc_id").cast("string"))
+    texts = [F.concat(F.lit('{"token": "'), secret, F.lit('"} end')),
+             F.concat(F.lit("Cookie: a="), secret, F.lit("; b="), secret, F.lit("\nend")),
+             F.concat(F.lit("Authorization: Basic "), secret, F.lit("\nend")),
+             F.concat(F.lit("secret_key="), secret, F.lit(" end")),
+             F.concat(F.lit("tokens="), secret, F.lit("; end"))]
+    rows = docs.select("doc_id", secret.alias("secret"), F.posexplode(F.array(*texts)).alias("kind", "t"))
+    return rows.select("doc_id", "kind", redact("t").alias("redacted"), redact("t").contains(F.col("secret")).alias("leaks"))
+
+
+@register("crash_then_duplicate")
+def q_crash_then_duplicate(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: the second batch's data is written and its ledger row is not; the next batch takes its
+    number with duplicates only. The dead attempt stays unread."""
+    root = scratch_dir(spark, "store")
+    first, second = _landed(spark, sf, True, root), _landed(spark, sf, False, root)
+    ingest.ingest_jsonl(spark, root, first, clock=BATCH_CLOCK, mode="quarantine")
+    checked = V.validate(read_lines(spark, second)).withColumn("ord", F.col("line_no"))
+    ingest.write_attempt(spark, root, checked, 2, "crashed", BATCH_CLOCK)
+    again = f"{root}/again"  # the first input with a marker line more: another input, the same records
+    spark.read.text(first).write.text(again)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(again)
+    led = ingest.ingest_jsonl(spark, root, again, clock=BATCH_CLOCK, mode="quarantine")
+    row = led.first()
+    return ingest.read_jobs(spark, root).agg(F.count("*").alias("stored")).select(
+        "stored", F.lit(row.inserted).cast("long").alias("inserted_after"), F.lit(row.batch_id).cast("long").alias("batch_id"))

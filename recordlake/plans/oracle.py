@@ -300,7 +300,7 @@ SELECT job_id, title, url, skills, posted_at, job_type, contractor_tier, hourly_
 
 # -------------------------------------------------- audit, ledger, control
 
-from recordlake.functions.redact import BEARER_RE, KEY_VALUE_RE, URL_USERINFO_RE  # noqa: E402
+from recordlake.functions.redact import STEPS
 
 
 def _sql_str(s: str) -> str:
@@ -308,9 +308,10 @@ def _sql_str(s: str) -> str:
 
 
 def _redact_sql(col: str) -> str:
-    a = f"regexp_replace({col}, {_sql_str(BEARER_RE)}, '\\1Bearer <redacted>', 'g')"
-    b = f"regexp_replace({a}, {_sql_str(KEY_VALUE_RE)}, '\\1\\2\\3<redacted>', 'g')"
-    return f"regexp_replace({b}, {_sql_str(URL_USERINFO_RE)}, '\\1<redacted>@', 'g')"
+    for pattern, replacement in STEPS:
+        to = replacement.replace("{", "\\").replace("}", "")
+        col = f"regexp_replace({col}, {_sql_str(pattern)}, '{to}', 'g')"
+    return col
 
 
 EV = """WITH e AS (
@@ -398,6 +399,9 @@ ce AS (
                 CASE WHEN k % 7 = 0 THEN '{{"updates":{{"bogus":1}}}}'
                      ELSE '{{"updates":{{"max_pages":' || CAST(k % 5 + 1 AS VARCHAR) || '}}}}' END
               ELSE '{{}}' END AS payload_json,
+         CASE event_type WHEN 'purchase' THEN '{{"k":' || CAST(k AS VARCHAR) || '}}' END AS result_json,
+         CASE event_type WHEN 'error' THEN 'UpstreamBlockedError' END AS error_type,
+         CASE event_type WHEN 'error' THEN 'blocked ' || CAST(k AS VARCHAR) END AS redacted_error,
          k
     FROM e),
 rk AS (SELECT *, CASE status WHEN 'queued' THEN 0 WHEN 'running' THEN 1 ELSE 2 END AS rnk FROM ce),
@@ -413,7 +417,7 @@ ct AS (
 cs AS (
   SELECT cf.command_id, cf.command_type, cf.payload_json, cl.status, strftime(ct.created, {ISO}) AS created_at,
          strftime(ct.started, {ISO}) AS started_at, strftime(ct.finished, {ISO}) AS finished_at,
-         'mcp' AS requested_by, cl.ts AS applied_ts, cl.seq AS applied_seq, cf.k AS first_k
+         'mcp' AS requested_by, cl.result_json, cl.error_type, cl.redacted_error, cl.ts AS applied_ts, cl.seq AS applied_seq, cf.k AS first_k
     FROM cf JOIN cl USING (command_id) JOIN ct USING (command_id))"""
 
 CFG = EV + """,
@@ -517,11 +521,13 @@ SELECT run_id, started_at, error_type FROM runs
  WHERE trigger = 'worker_interval' AND status = 'failed' AND error_type = 'UpstreamSchemaOrTemporaryError'
  ORDER BY started_at DESC, run_id DESC LIMIT 1""",
     "command_state": f"""{CMDS}
-SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by FROM cs""",
+SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by, result_json,
+       error_type, redacted_error FROM cs""",
     "command_fifo": f"""{CMDS}
 SELECT command_id, created_at FROM cs WHERE status = 'queued' ORDER BY created_at, command_id LIMIT 1""",
     "recent_commands": f"""{CMDS}
-SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by
+SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by, result_json,
+       error_type, redacted_error
   FROM cs ORDER BY created_at DESC, command_id DESC LIMIT 5""",
     "config_validation": f"{CFG} SELECT seq, key, error FROM val",
     "config_current": f"{CFG} SELECT * FROM cur",
@@ -603,7 +609,8 @@ ORACLE.update({
 SELECT command_id, seq, command_type IN ('run_once', 'pause', 'resume', 'update_config') AS type_ok,
        status IN ('queued', 'running', 'applied', 'failed') AS status_ok FROM ce""",
     "command_status_one": f"""{CMDS}
-SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by
+SELECT command_id, command_type, payload_json, status, created_at, started_at, finished_at, requested_by, result_json,
+       error_type, redacted_error
   FROM cs WHERE command_id = 'cmd-000007'""",
 })
 
@@ -637,3 +644,39 @@ ORACLE.update({
     "store_search": _store_page(
         "WHERE lower(w.title_s) LIKE '%the%' AND EXISTS (SELECT 1 FROM ck WHERE ck.line_no = w.line_no AND ck.skill = 'en')"),
 })
+
+WON = f"""{RAW},
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY line_no) AS rn FROM v) x WHERE rn = 1)"""
+
+ORACLE.update({
+    "store_get": f"""{WON}
+SELECT p.rid AS job_id, p.title_s AS title, '{URL_PREFIX}' || p.rid AS url, c.skills, p.hourly_min, p.fixed_amount,
+       CAST(p.doc_id AS VARCHAR) AS raw_id, '2024-01-01T00:00:00Z' AS first_seen_at
+  FROM (SELECT * FROM w ORDER BY rid LIMIT 1) p
+  JOIN (SELECT line_no, string_agg(skill, ',' ORDER BY skill) AS skills FROM ck GROUP BY line_no) c USING (line_no)""",
+    "store_summary": f"{WON} SELECT (SELECT count(*) FROM w) AS jobs, (SELECT count(*) FROM ck JOIN w USING (line_no)) AS skills",
+    "store_skills": f"{WON} SELECT ck.skill, count(*) AS count FROM ck JOIN w USING (line_no) GROUP BY 1",
+    "store_budgets": f"""{WON}
+SELECT CASE WHEN fixed_amount IS NOT NULL THEN 'fixed' WHEN hourly_min IS NOT NULL THEN 'hourly'
+            ELSE 'unknown' END AS budget_type, count(*) AS count, min(hourly_min) AS min_hourly_min,
+       NULL::DOUBLE AS max_hourly_max, min(fixed_amount) AS min_fixed_amount, max(fixed_amount) AS max_fixed_amount
+  FROM w GROUP BY 1""",
+    "readiness_verdict": """
+SELECT 'missing' AS store, false AS ok, 'db_missing' AS reason, 'database file does not exist' AS details
+UNION ALL SELECT 'partial', false, 'schema_missing', 'runtime schema is missing required tables'
+UNION ALL SELECT 'newer', false, 'unsupported_schema', 'database schema version is newer than this build supports'
+UNION ALL SELECT 'unseeded', false, 'config_empty', 'no collector config rows'
+UNION ALL SELECT 'full', count(*) > 0, CASE WHEN count(*) > 0 THEN 'ready' ELSE 'config_empty' END,
+                 CASE WHEN count(*) = 0 THEN 'no collector config rows' END FROM events""",
+    "redaction_cases": f"""WITH c AS (
+  SELECT doc_id, kind, CASE kind
+    WHEN 0 THEN '{{"token": "S' || doc_id || '"}} end'
+    WHEN 1 THEN 'Cookie: a=S' || doc_id || '; b=S' || doc_id || chr(10) || 'end'
+    WHEN 2 THEN 'Authorization: Basic S' || doc_id || chr(10) || 'end'
+    WHEN 3 THEN 'secret_key=S' || doc_id || ' end'
+    WHEN 4 THEN 'tokens=S' || doc_id || '; end' END AS t
+    FROM documents, range(5) k(kind))
+SELECT doc_id, CAST(kind AS INTEGER) AS kind, {_redact_sql('t')} AS redacted, contains({_redact_sql('t')}, 'S' || doc_id) AS leaks FROM c""",
+    "crash_then_duplicate": f"""{BATCHES}
+SELECT (SELECT count(DISTINCT rid) FROM b1_v) AS stored, CAST(0 AS BIGINT) AS inserted_after, CAST(2 AS BIGINT) AS batch_id""",
+})

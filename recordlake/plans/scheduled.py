@@ -12,25 +12,27 @@ driver; all data work inside each step is Spark — and for every query:
 4. appends the query's result row.
 
 The first failing query gets a failed result row (zero counters, error type,
-redacted message), the run is closed as failed with the totals so far, and
-the loop stops (earlier queries stay committed, K3). Ledger rows are
-partitioned by (run_id, query_ix) / (run_id, seq) and written with dynamic
-partition overwrite, so re-running a run id rewrites the same rows.
+redacted message), the run is closed as failed with the totals so far, and the
+loop stops (earlier queries stay committed, K3); an unexpected error is recorded
+in the same way and raised. Ledger rows are appended to one folder per table;
+of rows that re-running a run id writes again, readers take the last.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordlake.functions.redact import redact
 from recordlake.operators import ingest as I
 from recordlake.operators import normalize as N
 from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import DEFAULT_SOURCE, DEFAULT_URL_PREFIX, RUN_EVENTS, RUN_RESULTS
-from recordlake.session import configure, path_exists
+from recordlake.session import configure, delete_path, path_exists
 from recordlake.sources.jsonl import read_lines, write_lines
 
 
@@ -42,48 +44,53 @@ class UpstreamSchemaOrTemporaryError(CollectorError):
     pass
 
 
-def _redacted(spark: SparkSession, text: str) -> str:
+def redacted(spark: SparkSession, text: str) -> str:
     return spark.range(1).select(redact(F.lit(text)).alias("m")).first()["m"]
 
 
-def _next_batch_id(spark: SparkSession, store: str) -> int:
-    led = I.ledger(spark, store)
-    if led is None:
-        return 1
-    top = led.agg(F.max("batch_id")).first()[0]
-    return 1 if top is None else int(top) + 1
+#: As stored: of rows with equal (run_id, query_ix) the one written last counts.
+STORED_RESULTS = T.StructType([*RUN_RESULTS.fields, T.StructField("written_ns", T.LongType())])
 
 
-def _write(df: DataFrame, path: str, parts: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+def _append(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("append").parquet(path)
 
 
 def _run_event(spark: SparkSession, store: str, run_id: str, seq: int, ts: dt.datetime, status: str,
                trigger: str, query_count: int, error_type: str | None = None, error: str | None = None) -> None:
     row = (run_id, seq, ts, status, trigger, query_count, None, None, None, error_type, error)
-    _write(spark.createDataFrame([row], RUN_EVENTS), f"{store}/run_events", ["run_id", "seq"])
+    _append(spark.createDataFrame([row], RUN_EVENTS), f"{store}/run_events")
 
 
 def _result(spark: SparkSession, store: str, row: tuple) -> None:
-    _write(spark.createDataFrame([row], RUN_RESULTS), f"{store}/run_results", ["run_id", "query_ix"])
+    _append(spark.createDataFrame([(*row, time.time_ns())], STORED_RESULTS), f"{store}/run_results")
 
 
 def collect_query(spark: SparkSession, landing: str, query: str | None, staging: str, source: str = DEFAULT_SOURCE,
-                  url_prefix: str = DEFAULT_URL_PREFIX) -> str:
-    """S5/N12/S9 for one query: normalise its pages and write the records as JSON
-    lines under ``staging`` (returned); raise the collector error instead when a
-    response is rejected or there are no records."""
+                  url_prefix: str = DEFAULT_URL_PREFIX, max_pages: int | None = None,
+                  page_size: int | None = None) -> str:
+    """S5/N12/S9 for one query: normalise its first ``max_pages`` pages, at most
+    ``page_size`` results of each, and write the records as JSON lines under
+    ``staging`` (returned); raise the collector error instead when a response
+    is rejected or there are no records. The normalised responses are written
+    once; the checks and the records read them from there."""
     path = f"{landing}/query={query if query is not None else '__all__'}"
     if not path_exists(spark, path):
         raise CollectorError(N.ERR_ZERO)
     responses = read_lines(spark, path).select("line_no", F.col("line").alias("body")).where(F.col("body") != "")
-    norm = N.normalize(responses, source=source, url_prefix=url_prefix)
+    if max_pages is not None:  # a page's number is its rank among the non-blank lines
+        responses = responses.orderBy("line_no").limit(max_pages)
+    pages = f"{staging}-pages"
+    N.normalize(responses, source=source, url_prefix=url_prefix).write.mode("overwrite").parquet(pages)
+    norm = spark.read.parquet(pages)
     first_bad = norm.where(F.col("status") == "rejected").agg(
         F.min_by("error", "line_no").alias("e"), F.count(F.lit(1)).alias("n")).first()
     if first_bad["n"]:
         raise UpstreamSchemaOrTemporaryError(first_bad["e"])
     recs = N.records(norm, ["line_no"], source, url_prefix)
-    out = recs.select((F.col("line_no") * 1_000_000 + F.col("pos")).alias("ord"), N.jsonl_value().alias("line"))
+    if page_size is not None:
+        recs = recs.where(F.col("pos") < page_size)
+    out = recs.select(F.struct("line_no", "pos").alias("ord"), N.jsonl_value().alias("line"))
     write_lines(out, staging, "ord")
     if spark.read.text(staging).limit(1).isEmpty():
         raise CollectorError(N.ERR_ZERO)
@@ -92,38 +99,59 @@ def collect_query(spark: SparkSession, landing: str, query: str | None, staging:
 
 def run_collection(spark: SparkSession, store: str, landing: str, queries: list[str] | None, *, run_id: str,
                    trigger: str = "scheduled", clock: dt.datetime | None = None, source: str = DEFAULT_SOURCE,
-                   url_prefix: str = DEFAULT_URL_PREFIX, raise_on_failure: bool = True) -> DataFrame:
-    """K3: one run over ``queries`` (None → one unfiltered query, X15); returns its result rows."""
+                   url_prefix: str = DEFAULT_URL_PREFIX, raise_on_failure: bool = True, max_pages: int | None = None,
+                   page_size: int | None = None, attempts: DataFrame | None = None) -> DataFrame:
+    """K3: one run over ``queries`` (None → one unfiltered query, X15); returns its result rows.
+
+    ``attempts`` (query, attempts), e.g. the roll-up of a landed attempt log
+    (A8), gives the number of fetch attempts recorded per query; without a row
+    it is 1. An error that is not an expected one is recorded, too, and always raised.
+    """
     configure(spark)
     resolved = list(queries) if queries else [None]
+    tried = {}
+    if attempts is not None:
+        wanted = spark.createDataFrame([(q,) for q in resolved], "query string")
+        tried = {r["query"]: int(r["n"]) for r in attempts.join(F.broadcast(wanted), attempts["query"].eqNullSafe(wanted["query"]))
+                 .groupBy(wanted["query"]).agg(F.max("attempts").alias("n")).collect()}
     ts = I.second_clock(clock)
     _run_event(spark, store, run_id, 0, ts, "running", trigger, len(resolved))
-    failure: BaseException | None = None
+    failure: Exception | None = None
     for ix, query in enumerate(resolved):
+        count = tried.get(query, 1)
+        staging = f"{store}/_staging/collect-{run_id}-{ix}"
         try:
-            staged = collect_query(spark, landing, query, f"{store}/_staging/collect/run_id={run_id}/query_ix={ix}",
-                                   source, url_prefix)
+            staged = collect_query(spark, landing, query, staging, source, url_prefix, max_pages, page_size)
             checked = validate(read_lines(spark, staged), source=source).withColumn("ord", F.col("line_no"))
-            led = I.ingest_checked(spark, store, checked, _next_batch_id(spark, store), clock=ts,
-                                   mode="strict", source_query=query).first()
-            _result(spark, store, (run_id, ix, query, "success", 1, led.seen, led.inserted, led.skipped,
+            led = I.ingest_checked(spark, store, checked, clock=ts, mode="strict", source_query=query).first()
+            _result(spark, store, (run_id, ix, query, "success", count, led.seen, led.inserted, led.skipped,
                                    None, None, ts, ts))
-        except (CollectorError, RecordValidationError) as exc:
+        except Exception as exc:  # noqa: BLE001
             failure = exc
-            msg = _redacted(spark, str(exc))
-            _result(spark, store, (run_id, ix, query, "failed", 1, 0, 0, 0, type(exc).__name__, msg, ts, ts))
+            msg = redacted(spark, str(exc))
+            _result(spark, store, (run_id, ix, query, "failed", count, 0, 0, 0, type(exc).__name__, msg, ts, ts))
             _run_event(spark, store, run_id, 1, ts, "failed", trigger, len(resolved), type(exc).__name__, msg)
             break
+        finally:
+            for path in (staging, f"{staging}-pages"):
+                delete_path(spark, path)
     else:
         _run_event(spark, store, run_id, 1, ts, "success", trigger, len(resolved))
-    results = spark.read.schema(RUN_RESULTS).parquet(f"{store}/run_results").where(F.col("run_id") == run_id)
-    if failure is not None and raise_on_failure:
+    expected = isinstance(failure, (CollectorError, RecordValidationError))
+    if failure is not None and (raise_on_failure or not expected):
         raise failure
-    return results
+    return _last_results(spark, store).where(F.col("run_id") == run_id)
+
+
+def _last_results(spark: SparkSession, store: str) -> DataFrame:
+    rows = spark.read.schema(STORED_RESULTS).parquet(f"{store}/run_results")
+    others = [c for c in RUN_RESULTS.fieldNames() if c not in ("run_id", "query_ix")]
+    return (rows.groupBy("run_id", "query_ix").agg(F.max_by(F.struct(*others), F.coalesce("written_ns", F.lit(0))).alias("_r"))
+            .select("run_id", "query_ix", "_r.*"))
 
 
 def read_runs(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """The run ledger of a store: (run_events, run_results) with ``error_text`` columns."""
     ev = spark.read.schema(RUN_EVENTS).parquet(f"{store}/run_events").withColumnRenamed("redacted_error", "error_text")
-    res = spark.read.schema(RUN_RESULTS).parquet(f"{store}/run_results").withColumnRenamed("redacted_error", "error_text")
+    res = _last_results(spark, store).withColumnRenamed("redacted_error", "error_text")
     return ev, res

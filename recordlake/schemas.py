@@ -30,8 +30,6 @@ CONFIG_KEYS = ("interval_seconds", "queries", "max_pages", "page_size", "paused"
 COMMAND_TYPES = ("run_once", "pause", "resume", "update_config")
 COMMAND_STATUSES = ("queued", "running", "applied", "failed")
 TERMINAL_STATUSES = ("applied", "failed")
-RUN_STATUSES = ("running", "success", "failed")
-RUN_TRIGGERS = ("scheduled", "worker_interval", "mcp_run_once")
 
 DEFAULT_SOURCE = "feed"
 DEFAULT_URL_PREFIX = "https://jobs.example/jobs/"
@@ -43,22 +41,6 @@ RECORD_FIELDS = (
     "contractor_tier", "hourly_min", "hourly_max", "fixed_amount", "raw_id",
 )
 
-RECORD = T.StructType([
-    T.StructField("source", T.StringType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("skills", T.ArrayType(T.StringType())),
-    T.StructField("posted_at", T.StringType()),
-    T.StructField("job_type", T.StringType()),
-    T.StructField("contractor_tier", T.StringType()),
-    T.StructField("hourly_min", T.DoubleType()),
-    T.StructField("hourly_max", T.DoubleType()),
-    T.StructField("fixed_amount", T.DoubleType()),
-    T.StructField("raw_id", T.StringType()),
-])
-
 JOBS = T.StructType([
     T.StructField("job_id", T.StringType(), False),
     T.StructField("source", T.StringType(), False),
@@ -78,11 +60,6 @@ JOBS = T.StructType([
 ])
 JOB_COLUMNS = tuple(f.name for f in JOBS.fields)
 
-JOB_SKILLS = T.StructType([
-    T.StructField("job_id", T.StringType(), False),
-    T.StructField("skill", T.StringType(), False),
-])
-
 # Append-only event ledgers; current state is folded on read.
 RUN_EVENTS = T.StructType([
     T.StructField("run_id", T.StringType(), False),

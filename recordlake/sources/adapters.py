@@ -377,7 +377,7 @@ def command_events(events: DataFrame) -> DataFrame:
     status view running, purchase applied, error failed, else queued;
     type by command mod 4 (run_once, pause, resume, update_config);
     update payload ``{"updates":{"max_pages":k mod 5 + 1}}``, or an unknown key
-    when k mod 7 = 0.
+    when k mod 7 = 0. Applied events have the result ``{"k":k}``, failed ones an error.
     """
     k = _k()
     cid = F.floor(F.col("event_id") / 4)
@@ -392,6 +392,9 @@ def command_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("cmd-"), F.lpad(cid.cast("string"), 6, "0")).alias("command_id"),
         F.col("event_id").alias("seq"), _sec().alias("ts"), status.alias("status"),
         ctype.alias("command_type"), payload.alias("payload_json"), F.lit("mcp").alias("requested_by"),
+        F.when(status == "applied", F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}"))).alias("result_json"),
+        F.when(status == "failed", F.lit("UpstreamBlockedError")).alias("error_type"),
+        F.when(status == "failed", F.concat(F.lit("blocked "), k.cast("string"))).alias("redacted_error"),
     )
 
 

@@ -31,12 +31,16 @@ class InputPathError(ValueError):
     """Missing or unreadable input path (usage error)."""
 
 
+def _is_glob(path: str) -> bool:
+    return any(c in path for c in "*?[{")
+
+
 def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(line, file_path, block_start)`` rows of text files (S7: path, folder or glob)."""
     configure(spark)
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
-        if "*" not in p and not path_exists(spark, p):
+        if not _is_glob(p) and not path_exists(spark, p):
             raise InputPathError("input path is missing or unreadable")
     return spark.read.text(paths).select(
         F.col("value").alias("line"),
@@ -54,7 +58,7 @@ def _bytes(text: str) -> int:
 def split_bound(spark: SparkSession, paths: list[str]) -> int | None:
     """Upper bound on the number of input splits, from file-system metadata only
     (total bytes / split size + file count); None for globs."""
-    if any("*" in p for p in paths):
+    if any(_is_glob(p) for p in paths):
         return None
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
@@ -129,7 +133,7 @@ def read_whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     configure(spark)
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
-        if "*" not in p and not path_exists(spark, p):
+        if not _is_glob(p) and not path_exists(spark, p):
             raise InputPathError("fixture path is missing or unreadable")
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(paths).select(
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body"))

@@ -2,10 +2,12 @@
 
 A file stream over a landing folder discovers new JSON-lines files; every
 micro-batch runs the same validate → first-write-wins append as the batch
-path, with the micro-batch id as the store's batch id. Structured Streaming
-re-delivers the same files under the same id after a failure, and the store
-never counts a batch's own partition as existing, so a replayed micro-batch
-rewrites identical rows: the sink is idempotent, the pipeline exactly-once.
+path. A micro-batch is known by (stream id, epoch): the stream id is the one
+Structured Streaming keeps in the checkpoint, the store's batch id comes from
+the store's one allocator. Structured Streaming re-delivers the same files under
+the same epoch after a failure; an epoch that the ledger holds as committed is
+skipped, so the pipeline is exactly-once, and a stream with a fresh checkpoint
+gets new batch ids and never touches what is stored.
 
 * R1 recurring run: ``trigger(processingTime=interval)``.
 * R2 one-shot run: ``trigger(availableNow=True)`` (works while paused).
@@ -18,25 +20,31 @@ rewrites identical rows: the sink is idempotent, the pipeline exactly-once.
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordlake.operators.ingest import ingest_checked, record_failed_batch
+from recordlake.operators.ingest import ingest_checked, next_batch_id, record_failed_batch, stream_batch
 from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
 from recordlake.session import configure
 from recordlake.sources.jsonl import number_lines, split_bound
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Structured Streaming keeps in a checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
 def _trigger(writer, interval: str | None):
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
 def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, checkpoint: str, *,
                         source: str = DEFAULT_SOURCE, mode: str = "quarantine", interval: str | None = None,
-                        batch_offset: int = 1, max_files_per_trigger: int | None = None,
+                        max_files_per_trigger: int | None = None,
                         clock: dt.datetime | None = None) -> StreamingQuery:
     """Start the landing-folder → store stream; ``interval=None`` runs once over what is there."""
     configure(spark)
@@ -46,16 +54,21 @@ def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, chec
     stream = reader.load(landing).select("value", "_metadata")
 
     def on_batch(df: DataFrame, epoch_id: int) -> None:
-        batch_id = epoch_id + batch_offset
+        key = (stream_id(spark, checkpoint), epoch_id)
+        known = stream_batch(spark, store_root, *key)
+        if known is not None and known["status"] == "success":
+            return
+        batch_id = known["batch_id"] if known is not None else next_batch_id(spark, store_root)
         raw = df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
                         F.col("_metadata.file_block_start").alias("block_start"))
         files = df.inputFiles()
         bound = split_bound(spark, list(files)) if files else None
         checked = validate(number_lines(raw, bound), source=source).withColumn("ord", F.col("line_no"))
         try:
-            ingest_checked(spark, store_root, checked, batch_id, clock=clock, mode=mode, input_path=landing)
+            ingest_checked(spark, store_root, checked, batch_id, clock=clock, mode=mode, input_path=landing,
+                           stream=key)
         except RecordValidationError as exc:
-            record_failed_batch(spark, store_root, batch_id, exc, clock=clock)
+            record_failed_batch(spark, store_root, batch_id, exc, clock=clock, stream=key)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()
@@ -70,21 +83,20 @@ def run_ingest_once(spark: SparkSession, landing: str, store_root: str, checkpoi
 
 
 def start_command_stream(spark: SparkSession, landing: str, store_root: str, checkpoint: str, *,
-                         interval: str | None = None, batch_offset: int = 1) -> StreamingQuery:
-    """Command events (JSON lines) appended to the store's command log, one
-    partition per micro-batch (replays overwrite the same partition)."""
+                         interval: str | None = None) -> StreamingQuery:
+    """Command events (JSON lines) appended to the store's command log, in the one layout
+    that all its writers share. A replayed micro-batch may append its events again; the
+    folds read each (command, seq, status) once."""
     configure(spark)
-    schema = COMMAND_EVENTS
-    stream = spark.readStream.schema(schema).json(landing)
+    stream = spark.readStream.schema(COMMAND_EVENTS).json(landing)
 
     def on_batch(df: DataFrame, epoch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(epoch_id + batch_offset).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{store_root}/command_events"))
+        df.write.mode("append").parquet(f"{store_root}/command_events")
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()
 
 
 def read_command_log(spark: SparkSession, store_root: str) -> DataFrame:
-    return spark.read.schema(COMMAND_EVENTS).parquet(f"{store_root}/command_events")
+    return spark.read.schema(COMMAND_EVENTS).parquet(f"{store_root}/command_events").dropDuplicates(
+        ["command_id", "seq", "status"])

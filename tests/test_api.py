@@ -65,7 +65,7 @@ def test_worker_tick_runs_and_records_expected_failure(spark, scratch):
 def test_collect_fixture_and_jsonl(spark, scratch):
     body = {"data": {"search": {"universalSearchNuxt": {"visitorJobSearchV1": {"results": [
         {"id": "9", "title": "T", "description": "D", "skills": ["A"]}]}}}}}
-    write_text(f"{scratch}/fx/resp.json", [json.dumps(body)])
+    write_text(f"{scratch}/fx/resp.json", json.dumps(body, indent=2).split("\n"))
     recs = api.collect_fixture(spark, f"{scratch}/fx")
     assert [r.id for r in recs.collect()] == ["~029"]
     write_text(f"{scratch}/bad/resp.json", [json.dumps({"errors": ["x"], "data": None})])
@@ -139,11 +139,11 @@ def test_end_to_end_worker_flow(spark, scratch):
     assert again["ran"] is False  # paused, nothing queued
 
 
-def test_parse_queries_cli_form():
-    assert api.parse_queries(" python , scraping,automation , ") == ["python", "scraping", "automation"]
+def test_parse_queries_cli_form(spark):
+    assert api.parse_queries(spark, " python , scraping,automation , ") == ["python", "scraping", "automation"]
     for bad in ("", ",", " , , "):
         with pytest.raises(ValueError):
-            api.parse_queries(bad)
+            api.parse_queries(spark, bad)
 
 
 def test_input_and_command_contracts(spark, scratch):
@@ -161,3 +161,72 @@ def test_input_and_command_contracts(spark, scratch):
         api.analytics(spark, root, "jobs", limit=101)
     with pytest.raises(ValueError, match="unknown analytics query: nope"):
         api.analytics(spark, root, "nope")
+
+
+def test_analytics_on_an_initialised_empty_store(spark, scratch):
+    root = f"{scratch}/store"
+    S.init_store(spark, root)
+    assert api.analytics(spark, root, "summary").first().asDict() == {"jobs": 0, "skills": 0}
+    for name in ("skills", "jobs", "budgets"):
+        assert api.analytics(spark, root, name).collect() == []
+
+
+def test_run_once_outcome_follows_its_run(spark, scratch):
+    """Two queued runs that fail: each is run, and each is marked failed with its error."""
+    root = f"{scratch}/store"
+    S.init_store(spark, root)
+    api.run_once(spark, root, command_id="c1", clock=CLOCK)
+    api.run_once(spark, root, command_id="c2", clock=CLOCK)
+    out = api.worker_tick(spark, root, f"{scratch}/nothing", run_id="r", clock=CLOCK)
+    assert out["run_once"] == 2 and out["ran"] is True
+    for c in ("c1", "c2"):
+        row = api.command_status(spark, root, c).first()
+        assert (row.status, row.error_type, row.redacted_error) == ("failed", "CollectorError", "live collection returned zero jobs")
+    ev, res = api.SCH.read_runs(spark, root)
+    assert sorted(r.run_id for r in res.collect()) == ["r", "r-1"]
+
+
+def test_bare_update_payload(spark, scratch):
+    root = f"{scratch}/store"
+    S.init_store(spark, root)
+    api.enqueue(spark, root, "update_config", {"max_pages": 3, "paused": True}, command_id="c1", clock=CLOCK)
+    with pytest.raises(ValueError, match="unsupported config keys: a, b"):
+        api.enqueue(spark, root, "update_config", {"b": 1, "max_pages": 0, "a": 1})
+    with pytest.raises(ValueError, match="max_pages must be a positive integer"):
+        api.enqueue(spark, root, "update_config", {"max_pages": 0})
+    api.worker_tick(spark, root, f"{scratch}/nothing", clock=CLOCK)
+    cfg = {r.key: r.value_json for r in api.config(spark, root).collect()}
+    assert cfg["max_pages"] == "3" and cfg["paused"] == "true"
+    assert api.command_status(spark, root, "c1").first().status == "applied"
+
+
+def test_unexpected_failure_is_recorded_and_raised(spark, scratch, monkeypatch):
+    root = f"{scratch}/store"
+    S.init_store(spark, root)
+
+    def broken(*_a, **_k):
+        raise TypeError("boom token=abc")
+
+    monkeypatch.setattr(api.SCH, "collect_query", broken)
+    with pytest.raises(TypeError):
+        api.SCH.run_collection(spark, root, f"{scratch}/x", ["q"], run_id="r1", clock=CLOCK, raise_on_failure=False)
+    ev, res = api.SCH.read_runs(spark, root)
+    assert api.L.runs(ev, res).first().status == "failed"
+    row = res.first()
+    assert (row.status, row.error_type, row.error_text) == ("failed", "TypeError", "boom token=<redacted>")
+
+
+def test_page_limits_and_attempts(spark, scratch):
+    root, landing = f"{scratch}/store", f"{scratch}/landing"
+    S.init_store(spark, root)
+
+    def page(k):
+        rows = [{"id": str(k * 10 + j), "title": "T", "description": "D"} for j in range(4)]
+        return json.dumps({"data": {"search": {"universalSearchNuxt": {"visitorJobSearchV1": {"results": rows}}}}})
+
+    write_text(f"{landing}/query=q/p.jsonl", [page(1), "", page(2), page(3)])
+    attempts = spark.createDataFrame([("q", 3), ("other", 9)], "query string, attempts long")
+    res = api.SCH.run_collection(spark, root, landing, ["q"], run_id="r1", clock=CLOCK, max_pages=2, page_size=3,
+                                 attempts=attempts).first()
+    assert (res.seen_count, res.attempts) == (6, 3)
+    assert {r.raw_id for r in api.recent(spark, root, limit=50).collect()} == {"10", "11", "12", "20", "21", "22"}

@@ -1,3 +1,5 @@
+import pytest
+
 import json
 
 
@@ -51,6 +53,10 @@ def test_redaction_evidence(spark):
         "unexpected token=secret diagnostic": ("secret",),
         "Authorization: Bearer abc123": ("abc123",),
         "see https://bob:pw@host/x": ("bob:pw",),
+        '{"token": "SEC"}': ("SEC",),
+        "Cookie: a=S1; b=S2": ("S1", "S2"),
+        "Authorization: Basic dXNlcg==": ("dXNlcg",),
+        "secret_key=S3 tokens=S4": ("S3", "S4"),
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     out = {r.t: r.r for r in df.select("t", redact("t").alias("r")).collect()}
@@ -83,3 +89,15 @@ def test_duration_seconds(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00Z", "2024-01-01T00:01:05Z"),
                                 ("2024-01-01T00:00:00Z", None), ("garbage", "2024-01-01T00:00:00Z")], "a string, b string")
     assert [r[0] for r in df.select(T.duration_seconds("a", "b")).collect()] == [65, None, None]
+
+
+def test_integer_settings(spark):
+    df = spark.createDataFrame([("7",), (" 12 ",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.integer_setting("t")).collect()] == [7, 12, None, None]
+    for bad in ("0", "-1", "x", "1.5", "true"):
+        with pytest.raises(Exception, match="positive integer"):
+            spark.createDataFrame([(bad,)], "t string").select(T.integer_setting("t")).collect()
+    assert T.positive_integer(3, "n") == 3
+    for bad in (True, 0, "3", 2.0, None):
+        with pytest.raises(ValueError, match="n must be a positive integer"):
+            T.positive_integer(bad, "n")

@@ -71,9 +71,9 @@ def test_missing_input_is_a_usage_error(spark, scratch):
 def test_first_per_key_plan_is_partial_aggregate(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 0, "y"), ("b", 2, "z")], "job_id string, ord long, v string")
     out = ingest.first_per_key(df)
-    assert sorted(tuple(r) for r in out.collect()) == [("a", 0, "y"), ("b", 2, "z")]
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 0), ("b", 2)]
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan
+    assert "partial_min" in plan and "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_hot_key_a_third_of_lines(spark, scratch):
@@ -106,8 +106,8 @@ def test_store_reads_prune_batches_dynamically(spark, scratch):
 def test_anti_join_broadcasts_only_within_its_bound(spark):
     cands = spark.createDataFrame([("a", 1), ("b", 2)], "job_id string, ord long")
     store = spark.createDataFrame([("b",), ("c",)], "job_id string")
-    small = ingest.new_only(cands, store, candidate_bound=2)
-    big = ingest.new_only(cands, store, candidate_bound=ingest.MAX_BROADCAST_KEYS + 1)
+    small = ingest.new_only(cands, store, candidate_bytes=2)
+    big = ingest.new_only(cands, store, candidate_bytes=ingest.MAX_BROADCAST_BYTES + 1)
     splan = small._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in splan and "LeftSemi" in splan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -120,3 +120,39 @@ def test_anti_join_broadcasts_only_within_its_bound(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert [r.job_id for r in small.collect()] == ["a"]
+
+
+def test_a_crashed_attempt_is_never_read(spark, scratch, monkeypatch):
+    """The data of batch 2 is written, its ledger row is not: the next batch has that number
+    and holds a duplicate only, and the dead attempt's record stays unread."""
+    store = f"{scratch}/store"
+    for b, lines in (("b1", [rec(1)]), ("b2", [rec(2)]), ("b3", [rec(1, "late")])):
+        write_text(f"{scratch}/{b}/x.jsonl", lines)
+    ingest.ingest_jsonl(spark, store, f"{scratch}/b1", clock=CLOCK)
+
+    def crash(*_a):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "write_ledger_row", crash)
+        with pytest.raises(RuntimeError):
+            ingest.ingest_jsonl(spark, store, f"{scratch}/b2", clock=CLOCK)
+    led = ingest.ingest_jsonl(spark, store, f"{scratch}/b3", clock=CLOCK).first()
+    assert (led.batch_id, led.seen, led.inserted) == (2, 1, 0)
+    assert [r.job_id for r in ingest.read_jobs(spark, store).collect()] == ["id1"]
+    assert ingest.read_job_skills(spark, store).count() == 2
+
+
+def test_a_committed_batch_is_never_overwritten(spark, scratch):
+    store = f"{scratch}/store"
+    write_text(f"{scratch}/b1/x.jsonl", [rec(1), rec(2, "first"), rec(2, "later")])
+    write_text(f"{scratch}/other/x.jsonl", [rec(2, "later")])
+    ingest.ingest_jsonl(spark, store, f"{scratch}/b1", 1, clock=CLOCK)
+    with pytest.raises(ingest.BatchConflictError):
+        ingest.ingest_jsonl(spark, store, f"{scratch}/other", 1, clock=CLOCK)
+    with pytest.raises(ingest.BatchConflictError):
+        ingest.record_failed_batch(spark, store, 1, ValueError("x"))
+    assert {r.job_id: r.title for r in ingest.read_jobs(spark, store).collect()} == {"id1": "t", "id2": "first"}
+    from recordlake.session import list_dirs
+
+    assert list_dirs(spark, f"{store}/_staging") == []  # nothing of the input stays behind
