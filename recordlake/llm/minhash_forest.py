@@ -112,6 +112,15 @@ class _Sketches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "sketch"])
 
 
+@dataclass(frozen=True)
+class _Shared:
+    """The rows of regions with two documents or more."""
+
+    def __call__(self, table: pa.Table, starts: np.ndarray) -> pa.Table:
+        sizes = np.diff(starts)
+        return table.filter(pa.array(np.repeat(sizes > 1, sizes)))
+
+
 @dataclass(frozen=True)
 class _Candidates:
     """A spanning forest of each region's documents whose sketches agree in ``share`` of their bytes."""
@@ -218,10 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     usable = signed.where("n > 0 and id is not null")
     copies = kept(usable.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
                   .where("rep < last").select("f1", "f2", "rep"), "copies")
-    same = kept(usable.select("id", "f1", "f2").join(copies, ["f1", "f2"]).where("id <> rep")
+    same = kept(usable.select("id", "f1", "f2").join(_small(copies), ["f1", "f2"]).where("id <> rep")
                 .select(F.col("id").alias("a"), F.col("rep").alias("b")), "same")
     # One document per set; the others hang on it.
-    alone = usable.join(copies, ["f1", "f2"], "left").where("rep is null or rep = id").select("id", "signature")
+    alone = usable.join(_small(copies), ["f1", "f2"], "left").where("rep is null or rep = id").select("id", "signature")
     trees = kept(alone.mapInArrow(_Trees(), "id long, p4 long, p6 long, p8 long"), "trees")
     sketches = alone.mapInArrow(_Sketches(), "id long, sketch binary")
     groups = connected_components(_candidate_edges(trees, sketches, percent, kept).union(same))
@@ -234,11 +243,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if the table (of a few numbers a row) is small enough, as counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that ``near_duplicates`` (``found``) keeps, with their columns: one of each
     component. Of rows that repeat an id the smallest (by all columns) stays; null ids stay."""
     dropped = found.where(~F.col("kept")).select(id_col).distinct()
-    left = docs.join(dropped, id_col, "left_anti")
+    left = docs.join(_small(dropped), id_col, "left_anti")
     again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
     if again.isEmpty():
         return left.select(*docs.columns)
@@ -250,22 +264,23 @@ def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") ->
 def _candidate_edges(trees: DataFrame, sketches: DataFrame, percent: int, kept) -> DataFrame:
     """Edges between documents of a region with well-agreeing sketches; at most one per document and region."""
     current = trees.withColumn("region", F.col(f"p{DEPTHS[0]}")).withColumn("pivot", F.lit(None).cast("long"))
+    columns = "region long, part int, id long, pivot long"
     done = []
     for at, depth in enumerate(DEPTHS):
         sizes = kept(current.groupBy("region").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-                     .where("size > 1"), f"sizes{depth}")
+                     .where(F.col("size") > REGION), f"large{depth}")
+        sized = current.join(_small(sizes), "region", "left")
+        rest = sized.where("size is null").select("region", F.lit(0).alias("part"), "id", "pivot")
         # Alone in a region: no candidate, but for the pivot of the shallower region.
-        sized = kept(current.join(sizes, "region", "left" if at else "inner"), f"sized{depth}")
-        large = sized.where(F.col("size") > REGION)
-        done.append(sized.where(F.coalesce("size", F.lit(1)) <= REGION).select("region", F.lit(0).alias("part"), "id", "pivot"))
-        if large.isEmpty():
+        done.append(rest if at else kept(grouped(rest, ["region"], _Shared(), columns), "shared"))
+        if sizes.isEmpty():
             break
-        pivot = F.coalesce("pivot", "least").alias("pivot")
+        large = kept(sized.where("size is not null").withColumn("pivot", F.coalesce("pivot", "least")), f"crowded{depth}")
         if at == len(DEPTHS) - 1:  # crowded at full depth
             part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (REGION // 2))).cast("int").alias("part")
-            done.append(large.select("region", part, "id", pivot))
+            done.append(large.select("region", part, "id", "pivot"))
         else:
-            current = large.select(*trees.columns, F.xxhash64(F.col(f"p{DEPTHS[at + 1]}")).alias("region"), pivot)
+            current = large.select(*trees.columns, F.xxhash64(F.col(f"p{DEPTHS[at + 1]}")).alias("region"), "pivot")
     rows = done[0]
     for more in done[1:]:
         rows = rows.union(more)

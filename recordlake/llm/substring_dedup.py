@@ -374,6 +374,8 @@ def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     path = f"{scratch_dir(spark, 'passages')}/spans"
     spans.write.parquet(path)
     spans = spark.read.parquet(path)
+    if (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
     names = docs.columns
     crc = F.crc32(docs[text_col].cast("binary"))
     joined = docs.join(spans, (docs[id_col] == spans["_id"]) & (crc == spans["_crc"]), "left")
