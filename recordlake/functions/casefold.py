@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.str.casefold()
-
-
 def casefold_udf():
-    return F.pandas_udf(_casefold, "string")
+    # Defined here so that it is shipped by value: executors need not have this package.
+    def fold(s: pd.Series) -> pd.Series:
+        return s.str.casefold()
+
+    return F.pandas_udf(fold, "string")
 
 
 def casefold(c: Column) -> Column:

@@ -67,14 +67,15 @@ def budgets(jobs: DataFrame) -> DataFrame:
 
 
 def run_query(spark: SparkSession, name: str, jobs: DataFrame | None, job_skills: DataFrame | None,
-              skill: str | None = None, title: str | None = None, limit: int | None = None) -> DataFrame:
+              skill: str | None = None, title: str | None = None, limit: int | None = None,
+              exact_casefold: bool = False) -> DataFrame:
     """Analytics dispatcher; an unknown name is a ``ValueError``."""
     if name == "summary":
         return summary(spark, jobs, job_skills)
     if name == "skills":
         return skill_frequency(job_skills)
     if name == "jobs":
-        return analytics_jobs(jobs, job_skills, skill=skill, title=title, limit=limit)
+        return analytics_jobs(jobs, job_skills, skill=skill, title=title, limit=limit, exact_casefold=exact_casefold)
     if name == "budgets":
         return budgets(jobs)
     raise ValueError(f"unknown analytics query: {name}")

@@ -34,6 +34,7 @@ from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import DEFAULT_SOURCE, DEFAULT_URL_PREFIX, RUN_EVENTS, RUN_RESULTS
 from recordlake.session import configure, delete_path, path_exists
 from recordlake.sources.jsonl import read_lines, write_lines
+from recordlake.sources.store import folding
 
 
 class CollectorError(RuntimeError):
@@ -114,6 +115,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
         wanted = spark.createDataFrame([(q,) for q in resolved], "query string")
         tried = {r["query"]: int(r["n"]) for r in attempts.join(F.broadcast(wanted), attempts["query"].eqNullSafe(wanted["query"]))
                  .groupBy(wanted["query"]).agg(F.max("attempts").alias("n")).collect()}
+    folded = folding(spark, store)
     ts = I.second_clock(clock)
     _run_event(spark, store, run_id, 0, ts, "running", trigger, len(resolved))
     failure: Exception | None = None
@@ -122,7 +124,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
         staging = f"{store}/_staging/collect-{run_id}-{ix}"
         try:
             staged = collect_query(spark, landing, query, staging, source, url_prefix, max_pages, page_size)
-            checked = validate(read_lines(spark, staged), source=source).withColumn("ord", F.col("line_no"))
+            checked = validate(read_lines(spark, staged), source=source, exact_casefold=folded).withColumn("ord", F.col("line_no"))
             led = I.ingest_checked(spark, store, checked, clock=ts, mode="strict", source_query=query).first()
             _result(spark, store, (run_id, ix, query, "success", count, led.seen, led.inserted, led.skipped,
                                    None, None, ts, ts))

@@ -17,6 +17,7 @@ from recordlake.session import list_dirs, path_exists
 BASE_TABLES = {"jobs", "job_skills", "run_events", "run_results"}
 CONTROL_TABLES = {"config_events", "command_events"}
 META = T.StructType([T.StructField("schema_version", T.IntegerType())])
+FOLDING = T.StructType([T.StructField("exact_casefold", T.BooleanType())])
 
 
 def _table_schemas() -> dict[str, T.StructType]:
@@ -37,6 +38,23 @@ def init_store(spark: SparkSession, root: str, version: int = SCHEMA_VERSION, ta
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def folding(spark: SparkSession, root: str) -> bool:
+    """Whether the store's skills are folded by exact ``casefold`` (else by ``lower``)."""
+    path = f"{root}/_folding"
+    return path_exists(spark, path) and bool(spark.read.schema(FOLDING).parquet(path).first()["exact_casefold"])
+
+
+def settle_folding(spark: SparkSession, root: str, wanted: bool | None, filled: bool) -> bool:
+    """The store's folding mode; a store keeps the mode of its first ingest, and another is an error."""
+    current = folding(spark, root)
+    if wanted is None or wanted == current:
+        return current
+    if filled or current:
+        raise ValueError(f"the store folds skills with exact_casefold={current}")
+    spark.createDataFrame([(wanted,)], FOLDING).coalesce(1).write.mode("overwrite").parquet(f"{root}/_folding")
+    return wanted
+
+
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(f"{root}/{name}")
 

@@ -31,6 +31,7 @@ from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
 from recordlake.session import configure
 from recordlake.sources.jsonl import number_lines, split_bound
+from recordlake.sources.store import folding
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -63,7 +64,8 @@ def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, chec
                         F.col("_metadata.file_block_start").alias("block_start"))
         files = df.inputFiles()
         bound = split_bound(spark, list(files)) if files else None
-        checked = validate(number_lines(raw, bound), source=source).withColumn("ord", F.col("line_no"))
+        checked = validate(number_lines(raw, bound), source=source,
+                           exact_casefold=folding(spark, store_root)).withColumn("ord", F.col("line_no"))
         try:
             ingest_checked(spark, store_root, checked, batch_id, clock=clock, mode=mode, input_path=landing,
                            stream=key)

@@ -230,3 +230,17 @@ def test_page_limits_and_attempts(spark, scratch):
                                  attempts=attempts).first()
     assert (res.seen_count, res.attempts) == (6, 3)
     assert {r.raw_id for r in api.recent(spark, root, limit=50).collect()} == {"10", "11", "12", "20", "21", "22"}
+
+
+def test_a_store_keeps_its_folding(spark, scratch):
+    root = f"{scratch}/store"
+    S.init_store(spark, root)
+    line = json.dumps({"source": "feed", "id": "1", "title": "T", "description": "D", "url": "u", "skills": ["Straße"]})
+    write_text(f"{scratch}/a/x.jsonl", [line])
+    write_text(f"{scratch}/b/x.jsonl", [line.replace('"1"', '"2"').replace("Straße", "STRASSE")])
+    api.ingest_jsonl(spark, root, f"{scratch}/a", exact_casefold=True)
+    api.ingest_jsonl(spark, root, f"{scratch}/b")
+    for skill in ("Straße", "strasse", "STRASSE"):
+        assert sorted(r.job_id for r in api.search(spark, root, skill=skill).collect()) == ["1", "2"]
+    with pytest.raises(ValueError, match="exact_casefold=True"):
+        api.ingest_jsonl(spark, root, f"{scratch}/a", exact_casefold=False)
