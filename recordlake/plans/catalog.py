@@ -319,10 +319,10 @@ def q_normalize_budgets(spark: SparkSession, sf: str) -> DataFrame:
 @register("jsonl_roundtrip")
 def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised records → JSON lines (S9) → read back (S1) → validated records."""
-    r = N.records(_normalized(spark, sf), ["line_no"]).withColumn("ord", F.col("line_no") * 1000 + F.col("pos"))
+    r = N.records(_normalized(spark, sf), ["line_no"]).withColumn("ord", F.struct("line_no", "pos"))
     out = f"{scratch_dir(spark, 'jsonl')}/records"
     from recordlake.sources.jsonl import write_lines
-    write_lines(r.select("ord", N.jsonl_value().alias("line")), out, "ord", parts=4)
+    write_lines(r.select("ord", N.jsonl_value().alias("line")), out, "ord")
     checked = V.validate(read_lines(spark, out)).where(F.col("status") == "valid")
     return flat(checked.select("job_id", "title", "url", "skills", "posted_at", "job_type", "contractor_tier",
                                "hourly_min", "hourly_max", "fixed_amount", "raw_id"))
@@ -591,7 +591,7 @@ def q_fixture_audit(spark: SparkSession, sf: str) -> DataFrame:
     rows = adapters.response_rows(adapters.table(spark, sf, "conversations"))
     # Pretty-printed where the response is JSON at all, so most files span lines.
     pretty = F.coalesce(F.to_json(F.try_parse_json("line"), {"pretty": "true"}), F.col("line"))
-    rows.select((F.col("ord") / 1000).cast("long").alias("conv_id"), pretty.alias("value")) \
+    rows.select("ord.conv_id", pretty.alias("value")) \
         .write.partitionBy("conv_id").text(f"{root}/files")
     norm = N.normalize(read_whole_files(spark, f"{root}/files"))
     return norm.select(F.regexp_extract("file_path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"),

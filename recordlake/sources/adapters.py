@@ -141,7 +141,7 @@ def raw_record_rows(documents: DataFrame, source: str = DEFAULT_SOURCE,
     return records.unionByName(blanks)
 
 
-def write_raw_records(spark: SparkSession, documents: DataFrame, path: str, parts: int = 4,
+def write_raw_records(spark: SparkSession, documents: DataFrame, path: str, parts: int | None = None,
                       mode: str = "overwrite") -> str:
     """Land the raw JSON lines as text files whose path order is line order."""
     from recordlake.sources.jsonl import write_lines
@@ -264,10 +264,10 @@ def response_rows(conversations: DataFrame, path: str = "$.data.search.universal
         .when(fault == "not_list", F.lit(opening + '{"' + keys[-1] + '":{}}' + closing))
         .otherwise(ok_body)
     )
-    return pages.select((c * 1000 + F.col("page")).alias("ord"), body.alias("line"))
+    return pages.select(F.struct(c.alias("conv_id"), "page").alias("ord"), body.alias("line"))
 
 
-def write_responses(spark: SparkSession, conversations: DataFrame, path: str, parts: int = 4,
+def write_responses(spark: SparkSession, conversations: DataFrame, path: str, parts: int | None = None,
                     faults: bool = True) -> str:
     from recordlake.sources.jsonl import write_lines
 
