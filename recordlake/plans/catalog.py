@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlake.functions.redact import redact
+from recordlake.functions.text import integer_setting, truthy_setting
 from recordlake.operators import analytics, ingest, reads
 from recordlake.operators import control as C
 from recordlake.operators import ledger as L
@@ -602,7 +603,9 @@ def q_fixture_audit(spark: SparkSession, sf: str) -> DataFrame:
 def q_recent_envelope(spark: SparkSession, sf: str) -> DataFrame:
     jobs, skills = adapters.jobs_store(spark, sf)
     env = reads.envelope(reads.recent(jobs, skills, limit=20))
-    return env.select("ok", "status", F.size("rows").alias("n_rows"))
+    line = F.transform("rows", lambda r: F.concat_ws("|", r["job_id"], r["title"], r["url"], F.array_join(r["skills"], ","),
+                                                     r["first_seen_at"]))
+    return env.select("ok", "status", F.size("rows").alias("n_rows"), F.array_join(line, ";").alias("content"))
 
 
 @register("get_missing_envelope")
@@ -697,3 +700,50 @@ def q_crash_then_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     row = led.first()
     return ingest.read_jobs(spark, root).agg(F.count("*").alias("stored")).select(
         "stored", F.lit(row.inserted).cast("long").alias("inserted_after"), F.lit(row.batch_id).cast("long").alias("batch_id"))
+
+
+@register("results_of_a_run")
+def q_results_of_a_run(spark: SparkSession, sf: str) -> DataFrame:
+    """the newest results of one run, named by its id (the smallest)."""
+    results = _run_rows(spark, sf)[1]
+    run_id = results.agg(F.min("run_id").alias("r")).first()["r"]
+    return L.recent_results(results, run_id=run_id, limit=5)
+
+
+@register("results_of_all_runs")
+def q_results_of_all_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """the newest results without a run filter."""
+    return L.recent_results(_run_rows(spark, sf)[1], limit=100)
+
+
+@register("settings_parse")
+def q_settings_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-number and boolean settings, one text of each per customer."""
+    key = F.col("c_custkey")
+    number = F.when(key % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), key.cast("string"), F.lit(" ")))
+    flag = F.element_at(F.array(*[F.lit(t) for t in ("True", "no", "", "1", "off", "YES")]), (key % 6 + 1).cast("int"))
+    return adapters.table(spark, sf, "customer").select(
+        "c_custkey", integer_setting(number).alias("pages"), truthy_setting(flag).alias("paused"))
+
+
+@register("command_log_mixed_writers")
+def q_command_log_mixed_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the command events through the stream, half appended as ``enqueue`` does; all are read."""
+    root = scratch_dir(spark, "mixed")
+    store, landing = f"{root}/store", f"{root}/landing"
+    S.init_store(spark, store)
+    events = adapters.command_events(_events(spark, sf))
+    events.where(F.col("seq") % 2 == 0).write.json(landing)
+    S.write_table(events.where(F.col("seq") % 2 == 1), store, "command_events")
+    R.start_command_stream(spark, landing, store, f"{root}/_checkpoints/commands").awaitTermination()
+    return C.command_state(R.read_command_log(spark, store)).select(*CMD_COLS)
+
+
+@register("stream_after_batch")
+def q_stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream with a fresh checkpoint on a store that a batch has filled: nothing stored is lost."""
+    root = scratch_dir(spark, "store")
+    first, second = _landed(spark, sf, True, root), _landed(spark, sf, False, root)
+    ingest.ingest_jsonl(spark, root, first, clock=BATCH_CLOCK, mode="quarantine")
+    R.run_ingest_once(spark, second, root, f"{root}/_checkpoints/fresh", clock=BATCH_CLOCK)
+    return ingest.read_jobs(spark, root).select("job_id", "batch_id", "ord", "raw_id")

@@ -598,8 +598,10 @@ SELECT 'run-0001' AS run_id, '2024-01-01T00:00:00Z' AS started_at, '2024-01-01T0
 ORACLE.update({
     "fixture_audit": f"""{ENV}
 SELECT a.conv_id, a.audit_class, r.error FROM aud a JOIN rerr r USING (line_no)""",
-    "recent_envelope": "SELECT true AS ok, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS status, "
-                       "CAST(least(count(*), 20) AS INTEGER) AS n_rows FROM orders",
+    "recent_envelope": f"""
+SELECT true AS ok, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS status, CAST(count(*) AS INTEGER) AS n_rows,
+       coalesce(string_agg(concat_ws('|', job_id, title, url, skills, first_seen_at), ';' ORDER BY first_seen_at DESC, job_id), '') AS content
+  FROM ({ORACLE['recent']}) x""",
     "get_missing_envelope": "SELECT false AS ok, 'not_found' AS error, 'no-such-job' AS job_id",
 })
 
@@ -680,3 +682,15 @@ SELECT doc_id, CAST(kind AS INTEGER) AS kind, {_redact_sql('t')} AS redacted, co
     "crash_then_duplicate": f"""{BATCHES}
 SELECT (SELECT count(DISTINCT rid) FROM b1_v) AS stored, CAST(0 AS BIGINT) AS inserted_after, CAST(2 AS BIGINT) AS batch_id""",
 })
+
+ORACLE.update({
+    "results_of_a_run": f"""{RUNS}
+SELECT * FROM rres WHERE run_id = (SELECT min(run_id) FROM rres) ORDER BY started_at DESC, id DESC LIMIT 5""",
+    "results_of_all_runs": f"{RUNS} SELECT * FROM rres ORDER BY started_at DESC, id DESC LIMIT 100",
+    "settings_parse": """
+SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS BIGINT) END AS pages,
+       CASE c_custkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN true END AS paused
+  FROM customer""",
+    "command_log_mixed_writers": ORACLE["command_state"],
+    "stream_after_batch": ORACLE["two_batch_first_wins"],
+})
