@@ -310,7 +310,7 @@ def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int
         names = sets.where("parts > 1").select("g", "id")
         chosen = [names.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
                   .where(F.col("rank") <= PIVOTS // 2).drop("rank") for order in (["id"], [F.xxhash64("id"), "id"])]
-        pivots = kept(sets.join(chosen[0].union(chosen[1]), ["g", "id"], "left_semi"), "pivots")
+        pivots = kept(sets.join(_small(kept(chosen[0].union(chosen[1]).distinct(), "chosen")), ["g", "id"], "left_semi"), "pivots")
         first = first.union(pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "s"))
     schema = "a long, b long"
     links = kept(grouped(first, ["g", "part"], _Confirm(percent), schema, ("id",)), "links")
@@ -326,7 +326,7 @@ def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int
         return links
     blocks = kept(rest.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
     state = labelled.select("id", "c").join(rest.select("id", F.lit(True).alias("open")), "id", "left")
-    bits = kept(sets.where("parts > 1").join(blocks, "g").select("id", "g", "parts", "blocks", "s")
+    bits = kept(sets.where("parts > 1").join(_small(blocks), "g").select("id", "g", "parts", "blocks", "s")
                 .mapInArrow(_Bits(), "id long, g long, parts int, blocks int, n long, bits binary")
                 .join(state, "id").withColumn("open", F.coalesce("open", F.lit(False))), "bits")
     block = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("blocks")).cast("int")
@@ -335,7 +335,8 @@ def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int
     moved = bits.where("open").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"),
                                       "id", "c", "n", "bits", F.lit(True).alias("mark"))
     pairs = kept(grouped(every.union(moved), ["g", "part", "block"], _Bound(percent), schema).distinct(), "pairs")
-    own = sets.select("id", "s")
+    needed = kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    own = sets.select("id", "s").join(_small(needed), "id", "left_semi")
     both = pairs.join(own.withColumnRenamed("id", "a"), "a").withColumnRenamed("s", "x").join(own.withColumnRenamed("id", "b"), "b")
     return links.union(kept(both.select("a", "b", "x", "s").mapInArrow(_Alike(percent), schema), "more"))
 
