@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlake.functions.text import clock_literal, second_clock
-from recordlake.operators.validate import RecordValidationError, first_failure, validate
+from recordlake.operators.validate import RecordValidationError, failure_columns, validate
 from recordlake.schemas import DEFAULT_SOURCE, JOBS
 from recordlake.session import configure, delete_path, path_exists
 from recordlake.sources.jsonl import read_lines
@@ -152,12 +152,14 @@ def plan_new_records(valid: DataFrame, existing: DataFrame | None, clock: dt.dat
     )
 
 
-def _staged_facts(staged: DataFrame) -> tuple[str, int]:
-    """Fingerprint of the input (order and content of every line) and the bytes of its keys with their orders."""
+def _staged_facts(staged: DataFrame) -> Row:
+    """One pass over the staged batch: the counts and first error of Q1/Q2, a fingerprint of the input (order and
+    content of every line), and the bytes of its keys with their orders."""
     line = F.xxhash64("ord", "status", F.coalesce("content_hash", "message", F.lit("")))
-    row = staged.agg(F.count("*").alias("n"), F.bit_xor(line).alias("x"), F.sum(F.pmod(line, F.lit(1 << 31))).alias("s"),
-                     F.sum(F.coalesce(F.octet_length("job_id"), F.lit(0)) + 24).alias("size")).first()
-    return f"{row['n']}:{row['x'] or 0}:{row['s'] or 0}", int(row["size"] or 0)
+    both = F.concat_ws(":", F.count("*"), F.coalesce(F.bit_xor(line), F.lit(0)),
+                       F.coalesce(F.sum(F.pmod(line, F.lit(1 << 31))), F.lit(0)))
+    size = F.coalesce(F.sum(F.coalesce(F.octet_length("job_id"), F.lit(0)) + 24), F.lit(0))
+    return staged.agg(*failure_columns(), both.alias("fingerprint"), size.alias("key_bytes")).first()
 
 
 def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id: int | None = None, *,
@@ -181,10 +183,10 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     try:
         checked.select(*keep).write.parquet(staging)
         staged = spark.read.parquet(staging)
-        stats = first_failure(staged).first()
+        stats = _staged_facts(staged)
         if mode == "strict" and stats["first_error"] is not None:
             raise RecordValidationError(stats["first_error"])
-        fingerprint, key_bytes = _staged_facts(staged)
+        fingerprint, key_bytes = stats["fingerprint"], int(stats["key_bytes"])
         batch_id = next_batch_id(spark, root) if batch_id is None else batch_id
         prior = committed_batch(spark, root, batch_id)
         if prior is not None:

@@ -176,13 +176,18 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
     return out.withColumn("content_hash", F.sha2(F.col("payload_json"), 256))
 
 
-def first_failure(checked: DataFrame) -> DataFrame:
-    """Q1/Q2: one row — records seen (valid lines) and the first diagnostic by line."""
-    return checked.agg(
+def failure_columns() -> list[Column]:
+    """Aggregates of a checked batch: records seen, rejected lines, first diagnostic by line."""
+    return [
         F.count(F.when(F.col("status") == "valid", 1)).alias("seen"),
         F.count(F.when(F.col("message").isNotNull(), 1)).alias("rejected"),
         F.min_by("message", F.when(F.col("message").isNotNull(), F.col("line_no"))).alias("first_error"),
-    )
+    ]
+
+
+def first_failure(checked: DataFrame) -> DataFrame:
+    """Q1/Q2: one row — records seen (valid lines) and the first diagnostic by line."""
+    return checked.agg(*failure_columns())
 
 
 def parse_status(lines: DataFrame) -> DataFrame:
