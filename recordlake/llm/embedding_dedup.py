@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.llm.components import connected_components
@@ -118,6 +118,13 @@ def unit(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def linkable(vector: str) -> Column:
+    """Whether an array has components, none of them null, NaN or infinite, and not all of them zero (as in ``unit``)."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
+
+
 _chosen: dict[tuple[int, int, int], Filters] = {}
 
 
@@ -215,7 +222,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     keyed = vectors.select(F.col(id_col).alias("id"), label.alias("label"), F.col(vector_col).alias("v"))
     # Equal vectors, by label and components; distinct ids only.
     digest = F.sha2(F.concat_ws(",", "label", F.to_json(F.col("v"))), 256)
-    usable = keyed.where("id is not null and label is not null and v is not null").withColumn("digest", digest)
+    usable = keyed.where("id is not null and label is not null and v is not null").where(linkable("v")).withColumn("digest", digest)
     usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").write.parquet(f"{root}/copies")
     copies = spark.read.parquet(f"{root}/copies")
     usable.select("id", "digest").join(copies, "digest").select("id", "rep", "n").write.parquet(f"{root}/members")

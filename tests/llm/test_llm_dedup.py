@@ -100,6 +100,16 @@ def test_embeddings_null_ids_repeats_and_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_repeated_unusable_embeddings_link_with_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0], [0.0, -0.0], [None, 1.0], [nan, 1.0], [inf, 1.0], [-inf, 1.0]]
+    rows = [(i, v, 1) for i, v in enumerate(odd * 3)] + [(100, [1.0, 2.0], 1), (101, [1.0, 2.0], 1)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+        assert got == {i: (0, i, True) for i in range(len(odd) * 3)} | {100: (1, 100, True), 101: (1, 100, False)}
+
+
 def near_copies(seed=5):
     r = rng(seed)
     base = prose(r, 120)
