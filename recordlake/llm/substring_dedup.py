@@ -217,9 +217,9 @@ class _Slices:
 def passages(d: np.ndarray, r: np.ndarray, words: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """Passages of ``d`` that are alike to some of ``r``: (begin, end, begin in r, end in r, similarity), in tokens.
 
-    Runs of tokens that ``r`` has, over gaps as long as the token sets of the
-    passage and of its place in ``r`` keep the similarity; else over shorter
-    gaps, and at last runs that go on in ``r`` token by token.
+    The longest spans of tokens that ``r`` has, over gaps as long as the token
+    sets of the passage and of its place in ``r`` keep the similarity; and runs
+    over gaps of fixed lengths, at last such that go on in ``r`` token by token.
     """
     names, where = np.unique(r, return_index=True)
     at = np.minimum(np.searchsorted(names, d), max(0, len(names) - 1))
@@ -257,7 +257,45 @@ def passages(d: np.ndarray, r: np.ndarray, words: int, least: int, similarity: f
                 check(part, level)
 
     if len(hit):
+        for own in _spans(hit, where[at[hit]], least, similarity):
+            check(own, len(GAPS))
         split(hit, 0)
+    # Without those inside another one.
+    out.sort(key=lambda o: (o[0], -o[1]))
+    ends = np.maximum.accumulate([0, *(o[1] for o in out)])
+    return [o for o, end in zip(out, ends) if o[1] > end]
+
+
+def _spans(hit: np.ndarray, place: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
+    """Longest spans of matched tokens that keep the similarity, as many as cover all such spans.
+
+    Of m matched tokens in a span of n tokens, with a place of k tokens, the similarity is
+    m / (n + k - m) where no token repeats; so a span keeps it if a running sum does not fall
+    over it, and the furthest end for each begin comes from the sum's maxima from the right.
+    """
+    shift = place - hit
+    # Tokens far off their neighbours occur elsewhere, too.
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(shift, 4, mode="edge"), 9)
+    near = np.abs(shift - np.median(around, axis=1)) <= 16
+    own, place = hit[near], place[near]
+    if not len(own):
+        return []
+    way = np.concatenate([[0], np.cumsum(np.abs(np.diff(place)))])
+    total = (1 + similarity) * np.arange(len(own)) - similarity * (own + way)
+    ahead = np.maximum.accumulate(total[::-1])[::-1]
+    end = len(own) - 1 - np.searchsorted(ahead[::-1], total + similarity - 1 - 1e-9)
+    begin = np.arange(len(own))
+    long = own[end] - own + 1 >= least
+    begin, end = begin[long], end[long]
+    out, reach, k = [], -1, 0
+    while k < len(begin):
+        # Of the spans that begin within reach (or the next one), the one that goes furthest.
+        last = max(k + 1, int(np.searchsorted(begin, reach + 1, "right")))
+        best = k + int(end[k:last].argmax())
+        if end[best] > reach:
+            out.append(own[begin[best]:end[best] + 1])
+            reach = int(end[best])
+        k = last
     return out
 
 

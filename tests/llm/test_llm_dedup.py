@@ -230,3 +230,35 @@ def test_compact_windows_are_the_cartesian_tree():
                 for z in range(a + 3, n + 1):  # each subsequence's min-hash is that of a window around it
                     assert any(b <= a and z <= e and h[c] == h[a:z].min() for b, e, c in found)
             assert len(found) <= n
+
+
+def spans_by_brute_force(d, r, least, similarity):
+    """Places of ``d`` in a span, from one equal token to another, whose set and that of the same span of ``r`` are alike."""
+    covered = set()
+    same = np.flatnonzero(d == r)
+    for a in same:
+        for z in same[same >= a + least - 1] + 1:
+            if z - 1 not in covered or a not in covered:
+                x, y = set(d[a:z].tolist()), set(r[a:z].tolist())
+                if len(x & y) >= similarity * len(x | y):
+                    covered.update(range(a, z))
+    return covered
+
+
+def test_alike_parts_of_edited_copies_against_all_spans():
+    def shingled(w):
+        return np.array([hash(tuple(w[i:i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)], np.uint32)
+
+    r = rng(12)
+    cases = [[20, 60, 100, 140, 180]] + [sorted(r.sample(range(200), r.randrange(3, 12))) for _ in range(40)]
+    for edits in cases:
+        base = prose(r, 200, 10 ** 6)
+        copy = list(base)
+        for k in edits:
+            copy[k] = f"edit{k}"
+        d, ref = shingled(copy), shingled(base)
+        found = substring_dedup.passages(d, ref, 5, 46, 0.8)
+        for a, z, ra, rz, alike in found:
+            assert z - a >= 46 and alike >= 0.8
+            assert jaccard(set(d[a:z].tolist()), set(ref[ra:rz].tolist())) == pytest.approx(alike)
+        assert {k for a, z, *_ in found for k in range(a, z)} >= spans_by_brute_force(d, ref, 46, 0.8), edits
