@@ -12,8 +12,8 @@ are a candidate region, and regions are verified token by token.
 Many documents may share a passage. They meet its first document only, never
 each other: windows are compared with the smallest document that has the
 min-hash amid the same tokens on one side (left or right; a passage that is
-repeated exactly has one side in common), and of a min-hash that many of a map
-task's windows have, most are compared with the task's first and not passed on.
+repeated exactly has one side in common). Of a min-hash that many of a map
+task's windows have, a few are shuffled; the others get the first by a join.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from recordlake.session import scratch_dir
 
 HASHES = 3
 CONTEXT = 8  # tokens on one side of the min-hash that must be equal, too
-DIRECT = 8  # windows of a min-hash that a task passes on as they are
-HELD = 400_000  # windows that a task reduces at a time
+DIRECT = 8  # windows of a min-hash that a task shuffles; more are joined with the first
+HELD = 400_000  # windows that a task sorts at a time
 GAPS = (15, 5, 0)  # unmatched tokens in a row that a passage may span, tried in this order
 BROADCAST_ROWS = 400_000  # requests of 40 bytes
 
@@ -64,16 +64,14 @@ def compact_windows(h: np.ndarray, least: int, ties: bool) -> tuple[list[int], l
     return begin, end, at
 
 
-WINDOWS = "key long, id long, a int, z int, f int, ref long, ref_a int, ref_z int"
+WINDOWS = "key long, id long, a int, z int, f int"
+PAIRS = "id long, a int, z int, f int, ref long, ref_a int, ref_z int"
 
 
-def _window_rows(key, ident, a, z, f, ref=None, ref_a=None, ref_z=None) -> pa.RecordBatch:
-    n = len(key)
-    other = [pa.array(ref, pa.int64()), pa.array(ref_a, pa.int32()), pa.array(ref_z, pa.int32())] if ref is not None else [
-        pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.int64()), pa.array(ident, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32()),
-         pa.array(f, pa.int32()), *other], ["key", "id", "a", "z", "f", "ref", "ref_a", "ref_z"])
+def _rows(schema: str, *columns) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    kind = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kind[k]) for c, k in zip(columns, kinds)], list(names))
 
 
 def _leaders(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +83,7 @@ def _leaders(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class _Windows:
-    """Windows of a task's documents: a few per min-hash and some thousand documents, and the other
-    ones paired with the first (these rows go to any task, so by the document's hash)."""
+    """Windows of a task's documents; ``more`` marks those of a min-hash that come after its smallest few documents."""
 
     words: int
     least: int
@@ -133,16 +130,10 @@ class _Windows:
 
     def reduced(self, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, ident, a, z, f = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((ident, key))
+        order = np.lexsort((z, a, ident, key))
         key, ident, a, z, f = key[order], ident[order], a[order], z[order], f[order]
         _, lead = _leaders(key)
-        on = np.arange(len(key)) - lead < DIRECT
-        yield _window_rows(key[on], ident[on], a[on], z[on], f[on])
-        more = np.flatnonzero(~on & (ident != ident[lead]))
-        if len(more):
-            first = lead[more]
-            spread = texts.mix(ident[more].view(np.uint64) + np.uint64(1)).view(np.int64)
-            yield _window_rows(spread, ident[more], a[more], z[more], f[more], ident[first], a[first], z[first])
+        yield _rows(f"{WINDOWS}, more boolean", key, ident, a, z, f, np.arange(len(key)) - lead >= DIRECT)
 
 
 @dataclass(frozen=True)
@@ -153,21 +144,16 @@ class _Meet:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
         for batch in batches:
-            paired = batch.column("ref").is_valid().to_numpy(zero_copy_only=False)
-            done = batch.filter(pa.array(paired))
-            if done.num_rows:
-                yield done
-            rest = batch.filter(pa.array(~paired))
-            if not rest.num_rows:
+            if not batch.num_rows:
                 continue
-            key, ident, a, z, f = (rest.column(c).to_numpy() for c in ("key", "id", "a", "z", "f"))
+            key, ident, a, z, f = (batch.column(c).to_numpy() for c in ("key", "id", "a", "z", "f"))
             if lead is not None:
                 key, ident, a, z, f = (np.concatenate([[x], c]) for x, c in zip(lead, (key, ident, a, z, f)))
             _, first = _leaders(key)
             more = np.flatnonzero(ident != ident[first])
             if len(more):
                 to = first[more]
-                yield _window_rows(key[more], ident[more], a[more], z[more], f[more], ident[to], a[to], z[to])
+                yield _rows(PAIRS, ident[more], a[more], z[more], f[more], ident[to], a[to], z[to])
             last = first[-1]
             lead = key[last], ident[last], a[last], z[last], f[last]
 
@@ -356,9 +342,21 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     root = scratch_dir(spark, "passages")
     least = max(1, min_words - words + 1)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    windows = source.mapInArrow(_Windows(words, least), WINDOWS)
-    pairs = (windows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_Meet(), WINDOWS)
-             .drop("key"))
+    source.mapInArrow(_Windows(words, least), f"{WINDOWS}, more boolean").write.parquet(f"{root}/windows")
+    windows = spark.read.parquet(f"{root}/windows")
+    few, more = windows.where("not more").drop("more"), windows.where("more").drop("more")
+    pairs = few.repartition("key").sortWithinPartitions("key", "id", "a", "z").mapInArrow(_Meet(), PAIRS)
+    # Every task shuffles its first of a min-hash, so the first of all is among the few.
+    more.select("key").distinct().write.parquet(f"{root}/hot")
+    hot = spark.read.parquet(f"{root}/hot")
+    count = hot.count()
+    if count:
+        small = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
+        few.join(small(hot), "key").groupBy("key").agg(F.min(F.struct(
+            F.col("id").alias("ref"), F.col("a").alias("ref_a"), F.col("z").alias("ref_z"))).alias("first")).select(
+            "key", "first.*").write.parquet(f"{root}/firsts")
+        firsts = spark.read.parquet(f"{root}/firsts")
+        pairs = pairs.union(more.join(small(firsts), "key").where("id <> ref").select(*pairs.columns))
     regions = grouped(pairs, ["id", "ref"], _Regions(enough), "id long, ref long, a int, z int, ref_a int, ref_z int", ("a",))
     regions.withColumn("region", F.xxhash64("id", "ref", "a")).write.parquet(f"{root}/regions")
     regions = spark.read.parquet(f"{root}/regions")

@@ -262,3 +262,18 @@ def test_alike_parts_of_edited_copies_against_all_spans():
             assert z - a >= 46 and alike >= 0.8
             assert jaccard(set(d[a:z].tolist()), set(ref[ra:rz].tolist())) == pytest.approx(alike)
         assert {k for a, z, *_ in found for k in range(a, z)} >= spans_by_brute_force(d, ref, 46, 0.8), edits
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    r = rng(31)
+    shared = prose(r, 50, 10 ** 6)
+    # The first document of the second partition holds all of the passage but a word.
+    bodies = [shared, shared[:49], *[shared] * 30]
+    texts = [" ".join([*prose(r, 60, 10 ** 6), *b, *prose(r, 60, 10 ** 6)]) for b in bodies]
+    rows = list(enumerate(texts))
+    short = [(100 + k, "short") for k in range(len(texts) - 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize([rows[0], *short, *rows[1:]], 2), "doc_id long, text string")
+    rows = [{tuple(x) for x in substring_dedup.repeated_passages(d).collect()} for d in (dealt, docs.repartition(9))]
+    assert rows[0] == rows[1]
+    assert {(x[0], x[4]) for x in rows[0]} >= {(i, 0) for i in range(2, 32)}
