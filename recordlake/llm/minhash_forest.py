@@ -6,7 +6,8 @@ the region: a prefix of ``shallow`` values is enough where few documents share
 it, and where many do the prefix is taken deeper until few are left. So regions
 stay small, and those that are still large at full depth (texts almost alike)
 are cut into parts. Deeper regions and parts also meet the pivot, the smallest
-document of the shallow region.
+document of the shallow region; what is then not connected with the largest
+component of a region that was cut meets each of its parts.
 
 Candidates whose signatures agree well enough join a candidate group, and
 within a group links are confirmed on full shingle sets. Large groups are cut
@@ -123,17 +124,23 @@ class _Shared:
 
 @dataclass(frozen=True)
 class _Candidates:
-    """A spanning forest of each region's documents whose sketches agree in ``share`` of their bytes."""
+    """A spanning forest of each region's documents whose sketches agree in ``share`` of their bytes;
+    with ``mark``, of pairs of a marked and an unmarked one of different components ``c``."""
 
     share: float
 
     def __call__(self, table: pa.Table, starts: np.ndarray) -> pa.Table | None:
         ids, sketches = table.column("id").to_numpy(), table.column("sketch").chunk(0)
+        crossing = "mark" in table.column_names
+        if crossing:
+            mark, c = table.column("mark").to_numpy(zero_copy_only=False), table.column("c").to_numpy()
         one, other = [], []
         for k in np.flatnonzero(np.diff(starts) > 1):
             a, z = int(starts[k]), int(starts[k + 1])
             sketch = np.stack([np.frombuffer(sketches[i].as_buffer(), np.uint8) for i in range(a, z)])
             linked = np.stack([(sketch == row).mean(1) for row in sketch]) >= self.share
+            if crossing:
+                linked &= (mark[a:z, None] != mark[None, a:z]) & (c[a:z, None] != c[None, a:z])
             root = forest(linked)
             hit = np.flatnonzero(root != np.arange(z - a))
             one.append(ids[a:z][hit])
@@ -266,6 +273,7 @@ def _candidate_edges(trees: DataFrame, sketches: DataFrame, percent: int, kept)
     current = trees.withColumn("region", F.col(f"p{DEPTHS[0]}")).withColumn("pivot", F.lit(None).cast("long"))
     columns = "region long, part int, id long, pivot long"
     done = []
+    cut = None
     for at, depth in enumerate(DEPTHS):
         sizes = kept(current.groupBy("region").agg(F.count("*").alias("size"), F.min("id").alias("least"))
                      .where(F.col("size") > REGION), f"large{depth}")
@@ -279,6 +287,7 @@ def _candidate_edges(trees: DataFrame, sketches: DataFrame, percent: int, kept)
         if at == len(DEPTHS) - 1:  # crowded at full depth
             part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (REGION // 2))).cast("int").alias("part")
             done.append(large.select("region", part, "id", "pivot"))
+            cut = large.select("region", "id")
         else:
             current = large.select(*trees.columns, F.xxhash64(F.col(f"p{DEPTHS[at + 1]}")).alias("region"), "pivot")
     rows = done[0]
@@ -287,7 +296,28 @@ def _candidate_edges(trees: DataFrame, sketches: DataFrame, percent: int, kept)
     pivots = rows.where("pivot is not null and pivot <> id").select("region", "part", F.col("pivot").alias("id")).distinct()
     rows = rows.select("region", "part", "id").union(pivots).join(sketches, "id")
     share = max(0.0, percent / 100 - 0.19)  # four standard deviations of the sketch's agreement
-    return kept(grouped(rows, ["region", "part"], _Candidates(share), "a long, b long").where("a <> b").distinct(), "candidates")
+    edges = kept(grouped(rows, ["region", "part"], _Candidates(share), "a long, b long").where("a <> b").distinct(), "candidates")
+    return edges if cut is None else edges.union(_across(cut, edges, sketches, share, kept))
+
+
+def _across(cut: DataFrame, edges: DataFrame, sketches: DataFrame, share: float, kept) -> DataFrame:
+    """Edges between parts of the regions crowded at full depth (``cut``): of each region, what its
+    largest component doesn't hold is compared with every part."""
+    state = connected_components(edges).withColumnRenamed("node", "id")
+    state = kept(cut.join(state, "id", "left").select("region", "id", F.coalesce("component", "id").alias("c")), "cut")
+    tops = kept(state.groupBy("region", "c").agg(F.count("*").alias("k")).groupBy("region").agg(
+        F.max_by("c", F.struct("k", "c")).alias("top"), F.sum("k").alias("size"), F.max("k").alias("most")).where("most < size").select(
+        "region", "top", F.ceil(F.col("size") / (REGION // 2)).cast("int").alias("parts"),
+        F.ceil((F.col("size") - F.col("most")) / (REGION // 2)).cast("int").alias("blocks")), "cut_tops")
+    split = state.join(_small(tops), "region")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    block = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("blocks")).cast("int")
+    every = split.select("region", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                         "id", "c", F.lit(False).alias("mark"))
+    moved = split.where("c <> top").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                           block.alias("block"), "id", "c", F.lit(True).alias("mark"))
+    rows = every.union(moved).join(sketches, "id")
+    return kept(grouped(rows, ["region", "part", "block"], _Candidates(share), "a long, b long").where("a <> b").distinct(), "across")
 
 
 def _confirm(source: DataFrame, groups: DataFrame, same: DataFrame, percent: int, words: int, kept) -> DataFrame:

@@ -277,3 +277,19 @@ def test_passages_do_not_depend_on_partitions(spark):
     rows = [{tuple(x) for x in substring_dedup.repeated_passages(d).collect()} for d in (dealt, docs.repartition(9))]
     assert rows[0] == rows[1]
     assert {(x[0], x[4]) for x in rows[0]} >= {(i, 0) for i in range(2, 32)}
+
+
+def test_regions_crowded_at_full_depth_compare_all_pairs(spark, scratch):
+    # One region; its pivot (0) is like no other document, and 1-2, 3-4, ... are alike.
+    r = np.random.default_rng(6)
+    made = [r.bytes(64) for _ in range(201)]
+    rows = [(i, made[(i + 1) // 2]) for i in range(401)]
+    trees = spark.createDataFrame([(i, 1, 1, 1) for i, _ in rows], "id long, p4 long, p6 long, p8 long")
+    sketches = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "id long, sketch binary")
+
+    def kept(df, name):
+        df.write.parquet(f"{scratch}/{name}")
+        return spark.read.parquet(f"{scratch}/{name}")
+
+    edges = minhash_forest._candidate_edges(trees, sketches, 80, kept).collect()
+    assert {(min(e.a, e.b), max(e.a, e.b)) for e in edges} == {(i, i + 1) for i in range(1, 401, 2)}
