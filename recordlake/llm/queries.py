@@ -216,3 +216,49 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
               ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@register("op12_source_divergence")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between all sources of each language, and each source's terms in excess."""
+    from recordlake.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs
+  FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n)::HUGEINT AS lang_n FROM c GROUP BY lang, term HAVING sum(docs) >= 10
+), l AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS total FROM kept GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), full_counts AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n, kept.lang_n
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), p AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + 1000000000 * (f.n + 2) // (sum(f.n) OVER (PARTITION BY f.lang, f.source)::HUGEINT + 2 * l.v) AS p,
+         1 + 1000000000 * (f.lang_n + 2) // (l.total + 2 * l.v) AS q
+  FROM full_counts f JOIN l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (
+  SELECT lang, source, 'term' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms)
+WHERE rank <= 10
+"""
