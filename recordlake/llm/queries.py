@@ -262,3 +262,14 @@ SELECT * FROM (
          row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms)
 WHERE rank <= 10
 """
+
+
+@register("op11_recursive_bpe")
+def op11_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and decoded bytes, by recursive queries in the tasks."""
+    import public_tokenizers
+
+    from recordlake.llm.recursive_bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"),
+                         public_tokenizers.PATTERN, digests=True)
