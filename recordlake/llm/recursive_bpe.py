@@ -63,7 +63,7 @@ WITH RECURSIVE run AS (
    SELECT round + 1, word, CASE WHEN pos > place THEN pos - 1 ELSE pos END, CASE WHEN pos = place THEN merged ELSE token END
    FROM run JOIN found USING (word) WHERE pos <> place + 1)
 )
-SELECT word, pos, token FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM run) WHERE round = last
+SELECT word, token FROM run SEMI JOIN (SELECT word, max(round) AS round FROM run GROUP BY word) USING (word, round)
 ORDER BY word, pos
 """
 
@@ -239,30 +239,35 @@ class Codec:
                 self.codes[word] = known
         if new:
             data = [w.encode() for w in new]
-            for word, ids in zip(new, self.encode_words(data)):
-                self.codes[word] = ids.astype("<u4").tobytes()
+            self.codes.update(zip(new, self.encode_words(data)))
         return self.codes
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word. A word that is a token is that token; the others are merged."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, little-endian 32-bit. A word that is a token is that token; the others are merged."""
+        out = [b""] * len(words)
         pieces: list[bytes] = []
         places: list[tuple[int, int]] = []  # of a word's pieces
         rest = []
         for k, word in enumerate(words):
             token = self.ranks.get(word)
             if token is not None:
-                out[k] = np.array([token], np.int32)
+                out[k] = token.to_bytes(4, "little")
                 continue
             begin = len(pieces)
-            last = max(0, len(word) - WORD_BYTES)
-            pieces += [word[a:a + WORD_BYTES] for a in (*range(0, last, BLOCK_STEP), last)]
+            if len(word) <= WORD_BYTES:
+                pieces.append(word)
+            else:
+                last = len(word) - WORD_BYTES
+                pieces += [word[a:a + WORD_BYTES] for a in (*range(0, last, BLOCK_STEP), last)]
             rest.append(k)
             places.append((begin, len(pieces)))
         found = self._merged(pieces)
         for k, (a, b) in zip(rest, places):
-            ids = found[a] if b == a + 1 else self._joined(len(words[k]), found[a:b])
-            out[k] = self._whole(words[k]) if ids is None else ids
+            if b == a + 1:
+                out[k] = found[a]
+                continue
+            ids = self._joined(len(words[k]), [np.frombuffer(x, "<u4") for x in found[a:b]])
+            out[k] = (self._whole(words[k]) if ids is None else ids).astype("<u4").tobytes()
         return out
 
     def _symbols(self, pieces: list[bytes]) -> pa.Table:
@@ -272,17 +277,17 @@ class Codec:
         return pa.table({"word": np.repeat(np.arange(len(pieces), dtype=np.int32), size),
                          "pos": (np.arange(len(data)) - begin).astype(np.int32), "token": self.base[data]})
 
-    def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of short pieces, by queries of at most ``QUERY_ROWS`` rows each."""
         order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+        out = [b""] * len(pieces)
         for a, b in texts.slices(np.array([len(pieces[k]) * (len(pieces[k]) + 1) // 2 for k in order]), QUERY_ROWS):
             part = order[a:b]
             rows = self._query(LEFTMOST, "symbols", self._symbols([pieces[k] for k in part]))
-            tokens = rows.column("token").to_numpy()
-            ends = np.searchsorted(rows.column("word").to_numpy(), np.arange(1, len(part) + 1))
-            for k, ids in zip(part, np.split(tokens, ends[:-1])):
-                out[k] = ids
+            tokens = rows.column("token").to_numpy().astype("<u4").tobytes()
+            ends = 4 * np.searchsorted(rows.column("word").to_numpy(), np.arange(len(part) + 1))
+            for k, x, y in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
+                out[k] = tokens[x:y]
         return out
 
     def _joined(self, n: int, blocks: list[np.ndarray]) -> np.ndarray | None:
