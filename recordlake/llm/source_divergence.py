@@ -34,6 +34,7 @@ from recordlake.session import scratch_dir
 SCALE_HIGH, SCALE_LOW = 31_250, 32_000  # their product is the scale of p, 10**9
 LEAST_DOCUMENTS = 10
 BUCKET_TERMS = 4096  # on average
+BROADCAST_LANGS = 100_000  # rows of the table of languages, counted, up to which it is broadcast
 TASK_TERMS = 200_000  # dictionary entries of a counting task before they are handed on
 BLOCK_BYTES = 1 << 20  # of a text that are split into terms at a time
 STRIDE = 256  # elements of the shorter array per galloping step
@@ -214,7 +215,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     kept = _written(kept.where(F.col("docs") >= least_documents).select("lang", "term", "lang_n"), f"{root}/kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")).withColumn(
         "buckets", F.ceil(F.col("kept") / BUCKET_TERMS).cast("int"))
+    langs = _written(langs, f"{root}/langs")
+    if langs.count() <= BROADCAST_LANGS:
+        langs = F.broadcast(langs)
     terms = kept.join(langs, "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int"))
+    terms = terms.repartition("lang", "bucket")  # a join on lang alone would leave a language in one task
     number = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("term"))
     terms = _written(terms.withColumn("id", number), f"{root}/terms")
     own = _written(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]), f"{root}/own")
