@@ -27,6 +27,7 @@ from recordlake.sources import store as S
 from recordlake.functions.text import comma_list
 from recordlake.session import delete_path
 from recordlake.sources.jsonl import read_whole_files, write_lines
+from recordlake.sources.snapshots import read_log
 
 # Fixed value: the command line's diagnostic.
 MSG_NO_QUERIES = "--queries must contain at least one query"
@@ -85,12 +86,7 @@ def analytics(spark: SparkSession, root: str, name: str, skill: str | None = Non
 
 
 def _log(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
-    from recordlake.session import path_exists
-
-    path = f"{root}/{name}"
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
+    rows = read_log(spark, root, name, schema)
     return rows.dropDuplicates(["command_id", "seq", "status"]) if schema is COMMAND_EVENTS else rows
 
 

@@ -5,6 +5,7 @@ Store layout under one root folder (``batch_id`` and ``attempt`` are partition c
     jobs/batch_id=N/attempt=A/        first-written records (15 store columns + skills)
     job_skills/batch_id=N/attempt=A/  (job_id, skill) of those records
     rejects/batch_id=N/attempt=A/     quarantined lines
+    job_keys/batch_id=N/attempt=A/bucket=B/  keys of those records in hash buckets (``operators.keys``)
     batches/batch_id=N/               ledger row: attempt, fingerprint, seen, inserted, skipped, ...
     _staging/A/                       validated copy of the input while attempt A runs
 
@@ -20,10 +21,11 @@ scheduled runs and streams; one writer at a time is the contract.
 First-wins inside a batch is a hash aggregation ``min(ord)`` per key over two
 narrow columns, combined within each task before the shuffle, so a key repeated
 in a third of the input costs one row per task. The narrow winners are
-anti-joined with the store's keys, and only then are the full records fetched
-from the staged batch. Where the batch's keys are proven small (their bytes are
-counted while staging) the store's key column is probed against a broadcast of
-them; otherwise both sides are shuffled on the key.
+anti-joined with the keys of the store in the hash buckets that the batch
+touches, and only then are the full records fetched from the staged batch. Where
+the batch's keys are proven small (their bytes are counted while staging) those
+keys are probed against a broadcast of them; otherwise both sides are shuffled
+on the key. Compacted batches are read from segments (``sources.snapshots``).
 
 The input is parsed and validated once, into the staged batch; statistics,
 first-wins and rejects use that columnar copy, which goes when the batch is
@@ -40,10 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlake.functions.text import clock_literal, second_clock
+from recordlake.operators.keys import STORE_KEYS, in_buckets, touched_buckets, write_keys
 from recordlake.operators.validate import RecordValidationError, failure_columns, validate
 from recordlake.schemas import DEFAULT_SOURCE, JOBS
 from recordlake.session import configure, delete_path, path_exists
 from recordlake.sources.jsonl import read_lines
+from recordlake.sources.snapshots import Manifest, both, compacted, current
 
 MAX_BROADCAST_BYTES = 64 << 20  # of a batch's keys
 
@@ -88,18 +92,33 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame | None:
     return None if rejects is None else rejects.select("batch_id", "line_no", "status", "reason", "message")
 
 
+def live_ledger(spark: SparkSession, root: str, manifest: Manifest) -> DataFrame | None:
+    """Ledger rows of the batches that no segment holds."""
+    live, old = _table(spark, root, "batches", LEDGER), compacted(spark, root, "batches", LEDGER, manifest)
+    if live is None or old is None:
+        return live
+    return live.join(old.select("batch_id"), "batch_id", "left_anti")
+
+
 def ledger(spark: SparkSession, root: str) -> DataFrame | None:
-    return _table(spark, root, "batches", LEDGER)
+    manifest = current(spark, root)
+    return both(compacted(spark, root, "batches", LEDGER, manifest), live_ledger(spark, root, manifest))
 
 
-def _committed(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame | None:
-    df, led = _table(spark, root, name, schema), ledger(spark, root)
+def live_committed(spark: SparkSession, root: str, name: str, schema: T.StructType, manifest: Manifest) -> DataFrame | None:
+    """Rows of the committed batches that no segment holds."""
+    df, led = _table(spark, root, name, schema), live_ledger(spark, root, manifest)
     if df is None or led is None:
         return None
     ok = led.where(F.col("status") == "success").select("batch_id", "attempt")
     return df.join(ok, ["batch_id", "attempt"], "left_semi")
 
 
+def _committed(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame | None:
+    manifest = current(spark, root)
+    return both(compacted(spark, root, name, schema, manifest), live_committed(spark, root, name, schema, manifest))
+
+
 def read_jobs(spark: SparkSession, root: str) -> DataFrame | None:
     """Committed jobs (NULL when the store has none)."""
     return _committed(spark, root, "jobs", STORE_JOBS)
@@ -109,6 +128,22 @@ def read_job_skills(spark: SparkSession, root: str) -> DataFrame | None:
     return _committed(spark, root, "job_skills", STORE_SKILLS)
 
 
+def read_keys(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """Committed keys of some buckets. A store from before the index gets one from its records."""
+    manifest = current(spark, root)
+    if not path_exists(spark, f"{root}/job_keys/_SUCCESS") and not any("job_keys" in s.tables for s in manifest.segments):
+        jobs = read_jobs(spark, root)
+        if jobs is None or jobs.isEmpty():
+            return None
+        write_keys(jobs, f"{root}/job_keys")
+    parts = [compacted(spark, root, "job_keys", STORE_KEYS, manifest), _table(spark, root, "job_keys", STORE_KEYS)]
+    old, live = (None if p is None else in_buckets(p, buckets) for p in parts)
+    led = live_ledger(spark, root, manifest)
+    if live is not None and led is not None:
+        live = live.join(led.where(F.col("status") == "success").select("batch_id", "attempt"), ["batch_id", "attempt"], "left_semi")
+    return both(old, live if led is not None else None)
+
+
 def next_batch_id(spark: SparkSession, root: str) -> int:
     """The id after all that the ledger holds, failed batches included."""
     led = ledger(spark, root)
@@ -154,12 +189,13 @@ def plan_new_records(valid: DataFrame, existing: DataFrame | None, clock: dt.dat
 
 def _staged_facts(staged: DataFrame) -> Row:
     """One pass over the staged batch: the counts and first error of Q1/Q2, a fingerprint of the input (order and
-    content of every line), and the bytes of its keys with their orders."""
+    content of every line), the bytes of its keys with their orders, and the hash buckets that they touch."""
     line = F.xxhash64("ord", "status", F.coalesce("content_hash", "message", F.lit("")))
-    both = F.concat_ws(":", F.count("*"), F.coalesce(F.bit_xor(line), F.lit(0)),
+    mark = F.concat_ws(":", F.count("*"), F.coalesce(F.bit_xor(line), F.lit(0)),
                        F.coalesce(F.sum(F.pmod(line, F.lit(1 << 31))), F.lit(0)))
     size = F.coalesce(F.sum(F.coalesce(F.octet_length("job_id"), F.lit(0)) + 24), F.lit(0))
-    return staged.agg(*failure_columns(), both.alias("fingerprint"), size.alias("key_bytes")).first()
+    return staged.agg(*failure_columns(), mark.alias("fingerprint"), size.alias("key_bytes"),
+                      touched_buckets("job_id").alias("buckets")).first()
 
 
 def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id: int | None = None, *,
@@ -193,7 +229,8 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
             if prior["fingerprint"] != fingerprint:
                 raise BatchConflictError(f"batch {batch_id} is already committed with another input")
             return ledger(spark, root).where(F.col("batch_id") == batch_id)
-        inserted = write_attempt(spark, root, staged, batch_id, attempt, clock, key_bytes, int(stats["rejected"]))
+        inserted = write_attempt(spark, root, staged, batch_id, attempt, clock, key_bytes, int(stats["rejected"]),
+                                 list(stats["buckets"]))
         seen = int(stats["seen"])
         write_ledger_row(spark, root, (seen, inserted, seen - inserted, int(stats["rejected"]), source_query, input_path,
                                        clock, "success", None, None, attempt, fingerprint, *(stream or (None, None)), batch_id))
@@ -203,7 +240,7 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
 
 
 def write_attempt(spark: SparkSession, root: str, staged: DataFrame, batch_id: int, attempt: str, clock: dt.datetime,
-                  key_bytes: int | None = None, rejected: int = 0) -> int:
+                  key_bytes: int | None = None, rejected: int = 0, buckets: list[int] | None = None) -> int:
     """The data of one attempt, unread until the ledger names it; returns the number of new records."""
     named = [F.lit(batch_id).cast("long").alias("batch_id"), F.lit(attempt).alias("attempt")]
 
@@ -211,7 +248,7 @@ def write_attempt(spark: SparkSession, root: str, staged: DataFrame, batch_id: i
         writer = df.select("*", *named).write.mode("append").partitionBy("batch_id", "attempt")
         (writer.option("parquet.bloom.filter.enabled#job_id", "true") if bloom else writer).parquet(f"{root}/{name}")
 
-    new = plan_new_records(staged.where(F.col("status") == "valid"), read_jobs(spark, root), clock, key_bytes)
+    new = plan_new_records(staged.where(F.col("status") == "valid"), read_keys(spark, root, buckets), clock, key_bytes)
     counted = Observation(f"inserted-{attempt}")
     put(new.observe(counted, F.count(F.lit(1)).alias("inserted")).sortWithinPartitions("job_id"), "jobs")
     inserted = int(counted.get["inserted"])
@@ -219,6 +256,7 @@ def write_attempt(spark: SparkSession, root: str, staged: DataFrame, batch_id: i
         written = spark.read.schema(T.StructType(STORE_JOBS.fields[:-2])).parquet(
             f"{root}/jobs/batch_id={batch_id}/attempt={attempt}")
         put(written.select("job_id", F.explode("skills").alias("skill")).sortWithinPartitions("job_id"), "job_skills")
+        write_keys(written.select("job_id", *named), f"{root}/job_keys")
     if rejected:
         put(staged.where(F.col("message").isNotNull()).select("line_no", "status", "reason", "message"), "rejects", False)
     return inserted

@@ -34,6 +34,7 @@ from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import DEFAULT_SOURCE, DEFAULT_URL_PREFIX, RUN_EVENTS, RUN_RESULTS
 from recordlake.session import configure, delete_path, path_exists
 from recordlake.sources.jsonl import read_lines, write_lines
+from recordlake.sources.snapshots import read_log
 from recordlake.sources.store import folding
 
 
@@ -146,7 +147,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
 
 
 def _last_results(spark: SparkSession, store: str) -> DataFrame:
-    rows = spark.read.schema(STORED_RESULTS).parquet(f"{store}/run_results")
+    rows = read_log(spark, store, "run_results", STORED_RESULTS)
     others = [c for c in RUN_RESULTS.fieldNames() if c not in ("run_id", "query_ix")]
     return (rows.groupBy("run_id", "query_ix").agg(F.max_by(F.struct(*others), F.coalesce("written_ns", F.lit(0))).alias("_r"))
             .select("run_id", "query_ix", "_r.*"))
@@ -154,6 +155,6 @@ def _last_results(spark: SparkSession, store: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """The run ledger of a store: (run_events, run_results) with ``error_text`` columns."""
-    ev = spark.read.schema(RUN_EVENTS).parquet(f"{store}/run_events").withColumnRenamed("redacted_error", "error_text")
+    ev = read_log(spark, store, "run_events", RUN_EVENTS).withColumnRenamed("redacted_error", "error_text")
     res = _last_results(spark, store).withColumnRenamed("redacted_error", "error_text")
     return ev, res

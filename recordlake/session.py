@@ -94,3 +94,58 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(hpath):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory())
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files directly in ``path`` (none when it does not exist), hidden ones left out."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(hpath) if s.isFile())
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``; 0 when it does not exist."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength()) if fs.exists(hpath) else 0
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file to a name that must not be taken; False when it is (the source then stays)."""
+    jvm = spark._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(dst):
+        return False
+    fs.mkdirs(dst.getParent())
+    return bool(fs.rename(src, dst))
+
+
+def read_text_file(spark: SparkSession, path: str) -> str:
+    """A small file's text, read on the driver through the Hadoop file system."""
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(hpath)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that appears whole or not at all; False when its name is taken."""
+    folder, name = path.rsplit("/", 1)
+    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(part)
+    stream = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(hpath)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if move_new(spark, part, path):
+        return True
+    delete_path(spark, part)
+    return False

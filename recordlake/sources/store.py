@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 from recordlake.operators.control import READINESS_SCHEMA, readiness
 from recordlake.schemas import SCHEMA_VERSION
 from recordlake.session import list_dirs, path_exists
+from recordlake.sources.snapshots import current, read_log
 
 BASE_TABLES = {"jobs", "job_skills", "run_events", "run_results"}
 CONTROL_TABLES = {"config_events", "command_events"}
 META = T.StructType([T.StructField("schema_version", T.IntegerType())])
+#: Any version of the config log has this column.
+CONFIG_ROW = T.StructType([T.StructField("key", T.StringType())])
 FOLDING = T.StructType([T.StructField("exact_casefold", T.BooleanType())])
 
 
@@ -67,7 +70,8 @@ def schema_version(spark: SparkSession, root: str) -> int | None:
 
 
 def present_tables(spark: SparkSession, root: str) -> set[str]:
-    return {d for d in list_dirs(spark, root) if not d.startswith("_")}
+    compacted = {t for s in current(spark, root).segments for t in s.tables}
+    return {d for d in list_dirs(spark, root) if not d.startswith("_")} | compacted
 
 
 def readiness_verdict(spark: SparkSession, root: str, check_config: bool = True) -> dict:
@@ -77,7 +81,7 @@ def readiness_verdict(spark: SparkSession, root: str, check_config: bool = True)
     version = schema_version(spark, root)
     config_rows = None
     if check_config and "config_events" in tables:
-        config_rows = 0 if spark.read.parquet(f"{root}/config_events").limit(1).isEmpty() else 1
+        config_rows = 0 if read_log(spark, root, "config_events", CONFIG_ROW).isEmpty() else 1
     verdict = readiness(tables, version if version is not None else 0, BASE_TABLES | CONTROL_TABLES,
                         SCHEMA_VERSION, config_rows)
     if version is None and not tables:

@@ -31,6 +31,7 @@ from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
 from recordlake.session import configure
 from recordlake.sources.jsonl import number_lines, split_bound
+from recordlake.sources.snapshots import read_log
 from recordlake.sources.store import folding
 
 
@@ -100,5 +101,4 @@ def start_command_stream(spark: SparkSession, landing: str, store_root: str, che
 
 
 def read_command_log(spark: SparkSession, store_root: str) -> DataFrame:
-    return spark.read.schema(COMMAND_EVENTS).parquet(f"{store_root}/command_events").dropDuplicates(
-        ["command_id", "seq", "status"])
+    return read_log(spark, store_root, "command_events", COMMAND_EVENTS).dropDuplicates(["command_id", "seq", "status"])
