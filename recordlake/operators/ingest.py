@@ -5,7 +5,7 @@ Store layout under one root folder (``batch_id`` and ``attempt`` are partition c
     jobs/batch_id=N/attempt=A/        first-written records (15 store columns + skills)
     job_skills/batch_id=N/attempt=A/  (job_id, skill) of those records
     rejects/batch_id=N/attempt=A/     quarantined lines
-    job_keys/batch_id=N/attempt=A/bucket=B/  keys of those records in hash buckets (``operators.keys``)
+    job_keys/batch_id=N/attempt=A/    keys of those records in hash buckets (``operators.keys``)
     batches/batch_id=N/               ledger row: attempt, fingerprint, seen, inserted, skipped, ...
     _staging/A/                       validated copy of the input while attempt A runs
 
@@ -135,7 +135,8 @@ def read_keys(spark: SparkSession, root: str, buckets: list[int] | None = None)
         jobs = read_jobs(spark, root)
         if jobs is None or jobs.isEmpty():
             return None
-        write_keys(jobs, f"{root}/job_keys")
+        size = jobs.agg(F.sum(F.octet_length("job_id"))).first()[0]
+        write_keys(jobs, f"{root}/job_keys", int(size))
     parts = [compacted(spark, root, "job_keys", STORE_KEYS, manifest), _table(spark, root, "job_keys", STORE_KEYS)]
     old, live = (None if p is None else in_buckets(p, buckets) for p in parts)
     led = live_ledger(spark, root, manifest)
@@ -256,7 +257,7 @@ def write_attempt(spark: SparkSession, root: str, staged: DataFrame, batch_id: i
         written = spark.read.schema(T.StructType(STORE_JOBS.fields[:-2])).parquet(
             f"{root}/jobs/batch_id={batch_id}/attempt={attempt}")
         put(written.select("job_id", F.explode("skills").alias("skill")).sortWithinPartitions("job_id"), "job_skills")
-        write_keys(written.select("job_id", *named), f"{root}/job_keys")
+        write_keys(written.select("job_id", *named), f"{root}/job_keys", key_bytes or 0)
     if rejected:
         put(staged.where(F.col("message").isNotNull()).select("line_no", "status", "reason", "message"), "rejects", False)
     return inserted

@@ -55,18 +55,20 @@ def filled(spark, scratch):
     return root
 
 
-def test_small_batch_reads_its_buckets_only(spark, scratch):
+def test_small_batch_reads_its_buckets_only(spark, scratch, monkeypatch):
+    monkeypatch.setattr(KEYS, "FOLDER_BYTES", 1)  # as if the batch were large
     root = f"{scratch}/store"
-    ingest(spark, root, "a", [rec(i) for i in range(2000)])
-    ten = spark.createDataFrame([(f"id{i}",) for i in range(0, 2000, 200)], "job_id string")
+    ingest(spark, root, "a", [rec(i) for i in range(1500)])
+    ten = spark.createDataFrame([(f"id{i}",) for i in range(0, 1500, 150)], "job_id string")
     buckets = ten.agg(KEYS.touched_buckets("job_id").alias("b")).first()["b"]
     assert 1 <= len(buckets) <= 10
     keys = I.read_keys(spark, root, buckets)
     plan = keys._jdf.queryExecution().executedPlan().toString()
-    assert "bucket#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "lo#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0] and "In(bucket" in plan
     read = KEYS.in_buckets(I._table(spark, root, "job_keys", KEYS.STORE_KEYS), buckets).select(F.input_file_name().alias("f"))
-    folders = {r.f.split("bucket=")[1].split("/")[0] for r in read.collect()}
+    folders = {r.f.split("lo=")[1].split("/")[0] for r in read.collect()}
     assert folders == {str(b) for b in buckets}
+    assert KEYS.folders_for(256) == KEYS.KEY_BUCKETS
     new = I.new_only(ten.unionByName(spark.createDataFrame([("new",)], "job_id string")),
                      I.read_keys(spark, root, KEYS.KEY_BUCKETS * [0]))
     assert [r.job_id for r in new.collect()] == ["new"]
