@@ -177,42 +177,57 @@ def is_expected_failure(spark: SparkSession, root: str, error: BaseException, tr
 
 def worker_tick(spark: SparkSession, root: str, landing: str, *, run_id: str | None = None,
                 clock: dt.datetime | None = None, trigger: str = "worker_interval") -> dict:
-    """T5/T6/R1 one step: fold the queued config commands, then run every queued
-    ``run_once`` in order, or, without one and unless paused, one interval run.
-    A ``run_once`` command becomes applied (with its run id) or failed (with its
-    error) only after its run. Recurrence is the caller's trigger (e.g. a
-    Structured Streaming ``processingTime`` trigger or a job scheduler)."""
+    """T5/T6/R1 one step: drain the pending commands in FIFO order, then, unless paused, one interval run.
+
+    A ``run_once`` collects with the config valid at its place in the queue:
+    commands before it are applied first, later ones after it. Every command has a
+    ``running`` event before its outcome, so one whose worker dies stays
+    running and is drained again by the next tick. A run that fails marks its
+    command failed (with the redacted error) and the drain goes on. Recurrence is the
+    caller's trigger (e.g. a Structured Streaming ``processingTime`` trigger
+    or a job scheduler)."""
     ensure_ready(spark, root)
-    drained = drain_commands(spark, root, clock=clock)
-    cfg = {r.key: json.loads(r.value_json) for r in config(spark, root).collect()}
-    wanted = C.queued_runs(_commands(spark, root)).limit(R.MAX_QUERY_LIMIT).collect()
     rid = run_id or uuid.uuid4().hex
-    ran = []
+    ran: list[str] = []
 
-    def collect(name: str, why: str) -> BaseException | None:
-        ran.append(name)
+    def collect(cfg: dict, why: str) -> BaseException | None:
+        ran.append(rid if not ran else f"{rid}-{len(ran)}")
         try:
-            SCH.run_collection(spark, root, landing, cfg.get("queries") or None, run_id=name, trigger=why, clock=clock,
+            SCH.run_collection(spark, root, landing, cfg.get("queries") or None, run_id=ran[-1], trigger=why, clock=clock,
                                max_pages=cfg.get("max_pages"), page_size=cfg.get("page_size"))
         except Exception as exc:  # noqa: BLE001
             return exc
         return None
 
-    for k, command in enumerate(wanted):
-        name = rid if k == 0 else f"{rid}-{k}"
-        error = collect(name, "mcp_run_once")
-        state = C.command_status(_commands(spark, root), command["command_id"])
+    drained = runs = 0
+    while True:
+        path = f"{root}/_staging/plan-{uuid.uuid4().hex}"
+        commands = _commands(spark, root)
+        after = C.last_seq(commands)
+        try:  # written down: events computed from the plan go to the log that it is made of
+            C.drain_plan(commands, config(spark, root)).coalesce(1).write.parquet(path)
+            plan = spark.read.parquet(path)
+            head = plan.where(F.col("outcome") == "run").orderBy("position").limit(1).collect()
+            before = plan if not head else plan.where(F.col("position") < head[0]["position"])
+            drained += _append_events(spark, root, C.drain_events(before, I.second_clock(clock), after)) // 2
+        finally:
+            delete_path(spark, path)
+        if not head:
+            break
+        one = head[0]["command_id"]
+        _append_events(spark, root, C.started_event(C.command_status(_commands(spark, root), one), I.second_clock(clock)))
+        error = collect(json.loads(head[0]["config_json"]), "mcp_run_once")
         _append_events(spark, root, C.finished_event(
-            state, I.second_clock(clock), {"run_id": name}, type(error).__name__ if error else None,
-            SCH.redacted(spark, str(error)) if error else None))
-        if error and not is_expected_failure(spark, root, error, "mcp_run_once"):
-            raise error
-    if not wanted and not cfg.get("paused"):
-        error = collect(rid, trigger)
+            C.command_status(_commands(spark, root), one), I.second_clock(clock), {"run_id": ran[-1]},
+            type(error).__name__ if error else None, SCH.redacted(spark, str(error)) if error else None))
+        drained, runs = drained + 1, runs + 1
+    cfg = {r.key: json.loads(r.value_json) for r in config(spark, root).collect()}
+    if not cfg.get("paused"):
+        error = collect(cfg, trigger)
         if error and not is_expected_failure(spark, root, error, trigger):
             raise error
-    return {"ok": True, "ran": bool(ran), "run_id": ran[0] if ran else None, "config": cfg,
-            "drained": drained + len(wanted), "run_once": len(wanted)}
+    return {"ok": True, "ran": bool(ran), "run_id": ran[0] if ran else None, "runs": ran, "config": cfg, "drained": drained,
+            "run_once": runs}
 
 
 def _commands(spark: SparkSession, root: str) -> DataFrame:
@@ -231,12 +246,6 @@ def _append_events(spark: SparkSession, root: str, events: DataFrame) -> int:
     return n
 
 
-def drain_commands(spark: SparkSession, root: str, clock: dt.datetime | None = None) -> int:
-    """T5: mark every queued config command applied/failed in one append (see ``control.drain_events``);
-    returns their number."""
-    return _append_events(spark, root, C.drain_events(_commands(spark, root), I.second_clock(clock)))
-
-
 def update_config(spark: SparkSession, root: str, updates: dict, **kw) -> dict:
     """``config_update``: validated, then queued as an ``update_config`` command."""
     return enqueue(spark, root, "update_config", {"updates": updates}, **kw)

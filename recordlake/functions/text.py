@@ -8,6 +8,7 @@ information separators U+001C..U+001F, so the class below adds those.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,24 +46,32 @@ def collapse_ws(c: Column | str) -> Column:
     return py_strip(F.regexp_replace(_col(c), rf"(?U){PY_WS}+", " "))
 
 
+@cache
+def _folding_table() -> tuple[str, str, dict[str, str]]:
+    """Full case folding by its rule, ``str.casefold`` of every character: letters with one
+    letter for them as two parallel strings, and those that become several."""
+    folded = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
 def casefold_exact(c: Column | str) -> Column:
-    """Python ``str.casefold`` through an Arrow-batched pandas UDF.
+    """Python's ``str.casefold`` in the JVM. ASCII text is lower-cased, other text goes through one
+    ``translate``, and character by character where a letter becomes several (ß → ss)."""
+    plain, to, several = _folding_table()
 
-    Opt-in only (``exact_casefold=True``): it leaves the JVM, so it is the slow
-    path. The default ``lower`` differs only on a few letters (ß, ſ, ς, ...).
-    """
-    from recordlake.functions.casefold import casefold
+    def fold(s: Column) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+        letters = F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(table[x], x))
+        spread = F.when(s.rlike("[" + "".join(several) + "]"), F.array_join(letters, "")).otherwise(s)
+        return F.when(s.rlike(r"[^\x00-\x7f]"), F.translate(spread, plain, to)).otherwise(F.lower(s))
 
-    return casefold(_col(c))
+    return F.transform(F.array(_col(c)), fold)[0]
 
 
 def canonical_token(c: Column | str, exact_casefold: bool = False) -> Column:
-    """Whitespace collapse + strip + lower-case.
-
-    ``lower`` stands in for ``casefold`` unless ``exact_casefold`` is set; they
-    differ only on a handful of letters such as the German sharp s and the
-    final sigma.
-    """
+    """Whitespace collapse + strip + ``casefold`` (X1), or ``lower`` unless ``exact_casefold`` is set; they
+    differ only on a handful of letters such as the German sharp s and the final sigma."""
     collapsed = collapse_ws(c)
     return casefold_exact(collapsed) if exact_casefold else F.lower(collapsed)
 

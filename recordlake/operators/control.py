@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,13 +164,7 @@ def config_changes_from_commands(state: DataFrame) -> DataFrame:
     (the command fails as a whole, U2).
     """
     applied = state.where(F.col("status") == "applied")
-    upd = payload_updates()
-    pairs = F.when(F.col("command_type") == "pause",
-                   F.map_from_arrays(F.array(F.lit("paused")), F.array(F.lit("true")))) \
-        .when(F.col("command_type") == "resume",
-              F.map_from_arrays(F.array(F.lit("paused")), F.array(F.lit("false")))) \
-        .when(F.col("command_type") == "update_config",
-              F.transform_values(upd, lambda k, v: F.to_json(v)))
+    pairs = command_changes()
     ex = applied.select("command_id", "_applied_ts", "_applied_seq", F.explode(pairs).alias("key", "value_json"))
     ex = ex.withColumn("error", config_value_error(F.col("key"), F.col("value_json")))
     bad = ex.where(F.col("error").isNotNull()).select("command_id").distinct()
@@ -214,38 +208,90 @@ READINESS_SCHEMA = T.StructType([
 ])
 
 
-def drain_events(state: DataFrame, clock_ts) -> DataFrame:
-    """T5 as one set operation: terminal events for every queued command but ``run_once``.
-
-    pause / resume → ``applied``; update_config → ``applied`` when every update
-    is valid, else ``failed`` with the first reason (the config is then left
-    unchanged, because only applied commands are folded into it). A ``run_once``
-    ends with its run, see ``finished_event``. The events carry the drain clock
-    and ``seq`` just after the command's last event, so they win the
-    per-command fold; FIFO order between commands is kept by their
-    (created_at, command_id) order in ``seq``.
-    """
-    queued = state.where((F.col("status") == "queued") & (F.col("command_type") != "run_once"))
-    upd = payload_updates()
+def command_error(payload: Column | str = "payload_json") -> Column:
+    """Why a config command is refused (U2: first refused key), NULL when it is valid."""
+    upd = payload_updates(payload)
     errs = F.filter(
         F.transform(F.map_entries(F.coalesce(upd, F.create_map().cast("map<string, variant>"))),
                     lambda e: config_value_error(e["key"], F.to_json(e["value"]))),
         lambda x: x.isNotNull(),
     )
-    bad_shape = (F.col("command_type") == "update_config") & upd.isNull()
-    err = (
-        F.when(bad_shape, F.lit(MSG_UPDATE_SHAPE))
-        .when(F.col("command_type") == "update_config", F.try_element_at(errs, F.lit(1)))
-    )
+    update = F.col("command_type") == "update_config"
+    return F.when(update & upd.isNull(), F.lit(MSG_UPDATE_SHAPE)).when(update, F.try_element_at(errs, F.lit(1)))
+
+
+def command_changes(payload: Column | str = "payload_json") -> Column:
+    """The config updates of a command as a map key → JSON value; NULL for ``run_once``."""
+    return (F.when(F.col("command_type") == "pause", F.create_map(F.lit("paused"), F.lit("true")))
+            .when(F.col("command_type") == "resume", F.create_map(F.lit("paused"), F.lit("false")))
+            .when(F.col("command_type") == "update_config", F.transform_values(payload_updates(payload), lambda k, v: F.to_json(v))))
+
+
+def drain_plan(state: DataFrame, config: DataFrame) -> DataFrame:
+    """T5: what draining the pending commands in FIFO order does, as an as-of fold.
+
+    Pending are queued commands, and running ones: with one worker per store,
+    a command that is running when a drain begins was left by a worker that died
+    (T3). Each gets its ``position`` (from 1, created_at then command_id), its
+    outcome (``applied``, ``failed`` with the reason, or ``run`` for ``run_once``)
+    and ``config_json``, the whole config valid after it: per key the last value
+    that a valid command up to it has set, else that of ``config`` (rows of
+    ``config_after_commands``). So an update queued after a run does not
+    reach back to it, and one queued before it does.
+
+    The window over positions holds pending commands only; the fold of values is a
+    window per config key.
+    """
+    pending = state.where(F.col("status").isin("queued", "running"))
+    error = command_error()
+    ranked = pending.select(
+        "*", F.row_number().over(Window.orderBy("created_at", "command_id")).cast("long").alias("position"),
+        error.alias("error"))
+    ranked = ranked.withColumn("changes", F.when(F.col("error").isNull(), command_changes()))
+    keys = F.array(*[F.lit(k) for k in sorted(CONFIG_KEYS)])
+    per_key = ranked.select("command_id", "position", F.explode(keys).alias("key"), "changes").select(
+        "command_id", "position", "key", F.col("changes")[F.col("key")].alias("value_json"))
+    asof = F.last("value_json", ignorenulls=True).over(
+        Window.partitionBy("key").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    base = config.select("key", F.col("value_json").alias("base_json"))
+    valid = per_key.select("command_id", "key", asof.alias("asof")).join(base, "key", "left").groupBy("command_id").agg(
+        F.sort_array(F.collect_list(F.struct("key", F.coalesce("asof", "base_json").alias("value")))).alias("pairs"))
+    shown = F.transform("pairs", lambda p: F.concat(F.lit('"'), p["key"], F.lit('":'), p["value"]))
+    return ranked.join(valid, "command_id").select(
+        "command_id", "position", "command_type", F.col("status").alias("was"), "created_at",
+        F.when(F.col("command_type") == "run_once", "run").when(F.col("error").isNull(), "applied").otherwise("failed").alias("outcome"),
+        F.col("error").alias("error"), F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}")).alias("config_json"),
+        "payload_json", "requested_by")
+
+
+def drain_events(plan: DataFrame, clock_ts, after_seq: int) -> DataFrame:
+    """T5/T3 as one set operation: a ``running`` and a terminal event for every config command of a
+    ``drain_plan``. An applied command's result is the config valid after it (T8), a failed one has the
+    reason; ``run_once`` commands end with their run, see ``finished_event``.
+
+    The events carry the drain clock; ``seq`` follows the FIFO position after
+    ``after_seq``, the largest one so far (``last_seq``), so that folds by (ts, seq)
+    see the commands in that order.
+    """
+    done = plan.where(F.col("command_type") != "run_once")
     ts = clock_literal(clock_ts)
-    return queued.select(
-        "command_id", (F.col("_applied_seq") + 1).alias("seq"), ts.alias("ts"),
-        F.when(err.isNull(), "applied").otherwise("failed").alias("status"),
-        "command_type", "payload_json", "requested_by",
-        F.when(err.isNull(), F.lit("{}")).alias("result_json"),
-        F.when(err.isNotNull(), F.lit("ValueError")).alias("error_type"),
-        err.alias("redacted_error"),
-    )
+    seq = F.lit(after_seq).cast("long") + 2 * F.col("position")
+    failed = F.col("outcome") == "failed"
+    none = F.lit(None).cast("string")
+    started = F.struct(seq.alias("seq"), F.lit("running").alias("status"), none.alias("result_json"),
+                       none.alias("error_type"), none.alias("redacted_error"))
+    ended = F.struct((seq + 1).alias("seq"), F.col("outcome").alias("status"),
+                     F.when(~failed, F.concat(F.lit('{"config":'), F.col("config_json"), F.lit("}"))).alias("result_json"),
+                     F.when(failed, F.lit("ValueError")).alias("error_type"), F.col("error").alias("redacted_error"))
+    rows = done.select("command_id", "command_type", "payload_json", "requested_by", F.array(started, ended).alias("events"))
+    return rows.select("command_id", "command_type", "payload_json", "requested_by", ts.alias("ts"), F.inline("events")).select(
+        "command_id", "seq", "ts", "status", "command_type", "payload_json", "requested_by", "result_json", "error_type",
+        "redacted_error")
+
+
+def last_seq(state: DataFrame) -> int:
+    """The largest ``seq`` of a command log; 0 for an empty one."""
+    return int(state.agg(F.coalesce(F.max("_applied_seq"), F.lit(0))).first()[0])
 
 
 def update_error(spark: SparkSession, payload_json: str) -> str | None:
@@ -262,10 +308,12 @@ def update_error(spark: SparkSession, payload_json: str) -> str | None:
     return bad.agg(F.min_by("e", "key").alias("e")).first()["e"]
 
 
-def queued_runs(state: DataFrame) -> DataFrame:
-    """T5: the queued ``run_once`` commands, oldest first."""
-    runs = state.where((F.col("status") == "queued") & (F.col("command_type") == "run_once"))
-    return runs.orderBy(F.col("created_at").asc(), F.col("command_id").asc())
+def started_event(command: DataFrame, clock_ts) -> DataFrame:
+    """The ``running`` event of a command (a row of ``command_state``), written before its run."""
+    none = F.lit(None).cast("string")
+    return command.select(
+        "command_id", (F.col("_applied_seq") + 1).alias("seq"), clock_literal(clock_ts).alias("ts"), F.lit("running").alias("status"),
+        "command_type", "payload_json", "requested_by", none.alias("result_json"), none.alias("error_type"), none.alias("redacted_error"))
 
 
 def finished_event(command: DataFrame, clock_ts, result: dict | None = None, error_type: str | None = None,

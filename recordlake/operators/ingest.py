@@ -299,11 +299,10 @@ def ingest_jsonl(spark: SparkSession, root: str, path: str | list[str], batch_id
                  source: str = DEFAULT_SOURCE, clock: dt.datetime | None = None, mode: str = "strict",
                  source_query: str | None = None, exact_casefold: bool | None = None) -> DataFrame:
     """CLI ``ingest``: JSON lines file(s) → validated → first-wins append. ``exact_casefold`` (X2) is the
-    store's own; a value that differs from it is an error, unless the store is still empty."""
+    store's own, exact by default; a value that differs from it is an error, unless the store is still empty."""
     from recordlake.sources.store import settle_folding
 
-    led = ledger(spark, root)
-    exact_casefold = settle_folding(spark, root, exact_casefold, led is not None and not led.isEmpty())
+    exact_casefold = settle_folding(spark, root, exact_casefold)
     lines = read_lines(spark, path)
     checked = validate(lines, source=source, exact_casefold=exact_casefold).withColumn("ord", F.col("line_no"))
     return ingest_checked(spark, root, checked, batch_id, clock=clock, mode=mode, source_query=source_query,

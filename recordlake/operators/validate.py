@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions import jsonx as J
+from recordlake.functions.canonical import canonical_json, json_float, json_string
 from recordlake.functions.text import (
     blank_to_null,
     canonical_token,
     casefold_exact,
-    collapse_ws,
     py_strip,
     py_strip_column,
 )
@@ -31,6 +31,7 @@ from recordlake.schemas import (
     OPTIONAL_NUMBER_FIELDS,
     OPTIONAL_STRING_FIELDS,
     PRIVATE_FIELD_NAMES,
+    RECORD_FIELDS,
 )
 
 
@@ -58,20 +59,14 @@ def _req(v: Column, key: str) -> Column:
 def _skills_state(v: Column, exact_casefold: bool = False) -> tuple[Column, Column]:
     arr = J.variant_array(v, "$.skills")
     all_strings = F.forall(arr, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
-    if exact_casefold:
-        # The pandas UDF cannot run inside a lambda: collapse in the JVM, then
-        # casefold the joined list once (the unit separator never occurs in skills).
-        collapsed = F.transform(arr, lambda e: collapse_ws(F.try_variant_get(e, "$", "string")))
-        folded = F.split(casefold_exact(F.array_join(collapsed, "\u001f")), "\u001f")
-        folded = F.when(F.size(arr) > 0, folded).otherwise(F.array().cast("array<string>"))
-    else:
-        folded = F.transform(arr, lambda e: canonical_token(F.try_variant_get(e, "$", "string")))
+    folded = F.transform(arr, lambda e: canonical_token(F.try_variant_get(e, "$", "string"), exact_casefold))
     canon = F.array_distinct(F.filter(folded, lambda s: s != ""))
     return arr, F.when(all_strings, canon)
 
 
 def canonical_payload(v: Column) -> Column:
-    """V10, typed form: the record's own fields, keys sorted, nulls kept, compact.
+    """The payload in typed form: the record's own fields, keys sorted, nulls kept, compact; one text per
+    logical record, whichever fields its line leaves out and however it writes its numbers.
 
     Values are the payload's values before stripping; numbers are doubles.
     """
@@ -99,15 +94,8 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
     t0 = lines.select(*base, py_strip_column("line").alias("_t"))
     t1 = t0.select(*base, "_t", J.parse(F.col("_t")).alias("_v"), J.object_keys_in_order(F.col("_t")).alias("_keys"))
     text, v, keys = F.col("_t"), F.col("_v"), F.col("_keys")
-    if exact_casefold:
-        folded = F.split(casefold_exact(F.array_join(F.transform(keys, lambda k: py_strip(k)), "\u001f")), "\u001f")
-        pairs = F.arrays_zip(keys.alias("k"), folded.alias("f"))
-        private = F.try_element_at(
-            F.transform(F.filter(pairs, lambda p: p["f"].isin(*PRIVATE_FIELD_NAMES)), lambda p: p["k"]), F.lit(1))
-    else:
-        private = F.try_element_at(
-            F.filter(keys, lambda k: F.lower(py_strip(k)).isin(*PRIVATE_FIELD_NAMES)), F.lit(1)
-        )
+    fold = casefold_exact if exact_casefold else F.lower
+    private = F.try_element_at(F.filter(keys, lambda k: fold(py_strip(k)).isin(*PRIVATE_FIELD_NAMES)), F.lit(1))
     allowed = F.array(*[F.lit(k) for k in ALLOWED_FIELDS])
     unknown = F.array_join(F.array_sort(F.array_except(keys, allowed)), ", ")
     src = _req(v, "source")
@@ -159,7 +147,6 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
                              F.when(~blank & ~malformed, why).alias("reason"), message.alias("message"))
     vv = F.col("_v")
     valid = F.col("status") == "valid"
-    canon = canonical_payload(vv)
     record = [
         F.when(valid, _req(vv, "id")).alias("job_id"),
         F.when(valid, _req(vv, "source")).alias("source"),
@@ -170,10 +157,48 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
         *[F.when(valid, blank_to_null(J.typed_str(vv, f"$.{k}"))).alias(k) for k in OPTIONAL_STRING_FIELDS[:3]],
         *[F.when(valid, J.typed_double(vv, f"$.{k}")).alias(k) for k in OPTIONAL_NUMBER_FIELDS],
         F.when(valid, blank_to_null(J.typed_str(vv, "$.raw_id"))).alias("raw_id"),
-        F.when(valid, canon).alias("payload_json"),
+        F.when(valid, canonical_json(vv, 2)).alias("payload_json"),
+        F.when(valid, canonical_payload(vv)).alias("typed_json"),
     ]
     out = verdict.select(*base, "status", "reason", "message", *record)
-    return out.withColumn("content_hash", F.sha2(F.col("payload_json"), 256))
+    return out.withColumns({"content_hash": F.sha2(F.col("payload_json"), 256),
+                            "typed_hash": F.sha2(F.col("typed_json"), 256)})
+
+
+def record_json() -> Column:
+    """V10 of a normalised record's columns: all 13 fields, keys sorted, as the record's JSON line would give it."""
+    def value(name: str) -> Column:
+        c = F.col(name)
+        if name == "skills":
+            text = F.concat(F.lit("["), F.array_join(F.transform(c, json_string), ","), F.lit("]"))
+        else:
+            text = json_float(c) if name in OPTIONAL_NUMBER_FIELDS else json_string(c)
+        return F.concat(F.lit(f'"{name}":'), F.coalesce(text, F.lit("null")))
+
+    return F.concat(F.lit("{"), F.concat_ws(",", *map(value, sorted(ALLOWED_FIELDS))), F.lit("}"))
+
+
+def validate_records(records: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: bool = False) -> DataFrame:
+    """The checks of ``validate`` on the 13 columns of normalised records (N13), which are typed already:
+    required text, source and skills. Same columns out, so records go to ``ingest_checked`` without
+    a JSON text in between. ``line_no`` is the number of the response."""
+    keep = [c for c in records.columns if c not in RECORD_FIELDS]
+    src = blank_to_null(F.col("source"))
+    checks = [(src.isNull(), MSG_MISSING.format(key="source")), (src != F.lit(source), MSG_SOURCE.format(source=source))]
+    checks += [(blank_to_null(F.col(k)).isNull(), MSG_MISSING.format(key=k)) for k in ("id", "title", "description", "url")]
+    checks.append((F.col("skills").isNull(), MSG_MISSING.format(key="skills")))
+    reason = F.lit(None).cast("string")
+    for cond, text in reversed(checks):
+        reason = F.when(cond, F.lit(text)).otherwise(reason)
+    staged = records.select("*", reason.alias("reason"))
+    valid = F.col("reason").isNull()
+    skills = F.array_distinct(F.filter(F.transform("skills", lambda s: canonical_token(s, exact_casefold)), lambda s: s != ""))
+    out = {"job_id": blank_to_null(F.col("id")), "skills": skills, "content_hash": F.sha2(record_json(), 256)}
+    out |= {k: blank_to_null(F.col(k)) for k in ("source", "title", "description", "url", *OPTIONAL_STRING_FIELDS)}
+    out |= {k: F.col(k) for k in OPTIONAL_NUMBER_FIELDS}
+    message = F.concat(F.lit(MSG_INVALID.split("{line}")[0]), F.col("line_no").cast("string"), F.lit(": "), F.col("reason"))
+    return staged.select(*keep, F.when(valid, "valid").otherwise("invalid").alias("status"), "reason",
+                         F.when(~valid, message).alias("message"), *[F.when(valid, c).alias(k) for k, c in out.items()])
 
 
 def failure_columns() -> list[Column]:

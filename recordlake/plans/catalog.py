@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordlake.functions.canonical import canonical_json
 from recordlake.functions.redact import redact
 from recordlake.functions.text import integer_setting, truthy_setting
 from recordlake.operators import analytics, ingest, reads
@@ -200,10 +201,41 @@ def q_skill_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("content_hash")
 def q_content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """The typed form's hash: one per logical record."""
+    c = _checked(spark, sf).where(F.col("status") == "valid")
+    return c.select("line_no", F.col("typed_hash").alias("content_hash"))
+
+
+@register("raw_content_hash")
+def q_raw_content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash of the payload's own canonical text, as stored."""
     c = _checked(spark, sf).where(F.col("status") == "valid")
     return c.select("line_no", "content_hash")
 
 
+@register("canonical_nested")
+def q_canonical_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """V10 on nested payloads: unsorted keys at each depth, non-ASCII, whole and fractional numbers, literals."""
+    docs = adapters.table(spark, sf, "documents")
+    n = F.col("n_chars")
+    text = F.concat(F.lit('{ "z": {"b":'), n, F.lit(', "a" : [true, null, '), F.to_json(F.struct(F.substring("text", 1, 60).alias("t"))),
+                    F.lit(']}, "é": ['), (n / 4).cast("string"), F.lit(", "), n, F.lit('.50, [], {}], "doc":'), F.col("doc_id"),
+                    F.lit(', "A": "ß\\u000b"}'))
+    return docs.select("doc_id", F.sha2(canonical_json(F.parse_json(text)), 256).alias("canonical_sha256"))
+
+
+@register("skill_casefold")
+def q_skill_casefold(spark: SparkSession, sf: str) -> DataFrame:
+    """Skills with letters that ``lower`` and full case folding treat differently, one per document."""
+    docs = adapters.table(spark, sf, "documents")
+    letter = F.element_at(F.array(*map(F.lit, ("ß", "ẞ", "ſ", "ς", "İ", "ﬃ", "Ǆ", "Σ", "a"))), (F.col("doc_id") % 9 + 1).cast("int"))
+    payload = F.struct(F.lit("feed").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"),
+                       F.lit("d").alias("description"), F.lit("u").alias("url"),
+                       F.array(F.concat(F.lit(" X"), letter, F.lit("  "), F.upper("source"), F.lit(" "))).alias("skills"))
+    lines = docs.select(F.col("doc_id").alias("line_no"), F.to_json(payload).alias("line"))
+    return V.validate(lines, exact_casefold=True).select("line_no", F.col("skills")[0].alias("skill"))
+
+
 def _single_batch_store(spark: SparkSession, sf: str) -> str:
     root = scratch_dir(spark, "store")
     ingest.ingest_jsonl(spark, root, _landed(spark, sf, root=root), 1, clock=BATCH_CLOCK, mode="quarantine")
@@ -747,3 +779,41 @@ def q_stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
     ingest.ingest_jsonl(spark, root, first, clock=BATCH_CLOCK, mode="quarantine")
     R.run_ingest_once(spark, second, root, f"{root}/_checkpoints/fresh", clock=BATCH_CLOCK)
     return ingest.read_jobs(spark, root).select("job_id", "batch_id", "ord", "raw_id")
+
+
+# ------------------------------------------------------------ command drain
+
+
+def _drain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(command events, command state, drain plan) of the event-derived log."""
+    events = adapters.command_events(_events(spark, sf))
+    state = C.command_state(events)
+    return events, state, C.drain_plan(state, C.config_after_commands(spark, None, events))
+
+
+@register("command_fifo_drain")
+def q_command_fifo_drain(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: place, outcome and as-of config of every pending command; updates lie before and after runs."""
+    return _drain(spark, sf)[2].select("command_id", "position", "command_type", "outcome", "error", "config_json")
+
+
+@register("command_status_after_drain")
+def q_command_status_after_drain(spark: SparkSession, sf: str) -> DataFrame:
+    """All commands after the pending config commands' events are in the log."""
+    events, state, plan = _drain(spark, sf)
+    added = C.drain_events(plan, DRAIN_CLOCK, C.last_seq(state))
+    return C.command_state(events.select(*added.columns).unionByName(added)).select(*CMD_COLS)
+
+
+@register("command_recovery")
+def q_command_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Config commands that a dead worker left running, drained again; they keep their first start."""
+    events, state, plan = _drain(spark, sf)
+    left = plan.where(F.col("was") == "running")
+    added = C.drain_events(left, DRAIN_CLOCK, C.last_seq(state))
+    after = C.command_state(events.select(*added.columns).unionByName(added))
+    return after.join(left.select("command_id", "position"), "command_id").select(
+        "command_id", "position", "status", "started_at", "finished_at", "error_type")
+
+
+DRAIN_CLOCK = _dt.datetime(2030, 1, 1, tzinfo=_dt.UTC)

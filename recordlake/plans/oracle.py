@@ -694,3 +694,65 @@ SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS BIGINT) EN
     "command_log_mixed_writers": ORACLE["command_state"],
     "stream_after_batch": ORACLE["two_batch_first_wins"],
 })
+
+
+# ------------------------------------------------------------ command drain
+
+DRAIN = AFTER + """,
+pend AS (
+  SELECT *, row_number() OVER (ORDER BY created_at, command_id) AS position,
+         CASE WHEN command_type = 'update_config' AND first_k % 7 = 0 THEN 'unsupported config keys: bogus' END AS error
+    FROM cs WHERE status IN ('queued', 'running')),
+folded AS (
+  SELECT *, last_value(CASE command_type WHEN 'pause' THEN 'true' WHEN 'resume' THEN 'false' END IGNORE NULLS)
+              OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paused,
+         last_value(CASE WHEN command_type = 'update_config' AND error IS NULL THEN CAST(first_k % 5 + 1 AS VARCHAR) END IGNORE NULLS)
+              OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pages
+    FROM pend),
+plan AS (
+  SELECT command_id, position, command_type, status AS was, created_at, payload_json, error,
+         CASE WHEN command_type = 'run_once' THEN 'run' WHEN error IS NULL THEN 'applied' ELSE 'failed' END AS outcome,
+         '{"interval_seconds":3600,"max_pages":' || coalesce(pages, (SELECT value_json FROM wcfg WHERE key = 'max_pages'))
+           || ',"page_size":50,"paused":' || coalesce(paused, (SELECT value_json FROM wcfg WHERE key = 'paused'))
+           || ',"queries":[]}' AS config_json
+    FROM folded)"""
+
+ORACLE.update({
+    "command_fifo_drain": f"{DRAIN} SELECT command_id, position, command_type, outcome, error, config_json FROM plan",
+    "command_status_after_drain": f"""{DRAIN}
+SELECT cs.command_id, cs.command_type, cs.payload_json,
+       CASE WHEN p.outcome IS NULL OR p.outcome = 'run' THEN cs.status ELSE p.outcome END AS status, cs.created_at,
+       CASE WHEN p.outcome IS NULL OR p.outcome = 'run' THEN cs.started_at ELSE coalesce(cs.started_at, '2030-01-01T00:00:00Z') END AS started_at,
+       CASE WHEN p.outcome IS NULL OR p.outcome = 'run' THEN cs.finished_at
+            ELSE coalesce(cs.finished_at, '2030-01-01T00:00:00Z') END AS finished_at,
+       cs.requested_by,
+       CASE p.outcome WHEN 'applied' THEN '{{"config":' || p.config_json || '}}' WHEN 'failed' THEN NULL ELSE cs.result_json END AS result_json,
+       CASE p.outcome WHEN 'applied' THEN NULL WHEN 'failed' THEN 'ValueError' ELSE cs.error_type END AS error_type,
+       CASE p.outcome WHEN 'applied' THEN NULL WHEN 'failed' THEN p.error ELSE cs.redacted_error END AS redacted_error
+  FROM cs LEFT JOIN plan p USING (command_id)""",
+    "command_recovery": f"""{DRAIN}
+SELECT p.command_id, p.position, p.outcome AS status, cs.started_at, coalesce(cs.finished_at, '2030-01-01T00:00:00Z') AS finished_at,
+       CASE p.outcome WHEN 'failed' THEN 'ValueError' END AS error_type
+  FROM plan p JOIN cs USING (command_id) WHERE p.was = 'running' AND p.outcome <> 'run'""",
+})
+
+
+# ------------------------------------------------- canonical text, folding
+
+ORACLE.update({
+    "raw_content_hash": f"""{RAW}
+SELECT line_no, sha256('{{"description":' || to_json(text)
+  || coalesce(',"fixed_amount":' || CAST(fixed_amount AS VARCHAR), '')
+  || CASE WHEN n_chars % 3 = 1 THEN ',"hourly_min":' || CAST(n_chars % 100 AS VARCHAR) ELSE '' END
+  || ',"id":"' || rid || '","raw_id":"' || doc_id || '","skills":' || to_json([lang, ' ' || source || '  x ', upper(lang)])
+  || ',"source":"{SOURCE}","title":' || to_json('  ' || left(text, 40)) || ',"url":"{URL_PREFIX}' || rid || '"}}') AS content_hash
+  FROM v""",
+    "canonical_nested": """
+SELECT doc_id, sha256('{"A":"ß\\u000b","doc":' || doc_id || ',"z":{"a":[true,null,{"t":' || to_json(left(text, 60)) || '}],"b":' || n_chars
+  || '},"é":[' || CAST(n_chars / 4 AS VARCHAR) || ',' || n_chars || '.5,[],{}]}') AS canonical_sha256
+  FROM documents""",
+    "skill_casefold": """
+SELECT doc_id AS line_no, 'x' || list_extract(['ss', 'ss', 's', 'σ', 'i̇', 'ffi', 'ǆ', 'σ', 'a'], doc_id % 9 + 1)
+       || ' ' || lower(source) AS skill
+  FROM documents""",
+})

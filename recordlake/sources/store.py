@@ -42,20 +42,24 @@ def init_store(spark: SparkSession, root: str, version: int = SCHEMA_VERSION, ta
 
 
 def folding(spark: SparkSession, root: str) -> bool:
-    """Whether the store's skills are folded by exact ``casefold`` (else by ``lower``)."""
+    """Whether the store's skills are folded by exact ``casefold``, which is the default, or by ``lower``, as in
+    filled stores from before the mode was written down."""
     path = f"{root}/_folding"
-    return path_exists(spark, path) and bool(spark.read.schema(FOLDING).parquet(path).first()["exact_casefold"])
+    if path_exists(spark, path):
+        return bool(spark.read.schema(FOLDING).parquet(path).first()["exact_casefold"])
+    return not (path_exists(spark, f"{root}/batches") or current(spark, root).segments)
 
 
-def settle_folding(spark: SparkSession, root: str, wanted: bool | None, filled: bool) -> bool:
+def settle_folding(spark: SparkSession, root: str, wanted: bool | None = None) -> bool:
     """The store's folding mode; a store keeps the mode of its first ingest, and another is an error."""
-    current = folding(spark, root)
-    if wanted is None or wanted == current:
-        return current
-    if filled or current:
-        raise ValueError(f"the store folds skills with exact_casefold={current}")
-    spark.createDataFrame([(wanted,)], FOLDING).coalesce(1).write.mode("overwrite").parquet(f"{root}/_folding")
-    return wanted
+    mode, marked = folding(spark, root), path_exists(spark, f"{root}/_folding")
+    if wanted is not None and wanted != mode:
+        if marked or not mode:
+            raise ValueError(f"the store folds skills with exact_casefold={mode}")
+        mode = wanted
+    if not marked:
+        spark.createDataFrame([(mode,)], FOLDING).coalesce(1).write.mode("overwrite").parquet(f"{root}/_folding")
+    return mode
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:

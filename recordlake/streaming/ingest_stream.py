@@ -32,7 +32,7 @@ from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
 from recordlake.session import configure
 from recordlake.sources.jsonl import number_lines, split_bound
 from recordlake.sources.snapshots import read_log
-from recordlake.sources.store import folding
+from recordlake.sources.store import settle_folding
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -66,7 +66,7 @@ def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, chec
         files = df.inputFiles()
         bound = split_bound(spark, list(files)) if files else None
         checked = validate(number_lines(raw, bound), source=source,
-                           exact_casefold=folding(spark, store_root)).withColumn("ord", F.col("line_no"))
+                           exact_casefold=settle_folding(spark, store_root)).withColumn("ord", F.col("line_no"))
         try:
             ingest_checked(spark, store_root, checked, batch_id, clock=clock, mode=mode, input_path=landing,
                            stream=key)

@@ -177,6 +177,7 @@ def test_run_once_outcome_follows_its_run(spark, scratch):
     S.init_store(spark, root)
     api.run_once(spark, root, command_id="c1", clock=CLOCK)
     api.run_once(spark, root, command_id="c2", clock=CLOCK)
+    api.pause(spark, root, command_id="c3", clock=CLOCK)
     out = api.worker_tick(spark, root, f"{scratch}/nothing", run_id="r", clock=CLOCK)
     assert out["run_once"] == 2 and out["ran"] is True
     for c in ("c1", "c2"):
@@ -244,3 +245,84 @@ def test_a_store_keeps_its_folding(spark, scratch):
         assert sorted(r.job_id for r in api.search(spark, root, skill=skill).collect()) == ["1", "2"]
     with pytest.raises(ValueError, match="exact_casefold=True"):
         api.ingest_jsonl(spark, root, f"{scratch}/a", exact_casefold=False)
+
+
+def _land(folder, query, ids):
+    rows = [{"id": str(i), "title": "T", "description": "D"} for i in ids]
+    body = json.dumps({"data": {"search": {"universalSearchNuxt": {"visitorJobSearchV1": {"results": rows}}}}})
+    write_text(f"{folder}/query={query}/p.jsonl", [body])
+
+
+def test_drain_is_first_in_first_out(spark, scratch):
+    """A run sees the updates queued before it and none queued after it; every command was running."""
+    root, landing = f"{scratch}/store", f"{scratch}/landing"
+    S.init_store(spark, root)
+    for k, q in enumerate(("early", "later")):
+        _land(landing, q, [k * 10 + 1])
+    api.update_config(spark, root, {"queries": ["early"]}, command_id="c1", clock=CLOCK)
+    api.run_once(spark, root, command_id="c2", clock=CLOCK)
+    api.enqueue(spark, root, "update_config", {"queries": ["later"]}, command_id="c3", clock=CLOCK)
+    api.run_once(spark, root, command_id="c4", clock=CLOCK)
+    api.pause(spark, root, command_id="c5", clock=CLOCK)
+    out = api.worker_tick(spark, root, landing, run_id="r", clock=CLOCK)
+    assert (out["drained"], out["run_once"], out["runs"]) == (5, 2, ["r", "r-1"])
+    _, res = api.SCH.read_runs(spark, root)
+    assert {(r.run_id, r.query) for r in res.collect()} == {("r", "early"), ("r-1", "later")}
+    rows = {r.command_id: r for r in api._commands(spark, root).collect()}
+    assert all(r.status == "applied" and r.started_at and r.finished_at for r in rows.values())
+    config = {c: json.loads(rows[c].result_json)["config"] for c in ("c1", "c3", "c5")}
+    assert [config[c]["queries"] for c in ("c1", "c3", "c5")] == [["early"], ["later"], ["later"]]
+    assert [config[c]["paused"] for c in ("c1", "c3", "c5")] == [False, False, True] and config["c1"]["page_size"] == 50
+    assert json.loads(rows["c2"].result_json) == {"run_id": "r"}
+
+
+def test_interval_run_follows_the_commands(spark, scratch):
+    root, landing = f"{scratch}/store", f"{scratch}/landing"
+    S.init_store(spark, root)
+    _land(landing, "q", [1])
+    api.update_config(spark, root, {"queries": ["q"]}, command_id="c1", clock=CLOCK)
+    api.run_once(spark, root, command_id="c2", clock=CLOCK)
+    assert api.worker_tick(spark, root, landing, run_id="r", clock=CLOCK)["runs"] == ["r", "r-1"]
+    ev, res = api.SCH.read_runs(spark, root)
+    assert {r.run_id: r.trigger for r in api.L.runs(ev, res).collect()} == {"r": "mcp_run_once", "r-1": "worker_interval"}
+
+
+def test_unexpected_error_of_a_command_does_not_stop_the_drain(spark, scratch, monkeypatch):
+    root = f"{scratch}/store"
+    S.init_store(spark, root)
+    api.run_once(spark, root, command_id="c1", clock=CLOCK)
+    api.pause(spark, root, command_id="c2", clock=CLOCK)
+
+    def broken(*_a, **_k):
+        raise TypeError("boom token=abc")
+
+    monkeypatch.setattr(api.SCH, "collect_query", broken)
+    out = api.worker_tick(spark, root, f"{scratch}/x", run_id="r", clock=CLOCK)
+    assert out["drained"] == 2 and out["config"]["paused"] is True
+    row = api.command_status(spark, root, "c1").first()
+    assert (row.status, row.error_type, row.redacted_error) == ("failed", "TypeError", "boom token=<redacted>")
+    assert api.command_status(spark, root, "c2").first().status == "applied"
+
+
+def test_command_of_a_dead_worker_is_drained_again(spark, scratch, monkeypatch):
+    root, landing = f"{scratch}/store", f"{scratch}/landing"
+    S.init_store(spark, root)
+    _land(landing, "__all__", [1, 2])
+    api.run_once(spark, root, command_id="c1", clock=CLOCK)
+    api.pause(spark, root, command_id="c2", clock=CLOCK)
+
+    def die(*_a, **_k):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(api.SCH, "run_collection", die)
+        with pytest.raises(KeyboardInterrupt):
+            api.worker_tick(spark, root, landing, run_id="dead", clock=CLOCK)
+    first = {r.command_id: r.status for r in api._commands(spark, root).collect()}
+    assert first == {"c1": "running", "c2": "queued"}
+    later = CLOCK + __import__("datetime").timedelta(hours=1)
+    out = api.worker_tick(spark, root, landing, run_id="alive", clock=later)
+    rows = {r.command_id: r for r in api._commands(spark, root).collect()}
+    assert out["drained"] == 2 and {r.status for r in rows.values()} == {"applied"}
+    assert rows["c1"].started_at < rows["c1"].finished_at and json.loads(rows["c1"].result_json) == {"run_id": "alive"}
+    assert api.recent(spark, root).count() == 2

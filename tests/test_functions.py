@@ -101,3 +101,38 @@ def test_integer_settings(spark):
     for bad in (True, 0, "3", 2.0, None):
         with pytest.raises(ValueError, match="n must be a positive integer"):
             T.positive_integer(bad, "n")
+
+
+def test_casefold_is_pythons(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c)]
+    words = ["".join(every[a:a + 700]) for a in range(0, len(every), 700)] + [None, "", "Straße ΣΑΣς", "ASCII Only"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    got = {r.i: r.f for r in df.select("i", T.casefold_exact("w").alias("f")).collect()}
+    assert all(got[i] == (None if w is None else w.casefold()) for i, w in enumerate(words))
+
+
+def test_floats_are_pythons(spark):
+    import random
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from recordlake.functions.canonical import json_float
+
+    rng = random.Random(1)
+    numbers = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(800)]
+    numbers = [x for x in numbers if x == x] + [round(rng.uniform(0, 1e6), 2) for _ in range(300)] + [10.0**k for k in range(-30, 31)]
+    numbers += [5e-324, 1e23, 2.0**63, 1 / 3, 1e7, 0.001, 0.0001, 1e-05, 1e16, 0.0, float("inf"), -float("inf"), -2.5]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select(json_float(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [json.dumps(x) for x in numbers]
+
+
+def test_canonical_json_is_pythons(spark):
+    from pyspark.sql import functions as F
+
+    from recordlake.functions.canonical import canonical_json
+
+    texts = ['{"b":1,"a":[1.0,{"é":null,"\\u001f":"\\u000b\\n\\u007f/\\"\\\\"}],"A":{"z":{"y":[[],{},[[1e5,true,false]]]}}}', "[]", '"x"',
+             "12345678901234567890", "1e16", "-5", '{"a":1.50,"a":2}', "null", '{"d":"\\u2028 \\t q","c":-0.25}', "1E400"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(canonical_json(F.parse_json("t")).alias("s")).collect()
+    assert [r.s for r in got] == [json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for t in texts]
