@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.operators import analytics as A
+from recordlake.operators import compaction as K
 from recordlake.operators import control as C
 from recordlake.operators import ingest as I
 from recordlake.operators import ledger as L
 from recordlake.operators import normalize as N
 from recordlake.operators import reads as R
+from recordlake.operators import status as ST
 from recordlake.plans import scheduled as SCH
 from recordlake.schemas import COMMAND_EVENTS, COMMAND_TYPES, CONFIG_EVENTS
 from recordlake.sources import store as S
@@ -140,6 +142,23 @@ def run_status(spark: SparkSession, root: str, limit: int = 5) -> dict[str, Data
     }
 
 
+def status_document(spark: SparkSession, root: str, limit: int = 5) -> DataFrame:
+    """T7 as one row, every log scanned once (see ``operators.status``)."""
+    ensure_ready(spark, root)
+    ev, res = SCH.read_runs(spark, root)
+    cfg = _log(spark, root, "config_events", CONFIG_EVENTS)
+    return ST.status_document(ev, res, _log(spark, root, "command_events", COMMAND_EVENTS), cfg, limit)
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Rewrites the store's small files and deletes what is unread then (``operators.compaction``); returns the
+    manifest's generation. For the store's one writer, between batches."""
+    ensure_ready(spark, root)
+    generation = K.compact(spark, root).generation
+    K.vacuum(spark, root)
+    return generation
+
+
 def ingest_jsonl(spark: SparkSession, root: str, path: str, batch_id: int | None = None, **kw) -> DataFrame:
     """CLI ``ingest``: one JSON-lines input as one atomic batch (strict by default)."""
     return I.ingest_jsonl(spark, root, path, batch_id, **kw)

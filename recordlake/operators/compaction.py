@@ -15,6 +15,7 @@ range-partitioned by key into files of about ``target_bytes``.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,13 @@ def _taken(segments: list[S.Segment], size: int) -> list[S.Segment]:
     return taken
 
 
+def _last_epochs(covered: list[str], files: list[str]) -> list[str]:
+    """Of the stream files that were covered, the last of each stream: a restarted stream replays that epoch and
+    must find that its file was there."""
+    found = [re.fullmatch(r"(stream-.*)-(\d+)\.parquet", f) for f in sorted({*covered, *files})]
+    return list({m[1]: m[0] for m in found if m}.values())
+
+
 def compact(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES) -> S.Manifest:
     """One new segment with all committed batches and log files that no segment holds; returns the manifest in force."""
     configure(spark)
@@ -109,7 +117,7 @@ def compact(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES) ->
         rows = S.both(S.compacted(spark, root, table, schema, own), rows)
         if _rewrite(rows, f"{base}/{table}", order, size(table), target_bytes):
             written.append(table)
-        covered[table] = sorted({*files, *old})
+        covered[table] = sorted({*files, *old, *_last_epochs(before.covered.get(table, []), files)})
     kept = [s for s in before.segments if s not in taken]
     after = S.Manifest(before.generation + 1, [*kept, S.Segment(name, written, path_bytes(spark, base))], covered)
     S.publish(spark, root, after)

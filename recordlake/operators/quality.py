@@ -19,6 +19,13 @@ ERROR_TYPE = {
     "temporary": "UpstreamSchemaOrTemporaryError",
 }
 EXIT_CODE = {"ok": 0, "passed": 0, "blocked": 20, "rate_limited": 21, "temporary": 30}
+#: Error type -> exit code (Q11) of collection and ingest; any other error is an internal failure.
+ERROR_EXIT_CODE = {
+    "UsageError": 2, "InputPathError": 2, "CredentialRequiredError": 10, "UpstreamBlockedError": 20, "RateLimitedError": 21,
+    "UpstreamSchemaOrTemporaryError": 30, "CollectorError": 30, "RecordValidationError": 30, "ValidationError": 30,
+    "InternalFailureError": 40,
+}
+INTERNAL_FAILURE = 40
 # Retry caps per class and backoff windows (seconds).
 RETRY_CAP = {"blocked": 1, "rate_limited": 2, "temporary": 3}
 RATE_LIMIT_BACKOFF = (120.0, 300.0)
@@ -47,6 +54,19 @@ def classify_response(status: Column | str, body: Column | str) -> Column:
     )
 
 
+def exit_code(error_type: Column | str) -> Column:
+    """Q11: the process exit code of an error type; 0 without an error."""
+    e = F.col(error_type) if isinstance(error_type, str) else error_type
+    return F.when(e.isNull(), F.lit(0)).otherwise(F.coalesce(_map(ERROR_EXIT_CODE, e), F.lit(INTERNAL_FAILURE))).cast("int")
+
+
+def exit_code_of(error: BaseException | None) -> int:
+    """Driver-side twin of ``exit_code``: the nearest class of the error that has a code."""
+    if error is None:
+        return 0
+    return next((ERROR_EXIT_CODE[c.__name__] for c in type(error).__mro__ if c.__name__ in ERROR_EXIT_CODE), INTERNAL_FAILURE)
+
+
 def response_classes(log: DataFrame) -> DataFrame:
     """Q4 + Q11 over a response log with ``status`` and ``body``."""
     cls = classify_response("status", "body")

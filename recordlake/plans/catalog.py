@@ -18,18 +18,22 @@ from pyspark.sql import types as T
 from recordlake.functions.canonical import canonical_json
 from recordlake.functions.redact import redact
 from recordlake.functions.text import integer_setting, truthy_setting
-from recordlake.operators import analytics, ingest, reads
+from recordlake import api
+from recordlake.operators import analytics, compaction, ingest, reads
 from recordlake.operators import control as C
 from recordlake.operators import ledger as L
 from recordlake.operators import normalize as N
 from recordlake.operators import quality as Q
 from recordlake.operators import validate as V
+from recordlake.operators.status import status_document
 from recordlake.sources import adapters
 from recordlake.plans import scheduled as SCH
-from recordlake.plans.collection import collection_plan
-from recordlake.session import scratch_dir
+from recordlake.plans.collection import collection_plan, landed_pages, missing_pages, planned_pages
+from recordlake.schemas import COMMAND_EVENTS
+from recordlake.session import delete_path, list_files, move_new, scratch_dir
 from recordlake.sources import store as S
 from recordlake.sources.jsonl import read_lines, read_whole_files
+from recordlake.sources.snapshots import read_log
 from recordlake.streaming import ingest_stream as R
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -499,36 +503,11 @@ def q_config_after_commands(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("status_document")
 def q_status_document(spark: SparkSession, sf: str) -> DataFrame:
-    """One row assembled from the five bounded reads (no joins between them)."""
+    """One row, every log scanned once."""
     ev = _events(spark, sf)
-    runs, results = _run_rows(spark, sf)
-    cmds = C.command_state(adapters.command_events(ev))
-    cfg = C.config_after_commands(spark, None, adapters.command_events(ev))
-
-    def joined(df: DataFrame, part: str, order: list[str], value: str, desc: bool = True) -> DataFrame:
-        arr = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(value).cast("string").alias("_v"))),
-                           asc=not desc)
-        return df.agg(F.array_join(F.transform(arr, lambda s: s["_v"]), ",").alias("text")).select(
-            F.lit(part).alias("part"), "text")
-
-    last = L.latest_run(runs)
-    parts = [
-        last.select(F.lit("status").alias("part"), F.col("status").alias("text")),
-        last.select(F.lit("last_run_id").alias("part"), F.col("run_id").alias("text")),
-        joined(L.recent_runs(runs, 5), "recent_runs", ["started_at", "run_id"], "run_id"),
-        joined(L.recent_results(results, run_rows=runs, limit=5), "recent_results", ["started_at", "id"], "id"),
-        joined(C.recent_commands(cmds, 5), "recent_commands", ["created_at", "command_id"], "command_id"),
-        joined(cfg.select("key", F.concat("key", F.lit("="), "value_json").alias("kv")), "config", ["key"], "kv",
-               desc=False),
-    ]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    pick = {p: F.max(F.when(F.col("part") == p, F.col("text"))).alias(p)
-            for p in ("status", "last_run_id", "recent_runs", "recent_results", "recent_commands", "config")}
-    return u.agg(*pick.values()).select(
-        F.coalesce(F.col("status"), F.lit("empty")).alias("status"),
-        *[c for c in pick if c != "status"])
+    doc = status_document(adapters.run_events(ev), adapters.run_results(ev), adapters.command_events(ev))
+    text = ("recent_runs", "recent_results", "recent_commands", "config")
+    return doc.select("status", "last_run_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in text])
 
 
 @register("readiness_verdict")
@@ -812,8 +791,219 @@ def q_command_recovery(spark: SparkSession, sf: str) -> DataFrame:
     left = plan.where(F.col("was") == "running")
     added = C.drain_events(left, DRAIN_CLOCK, C.last_seq(state))
     after = C.command_state(events.select(*added.columns).unionByName(added))
-    return after.join(left.select("command_id", "position"), "command_id").select(
+    return after.join(left.where("outcome <> 'run'").select("command_id", "position"), "command_id").select(
         "command_id", "position", "status", "started_at", "finished_at", "error_type")
 
 
 DRAIN_CLOCK = _dt.datetime(2030, 1, 1, tzinfo=_dt.UTC)
+
+
+# ------------------------------------------------- compaction, planned pages
+
+
+@register("store_after_compaction")
+def q_store_after_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch, a compaction, a batch that repeats keys, another compaction, and old files deleted."""
+    root = scratch_dir(spark, "store")
+    for half in (True, False):
+        ingest.ingest_jsonl(spark, root, _landed(spark, sf, half, root), clock=BATCH_CLOCK, mode="quarantine")
+        compaction.compact(spark, root)
+    compaction.vacuum(spark, root)
+    return ingest.read_jobs(spark, root).select("job_id", "batch_id", "ord", "raw_id")
+
+
+def _page_landing(spark: SparkSession, sf: str, root: str) -> str:
+    """``query=q<conv mod 10>/page=<conv div 10 mod 4>/``: clean envelopes of all conversations."""
+    rows = adapters.response_rows(adapters.table(spark, sf, "conversations"), faults=False)
+    conv = F.col("ord.conv_id")
+    rows.select(F.concat(F.lit("q"), (conv % 10).cast("string")).alias("query"), (F.floor(conv / 10) % 4).cast("int").alias("page"),
+                F.col("line").alias("value")).write.partitionBy("query", "page").text(f"{root}/landing")
+    return f"{root}/landing"
+
+
+def _page_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pages of each landed query and of one that nobody fetched."""
+    conv = adapters.table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("k")).distinct()
+    lists = conv.select(F.col("k").cast("long").alias("list"), F.concat(F.lit("q"), F.col("k").cast("string"), F.lit(", never"), F.col("k").cast("string")).alias("queries"))
+    return collection_plan(lists, "list", "queries", max_pages=3)
+
+
+@register("planned_pages")
+def q_planned_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan against the landed page folders."""
+    landing = _page_landing(spark, sf, scratch_dir(spark, "pages"))
+    return planned_pages(_page_plan(spark, sf), landed_pages(spark, landing)).select("list", "query", "page", "landed")
+
+
+@register("missing_pages")
+def q_missing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    landing = _page_landing(spark, sf, scratch_dir(spark, "pages"))
+    return missing_pages(_page_plan(spark, sf), landed_pages(spark, landing)).select("list", "query", "page", "offset")
+
+
+@register("planned_run_results")
+def q_planned_run_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over page folders that reads the first two pages of its queries only."""
+    root = scratch_dir(spark, "sched")
+    SCH.run_collection(spark, f"{root}/store", _page_landing(spark, sf, root), ["q1", "q2", "q1"], run_id="run-0001",
+                       clock=BATCH_CLOCK, max_pages=2)
+    return L.result_rows(SCH.read_runs(spark, f"{root}/store")[1]).select("id", "query", "status", "seen_count", "inserted_count")
+
+
+@register("command_stream_replay")
+def q_command_stream_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The last micro-batch is done again, as after a crash before its commit; raw rows of the log."""
+    root = scratch_dir(spark, "cmdstream")
+    landing, ckpt, store = f"{root}/landing", f"{root}/_checkpoints/commands", f"{root}/store"
+    adapters.command_events(_events(spark, sf)).write.json(landing)
+    R.start_command_stream(spark, landing, store, ckpt).awaitTermination()
+    for name in ("0", ".0.crc"):
+        delete_path(spark, f"{ckpt}/commits/{name}")
+    R.start_command_stream(spark, landing, store, ckpt).awaitTermination()
+    return read_log(spark, store, "command_events", COMMAND_EVENTS).groupBy("status").agg(F.count("*").alias("events"))
+
+
+# ------------------------------------------------------------- through the API
+
+
+def _api_store(spark: SparkSession, sf: str) -> str:
+    root = scratch_dir(spark, "store")
+    S.init_store(spark, root)
+    api.ingest_jsonl(spark, root, _landed(spark, sf, root=root), clock=BATCH_CLOCK, mode="quarantine")
+    return root
+
+
+@register("api_recent")
+def q_api_recent(spark: SparkSession, sf: str) -> DataFrame:
+    """API1 over an initialised store."""
+    return _store_page(api.recent(spark, _api_store(spark, sf), 20))
+
+
+@register("api_get")
+def q_api_get(spark: SparkSession, sf: str) -> DataFrame:
+    """API3: the smallest key."""
+    root = _api_store(spark, sf)
+    return _store_page(api.get(spark, root, ingest.read_jobs(spark, root).agg(F.min("job_id")).first()[0]))
+
+
+@register("api_summary")
+def q_api_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """API8."""
+    return api.analytics(spark, _api_store(spark, sf), "summary")
+
+
+@register("api_search_casefold")
+def q_api_search_casefold(spark: SparkSession, sf: str) -> DataFrame:
+    """API2/X2: skills written with ß, with SS and otherwise; the search writes a capital ẞ."""
+    root = scratch_dir(spark, "store")
+    S.init_store(spark, root)
+    docs = adapters.table(spark, sf, "documents")
+    skill = F.element_at(F.array(F.lit("Straße"), F.lit(" STRASSE "), F.lit("Strase")), (F.col("doc_id") % 3 + 1).cast("int"))
+    payload = F.struct(F.lit("feed").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"),
+                       F.lit("d").alias("description"), F.lit("u").alias("url"), F.array(skill).alias("skills"))
+    docs.select(F.to_json(payload).alias("value")).write.text(f"{root}/_staging/in")
+    api.ingest_jsonl(spark, root, f"{root}/_staging/in", clock=BATCH_CLOCK)
+    return flat(api.search(spark, root, skill="straẞe", limit=20).select("job_id", "skills"))
+
+
+@register("api_run_status")
+def q_api_run_status(spark: SparkSession, sf: str) -> DataFrame:
+    """API4/API12: the status document of a store after a scheduled run of four queries."""
+    root = scratch_dir(spark, "sched")
+    queries = adapters.land_query_pages(spark, adapters.table(spark, sf, "conversations"), f"{root}/landing")
+    S.init_store(spark, f"{root}/store")
+    SCH.run_collection(spark, f"{root}/store", f"{root}/landing", queries, run_id="run-0001", clock=BATCH_CLOCK, raise_on_failure=False)
+    doc = api.status_document(spark, f"{root}/store")
+    asked = ingest.ledger(spark, f"{root}/store").agg(F.array_join(F.sort_array(F.collect_set("source_query")), ",")).first()[0]
+    return doc.select("status", "last_run_id", F.array_join(F.col("recent_results").cast("array<string>"), ",").alias("recent_results"),
+                      F.array_join("config", ",").alias("config"), F.lit(asked).alias("source_queries"))
+
+
+@register("api_collect_fixture")
+def q_api_collect_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    """API10: clean responses, one file each, as records."""
+    root = scratch_dir(spark, "fixtures")
+    rows = adapters.response_rows(adapters.table(spark, sf, "conversations"), faults=False)
+    rows.select("ord.conv_id", F.to_json(F.try_parse_json("line"), {"pretty": "true"}).alias("value")) \
+        .write.partitionBy("conv_id").text(f"{root}/files")
+    return api.collect_fixture(spark, f"{root}/files").select(F.col("id").alias("job_id"), "title", "url", "hourly_min", "raw_id")
+
+
+@register("command_enqueue")
+def q_command_enqueue(spark: SparkSession, sf: str) -> DataFrame:
+    """T4/API5: an update queued for every region, and one refused for its key."""
+    root = scratch_dir(spark, "store")
+    S.init_store(spark, root)
+    for r in adapters.table(spark, sf, "region").orderBy("r_regionkey").collect():
+        api.update_config(spark, root, {"queries": [r.r_name], "max_pages": r.r_regionkey + 1}, command_id=f"cmd-{r.r_regionkey}", clock=BATCH_CLOCK)
+        try:
+            api.update_config(spark, root, {r.r_name: 1}, clock=BATCH_CLOCK)
+        except ValueError:
+            continue
+        raise RuntimeError("an unknown key was queued")
+    return api._commands(spark, root).select("command_id", "command_type", "payload_json", "status", "created_at", "requested_by")
+
+
+@register("expected_failure")
+def q_expected_failure(spark: SparkSession, sf: str) -> DataFrame:
+    """Q10: by trigger and error, whether a run's failure is an expected one; the run log's failures are ValueErrors."""
+    root = scratch_dir(spark, "store")
+    failed = F.when(F.col("status") == "failed", "ValueError")
+    ev = _events(spark, sf)
+    S.write_table(adapters.run_events(ev).withColumn("error_type", failed), root, "run_events")
+    S.write_table(adapters.run_results(ev), root, "run_results")
+    errors = {"CollectorError": SCH.CollectorError("x"), "RecordValidationError": ingest.RecordValidationError("x"),
+              "ValueError": ValueError("x"), "TypeError": TypeError("x")}
+    rows = [(trigger, name, bool(api.is_expected_failure(spark, root, error, trigger)))
+            for trigger in ("scheduled", "worker_interval", "mcp_run_once", "other") for name, error in errors.items()]
+    return spark.createDataFrame(rows, "trigger string, error_type string, expected boolean")
+
+
+@register("exit_codes")
+def q_exit_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Q11: the exit code of every event's error, over all error types and none."""
+    kinds = F.array(*[F.lit(n) for n in (*sorted(Q.ERROR_EXIT_CODE), "KeyError")], F.lit(None).cast("string"))
+    rows = _events(spark, sf).select("event_id", F.element_at(kinds, (F.col("event_id") % F.size(kinds) + 1).cast("int")).alias("error_type"))
+    return rows.select("event_id", "error_type", Q.exit_code("error_type").alias("exit_code"))
+
+
+@register("input_glob")
+def q_input_glob(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw lines again, their files named by a pattern of folders and files."""
+    root = scratch_dir(spark, "raw")
+    _landed(spark, sf, root=root)
+    return V.parse_status(read_lines(spark, f"{root}/raw-{{all,none}}/part-?????-*"))
+
+
+@register("stream_interval")
+def q_stream_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """A recurring stream picks up the second half of the files when they land."""
+    root = scratch_dir(spark, "stream")
+    landing, store = f"{root}/landing", f"{root}/store"
+    docs = adapters.table(spark, sf, "documents")
+    adapters.write_raw_records(spark, adapters.source_half(docs, True), landing, mode="append")
+    query = R.start_ingest_stream(spark, landing, store, f"{root}/_checkpoints/ingest", interval="1 second", clock=BATCH_CLOCK)
+    try:
+        query.processAllAvailable()
+        adapters.write_raw_records(spark, adapters.source_half(docs, False), f"{root}/second")
+        for name in list_files(spark, f"{root}/second"):
+            move_new(spark, f"{root}/second/{name}", f"{landing}/{name}")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return ingest.read_jobs(spark, store).select("job_id", "raw_id")
+
+
+@register("stream_strict_failure")
+def q_stream_strict_failure(spark: SparkSession, sf: str) -> DataFrame:
+    """A strict stream records its first, faulty micro-batch as failed and goes on with a clean one."""
+    root = scratch_dir(spark, "stream")
+    landing, ckpt, store = f"{root}/landing", f"{root}/_checkpoints/ingest", f"{root}/store"
+    adapters.write_raw_records(spark, adapters.table(spark, sf, "documents"), landing, mode="append")
+    R.run_ingest_once(spark, landing, store, ckpt, clock=BATCH_CLOCK, mode="strict")
+    clean = V.validate(read_lines(spark, landing)).where(F.col("status") == "valid")
+    clean.select("line").write.text(f"{root}/clean")
+    for name in list_files(spark, f"{root}/clean"):
+        move_new(spark, f"{root}/clean/{name}", f"{landing}/{name}")
+    R.run_ingest_once(spark, landing, store, ckpt, clock=BATCH_CLOCK, mode="strict")
+    return ingest.ledger(spark, store).select("batch_id", "status", "error_type", "seen", "inserted")

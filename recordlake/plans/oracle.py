@@ -756,3 +756,56 @@ SELECT doc_id AS line_no, 'x' || list_extract(['ss', 'ss', 's', 'σ', 'i̇', 'ff
        || ' ' || lower(source) AS skill
   FROM documents""",
 })
+
+
+# ------------------------------------------- compaction, pages, through the API
+
+PAGES = """WITH cv AS (
+  SELECT 'q' || CAST(conv_id % 10 AS VARCHAR) AS query, conv_id % 10 AS k, CAST((conv_id // 10) % 4 AS INTEGER) AS page, conv_id
+    FROM conversations),
+pl AS (
+  SELECT CAST(k AS BIGINT) AS list, name || CAST(k AS VARCHAR) AS query, CAST(p AS INTEGER) AS page
+    FROM (SELECT DISTINCT k FROM cv) x, (VALUES ('q'), ('never')) n(name), range(3) r(p)),
+lp AS (SELECT DISTINCT query, page FROM cv),
+jp AS (SELECT pl.*, lp.query IS NOT NULL AS landed FROM pl LEFT JOIN lp ON lp.query = pl.query AND lp.page = pl.page)"""
+CLEAN = ENV.split("CASE WHEN conv_id % 13")[0] + "NULL::VARCHAR AS fault" + ENV.split("END AS fault", 1)[1]
+
+ORACLE.update({
+    "store_after_compaction": ORACLE["two_batch_first_wins"],
+    "planned_pages": f"{PAGES} SELECT list, query, page, landed FROM jp",
+    "missing_pages": f'{PAGES} SELECT list, query, page, page * 50 AS "offset" FROM jp WHERE NOT landed',
+    "planned_run_results": f"""{PAGES}
+SELECT CAST(id AS BIGINT) AS id, query, 'success' AS status, n AS seen_count, CASE WHEN id < 2 THEN n ELSE 0 END AS inserted_count
+  FROM (VALUES (0, 'q1'), (1, 'q2'), (2, 'q1')) t(id, query)
+  JOIN (SELECT query, count(*) AS n FROM cv WHERE page < 2 GROUP BY query) USING (query)""",
+    "command_stream_replay": f"{CMDS} SELECT status, count(*) AS events FROM ce GROUP BY status",
+    "api_recent": ORACLE["store_recent"],
+    "api_get": ORACLE["store_get"],
+    "api_summary": ORACLE["store_summary"],
+    "api_search_casefold": """
+SELECT CAST(doc_id AS VARCHAR) AS job_id, 'strasse' AS skills FROM documents WHERE doc_id % 3 < 2 ORDER BY 1 LIMIT 20""",
+    "api_run_status": """
+SELECT 'failed' AS status, 'run-0001' AS last_run_id, '3,2,1,0' AS recent_results,
+       'interval_seconds=3600,max_pages=5,page_size=50,paused=false,queries=[]' AS config, 'q_again,q_even,q_odd' AS source_queries
+  FROM (SELECT count(*) FROM conversations)""",
+    "api_collect_fixture": f"{CLEAN} SELECT job_id, title, url, hourly_min, raw_id FROM rec",
+    "command_enqueue": """
+SELECT 'cmd-' || r_regionkey AS command_id, 'update_config' AS command_type,
+       '{"updates": {"queries": ["' || r_name || '"], "max_pages": ' || (r_regionkey + 1) || '}}' AS payload_json, 'queued' AS status,
+       '2024-01-01T00:00:00Z' AS created_at, 'mcp' AS requested_by
+  FROM region""",
+    "expected_failure": f"""{RUNS}
+SELECT t.trigger, e.error_type, CASE e.error_type WHEN 'CollectorError' THEN true
+         WHEN 'ValueError' THEN EXISTS (SELECT 1 FROM runs WHERE runs.trigger = t.trigger AND runs.status = 'failed') ELSE false END AS expected
+  FROM (VALUES ('scheduled'), ('worker_interval'), ('mcp_run_once'), ('other')) t(trigger),
+       (VALUES ('CollectorError'), ('RecordValidationError'), ('ValueError'), ('TypeError')) e(error_type)""",
+    "exit_codes": """WITH c AS (SELECT [('CollectorError', 30), ('CredentialRequiredError', 10), ('InputPathError', 2),
+  ('InternalFailureError', 40), ('RateLimitedError', 21), ('RecordValidationError', 30), ('UpstreamBlockedError', 20),
+  ('UpstreamSchemaOrTemporaryError', 30), ('UsageError', 2), ('ValidationError', 30), ('KeyError', 40), (NULL, 0)] AS t)
+SELECT event_id, t[event_id % 12 + 1][1] AS error_type, t[event_id % 12 + 1][2] AS exit_code FROM events, c""",
+    "input_glob": ORACLE["jsonl_parse_status"],
+    "stream_interval": f"{BATCHES} SELECT rid AS job_id, CAST(doc_id AS VARCHAR) AS raw_id FROM win",
+    "stream_strict_failure": f"""{RAW}
+SELECT CAST(1 AS BIGINT) AS batch_id, 'failed' AS status, 'RecordValidationError' AS error_type, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS inserted
+UNION ALL SELECT 2, 'success', NULL, (SELECT count(*) FROM v), (SELECT count(DISTINCT rid) FROM v)""",
+})

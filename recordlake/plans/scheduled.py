@@ -1,13 +1,14 @@
 """Scheduled collection run over landed response pages.
 
 Landing layout: ``<landing>/query=<name>/`` holds the response pages of one
-query as JSON lines (one response per line, page order = path order). A run
+query as JSON lines (one response per line, page order = path order), or as one
+folder ``page=<n>/`` per page of the collection plan (J6). A run
 walks its configured query list in order — a short, bounded loop on the
 driver; all data work inside each step is Spark — and for every query:
 
 1. reads and normalises the pages (a rejected response fails the query with
    its error; zero records fails it with "live collection returned zero jobs"),
-2. validates the records through their JSON-lines form (S9 → V*),
+2. validates the typed records (V*),
 3. appends them first-write-wins as one store batch (atomic, idempotent),
 4. appends the query's result row.
 
@@ -21,6 +22,7 @@ of rows that re-running a run id writes again, readers take the last.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +32,17 @@ from pyspark.sql import types as T
 from recordlake.functions.redact import redact
 from recordlake.operators import ingest as I
 from recordlake.operators import normalize as N
-from recordlake.operators.validate import RecordValidationError, validate
+from recordlake.operators.validate import RecordValidationError, validate_records
+from recordlake.plans.collection import query_folder
 from recordlake.schemas import DEFAULT_SOURCE, DEFAULT_URL_PREFIX, RUN_EVENTS, RUN_RESULTS
-from recordlake.session import configure, delete_path, path_exists
-from recordlake.sources.jsonl import read_lines, write_lines
+from recordlake.session import configure, delete_path, list_dirs, path_exists
+from recordlake.sources.jsonl import read_lines
 from recordlake.sources.snapshots import read_log
-from recordlake.sources.store import folding
+from recordlake.sources.store import settle_folding
+
+
+#: Line numbers of one page folder lie below this.
+PAGE_LINES = 1 << 22
 
 
 class CollectorError(RuntimeError):
@@ -70,33 +77,42 @@ def _result(spark: SparkSession, store: str, row: tuple) -> None:
 
 def collect_query(spark: SparkSession, landing: str, query: str | None, staging: str, source: str = DEFAULT_SOURCE,
                   url_prefix: str = DEFAULT_URL_PREFIX, max_pages: int | None = None,
-                  page_size: int | None = None) -> str:
-    """S5/N12/S9 for one query: normalise its first ``max_pages`` pages, at most
-    ``page_size`` results of each, and write the records as JSON lines under
-    ``staging`` (returned); raise the collector error instead when a response
-    is rejected or there are no records. The normalised responses are written
-    once; the checks and the records read them from there."""
-    path = f"{landing}/query={query if query is not None else '__all__'}"
+                  page_size: int | None = None, exact_casefold: bool = False) -> DataFrame:
+    """S5/N12 for one query: normalise its first ``max_pages`` pages, at most ``page_size`` results of each, and
+    return the records checked and typed, ready for ``ingest_checked``; raise the collector error instead when a
+    response is rejected or there are no records. Every page is parsed once: the normalised responses are written
+    under ``staging``, and the checks and the records read them from there. Where pages are landed as
+    ``page=<n>/`` folders, only those of the plan are listed and read."""
+    path = f"{landing}/{query_folder(query)}"
     if not path_exists(spark, path):
         raise CollectorError(N.ERR_ZERO)
-    responses = read_lines(spark, path).select("line_no", F.col("line").alias("body")).where(F.col("body") != "")
-    if max_pages is not None:  # a page's number is its rank among the non-blank lines
-        responses = responses.orderBy("line_no").limit(max_pages)
-    pages = f"{staging}-pages"
-    N.normalize(responses, source=source, url_prefix=url_prefix).write.mode("overwrite").parquet(pages)
-    norm = spark.read.parquet(pages)
-    first_bad = norm.where(F.col("status") == "rejected").agg(
-        F.min_by("error", "line_no").alias("e"), F.count(F.lit(1)).alias("n")).first()
-    if first_bad["n"]:
-        raise UpstreamSchemaOrTemporaryError(first_bad["e"])
+    folders = sorted(int(d[5:]) for d in list_dirs(spark, path) if re.fullmatch(r"page=\d+", d))
+    if folders:
+        wanted = [f"{path}/page={n}" for n in folders if max_pages is None or n < max_pages]
+        if not wanted:
+            raise CollectorError(N.ERR_ZERO)
+        number = F.regexp_extract("file_path", r"/page=(\d+)/", 1).cast("long") * PAGE_LINES + F.col("line_no")
+        responses = read_lines(spark, wanted).select(number.alias("line_no"), F.col("line").alias("body")).where(F.col("body") != "")
+    else:
+        responses = read_lines(spark, path).select("line_no", F.col("line").alias("body")).where(F.col("body") != "")
+        if max_pages is not None:  # a page's number is its rank among the non-blank lines
+            responses = responses.orderBy("line_no").limit(max_pages)
+    N.normalize(responses, source=source, url_prefix=url_prefix).write.mode("overwrite").parquet(staging)
+    norm = spark.read.parquet(staging)
+    size = F.size("_results") if page_size is None else F.least(F.size("_results"), F.lit(page_size))
+    facts = norm.agg(
+        F.min_by("error", F.when(F.col("status") == "rejected", F.col("line_no"))).alias("error"),
+        F.count(F.when(F.col("status") == "rejected", 1)).alias("rejected"),
+        F.coalesce(F.sum(F.when(F.col("status") == "ok", size)), F.lit(0)).alias("records")).first()
+    if facts["rejected"]:
+        raise UpstreamSchemaOrTemporaryError(facts["error"])
+    if not facts["records"]:
+        raise CollectorError(N.ERR_ZERO)
     recs = N.records(norm, ["line_no"], source, url_prefix)
     if page_size is not None:
         recs = recs.where(F.col("pos") < page_size)
-    out = recs.select(F.struct("line_no", "pos").alias("ord"), N.jsonl_value().alias("line"))
-    write_lines(out, staging, "ord")
-    if spark.read.text(staging).limit(1).isEmpty():
-        raise CollectorError(N.ERR_ZERO)
-    return staging
+    order = F.shiftleft(F.col("line_no"), 20) + F.col("pos")  # a response has a page of results, far below 2**20
+    return validate_records(recs.withColumn("ord", order), source, exact_casefold)
 
 
 def run_collection(spark: SparkSession, store: str, landing: str, queries: list[str] | None, *, run_id: str,
@@ -116,7 +132,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
         wanted = spark.createDataFrame([(q,) for q in resolved], "query string")
         tried = {r["query"]: int(r["n"]) for r in attempts.join(F.broadcast(wanted), attempts["query"].eqNullSafe(wanted["query"]))
                  .groupBy(wanted["query"]).agg(F.max("attempts").alias("n")).collect()}
-    folded = folding(spark, store)
+    folded = settle_folding(spark, store)
     ts = I.second_clock(clock)
     _run_event(spark, store, run_id, 0, ts, "running", trigger, len(resolved))
     failure: Exception | None = None
@@ -124,8 +140,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
         count = tried.get(query, 1)
         staging = f"{store}/_staging/collect-{run_id}-{ix}"
         try:
-            staged = collect_query(spark, landing, query, staging, source, url_prefix, max_pages, page_size)
-            checked = validate(read_lines(spark, staged), source=source, exact_casefold=folded).withColumn("ord", F.col("line_no"))
+            checked = collect_query(spark, landing, query, staging, source, url_prefix, max_pages, page_size, folded)
             led = I.ingest_checked(spark, store, checked, clock=ts, mode="strict", source_query=query).first()
             _result(spark, store, (run_id, ix, query, "success", count, led.seen, led.inserted, led.skipped,
                                    None, None, ts, ts))
@@ -136,8 +151,7 @@ def run_collection(spark: SparkSession, store: str, landing: str, queries: list[
             _run_event(spark, store, run_id, 1, ts, "failed", trigger, len(resolved), type(exc).__name__, msg)
             break
         finally:
-            for path in (staging, f"{staging}-pages"):
-                delete_path(spark, path)
+            delete_path(spark, staging)
     else:
         _run_event(spark, store, run_id, 1, ts, "success", trigger, len(resolved))
     expected = isinstance(failure, (CollectorError, RecordValidationError))

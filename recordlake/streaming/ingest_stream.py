@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from pyspark.sql.streaming import StreamingQuery
 from recordlake.operators.ingest import ingest_checked, next_batch_id, record_failed_batch, stream_batch
 from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
-from recordlake.session import configure
+from recordlake.session import configure, delete_path, list_files, move_new, path_exists
 from recordlake.sources.jsonl import number_lines, split_bound
-from recordlake.sources.snapshots import read_log
+from recordlake.sources.snapshots import current, read_log
 from recordlake.sources.store import settle_folding
 
 
@@ -85,16 +86,32 @@ def run_ingest_once(spark: SparkSession, landing: str, store_root: str, checkpoi
         raise RuntimeError(str(q.exception()))
 
 
+def publish_file(spark: SparkSession, rows: DataFrame, folder: str, name: str) -> bool:
+    """Writes rows as one file of a log, under a name of their own; False, and nothing is written, when the name is
+    there already. The file is staged beside the log and renamed, so it is there whole or not at all."""
+    if path_exists(spark, f"{folder}/{name}"):
+        return False
+    staging = f"{folder.rsplit('/', 1)[0]}/_staging/{name}-{uuid.uuid4().hex}"
+    try:
+        rows.coalesce(1).write.parquet(staging)
+        parts = list_files(spark, staging)
+        return bool(parts) and move_new(spark, f"{staging}/{parts[0]}", f"{folder}/{name}")
+    finally:
+        delete_path(spark, staging)
+
+
 def start_command_stream(spark: SparkSession, landing: str, store_root: str, checkpoint: str, *,
                          interval: str | None = None) -> StreamingQuery:
     """Command events (JSON lines) appended to the store's command log, in the one layout
-    that all its writers share. A replayed micro-batch may append its events again; the
-    folds read each (command, seq, status) once."""
+    that all its writers share. A micro-batch is one file, named after (stream id, epoch): a
+    replayed epoch finds its file and writes nothing, so the log holds each event once."""
     configure(spark)
     stream = spark.readStream.schema(COMMAND_EVENTS).json(landing)
 
     def on_batch(df: DataFrame, epoch_id: int) -> None:
-        df.write.mode("append").parquet(f"{store_root}/command_events")
+        name = f"stream-{stream_id(spark, checkpoint)}-{epoch_id:012d}.parquet"
+        if name not in current(spark, store_root).covered.get("command_events", ()):
+            publish_file(spark, df, f"{store_root}/command_events", name)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()

@@ -97,3 +97,30 @@ def test_commands_of_all_writers_are_read(spark, scratch):
     api.run_once(spark, root, command_id="queued-2", clock=CLOCK)
     assert {c: api.command_status(spark, root, c).first().status for c in ("queued-1", "stream-1", "queued-2")} == dict.fromkeys(
         ("queued-1", "stream-1", "queued-2"), "queued")
+
+
+def test_replayed_command_epoch_is_written_once(spark, scratch):
+    """Also after the log was compacted and the compacted files are gone."""
+    from recordlake.operators import compaction as K
+    from recordlake.schemas import COMMAND_EVENTS
+    from recordlake.session import delete_path
+    from recordlake.sources import store
+    from recordlake.sources.snapshots import read_log
+
+    root, landing, ckpt = f"{scratch}/store", f"{scratch}/cmd", f"{scratch}/ckpt"
+    store.init_store(spark, root)
+    event = {"command_id": "c1", "seq": 1, "ts": "2024-01-01T00:00:00Z", "status": "queued", "command_type": "pause"}
+    write_text(f"{landing}/a.json", [json.dumps(event), json.dumps({**event, "command_id": "c2"})])
+
+    def run(replay=False):
+        if replay:
+            for name in ("0", ".0.crc"):
+                delete_path(spark, f"{ckpt}/commits/{name}")
+        R.start_command_stream(spark, landing, root, ckpt).awaitTermination()
+        return read_log(spark, root, "command_events", COMMAND_EVENTS).count()
+
+    assert run() == 2 and run(replay=True) == 2
+    for _ in range(2):
+        K.compact(spark, root)
+        K.vacuum(spark, root)
+        assert run(replay=True) == 2
