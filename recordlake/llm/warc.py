@@ -151,13 +151,15 @@ class _Write:
     date: str
 
     def __call__(self, batches):
-        archive, filled = 0, 0
+        archive, filled, number = 0, 0, 0
         for batch in batches:
             for k in range(batch.num_rows):
                 key, uri, digest, refers_to, payload = (batch.column(i)[k].as_py() for i in range(5))
                 made = [m[:-1] for m in page_members(key, uri, payload or b"", digest, refers_to, self.date)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([archive] * len(made), pa.int32()), pa.array(made, pa.binary())], ["archive", "member"])
+                    [pa.array([archive] * len(made), pa.int32()), pa.array(range(number, number + len(made)), pa.int64()),
+                     pa.array(made, pa.binary())], ["archive", "number", "member"])
+                number += len(made)
                 filled += sum(map(len, made))
                 if filled >= ARCHIVE:
                     archive, filled = archive + 1, 0
@@ -188,7 +190,9 @@ def write_archives(source: DataFrame, path: str, id_col: str = "page_id", uri_co
     joined = rows.join(leaders, "digest", "left").select(
         F.col("key").cast("string"), "uri", "digest",
         F.when(~F.col("key").eqNullSafe(F.col("leader")), F.col("leader")).cast("string").alias("refers_to"), "payload")
-    (joined.mapInArrow(_Write(date), "archive int, member binary")
+    # A record's segments must stay behind it: the writer sorts by archive, and a sort that spills keeps no order
+    # of equal keys, so the running number is part of the order.
+    (joined.mapInArrow(_Write(date), "archive int, number long, member binary").sortWithinPartitions("archive", "number")
      .select("archive", F.col("member").cast("string").alias("value"))
      .write.partitionBy("archive").option("lineSep", "\x00").option("compression", "none").text(path))
     return path

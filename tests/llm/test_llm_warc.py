@@ -70,3 +70,17 @@ def test_damage_is_an_error():
 def test_empty_table(spark, archive):
     warc.write_archives(spark.createDataFrame([], SCHEMA), archive)
     assert warc.read_archives(spark, archive).count() == 0
+
+
+def test_segments_stay_in_order_when_the_sort_spills(spark, archive):
+    """Pages of three segments between short ones; the writer's sort spills after every other row."""
+    made = [(i, "abcdefghij"[i] * 20_000_000 if i in (2, 5) else f"short {i}") for i in range(8)]
+    df = spark.createDataFrame(made, "page_id long, html string").selectExpr("*", "cast(page_id as string) as url").coalesce(1)
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "2")
+    try:
+        warc.write_archives(df, archive)
+    finally:
+        conf.remove(name)
+    got = warc.read_archives(spark, archive).selectExpr("cast(id as int) as id", "cast(payload as string) as html").collect()
+    assert sorted((r.id, r.html) for r in got) == made
