@@ -14,6 +14,14 @@ each other: windows are compared with the smallest document that has the
 min-hash amid the same tokens on one side (left or right; a passage that is
 repeated exactly has one side in common). Of a min-hash that many of a map
 task's windows have, a few are shuffled; the others get the first by a join.
+
+The first document may hold too little of the passage, a quoted part of it. So
+windows that no verified passage covers go on to a second meeting, if a
+document lies between them and the first one. There the runs of tokens around
+the min-hash are the keys, ``exact`` ones as long as the shortest passage at every offset,
+so that whoever shares one shares a whole passage, and shorter ones (``SHORT`` tokens)
+at a few offsets for passages with changes; again each window meets a run's first
+document only. However many documents share a line, that is a bounded number of rows each.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.llm import texts
@@ -38,6 +46,8 @@ DIRECT = 8  # windows of a min-hash that a task shuffles; more are joined with t
 HELD = 400_000  # windows that a task sorts at a time
 GAPS = (15, 5, 0)  # unmatched tokens in a row that a passage may span, tried in this order
 BROADCAST_ROWS = 400_000  # requests of 40 bytes
+SHORT = 20  # tokens of a short run in the second meeting
+OFFSETS = (0, 6, 13, 19)  # of the min-hash in a short run
 
 
 def compact_windows(h: np.ndarray, least: int, ties: bool) -> tuple[list[int], list[int], list[int]]:
@@ -64,8 +74,10 @@ def compact_windows(h: np.ndarray, least: int, ties: bool) -> tuple[list[int], l
     return begin, end, at
 
 
-WINDOWS = "key long, id long, a int, z int, f int"
+WINDOWS = "key long, id long, a int, z int, f int, at int"
 PAIRS = "id long, a int, z int, f int, ref long, ref_a int, ref_z int"
+MET = f"{PAIRS}, key long, at int, later boolean"
+RUNS = "run long, id long, a int, z int, mine boolean"
 
 
 def _rows(schema: str, *columns) -> pa.RecordBatch:
@@ -107,7 +119,7 @@ class _Windows:
         hashes, begin = texts.Words(batch.column(1)).shingles(self.words)
         ids = batch.column(0).to_numpy()
         salted = [texts.mix(hashes + np.uint64(f * 0x9E3779B97F4A7C15 % (1 << 64))) for f in range(1, HASHES + 1)]
-        key, ident, first, last, number = [], [], [], [], []
+        key, ident, first, last, number, place = [], [], [], [], [], []
         for i in np.flatnonzero(np.diff(begin) >= self.least):
             p, q = int(begin[i]), int(begin[i + 1])
             ties = len(np.unique(hashes[p:q])) < q - p
@@ -123,39 +135,95 @@ class _Windows:
                 first += a + a
                 last += z + z
                 number += [f] * (2 * len(a))
+                place += at + at
                 ident += [ids[i]] * (2 * len(a))
         if not key:
-            return tuple(np.empty(0, np.int64) for _ in range(5))
-        return np.concatenate(key).view(np.int64), np.array(ident), np.array(first), np.array(last), np.array(number)
+            return tuple(np.empty(0, np.int64) for _ in range(6))
+        return (np.concatenate(key).view(np.int64), np.array(ident), np.array(first), np.array(last), np.array(number),
+                np.array(place))
 
     def reduced(self, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, ident, a, z, f = (np.concatenate(c) for c in zip(*held))
+        key, ident, a, z, f, at = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((z, a, ident, key))
-        key, ident, a, z, f = key[order], ident[order], a[order], z[order], f[order]
+        key, ident, a, z, f, at = (c[order] for c in (key, ident, a, z, f, at))
         _, lead = _leaders(key)
-        yield _rows(f"{WINDOWS}, more boolean", key, ident, a, z, f, np.arange(len(key)) - lead >= DIRECT)
+        yield _rows(f"{WINDOWS}, more boolean", key, ident, a, z, f, at, np.arange(len(key)) - lead >= DIRECT)
 
 
 @dataclass(frozen=True)
 class _Meet:
-    """Streams windows sorted by min-hash and document: pairs each with its min-hash's first; only
-    that one is held, however many documents share it."""
+    """Streams windows sorted by min-hash and document: pairs each with its min-hash's first; only that one and the
+    first of the second document are held, however many documents share it. ``later`` marks windows with a
+    document between them and the first one."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None
+        names = ("key", "id", "a", "z", "f", "at")
+        held: list[list] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ident, a, z, f = (batch.column(c).to_numpy() for c in ("key", "id", "a", "z", "f"))
-            if lead is not None:
-                key, ident, a, z, f = (np.concatenate([[x], c]) for x, c in zip(lead, (key, ident, a, z, f)))
-            _, first = _leaders(key)
-            more = np.flatnonzero(ident != ident[first])
+            columns = [batch.column(c).to_numpy() for c in names]
+            if held:
+                columns = [np.concatenate([[row[i] for row in held], c]) for i, c in enumerate(columns)]
+            key, ident, a, z, f, at = columns
+            known = len(held)
+            new, first = _leaders(key)
+            other = ident != ident[first]
+            # Where the second document of each key begins; keys without one point past the end.
+            begins = np.flatnonzero(new)
+            places = np.flatnonzero(other)
+            second = np.append(places, len(key))[np.searchsorted(places, begins)]
+            group = np.cumsum(new) - 1
+            second = np.where(second < np.append(begins[1:], len(key)), second, len(key))
+            later = other & (ident != np.append(ident, -1)[np.minimum(second[group], len(ident))])
+            more = np.flatnonzero(other)
+            more = more[more >= known]
             if len(more):
                 to = first[more]
-                yield _rows(PAIRS, ident[more], a[more], z[more], f[more], ident[to], a[to], z[to])
-            last = first[-1]
-            lead = key[last], ident[last], a[last], z[last], f[last]
+                yield _rows(MET, ident[more], a[more], z[more], f[more], ident[to], a[to], z[to], key[more], at[more], later[more])
+            rows = [first[-1]] + ([second[-1]] if second[-1] < len(key) else [])
+            held = [[c[r] for c in columns] for r in rows]
+
+
+@dataclass(frozen=True)
+class _Runs:
+    """The runs of tokens around the min-hashes that a document is asked for; ``mine`` marks those of windows that
+    look for a partner, the others are partners only."""
+
+    words: int
+    least: int
+
+    def __call__(self):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes, begin = texts.Words(batch.column(2)).shingles(self.words)
+            ids, asked = batch.column(0).to_numpy(), batch.column(1)
+            bounds, every = asked.offsets.to_numpy(), asked.flatten()
+            at, f, mine = (every.field(k).to_numpy(zero_copy_only=False) for k in ("at", "f", "mine"))
+            base = bounds[0]
+            out: list[tuple] = []
+            for i, (p, q) in enumerate(zip(begin, begin[1:])):
+                n = int(q - p)
+                own = slice(bounds[i] - base, bounds[i + 1] - base)
+                where, exact, wants = at[own], f[own] == 0, mine[own].astype(bool)
+                inside = where < n
+                where, exact, wants = where[inside], exact[inside], wants[inside]
+                total, down = texts.prefix_hashes(hashes[p:q])
+                for size, offsets, use in ((self.least, range(self.least), exact), (min(SHORT, self.least), OFFSETS, np.ones(len(where), bool))):
+                    starts, ask = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+                    for k in offsets:
+                        s = where[use] - k
+                        fits = (s >= 0) & (s + size <= n)
+                        starts[s[fits]] = True
+                        ask[s[fits & wants[use]]] = True
+                    s = np.flatnonzero(starts)
+                    if len(s):
+                        run = texts.mix((total[s + size] - total[s]) * down[s] + np.uint64(size))
+                        out.append((run.view(np.int64), np.full(len(s), ids[i]), s, s + size, ask[s]))
+            if not out:
+                return _rows(RUNS, [], [], [], [], [])
+            return _rows(RUNS, *(np.concatenate(c) for c in zip(*out)))
+
+        return work
 
 
 @dataclass(frozen=True)
@@ -337,6 +405,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
 
     ``enough`` of the three hash functions must agree; with one, no exact copy
     is missed for that, and of passages of similarity 0.8 about one in a hundred.
+    A passage repeated exactly is found whatever parts of it smaller documents
+    quote: its run of tokens meets the first document that has the whole run.
+    Passages with changes whose first document holds only a part are found if
+    one of the short runs around their min-hashes has another first document.
     """
     spark = ship(docs.sparkSession)
     root = scratch_dir(spark, "passages")
@@ -345,7 +417,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     source.mapInArrow(_Windows(words, least), f"{WINDOWS}, more boolean").write.parquet(f"{root}/windows")
     windows = spark.read.parquet(f"{root}/windows")
     few, more = windows.where("not more").drop("more"), windows.where("more").drop("more")
-    pairs = few.repartition("key").sortWithinPartitions("key", "id", "a", "z").mapInArrow(_Meet(), PAIRS)
+    met = few.repartition("key").sortWithinPartitions("key", "id", "a", "z").mapInArrow(_Meet(), MET)
     # Every task shuffles its first of a min-hash, so the first of all is among the few.
     more.select("key").distinct().write.parquet(f"{root}/hot")
     hot = spark.read.parquet(f"{root}/hot")
@@ -356,20 +428,74 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
             F.col("id").alias("ref"), F.col("a").alias("ref_a"), F.col("z").alias("ref_z"))).alias("first")).select(
             "key", "first.*").write.parquet(f"{root}/firsts")
         firsts = spark.read.parquet(f"{root}/firsts")
-        pairs = pairs.union(more.join(small(firsts), "key").where("id <> ref").select(*pairs.columns))
-    regions = grouped(pairs, ["id", "ref"], _Regions(enough), "id long, ref long, a int, z int, ref_a int, ref_z int", ("a",))
-    regions.withColumn("region", F.xxhash64("id", "ref", "a")).write.parquet(f"{root}/regions")
-    regions = spark.read.parquet(f"{root}/regions")
-    mine = regions.select("id", "region", F.lit(False).alias("asked"), "a", "z")
-    theirs = regions.select(F.col("ref").alias("id"), "region", F.lit(True).alias("asked"), F.col("ref_a").alias("a"), F.col("ref_z").alias("z"))
-    requests = mine.union(theirs)
-    if regions.count() * 2 <= BROADCAST_ROWS:
-        requests = F.broadcast(requests)
-    asked = source.join(requests, "id").select("region", "asked", "a", "z", "text", "id")
-    slices = _sliced(asked, words)
-    found = grouped(slices, ["region"], _Verify(words, least, similarity), SPANS)
-    found.write.parquet(f"{root}/passages")
-    return spark.read.parquet(f"{root}/passages").distinct()
+        met = met.union(more.join(small(firsts), "key").where("id <> ref").withColumn("later", F.lit(True)).select(*met.columns))
+    met.write.parquet(f"{root}/met")
+    met = spark.read.parquet(f"{root}/met")
+    check = _Check(spark, root, source, words, least, similarity)
+    first, regions = check(met.drop("key", "at", "later"), enough, "first")
+    again = _second_meeting(spark, root, source, windows.drop("more"), met, first, regions, words, least)
+    second, _ = check(again, 1, "second")
+    return first.union(second).distinct()
+
+
+@dataclass(frozen=True)
+class _Check:
+    """Candidate pairs to regions, regions to verified passages; both written down."""
+
+    spark: SparkSession
+    root: str
+    source: DataFrame
+    words: int
+    least: int
+    similarity: float
+
+    def __call__(self, pairs: DataFrame, enough: int, name: str) -> tuple[DataFrame, DataFrame]:
+        regions = grouped(pairs, ["id", "ref"], _Regions(enough), "id long, ref long, a int, z int, ref_a int, ref_z int", ("a",))
+        path = f"{self.root}/{name}"
+        regions.withColumn("region", F.xxhash64("id", "ref", "a")).write.parquet(f"{path}-regions")
+        regions = self.spark.read.parquet(f"{path}-regions")
+        mine = regions.select("id", "region", F.lit(False).alias("asked"), "a", "z")
+        theirs = regions.select(F.col("ref").alias("id"), "region", F.lit(True).alias("asked"), F.col("ref_a").alias("a"), F.col("ref_z").alias("z"))
+        requests = mine.union(theirs)
+        if regions.count() * 2 <= BROADCAST_ROWS:
+            requests = F.broadcast(requests)
+        asked = self.source.join(requests, "id").select("region", "asked", "a", "z", "text", "id")
+        found = grouped(_sliced(asked, self.words), ["region"], _Verify(self.words, self.least, self.similarity), SPANS)
+        found.write.parquet(f"{path}-passages")
+        return self.spark.read.parquet(f"{path}-passages"), regions
+
+
+def _second_meeting(spark: SparkSession, root: str, source: DataFrame, windows: DataFrame, met: DataFrame, found: DataFrame,
+                    regions: DataFrame, words: int, least: int) -> DataFrame:
+    """Pairs of the windows that no passage found covers, with first documents of the runs around their min-hashes."""
+    spans = found.select("id", "start_word", "end_word").distinct()
+    covered = (F.col("at") >= F.col("start_word")) & (F.col("at") + words <= F.col("end_word"))
+    left = met.where("later").select("key", "id", "f", "at")
+    left = left.join(spans, (left["id"] == spans["id"]) & covered, "left_anti")
+    left.write.parquet(f"{root}/left")
+    left = spark.read.parquet(f"{root}/left")
+    keys = left.select("key").distinct()
+    keys.write.parquet(f"{root}/left-keys")
+    keys = spark.read.parquet(f"{root}/left-keys")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    # Any window of these min-hashes may be a partner, covered or not.
+    asked = windows.select("key", "id", "f", "at").join(keys, "key", "left_semi").select("id", "f", "at", F.lit(False).alias("mine"))
+    asked = asked.union(left.select("id", "f", "at", F.lit(True).alias("mine"))).groupBy("id", "f", "at").agg(F.max("mine").alias("mine"))
+    asked = asked.groupBy("id").agg(F.collect_list(F.struct("at", "f", "mine")).alias("asked"))
+    asked.write.parquet(f"{root}/asked")
+    asked = spark.read.parquet(f"{root}/asked")
+    if (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    texts.map_rows(source.join(asked, "id"), ["id", "asked", "text"], _Runs(words, least), RUNS).write.parquet(f"{root}/runs")
+    runs = spark.read.parquet(f"{root}/runs")
+    first = runs.groupBy("run").agg(F.min(F.struct(F.col("id").alias("ref"), F.col("a").alias("ref_a"), F.col("z").alias("ref_z"))).alias("first"),
+                                    F.max("mine").alias("wanted")).where("wanted").select("run", "first.*")
+    pairs = runs.where("mine").join(first, "run").where("id <> ref")
+    pairs = pairs.select("id", "a", "z", F.lit(0).alias("f"), "ref", "ref_a", "ref_z")
+    seen = regions.select(F.col("id").alias("_id"), F.col("ref").alias("_ref"), F.col("a").alias("_a"), F.col("z").alias("_z"))
+    return pairs.join(seen, (F.col("id") == F.col("_id")) & (F.col("ref") == F.col("_ref")) & (F.col("a") >= F.col("_a"))
+                      & (F.col("z") <= F.col("_z")), "left_anti")
 
 
 def _sliced(asked: DataFrame, words: int) -> DataFrame:

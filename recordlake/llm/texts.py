@@ -63,6 +63,14 @@ def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def prefix_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, factors): ``(sums[j] - sums[i]) * factors[i]`` identifies the run i..j of the hashes, order included."""
+    up, down = _power_tables(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes) * up[:len(hashes)], out=sums[1:])
+    return sums, down[:len(hashes) + 1]
+
+
 class Words:
     """The words of some rows: hashes, byte spans and the first word of each row."""
 

@@ -293,3 +293,51 @@ def test_regions_crowded_at_full_depth_compare_all_pairs(spark, scratch):
 
     edges = minhash_forest._candidate_edges(trees, sketches, 80, kept).collect()
     assert {(min(e.a, e.b), max(e.a, e.b)) for e in edges} == {(i, i + 1) for i in range(1, 401, 2)}
+
+
+def planted(spark, bodies_of, cases, seed, line=()):
+    """Documents with bodies between random prose; ids rise within a case. Returns the ids reported, as (case, place)."""
+    r, texts, places = rng(seed), [], []
+    for case in range(cases):
+        for place, body in enumerate(bodies_of(r)):
+            places.append((case, place))
+            texts.append(" ".join([*line, *prose(r, r.randrange(30, 90), 10 ** 7), *body, *prose(r, r.randrange(30, 90), 10 ** 7)]))
+    found = substring_dedup.repeated_passages(documents(spark, texts).repartition(6)).collect()
+    return {places[x.id] for x in found}, found, texts, places
+
+
+@pytest.mark.parametrize("quotes", [[(0, 49)], [(0, 49), (3, 52)], [(0, 40), (12, 52), (5, 46), (1, 49), (2, 50)]])
+def test_passages_behind_partial_quotes_are_found(spark, quotes):
+    """Smaller documents quote parts of a passage that two later ones hold whole: the later one is always reported."""
+    def bodies(r):
+        whole = prose(r, 52, 10 ** 7)
+        return [*(whole[a:z] for a, z in quotes), whole, whole]
+
+    reported, *_ = planted(spark, bodies, 200, 41)
+    assert sum((case, len(quotes) + 1) in reported for case in range(200)) == 200
+
+
+def test_passages_behind_a_hot_line_are_found(spark):
+    """All documents begin with one line of 30 words; pairs of them share a passage right after it."""
+    def bodies(r):
+        whole = prose(r, 55, 10 ** 7)
+        return [whole, prose(r, 55, 10 ** 7), whole]
+
+    reported, *_ = planted(spark, bodies, 150, 42, line=prose(rng(43), 30))
+    assert {(case, 2) for case in range(150)} <= reported and not any(place < 2 for _, place in reported)
+
+
+def test_edited_chains_behind_partial_quotes(spark):
+    """Z is alike to Y, not to X, and all three have min-hashes in common; what is found is alike, and little is missed."""
+    def edited(body, where):
+        return [f"e{k}{body[k]}" if k in where else w for k, w in enumerate(body)]
+
+    def bodies(r):
+        whole = prose(r, 120, 10 ** 7)
+        return [edited(whole, (20, 45, 70, 95)), whole, edited(whole, (r.randrange(10, 35), r.randrange(60, 110)))]
+
+    reported, found, texts, places = planted(spark, bodies, 200, 44)
+    for x in found:
+        own, ref = (words(texts[i])[a:z] for i, a, z in ((x.id, x.start_word, x.end_word), (x.ref, x.ref_start_word, x.ref_end_word)))
+        assert jaccard(shingles(own), shingles(ref)) >= 0.8 and places[x.id][0] == places[x.ref][0]
+    assert sum((case, 2) in reported for case in range(200)) >= 194
