@@ -46,6 +46,7 @@ DIRECT = 8  # windows of a min-hash that a task shuffles; more are joined with t
 HELD = 400_000  # windows that a task sorts at a time
 GAPS = (15, 5, 0)  # unmatched tokens in a row that a passage may span, tried in this order
 BROADCAST_ROWS = 400_000  # requests of 40 bytes
+BROADCAST_PLACES = 2_000_000  # min-hashes asked for, of 8 bytes
 SHORT = 20  # tokens of a short run in the second meeting
 OFFSETS = (0, 6, 13, 19)  # of the min-hash in a short run
 
@@ -77,7 +78,7 @@ def compact_windows(h: np.ndarray, least: int, ties: bool) -> tuple[list[int], l
 WINDOWS = "key long, id long, a int, z int, f int, at int"
 PAIRS = "id long, a int, z int, f int, ref long, ref_a int, ref_z int"
 MET = f"{PAIRS}, key long, at int, later boolean"
-RUNS = "run long, id long, a int, z int, mine boolean"
+RUNS = "run long, id long, a int, kind int"  # kind: 1 if it looks for a partner, 2 if the run is a short one
 
 
 def _rows(schema: str, *columns) -> pa.RecordBatch:
@@ -197,8 +198,8 @@ class _Runs:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashes, begin = texts.Words(batch.column(2)).shingles(self.words)
             ids, asked = batch.column(0).to_numpy(), batch.column(1)
-            bounds, every = asked.offsets.to_numpy(), asked.flatten()
-            at, f, mine = (every.field(k).to_numpy(zero_copy_only=False) for k in ("at", "f", "mine"))
+            bounds, every = asked.offsets.to_numpy(), asked.flatten().to_numpy()
+            at, f, mine = every >> 3, (every >> 1) & 3, every & 1
             base = bounds[0]
             out: list[tuple] = []
             for i, (p, q) in enumerate(zip(begin, begin[1:])):
@@ -208,7 +209,8 @@ class _Runs:
                 inside = where < n
                 where, exact, wants = where[inside], exact[inside], wants[inside]
                 total, down = texts.prefix_hashes(hashes[p:q])
-                for size, offsets, use in ((self.least, range(self.least), exact), (min(SHORT, self.least), OFFSETS, np.ones(len(where), bool))):
+                short = np.ones(len(where), bool)
+                for size, offsets, use, mark in ((self.least, range(self.least), exact, 0), (min(SHORT, self.least), OFFSETS, short, 2)):
                     starts, ask = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
                     for k in offsets:
                         s = where[use] - k
@@ -218,14 +220,42 @@ class _Runs:
                     s = np.flatnonzero(starts)
                     if len(s):
                         run = texts.mix((total[s + size] - total[s]) * down[s] + np.uint64(size))
-                        out.append((run.view(np.int64), np.full(len(s), ids[i]), s, s + size, ask[s]))
+                        out.append((run.view(np.int64), np.full(len(s), ids[i]), s, ask[s] + mark))
             if not out:
-                return _rows(RUNS, [], [], [], [], [])
-            return _rows(RUNS, *(np.concatenate(c) for c in zip(*out)))
+                return _rows(RUNS, [], [], [], [])
+            run, ident, a, kind = (np.concatenate(c) for c in zip(*out))
+            order = np.lexsort((a, ident, run))
+            # Of those that are partners only, the first of a run is enough.
+            keep = order[_leaders(run[order])[0] | (kind[order] & 1 == 1)]
+            return _rows(RUNS, run[keep], ident[keep], a[keep], kind[keep])
 
         return work
 
 
+@dataclass(frozen=True)
+class _MeetRuns:
+    """Streams runs sorted by run and document: pairs those that look for a partner with the run's first document."""
+
+    least: int
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("run", "id", "a", "kind")]
+            if lead is not None:
+                columns = [np.concatenate([[x], c]) for x, c in zip(lead, columns)]
+            run, ident, a, kind = columns
+            _, first = _leaders(run)
+            mine = np.flatnonzero((kind & 1 == 1) & (ident != ident[first]))
+            if len(mine):
+                to = first[mine]
+                size = np.where(kind[mine] & 2, min(SHORT, self.least), self.least)
+                yield _rows(PAIRS, ident[mine], a[mine], a[mine] + size, np.zeros(len(mine)), ident[to], a[to], a[to] + size)
+            lead = [c[first[-1]] for c in columns]
+
+
 @dataclass(frozen=True)
 class _Regions:
     """Interval join of the windows of two documents: overlapping ones from enough hash functions."""
@@ -482,17 +512,13 @@ def _second_meeting(spark: SparkSession, root: str, source: DataFrame, windows:
     # Any window of these min-hashes may be a partner, covered or not.
     asked = windows.select("key", "id", "f", "at").join(keys, "key", "left_semi").select("id", "f", "at", F.lit(False).alias("mine"))
     asked = asked.union(left.select("id", "f", "at", F.lit(True).alias("mine"))).groupBy("id", "f", "at").agg(F.max("mine").alias("mine"))
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("at", "f", "mine")).alias("asked"))
-    asked.write.parquet(f"{root}/asked")
+    packed = F.shiftleft(F.col("at").cast("long"), 3) + F.shiftleft("f", 1) + F.col("mine").cast("int")
+    asked.groupBy("id").agg(F.collect_list(packed).alias("asked")).write.parquet(f"{root}/asked")
     asked = spark.read.parquet(f"{root}/asked")
-    if (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_ROWS:
+    if (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_PLACES:
         asked = F.broadcast(asked)
-    texts.map_rows(source.join(asked, "id"), ["id", "asked", "text"], _Runs(words, least), RUNS).write.parquet(f"{root}/runs")
-    runs = spark.read.parquet(f"{root}/runs")
-    first = runs.groupBy("run").agg(F.min(F.struct(F.col("id").alias("ref"), F.col("a").alias("ref_a"), F.col("z").alias("ref_z"))).alias("first"),
-                                    F.max("mine").alias("wanted")).where("wanted").select("run", "first.*")
-    pairs = runs.where("mine").join(first, "run").where("id <> ref")
-    pairs = pairs.select("id", "a", "z", F.lit(0).alias("f"), "ref", "ref_a", "ref_z")
+    runs = texts.map_rows(source.join(asked, "id"), ["id", "asked", "text"], _Runs(words, least), RUNS)
+    pairs = runs.repartition("run").sortWithinPartitions("run", "id", "a").mapInArrow(_MeetRuns(least), PAIRS)
     seen = regions.select(F.col("id").alias("_id"), F.col("ref").alias("_ref"), F.col("a").alias("_a"), F.col("z").alias("_z"))
     return pairs.join(seen, (F.col("id") == F.col("_id")) & (F.col("ref") == F.col("_ref")) & (F.col("a") >= F.col("_a"))
                       & (F.col("z") <= F.col("_z")), "left_anti")
