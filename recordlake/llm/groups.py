@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from recordlake.llm import texts
+
 Work = Callable[[pa.Table, np.ndarray], pa.RecordBatch | pa.Table | None]
 
 
@@ -48,6 +50,8 @@ class _Stream:
             held = table.slice(last).to_batches()
         if held:
             yield from self.run(pa.Table.from_batches(held))
+        held.clear()
+        texts.release()
 
     def run(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows:

@@ -43,7 +43,7 @@ from recordlake.session import scratch_dir
 HASHES = 3
 CONTEXT = 8  # tokens on one side of the min-hash that must be equal, too
 DIRECT = 8  # windows of a min-hash that a task shuffles; more are joined with the first
-HELD = 400_000  # windows that a task sorts at a time
+HELD = 200_000  # windows that a task sorts at a time
 GAPS = (15, 5, 0)  # unmatched tokens in a row that a passage may span, tried in this order
 BROADCAST_ROWS = 400_000  # requests of 40 bytes
 BROADCAST_PLACES = 2_000_000  # min-hashes asked for, of 8 bytes
@@ -115,6 +115,8 @@ class _Windows:
                     held, count = [], 0
         if count:
             yield from self.reduced(held)
+        held.clear()
+        texts.release()
 
     def windows(self, batch: pa.RecordBatch) -> tuple:
         hashes, begin = texts.Words(batch.column(1)).shingles(self.words)
