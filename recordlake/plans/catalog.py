@@ -559,6 +559,19 @@ def q_stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.ledger(spark, store).select(*LEDGER_COLS)
 
 
+@register("stream_watermark_dedupe")
+def q_stream_watermark_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half is delivered again with the second; none of its lines is seen, parsed or skipped again."""
+    root = scratch_dir(spark, "dedupe")
+    landing, store = f"{root}/landing", f"{root}/store"
+    docs = adapters.table(spark, sf, "documents")
+    for halves in ([True], [True, False]):
+        for first in halves:
+            adapters.write_raw_records(spark, adapters.source_half(docs, first), landing, mode="append")
+        R.run_ingest_once(spark, landing, store, f"{root}/_checkpoints/ingest", clock=BATCH_CLOCK, dedupe_within="1 day")
+    return ingest.ledger(spark, store).select(*LEDGER_COLS)
+
+
 @register("stream_command_state")
 def q_stream_command_state(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_dir(spark, "cmdstream")

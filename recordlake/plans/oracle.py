@@ -567,6 +567,7 @@ SELECT s.batch_id, s.seen, coalesce(i.inserted, 0) AS inserted, s.seen - coalesc
   FROM seen s LEFT JOIN ins i USING (batch_id) LEFT JOIN rej j USING (batch_id)""",
     "stream_command_state": ORACLE["command_state"],
 })
+ORACLE["stream_watermark_dedupe"] = ORACLE["stream_ledger"]
 
 
 # ---------------------------------------------------------- scheduled run

@@ -84,6 +84,45 @@ def test_a_replayed_epoch_is_skipped(spark, scratch):
     assert ingest.ledger(spark, store).count() == 1 and ingest.read_jobs(spark, store).count() == 1
 
 
+def test_lines_delivered_again_stay_out_of_the_batch(spark, scratch):
+    """Later micro-batches drop lines seen of late; within one all copies stay, and first-wins goes by line."""
+    landing, store, ckpt = f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt"
+
+    def run():
+        q = R.start_ingest_stream(spark, landing, store, ckpt, clock=CLOCK, dedupe_within="1 day")
+        q.awaitTermination()
+        return [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators][-1]
+
+    write_text(f"{landing}/a.jsonl", [rec(1), rec(2, "late"), rec(1), "{broken"])
+    assert run() == 4  # three texts and a file
+    write_text(f"{landing}/b [x] c.jsonl", ["{broken", rec(3, "first"), rec(1), rec(3, "second"), rec(3, "first"), rec(2)])
+    write_text(f"{landing}/c.jsonl", [rec(1), "{broken"])  # nothing new
+    assert run() == 9  # three texts more, two files
+    R.run_ingest_once(spark, landing, store, ckpt, clock=CLOCK, dedupe_within="1 day")  # nothing landed
+    led = sorted((r.batch_id, r.seen, r.inserted, r.skipped, r.rejected) for r in ingest.ledger(spark, store).collect())
+    assert led == [(1, 3, 2, 1, 1), (2, 4, 1, 3, 0)]
+    jobs = {r.job_id: (r.title, r.ord) for r in ingest.read_jobs(spark, store).collect()}
+    assert jobs == {"id1": ("t", 1), "id2": ("late", 2), "id3": ("first", 2)}
+
+
+def test_state_of_lines_expires_and_strict_mode_is_refused(spark, scratch):
+    import time
+
+    import pytest
+
+    landing, store, ckpt = f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt"
+    with pytest.raises(ValueError):
+        R.start_ingest_stream(spark, landing, store, ckpt, mode="strict", dedupe_within="1 day")
+    for k in range(2):
+        write_text(f"{landing}/{k}.jsonl", [rec(1)])
+        R.run_ingest_once(spark, landing, store, ckpt, clock=CLOCK, dedupe_within="1 second")
+        time.sleep(1.5)
+    write_text(f"{landing}/2.jsonl", [rec(1), rec(4)])
+    R.run_ingest_once(spark, landing, store, ckpt, clock=CLOCK, dedupe_within="1 second")
+    # Whatever the state has forgotten by then, the store lets no key in twice.
+    assert sorted(r.job_id for r in ingest.read_jobs(spark, store).collect()) == ["id1", "id4"]
+
+
 def test_commands_of_all_writers_are_read(spark, scratch):
     from recordlake import api
     from recordlake.sources import store as S
