@@ -28,6 +28,7 @@ from recordlake.llm.ship import ship
 
 CACHE_WORDS = 250_000  # in each of two generations
 CACHE_PAIRS = 1_000_000
+CACHE_LETTERS = 256  # a longer word is not kept
 DECODE_IDS = 1 << 16
 SCHEMA = "{id} {id_type}, n_tokens long, ids binary, decoded binary"
 DIGESTS = "{id} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -100,7 +101,8 @@ class WordCodes(dict):
     """Word -> its ids as little-endian 32-bit bytes, for the words met of late.
 
     When it is full, its words become the older generation, from which those
-    still in use come back; so memory is bounded and frequent words stay.
+    still in use come back; so memory is bounded and frequent words stay. Words
+    over ``CACHE_LETTERS`` are encoded anew each time.
     """
 
     def __init__(self, codec: Codec):
@@ -110,6 +112,8 @@ class WordCodes(dict):
         value = self.older.get(word)
         if value is None:
             value = np.array(self.codec.encode_word(self.codec.to_symbols(word)), "<u4").tobytes()
+        if len(word) > CACHE_LETTERS:
+            return value
         if len(self) >= CACHE_WORDS:
             self.older = dict(self)
             self.clear()
@@ -182,7 +186,11 @@ class Codec:
         stack: list[tuple[int, int]] = []  # where each token of out starts, and the token
         dead: set[int] = set()
         pos, pairs, shorter = 0, self.pairs, self.shorter
-        match = matches[0]
+        # One pass lists every token in the word; of those that start at one place, the longest ends last.
+        longest: list[tuple[int, int] | None] = [None] * n
+        for last, match in self.automaton.iter(text):
+            longest[last - match[0] + 1] = match
+        match = longest[0]
         while pos < n:
             while match is not None:
                 length, token = match
@@ -201,9 +209,7 @@ class Codec:
             out.append(token)
             pos += length
             if pos < n:
-                last, match = next(self.automaton.iter_long(text, pos), (0, None))
-                if match is not None and last - match[0] + 1 != pos:
-                    match = None
+                match = longest[pos]
         return out
 
     def _plain(self, text: str) -> bytes:
