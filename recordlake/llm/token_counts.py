@@ -8,18 +8,18 @@ longer prefix (the longest whose pair with the piece before it BPE leaves as it
 is), and emits by how much the number of pieces grew. States and transitions
 are compiled when first met and kept, up to a bound.
 
-No piece spans certain borders (a blank after something else, a character
-without a piece), and there the state forgets all that came before. So a chunk
-of text acts on the state as ``head, then constant``: up to its first border it
-depends on the state it is entered with, after that it doesn't. Such maps
-compose associatively, and a prefix scan over a text's chunks gives its count.
+No piece spans certain borders (neighbours that stand in no piece together, a
+character without a piece), and there the state forgets all that came before. So
+a chunk of text maps a state to (state, count) as ``head, then constant``: up to
+its first border at a blank it runs from the state it is entered with, and then
+it adds a count and leaves a state, whatever came in. Such maps compose
+associatively, and are composed as a balanced tree over a text's chunks.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +32,8 @@ CHUNK = 1 << 14  # characters
 MAX_STATES = 150_000
 CACHE_SEGMENTS = 200_000  # in each of two generations
 BLANK = "▁"
+State = tuple[str, tuple[tuple[int, str | None, int], ...]]
+START: State = ("", ((0, None, 0),))
 
 
 class Vocabulary:
@@ -91,12 +93,20 @@ class Transducer:
 
     def reset(self) -> None:
         # A state: (last character, ((trie node, piece that ended there or None, count there - count now), ...)).
-        self.start_key = ("", ((0, None, 0),))
-        self.ids = {self.start_key: 0}
-        self.keys = [self.start_key]
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.ids: dict[State, int] = {}
+        self.keys: list[State] = []
+        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.number(START)
         self.vocabulary.pairs.clear()
 
+    def number(self, key: State) -> int:
+        """The state's number until the next reset."""
+        if key not in self.ids:
+            self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            self.moves.append({})
+        return self.ids[key]
+
     def border(self, before: str, after: str) -> bool:
         """No piece holds these neighbours, so the state forgets what lies before."""
         return (before, after) not in self.vocabulary.joins
@@ -104,7 +114,7 @@ class Transducer:
     def compile(self, state: int, c: str) -> tuple[int, int]:
         v, (last, live) = self.vocabulary, self.keys[state]
         if c not in v.trie[0]:  # as many byte pieces as UTF-8 needs
-            key, delta = self.start_key, len(c.encode("utf-8", "surrogatepass"))
+            key, delta = START, len(c.encode("utf-8", "surrogatepass"))
         else:
             if last and self.border(last, c):
                 live = ((0, None, 0),)
@@ -114,39 +124,55 @@ class Transducer:
             delta = count + 1
             rest = tuple((n, p, k - delta) for n, p, k in moved if v.trie[n])
             key = (c, (*rest, (0, v.piece_at[node], 0)))
-        if key not in self.ids:
-            self.ids[key] = len(self.keys)
-            self.keys.append(key)
-            self.moves.append({})
-        self.moves[state][c] = self.ids[key], delta
+        self.moves[state][c] = self.number(key), delta
         return self.moves[state][c]
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
+    def run(self, key: State, text: str) -> tuple[State, int]:
         """State after the text, and by how much the count has grown."""
-        total, moves = 0, self.moves
-        for c in text:
-            move = moves[state].get(c)
-            state, delta = move if move is not None else self.compile(state, c)
-            total += delta
-        return state, total
+        total, a = 0, 0
+        while a < len(text):
+            if len(self.keys) > MAX_STATES:
+                self.reset()
+            state, moves = self.number(key), self.moves
+            for c in text[a:a + CHUNK]:
+                move = moves[state].get(c)
+                state, delta = move if move is not None else self.compile(state, c)
+                total += delta
+            key = self.keys[state]
+            a += CHUNK
+        return key, total
 
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to any entering state: runs ``head``, and then, if there
-    was a border, adds ``count`` and leaves ``tail`` as the only text that still matters."""
+    """Maps a state to (state, count): runs ``heads`` from it and then, if there was a border, adds ``count`` and
+    leaves ``state``."""
 
-    head: str
+    heads: tuple[str, ...]
     count: int = 0
-    tail: str | None = None
+    state: State | None = None
+
+    def __call__(self, state: State, machine: Transducer) -> tuple[State, int]:
+        total = self.count
+        for head in self.heads:
+            state, count = machine.run(state, head)
+            total += count
+        return (state if self.state is None else self.state), total
 
-    def then(self, after: ChunkMap, counter: Counter) -> ChunkMap:
+    def then(self, after: ChunkMap, machine: Transducer) -> ChunkMap:
         """Associative composition: this chunk, and then the other."""
-        if self.tail is None:
-            return ChunkMap(self.head + after.head, after.count, after.tail)
-        if after.tail is None:
-            return ChunkMap(self.head, self.count, self.tail + after.head)
-        return ChunkMap(self.head, self.count + counter.segment(self.tail + after.head) + after.count, after.tail)
+        if self.state is None:
+            return ChunkMap(self.heads + after.heads, after.count, after.state)
+        state, count = after(self.state, machine)
+        return ChunkMap(self.heads, self.count + count, state)
+
+
+def compose(maps: list[ChunkMap], machine: Transducer) -> ChunkMap:
+    """The map of all chunks: neighbours are composed, then neighbours of these, and so on."""
+    while len(maps) > 1:
+        pairs = [a.then(b, machine) for a, b in zip(maps[::2], maps[1::2])]
+        maps = pairs + maps[2 * len(pairs):]
+    return maps[0]
 
 
 class Counter:
@@ -167,34 +193,34 @@ class Counter:
         if count is None:
             count = self.older.get(text)
             if count is None:
-                if len(self.machine.keys) > MAX_STATES:
-                    self.machine.reset()
-                count = self.machine.run(0, text.replace(" ", BLANK))[1]
+                count = self.machine.run(START, text.replace(" ", BLANK))[1]
             if len(text) <= 64:
                 if len(self.recent) >= CACHE_SEGMENTS:
                     self.older, self.recent = self.recent, {}
                 self.recent[text] = count
         return count
 
+    def segments(self, parts: list[str]) -> int:
+        return sum(k if k is not None else self.segment(p) for k, p in zip(map(self.recent.get, parts), parts))
+
     def chunk(self, text: str) -> ChunkMap:
         # The first border: a blank after something else.
         parts = self.cut.findall(text)
+        head = parts[0].replace(" ", BLANK)
         if len(parts) < 2:
-            return ChunkMap(text)
-        known = self.recent
-        inner = parts[1:-1]
-        counts = map(known.get, inner)
-        total = sum(k if k is not None else self.segment(p) for k, p in zip(counts, inner))
-        return ChunkMap(parts[0], total, parts[-1])
+            return ChunkMap((head,))
+        state, count = self.machine.run(START, parts[-1].replace(" ", BLANK))
+        return ChunkMap((head,), self.segments(parts[1:-1]) + count, state)
 
     def count(self, text: str | None) -> int:
         """As sentencepiece counts: a blank goes before the text, an empty text has no token."""
         if not text:
             return 0
         text = " " + text.replace(BLANK, " ")
-        maps = (self.chunk(text[a:a + CHUNK]) for a in range(0, len(text), CHUNK))
-        *_, whole = accumulate(maps, lambda a, b: a.then(b, self))
-        return self.segment(whole.head) + whole.count + (self.segment(whole.tail) if whole.tail is not None else 0)
+        if len(text) <= CHUNK:
+            return self.segments(self.cut.findall(text))
+        maps = [self.chunk(text[a:a + CHUNK]) for a in range(0, len(text), CHUNK)]
+        return compose(maps, self.machine)(START, self.machine)[1]
 
 
 _counters: dict[str, Counter] = {}

@@ -55,6 +55,17 @@ def test_pairs_against_plain_merging():
         assert own.pairs[a, b] == (merge([*names[a], *names[b]]) == [names[a], names[b]])
 
 
+def test_long_words_are_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, rng = bpe_codec.codec(path), random.Random(8)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 60_000), ("ab", 60_000), ("z", 100_000), (["the", "ing", "er", "un"], 30_000)):
+        word = "".join(rng.choices(letters, k=n))
+        ids = np.frombuffer(own.encode(word), "<u4")
+        assert ids.tolist() == own.library.encode(word, add_special_tokens=False).ids
+        assert b"".join(own.decode(ids.tobytes())).decode() == own.library.decode(ids.tolist(), skip_special_tokens=False)
+        assert word not in own.codes  # only short words are kept
+
+
 def test_counts_are_the_library(spark, odd):
     import sentencepiece
 
@@ -77,6 +88,24 @@ def test_chunk_maps_compose(monkeypatch, odd):
     assert [own.count(t) for t in odd] == whole
 
 
+def test_state_maps_of_chunks_without_blanks(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library, rng = token_counts.counter(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
+    texts = ["z" * 100_000, "".join(rng.choices(["the", "ing", "er", "un"], k=30_000)), "".join(rng.choices("abc日本é😀", k=40_000)),
+             "x" * 20_000 + " y" + "ab" * 20_000 + "  "]
+    for text in texts:
+        assert own.count(text) == len(library.encode(text))
+    monkeypatch.setattr(token_counts, "MAX_STATES", 50)  # states are forgotten inside a word, too
+    assert own.count(texts[2]) == len(library.encode(texts[2]))
+    a, b, c = (own.chunk(t) for t in ("lo wer ne", "west", "ern  a b"))
+    for entered in (token_counts.START, own.machine.run(token_counts.START, "fo")[0]):
+        left = a.then(b, own.machine).then(c, own.machine)(entered, own.machine)
+        assert left == a.then(b.then(c, own.machine), own.machine)(entered, own.machine)
+        assert left[1] == own.machine.run(entered, "lo wer newestern  a b".replace(" ", token_counts.BLANK))[1]
+
+
 def brute_bins(sizes, capacity):
     """Least number of bins, by trying every bin for every piece."""
     best = len(sizes)
