@@ -129,11 +129,12 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 1_500_000
     """Fillings and how often each is used; every piece is used exactly once.
 
     Best fit is the incumbent. Depth-first, the largest remaining piece is
-    completed in every undominated way, the fullest first, as often as its
-    pieces last. A branch is left as soon as its sequences and the bound on
-    the rest's waste cannot beat the incumbent. The search ends at the lower
-    bound, when all is searched, or after ``steps``; the best packing so far is
-    the result.
+    completed by undominated fillings, the fullest first, as often as its
+    pieces last; at most six are tried, of those that ``completions`` finds in
+    its steps. A branch is left as soon as its sequences and the bound on the
+    rest's waste cannot beat the incumbent. The search ends at the lower bound
+    (then the result is optimal), when these fillings are searched, or after
+    ``steps``; the best packing so far is the result.
     """
     counts = {s: c for s, c in counts.items() if c}
     incumbent = best_fit(counts, capacity)
