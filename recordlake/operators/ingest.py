@@ -27,9 +27,9 @@ the batch's keys are proven small (their bytes are counted while staging) those
 keys are probed against a broadcast of them; otherwise both sides are shuffled
 on the key. Compacted batches are read from segments (``sources.snapshots``).
 
-The input is parsed and validated once, into the staged batch; statistics,
-first-wins and rejects use that columnar copy, which goes when the batch is
-committed. The inserted count is an ``Observation`` on the jobs write itself.
+The input is read, parsed and validated once, into the staged batch; line
+numbers, statistics, first-wins and rejects use that columnar copy, which goes
+when the batch is committed. The inserted count is an ``Observation`` on the jobs write itself.
 """
 
 from __future__ import annotations
@@ -43,10 +43,10 @@ from pyspark.sql import types as T
 
 from recordlake.functions.text import clock_literal, second_clock
 from recordlake.operators.keys import STORE_KEYS, in_buckets, touched_buckets, write_keys
-from recordlake.operators.validate import RecordValidationError, failure_columns, validate
+from recordlake.operators.validate import RecordValidationError, diagnostic, failure_columns, validate
 from recordlake.schemas import DEFAULT_SOURCE, JOBS
 from recordlake.session import configure, delete_path, path_exists
-from recordlake.sources.jsonl import read_lines
+from recordlake.sources.jsonl import PLACE, number_staged, place_lines, scan_lines
 from recordlake.sources.snapshots import Manifest, both, compacted, current
 
 MAX_BROADCAST_BYTES = 64 << 20  # of a batch's keys
@@ -199,12 +199,21 @@ def _staged_facts(staged: DataFrame) -> Row:
                       touched_buckets("job_id").alias("buckets")).first()
 
 
+def stage_lines(spark: SparkSession, checked: DataFrame, folder: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``validate``'s output over placed lines (``jsonl.place_lines``), written once below ``folder``
+    and numbered there: with ``line_no`` and ``message``, from one scan of the text."""
+    checked.select(*PLACE, *columns).write.parquet(f"{folder}/lines")
+    rows = number_staged(spark, f"{folder}/lines", f"{folder}/splits")
+    return rows.select("line_no", *columns, diagnostic().alias("message"))
+
+
 def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id: int | None = None, *,
                    clock: dt.datetime | None = None, mode: str = "strict",
                    source_query: str | None = None, input_path: str | None = None,
                    stream: tuple[str, int] | None = None) -> DataFrame:
     """K1–K5: append the valid lines of ``checked`` (output of ``validate`` with
-    an ``ord`` column) as batch ``batch_id`` (None: the next id); returns the ledger row.
+    an ``ord`` column, or over placed lines, whose order is their number) as batch
+    ``batch_id`` (None: the next id); returns the ledger row.
 
     ``strict``: any rejected line aborts before anything is written (Q1).
     ``quarantine``: rejected lines are kept (``read_rejects``) and the rest is
@@ -216,10 +225,13 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     clock = second_clock(clock)
     attempt = uuid.uuid4().hex
     staging = f"{root}/_staging/{attempt}"
-    keep = ["line_no", "ord", "status", "reason", "message", *RECORD_OUT, "content_hash"]
+    keep = ["status", "reason", *RECORD_OUT, "content_hash"]
     try:
-        checked.select(*keep).write.parquet(staging)
-        staged = spark.read.parquet(staging)
+        if "line_no" in checked.columns:
+            checked.select("line_no", "ord", "message", *keep).write.parquet(staging)
+            staged = spark.read.parquet(staging)
+        else:
+            staged = stage_lines(spark, checked, staging, keep).withColumn("ord", F.col("line_no"))
         stats = _staged_facts(staged)
         if mode == "strict" and stats["first_error"] is not None:
             raise RecordValidationError(stats["first_error"])
@@ -303,8 +315,8 @@ def ingest_jsonl(spark: SparkSession, root: str, path: str | list[str], batch_id
     from recordlake.sources.store import settle_folding
 
     exact_casefold = settle_folding(spark, root, exact_casefold)
-    lines = read_lines(spark, path)
-    checked = validate(lines, source=source, exact_casefold=exact_casefold).withColumn("ord", F.col("line_no"))
+    lines = place_lines(scan_lines(spark, path))
+    checked = validate(lines, source=source, exact_casefold=exact_casefold)
     return ingest_checked(spark, root, checked, batch_id, clock=clock, mode=mode, source_query=source_query,
                           input_path=path if isinstance(path, str) else ",".join(path))
 

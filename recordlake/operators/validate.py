@@ -83,12 +83,21 @@ def canonical_payload(v: Column) -> Column:
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
+def diagnostic() -> Column:
+    """Q2: the message of a rejected line, from its number, status and reason; null for the others."""
+    line_no, status = F.col("line_no").cast("string"), F.col("status")
+    return (F.when(status == "malformed", F.concat(F.lit(MSG_MALFORMED), line_no))
+            .when(status == "invalid",
+                  F.concat(F.lit(MSG_INVALID.split("{line}")[0]), line_no, F.lit(": "), F.col("reason"))))
+
+
 def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: bool = False) -> DataFrame:
     """Classify every line and project the typed record of the valid ones.
 
     The stripped text, its parse, its key list and its skills array are
     computed once per line; the verdict (status/reason/message) is produced as
-    generator output so filters on it stay above the parse.
+    generator output so filters on it stay above the parse. Lines that have no
+    ``line_no`` yet get no ``message``; ``diagnostic`` gives it once they are numbered.
     """
     base = list(lines.columns)
     t0 = lines.select(*base, py_strip_column("line").alias("_t"))
@@ -137,14 +146,8 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
         F.when(blank, "blank").when(malformed, "malformed")
         .when(why.isNotNull(), "invalid").otherwise("valid")
     )
-    line_no = F.col("line_no").cast("string")
-    message = (
-        F.when(malformed, F.concat(F.lit(MSG_MALFORMED), line_no))
-        .when(~blank & why.isNotNull(),
-              F.concat(F.lit(MSG_INVALID.split("{line}")[0]), line_no, F.lit(": "), why))
-    )
-    verdict = verdict.select(*base, "_v", status.alias("status"),
-                             F.when(~blank & ~malformed, why).alias("reason"), message.alias("message"))
+    verdict = verdict.select(*base, "_v", status.alias("status"), F.when(~blank & ~malformed, why).alias("reason"))
+    message = [diagnostic().alias("message")] if "line_no" in base else []
     vv = F.col("_v")
     valid = F.col("status") == "valid"
     record = [
@@ -160,7 +163,7 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
         F.when(valid, canonical_json(vv, 2)).alias("payload_json"),
         F.when(valid, canonical_payload(vv)).alias("typed_json"),
     ]
-    out = verdict.select(*base, "status", "reason", "message", *record)
+    out = verdict.select(*base, "status", "reason", *message, *record)
     return out.withColumns({"content_hash": F.sha2(F.col("payload_json"), 256),
                             "typed_hash": F.sha2(F.col("typed_json"), 256)})
 

@@ -32,7 +32,7 @@ from recordlake.plans.collection import collection_plan, landed_pages, missing_p
 from recordlake.schemas import COMMAND_EVENTS
 from recordlake.session import delete_path, list_files, move_new, scratch_dir
 from recordlake.sources import store as S
-from recordlake.sources.jsonl import read_lines, read_whole_files
+from recordlake.sources.jsonl import place_lines, read_lines, read_whole_files, scan_lines
 from recordlake.sources.snapshots import read_log
 from recordlake.streaming import ingest_stream as R
 
@@ -165,7 +165,8 @@ def q_jsonl_parse_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("validate_reasons")
 def q_validate_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    c = _checked(spark, sf)
+    placed = place_lines(scan_lines(spark, _landed(spark, sf)))
+    c = ingest.stage_lines(spark, V.validate(placed), scratch_dir(spark, "checked"), ["status", "reason"])
     return c.where(F.col("message").isNotNull()).select("line_no", "status", "message")
 
 

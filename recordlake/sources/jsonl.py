@@ -13,16 +13,25 @@ is the position within the split. The offsets table is broadcast only when
 its size is bounded — from file-system metadata (bytes / minimum split size +
 files) or, for globs and micro-batches, by counting it; beyond the bound it is
 joined by a shuffle. Offsets inside a file come from a window partitioned by
-file; the only single-task step is the running sum over one row per file.
+file; the only single-task step is the running sum over one row per file, the
+list of which Spark's own file index holds on the driver anyway.
+
+``read_lines`` numbers lines lazily and so scans the text twice. Callers that
+write what they make of the lines read the text once: ``place_lines`` gives
+each line its place (``PLACE``), and ``number_staged`` numbers the written rows
+from the place columns alone, of which a columnar scan reads nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordlake.session import configure, path_exists
 
+#: Where a line stands: its file, its input split and its row in the scan.
+PLACE = ("file_path", "block_start", "row_id")
+
 # Split-offset rows that may be broadcast (one row per input split).
 MAX_BROADCAST_SPLITS = 200_000
 
@@ -74,15 +83,15 @@ def split_bound(spark: SparkSession, paths: list[str]) -> int | None:
     return total // max(split, 1) + files + 1
 
 
-def number_lines(raw: DataFrame, bound: int | None = None) -> DataFrame:
-    """``(file_path, line_no, line)`` from ``(line, file_path, block_start)`` rows of one scan.
+def place_lines(raw: DataFrame) -> DataFrame:
+    """``(file_path, block_start, row_id, line)`` from ``(line, file_path, block_start)`` rows of one scan, blank lines included."""
+    return raw.select("file_path", "block_start", F.monotonically_increasing_id().alias("row_id"), "line")
 
-    ``bound`` is a known upper bound on the number of splits; without one the
-    split table is counted before deciding to broadcast it.
-    """
-    raw = raw.withColumn("_rid", F.monotonically_increasing_id())
-    splits = raw.groupBy("file_path", "block_start").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0")
+
+def split_offsets(placed: DataFrame) -> DataFrame:
+    """Per split, the row id of its first line and the number of lines before it in the whole input."""
+    splits = placed.groupBy("file_path", "block_start").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("row_id").alias("_rid0")
     )
     before = Window.unboundedPreceding, -1
     # Offset of a split inside its file: a window per file over its splits.
@@ -92,18 +101,41 @@ def number_lines(raw: DataFrame, bound: int | None = None) -> DataFrame:
     file_off = files.select(
         "file_path", F.coalesce(F.sum("_fn").over(Window.orderBy("file_path").rowsBetween(*before)),
                                 F.lit(0)).alias("_foff"))
-    offsets = splits.select(
+    return splits.select(
         "file_path", "block_start", "_rid0",
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_soff"),
     ).join(file_off, "file_path").select(
         "file_path", "block_start", "_rid0", (F.col("_foff") + F.col("_soff")).alias("_offset"))
-    n_splits = bound if bound is not None else offsets.count()
+
+
+def _numbered(placed: DataFrame, offsets: DataFrame, n_splits: int) -> DataFrame:
     side = F.broadcast(offsets) if n_splits <= MAX_BROADCAST_SPLITS else offsets
-    return raw.join(side, ["file_path", "block_start"]).select(
-        "file_path",
-        (F.col("_offset") + F.col("_rid") - F.col("_rid0") + 1).alias("line_no"),
-        "line",
-    )
+    line_no = (F.col("_offset") + F.col("row_id") - F.col("_rid0") + 1).alias("line_no")
+    rest = [c for c in placed.columns if c not in PLACE]
+    return placed.join(side, ["file_path", "block_start"]).select("file_path", line_no, *rest)
+
+
+def number_lines(raw: DataFrame, bound: int | None = None) -> DataFrame:
+    """``(file_path, line_no, line)`` from ``(line, file_path, block_start)`` rows of one scan.
+
+    ``bound`` is a known upper bound on the number of splits; without one the
+    split table is counted before deciding to broadcast it.
+    """
+    placed = place_lines(raw)
+    offsets = split_offsets(placed)
+    return _numbered(placed, offsets, bound if bound is not None else offsets.count())
+
+
+def number_staged(spark: SparkSession, lines: str, splits: str) -> DataFrame:
+    """The rows written at ``lines`` (all lines of an input, by place) with ``line_no`` instead of their place.
+
+    The offsets are written at ``splits``, a row per input split, and counted as
+    they are, so every later read of the result joins a small table and no text is
+    scanned again. No rows: an empty result.
+    """
+    placed, n = spark.read.parquet(lines), Observation()
+    split_offsets(placed.select(*PLACE)).observe(n, F.count(F.lit(1)).alias("n")).write.parquet(splits)
+    return _numbered(placed, spark.read.parquet(splits), int(n.get["n"]))
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -34,7 +34,7 @@ from recordlake.operators.ingest import ingest_checked, next_batch_id, record_fa
 from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
 from recordlake.session import configure, delete_path, list_files, move_new, path_exists
-from recordlake.sources.jsonl import number_lines, read_lines, split_bound
+from recordlake.sources.jsonl import place_lines, read_lines
 from recordlake.sources.snapshots import current, read_log
 from recordlake.sources.store import settle_folding
 
@@ -101,13 +101,12 @@ def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, chec
     if dedupe_within:
         stream = sightings(stream, dedupe_within)
 
-    def numbered(df: DataFrame, seen: str) -> DataFrame | None:
+    def lines_of(df: DataFrame, seen: str) -> DataFrame | None:
         if dedupe_within:
-            return new_lines(spark, df, seen)
-        raw = df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
-                        F.col("_metadata.file_block_start").alias("block_start"))
-        files = df.inputFiles()
-        return number_lines(raw, split_bound(spark, list(files)) if files else None)
+            found = new_lines(spark, df, seen)
+            return None if found is None else found.withColumn("ord", F.col("line_no"))
+        return place_lines(df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+                                     F.col("_metadata.file_block_start").alias("block_start")))
 
     def on_batch(df: DataFrame, epoch_id: int) -> None:
         key = (stream_id(spark, checkpoint), epoch_id)
@@ -116,12 +115,11 @@ def start_ingest_stream(spark: SparkSession, landing: str, store_root: str, chec
             return
         seen = f"{store_root}/_staging/seen-{uuid.uuid4().hex}"
         try:
-            lines = numbered(df, seen)
+            lines = lines_of(df, seen)
             if lines is None:  # a micro-batch that only moves the watermark
                 return
             batch_id = known["batch_id"] if known is not None else next_batch_id(spark, store_root)
-            checked = validate(lines, source=source,
-                               exact_casefold=settle_folding(spark, store_root)).withColumn("ord", F.col("line_no"))
+            checked = validate(lines, source=source, exact_casefold=settle_folding(spark, store_root))
             try:
                 ingest_checked(spark, store_root, checked, batch_id, clock=clock, mode=mode, input_path=landing,
                                stream=key)

@@ -3,9 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from recordlake.operators.ingest import stage_lines
 from recordlake.operators.validate import first_failure, validate
 from recordlake.schemas import PRIVATE_FIELD_NAMES
-from recordlake.sources.jsonl import read_lines
+from recordlake.sources import jsonl
+from recordlake.sources.jsonl import place_lines, read_lines, scan_lines
 from tests.conftest import write_text
 
 GOOD = {"source": "feed", "id": "~01abc", "title": "  Python scraper ", "description": "Build it",
@@ -95,6 +97,38 @@ def test_line_numbers_exact_over_many_files_and_splits(spark, scratch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_staged_lines_are_numbered_without_their_text(spark, scratch):
+    n_files, per = 3, 4000
+    for f in range(n_files):
+        write_text(f"{scratch}/staged/part-{f}.jsonl",
+                   [("" if (f * per + j) % 97 == 0 else "{bad" if j % 1000 == 7 else json.dumps({**GOOD, "id": str(f * per + j)}))
+                    for j in range(per)])
+    want = {r.line_no: (r.status, r.job_id, r.message) for r in validate(read_lines(spark, f"{scratch}/staged")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        checked = validate(place_lines(scan_lines(spark, f"{scratch}/staged")))
+        assert checked._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+        got = stage_lines(spark, checked, f"{scratch}/stage", ["status", "reason", "job_id"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for f in range(n_files):  # the text is not read again
+        write_text(f"{scratch}/staged/part-{f}.jsonl", ["{other"])
+    rows = got.collect()
+    assert len(rows) == n_files * per
+    assert {r.line_no: (r.status, r.job_id, r.message) for r in rows} == want
+    assert spark.read.parquet(f"{scratch}/stage/splits").count() > n_files
+
+
+def test_staged_lines_beyond_the_broadcast_bound_and_of_no_lines(spark, scratch, monkeypatch):
+    write_text(f"{scratch}/few/a.jsonl", [json.dumps(GOOD), "", "{bad"])
+    monkeypatch.setattr(jsonl, "MAX_BROADCAST_SPLITS", 0)
+    got = stage_lines(spark, validate(place_lines(scan_lines(spark, f"{scratch}/few"))), f"{scratch}/stage-few", ["status", "reason"])
+    assert [(r.line_no, r.status) for r in got.orderBy("line_no").collect()] == [(1, "valid"), (2, "blank"), (3, "malformed")]
+    for k, cond in enumerate((F.lit(False), F.col("line") == "no such line")):
+        placed = place_lines(scan_lines(spark, f"{scratch}/few")).where(cond)
+        assert stage_lines(spark, validate(placed), f"{scratch}/stage-none{k}", ["status", "reason"]).count() == 0
+
+
 def test_exact_casefold_option(spark):
     payload = {**GOOD, "skills": ["Straße", " STRASSE ", "Σίσυφος"]}
     df = spark.createDataFrame([(1, json.dumps(payload))], "line_no long, line string")
