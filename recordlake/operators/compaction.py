@@ -15,7 +15,6 @@ range-partitioned by key into files of about ``target_bytes``.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +72,10 @@ def _taken(segments: list[S.Segment], size: int) -> list[S.Segment]:
 
 
 def _last_epochs(covered: list[str], files: list[str]) -> list[str]:
-    """Of the stream files that were covered, the last of each stream: a restarted stream replays that epoch and
-    must find that its file was there."""
-    found = [re.fullmatch(r"(stream-.*)-(\d+)\.parquet", f) for f in sorted({*covered, *files})]
-    return list({m[1]: m[0] for m in found if m}.values())
+    """Of the stream files that were covered, one of the last epoch of each stream: a restarted stream replays that
+    epoch and must find that it was there."""
+    found = [f for f in sorted({*covered, *files}) if S.epoch_of(f)]
+    return list({S.epoch_of(f).rsplit("-", 1)[0]: f for f in found}.values())
 
 
 def compact(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES) -> S.Manifest:

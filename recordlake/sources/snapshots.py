@@ -11,11 +11,17 @@ row is in a segment are read from there and nowhere else; files of the logs that
 a manifest covers are read from the segment only. So until the manifest is there,
 a rewrite changes no read, and once it is there, the small files are unread
 whether they are deleted already or not.
+
+A stream writes an epoch into a log as one file or, where it is large, as a set of
+files that each name their place and the size of the set. Until the last one is there,
+none of them is read.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections import defaultdict
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +30,9 @@ from pyspark.sql import types as T
 from recordlake.session import list_files, path_exists, read_text_file, write_text_new
 
 SEGMENTS, MANIFEST = "_segments", "_manifest"
+#: Logs that a stream writes to; their readers name the files.
+STREAMED_LOGS = {"command_events"}
+EPOCH_FILE = re.compile(r"(stream-.*-\d+)(?:\.(\d+)of(\d+))?\.parquet")
 
 
 class ConcurrentCompactionError(RuntimeError):
@@ -80,11 +89,32 @@ def both(*parts: DataFrame | None) -> DataFrame | None:
     return out
 
 
+def epoch_of(name: str) -> str | None:
+    """The stream and epoch that a log's file is named after; None for the files of other writers."""
+    found = EPOCH_FILE.fullmatch(name)
+    return found and found[1]
+
+
+def epoch_file(epoch: str, part: int, parts: int) -> str:
+    return f"{epoch}.parquet" if parts == 1 else f"{epoch}.{part:05d}of{parts:05d}.parquet"
+
+
+def torn(files: list[str]) -> set[str]:
+    """Of a log's files, those whose set is not whole: a writer is at it, or has died."""
+    sets = defaultdict(list)
+    for m in map(EPOCH_FILE.fullmatch, files):
+        if m and m[3]:
+            sets[m[1], int(m[3])].append(m[0])
+    return {f for (_, size), found in sets.items() if len(found) < size for f in found}
+
+
 def log_files(spark: SparkSession, root: str, table: str, manifest: Manifest) -> tuple[list[str], list[str]]:
-    """(files of a log that are not covered, covered files that are still there)."""
+    """(files of a log that are not covered, in whole sets; covered files that are still there)."""
     covered = set(manifest.covered.get(table, ()))
     files = list_files(spark, f"{root}/{table}")
-    return [f for f in files if f not in covered], [f for f in files if f in covered]
+    live = [f for f in files if f not in covered]
+    broken = torn(live)
+    return [f for f in live if f not in broken], [f for f in files if f in covered]
 
 
 def live_log(spark: SparkSession, root: str, table: str, schema: T.StructType, manifest: Manifest) -> DataFrame | None:
@@ -93,7 +123,7 @@ def live_log(spark: SparkSession, root: str, table: str, schema: T.StructType, m
     if not path_exists(spark, path):
         return None
     files, covered = log_files(spark, root, table, manifest)
-    if not covered:
+    if not covered and table not in STREAMED_LOGS:
         return spark.read.schema(schema).parquet(path)
     return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in files]) if files else None
 

@@ -33,11 +33,13 @@ from pyspark.sql.streaming import StreamingQuery
 from recordlake.operators.ingest import ingest_checked, next_batch_id, record_failed_batch, stream_batch
 from recordlake.operators.validate import RecordValidationError, validate
 from recordlake.schemas import COMMAND_EVENTS, DEFAULT_SOURCE
-from recordlake.session import configure, delete_path, list_files, move_new, path_exists
+from recordlake.session import configure, delete_path, list_files, move_new, path_bytes
 from recordlake.sources.jsonl import place_lines, read_lines
-from recordlake.sources.snapshots import current, read_log
+from recordlake.sources.snapshots import current, epoch_file, epoch_of, read_log, torn
 from recordlake.sources.store import settle_folding
 
+SMALL_EPOCH_BYTES = 16 << 20  # up to which an epoch of a log is one file
+
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that Structured Streaming keeps in a checkpoint."""
@@ -141,16 +143,29 @@ def run_ingest_once(spark: SparkSession, landing: str, store_root: str, checkpoi
         raise RuntimeError(str(q.exception()))
 
 
-def publish_file(spark: SparkSession, rows: DataFrame, folder: str, name: str) -> bool:
-    """Writes rows as one file of a log, under a name of their own; False, and nothing is written, when the name is
-    there already. The file is staged beside the log and renamed, so it is there whole or not at all."""
-    if path_exists(spark, f"{folder}/{name}"):
+def publish_epoch(spark: SparkSession, rows: DataFrame, folder: str, epoch: str) -> bool:
+    """Writes rows as an epoch's files of a log; False, and nothing is written, when the epoch is there already.
+
+    The tasks that read the rows write them, a file each, staged beside the log; a small epoch becomes one file. The
+    files are renamed one by one, and readers take none of a set before all are there (``snapshots.torn``); what a
+    crashed attempt left of its set goes first."""
+    there = [f for f in list_files(spark, folder) if epoch_of(f) == epoch]
+    left = torn(there)
+    if len(there) > len(left):
         return False
-    staging = f"{folder.rsplit('/', 1)[0]}/_staging/{name}-{uuid.uuid4().hex}"
+    for name in left:
+        delete_path(spark, f"{folder}/{name}")
+    staging = f"{folder.rsplit('/', 1)[0]}/_staging/{epoch}-{uuid.uuid4().hex}"
+    staged = f"{staging}/rows"
     try:
-        rows.coalesce(1).write.parquet(staging)
-        parts = list_files(spark, staging)
-        return bool(parts) and move_new(spark, f"{staging}/{parts[0]}", f"{folder}/{name}")
+        rows.write.parquet(staged)
+        if len(list_files(spark, staged)) > 1 and path_bytes(spark, staged) <= SMALL_EPOCH_BYTES:
+            spark.read.schema(rows.schema).parquet(staged).coalesce(1).write.parquet(f"{staging}/one")
+            staged = f"{staging}/one"
+        parts = list_files(spark, staged)
+        moved = [move_new(spark, f"{staged}/{part}", f"{folder}/{epoch_file(epoch, k, len(parts))}")
+                 for k, part in enumerate(parts)]
+        return bool(parts) and all(moved)
     finally:
         delete_path(spark, staging)
 
@@ -158,15 +173,15 @@ def publish_file(spark: SparkSession, rows: DataFrame, folder: str, name: str) -
 def start_command_stream(spark: SparkSession, landing: str, store_root: str, checkpoint: str, *,
                          interval: str | None = None) -> StreamingQuery:
     """Command events (JSON lines) appended to the store's command log, in the one layout
-    that all its writers share. A micro-batch is one file, named after (stream id, epoch): a
-    replayed epoch finds its file and writes nothing, so the log holds each event once."""
+    that all its writers share. A micro-batch's files are named after (stream id, epoch): a
+    replayed epoch finds them and writes nothing, so the log holds each event once."""
     configure(spark)
     stream = spark.readStream.schema(COMMAND_EVENTS).json(landing)
 
     def on_batch(df: DataFrame, epoch_id: int) -> None:
-        name = f"stream-{stream_id(spark, checkpoint)}-{epoch_id:012d}.parquet"
-        if name not in current(spark, store_root).covered.get("command_events", ()):
-            publish_file(spark, df, f"{store_root}/command_events", name)
+        epoch = f"stream-{stream_id(spark, checkpoint)}-{epoch_id:012d}"
+        if epoch not in map(epoch_of, current(spark, store_root).covered.get("command_events", ())):
+            publish_epoch(spark, df, f"{store_root}/command_events", epoch)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()

@@ -163,3 +163,39 @@ def test_replayed_command_epoch_is_written_once(spark, scratch):
         K.compact(spark, root)
         K.vacuum(spark, root)
         assert run(replay=True) == 2
+
+
+def test_a_large_command_epoch_is_a_set_of_files_read_whole_or_not_at_all(spark, scratch, monkeypatch):
+    """No task writes the whole epoch; a set that a crash cut short is unread, and the replay puts it right."""
+    from recordlake.operators import compaction as K
+    from recordlake.schemas import COMMAND_EVENTS
+    from recordlake.session import delete_path, list_files
+    from recordlake.sources.snapshots import read_log
+
+    root, landing, ckpt = f"{scratch}/store", f"{scratch}/cmd", f"{scratch}/ckpt"
+    event = {"seq": 1, "ts": "2024-01-01T00:00:00Z", "status": "queued", "command_type": "pause"}
+    for k in range(3):
+        write_text(f"{landing}/{k}.json", [json.dumps({**event, "command_id": f"c{k}-{i}", "payload_json": "x" * 2000}) for i in range(50)])
+    monkeypatch.setattr(R, "SMALL_EPOCH_BYTES", 0)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+
+    def run():
+        for name in ("0", ".0.crc"):
+            delete_path(spark, f"{ckpt}/commits/{name}")
+        R.start_command_stream(spark, landing, root, ckpt).awaitTermination()
+        return read_log(spark, root, "command_events", COMMAND_EVENTS).select("command_id").distinct().count()
+
+    try:
+        assert run() == 150
+        files = list_files(spark, f"{root}/command_events")
+        assert len(files) > 2 and run() == 150 and list_files(spark, f"{root}/command_events") == files
+        delete_path(spark, f"{root}/command_events/{files[-1]}")  # as if the writer had died before its last file
+        assert read_log(spark, root, "command_events", COMMAND_EVENTS).count() == 0
+        assert run() == 150 and read_log(spark, root, "command_events", COMMAND_EVENTS).count() == 150
+        K.compact(spark, root)
+        K.vacuum(spark, root)
+        assert list_files(spark, f"{root}/command_events") == [] and run() == 150
+        assert read_log(spark, root, "command_events", COMMAND_EVENTS).count() == 150
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
