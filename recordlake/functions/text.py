@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Python whitespace as a Java regex character class.
 PY_WS = r"[\s\x{1c}-\x{1f}]"
+# The same characters one by one (all lie in the Basic Multilingual Plane).
+PY_WS_CHARS = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 
 def _col(c: Column | str) -> Column:
@@ -22,17 +24,16 @@ def _col(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """``str.strip()``: drop leading and trailing Unicode white space."""
-    return F.regexp_replace(_col(c), rf"(?U)^{PY_WS}+|{PY_WS}+$", "")
+    """``str.strip()``: drop leading and trailing Unicode white space; only the ends of a text are looked at."""
+    return F.trim(_col(c), F.lit(PY_WS_CHARS))
 
 
-def py_strip_column(name: str) -> Column:
-    """``py_strip`` of a named column (e.g. a whole input line): the regex only
-    runs when the first or last character is white space. For expressions,
-    plain ``py_strip`` is cheaper (the check would re-evaluate its argument)."""
-    c = F.col(name)
-    edge = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
-    return F.when(edge.rlike(rf"(?U){PY_WS}"), py_strip(c)).otherwise(c)
+def py_strip_column(name: str | Column) -> Column:
+    """``py_strip`` of a column that costs nothing to evaluate (a named one, a lambda's variable): the end, for
+    which ``trim`` walks the whole text, is left alone where the last byte is a visible ASCII character."""
+    c = _col(name)
+    plain_end = F.substring(c.cast("binary"), -1, 1).between(F.lit(b"\x21"), F.lit(b"\x7f"))
+    return F.when(plain_end, F.ltrim(c, F.lit(PY_WS_CHARS))).otherwise(py_strip(c))
 
 
 def blank_to_null(c: Column | str) -> Column:

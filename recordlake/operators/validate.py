@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions import jsonx as J
-from recordlake.functions.canonical import canonical_json, json_float, json_string
+from recordlake.functions.canonical import bind, canonical_json, json_float, json_string
 from recordlake.functions.text import (
     blank_to_null,
     canonical_token,
@@ -35,6 +35,9 @@ from recordlake.schemas import (
 )
 
 
+#: Fields that must be non-blank text.
+REQUIRED = ("source", "id", "title", "description", "url")
+
 # The record contract's diagnostics ({key}/{keys}/{source}/{line}/{reason} are filled in).
 MSG_NOT_OBJECT = "JSONL line must contain a JSON object"
 MSG_PRIVATE = "collector payload contains disallowed private field: "
@@ -53,7 +56,9 @@ class RecordValidationError(ValueError):
 
 
 def _req(v: Column, key: str) -> Column:
-    return blank_to_null(J.typed_str(v, f"$.{key}"))
+    """A required text: stripped, NULL when it is blank or no string. Read from the VARIANT and stripped once."""
+    return bind(J.typed_str(v, f"$.{key}"),
+                lambda text: bind(py_strip_column(text), lambda stripped: F.when(stripped != "", stripped)))
 
 
 def _skills_state(v: Column, exact_casefold: bool = False) -> tuple[Column, Column]:
@@ -94,20 +99,21 @@ def diagnostic() -> Column:
 def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: bool = False) -> DataFrame:
     """Classify every line and project the typed record of the valid ones.
 
-    The stripped text, its parse, its key list and its skills array are
-    computed once per line; the verdict (status/reason/message) is produced as
+    The stripped text, its parse, its key list, its required texts and its
+    skills array are computed once per line; the verdict (status/reason/message) is produced as
     generator output so filters on it stay above the parse. Lines that have no
     ``line_no`` yet get no ``message``; ``diagnostic`` gives it once they are numbered.
     """
     base = list(lines.columns)
     t0 = lines.select(*base, py_strip_column("line").alias("_t"))
     t1 = t0.select(*base, "_t", J.parse(F.col("_t")).alias("_v"), J.object_keys_in_order(F.col("_t")).alias("_keys"))
+    t2 = J.evaluate_once(t1, [*base, "_t", "_v", "_keys"], {f"_{k}": _req(F.col("_v"), k) for k in REQUIRED})
     text, v, keys = F.col("_t"), F.col("_v"), F.col("_keys")
     fold = casefold_exact if exact_casefold else F.lower
     private = F.try_element_at(F.filter(keys, lambda k: fold(py_strip(k)).isin(*PRIVATE_FIELD_NAMES)), F.lit(1))
     allowed = F.array(*[F.lit(k) for k in ALLOWED_FIELDS])
     unknown = F.array_join(F.array_sort(F.array_except(keys, allowed)), ", ")
-    src = _req(v, "source")
+    src = F.col("_source")
     skills_arr, skills = _skills_state(v)  # validity only needs the element types
 
     checks: list[tuple[Column, Column]] = [
@@ -118,7 +124,7 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
         (src != F.lit(source), F.lit(MSG_SOURCE.format(source=source))),
     ]
     for key in ("id", "title", "description", "url"):
-        checks.append((_req(v, key).isNull(), F.lit(MSG_MISSING.format(key=key))))
+        checks.append((F.col(f"_{key}").isNull(), F.lit(MSG_MISSING.format(key=key))))
     checks.append((skills_arr.isNull(), F.lit(MSG_MISSING.format(key="skills"))))
     checks.append((skills.isNull(), F.lit(MSG_SKILLS_TYPE)))
     for key in OPTIONAL_STRING_FIELDS[:3]:
@@ -136,7 +142,8 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
 
     # The contract check chain is evaluated once per line (generator output);
     # status and message are cheap projections of its result.
-    verdict = J.evaluate_once(t1, [*base, "_v"], {
+    required = [f"_{k}" for k in REQUIRED]
+    verdict = J.evaluate_once(t2, [*base, "_v", *required], {
         "_blank": text == "",
         "_malformed": (text != "") & v.isNull(),
         "_reason": reason,
@@ -146,16 +153,16 @@ def validate(lines: DataFrame, source: str = DEFAULT_SOURCE, exact_casefold: boo
         F.when(blank, "blank").when(malformed, "malformed")
         .when(why.isNotNull(), "invalid").otherwise("valid")
     )
-    verdict = verdict.select(*base, "_v", status.alias("status"), F.when(~blank & ~malformed, why).alias("reason"))
+    verdict = verdict.select(*base, "_v", *required, status.alias("status"), F.when(~blank & ~malformed, why).alias("reason"))
     message = [diagnostic().alias("message")] if "line_no" in base else []
     vv = F.col("_v")
     valid = F.col("status") == "valid"
     record = [
-        F.when(valid, _req(vv, "id")).alias("job_id"),
-        F.when(valid, _req(vv, "source")).alias("source"),
-        F.when(valid, _req(vv, "title")).alias("title"),
-        F.when(valid, _req(vv, "description")).alias("description"),
-        F.when(valid, _req(vv, "url")).alias("url"),
+        F.when(valid, F.col("_id")).alias("job_id"),
+        F.when(valid, F.col("_source")).alias("source"),
+        F.when(valid, F.col("_title")).alias("title"),
+        F.when(valid, F.col("_description")).alias("description"),
+        F.when(valid, F.col("_url")).alias("url"),
         F.when(valid, _skills_state(vv, exact_casefold)[1]).alias("skills"),
         *[F.when(valid, blank_to_null(J.typed_str(vv, f"$.{k}"))).alias(k) for k in OPTIONAL_STRING_FIELDS[:3]],
         *[F.when(valid, J.typed_double(vv, f"$.{k}")).alias(k) for k in OPTIONAL_NUMBER_FIELDS],

@@ -143,3 +143,23 @@ def test_exact_casefold_private_key(spark):
     assert validate(df).first().reason == "collector payload contains unsupported fields: ſession"
     assert validate(df, exact_casefold=True).first().reason == (
         "collector payload contains disallowed private field: ſession")
+
+
+def test_strip_is_pythons_and_looks_at_the_ends_only(spark):
+    from recordlake.functions.text import py_strip, py_strip_column
+
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = ["", " ", "a", "a b", "​", "x\x00", "﻿é", "é ", "~", "~\x7f", "".join(spaces), None]
+    texts += [f"{c}é{c}a {c}b!{c}" for c in spaces] + [f"{c}ü{c}\n" for c in spaces] + [f"b{c}" for c in spaces]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", py_strip("s").alias("a"), py_strip_column("s").alias("b")).collect()}
+    assert got == {i: (s.strip(), s.strip()) if s is not None else (None, None) for i, s in enumerate(texts)}
+    assert "regexp_replace" not in df.select(py_strip("s"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_required_texts_are_read_from_a_line_once(spark):
+    """Check and record share one read of each required text (its type and its value)."""
+    lines = spark.createDataFrame([(1, "{}")], "line_no long, line string")
+    checked = validate(lines).select("status", "title", "description")
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.title") == 2 and plan.count("$.description") == 2
