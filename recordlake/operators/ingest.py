@@ -202,7 +202,7 @@ def _staged_facts(staged: DataFrame) -> Row:
 def stage_lines(spark: SparkSession, checked: DataFrame, folder: str, columns: list[str]) -> DataFrame:
     """``columns`` of ``validate``'s output over placed lines (``jsonl.place_lines``), written once below ``folder``
     and numbered there: with ``line_no`` and ``message``, from one scan of the text."""
-    checked.select(*PLACE, *columns).write.parquet(f"{folder}/lines")
+    checked.select(*PLACE, *columns).write.option("compression", "zstd").parquet(f"{folder}/lines")
     rows = number_staged(spark, f"{folder}/lines", f"{folder}/splits")
     return rows.select("line_no", *columns, diagnostic().alias("message"))
 
@@ -228,7 +228,7 @@ def ingest_checked(spark: SparkSession, root: str, checked: DataFrame, batch_id:
     keep = ["status", "reason", *RECORD_OUT, "content_hash"]
     try:
         if "line_no" in checked.columns:
-            checked.select("line_no", "ord", "message", *keep).write.parquet(staging)
+            checked.select("line_no", "ord", "message", *keep).write.option("compression", "zstd").parquet(staging)
             staged = spark.read.parquet(staging)
         else:
             staged = stage_lines(spark, checked, staging, keep).withColumn("ord", F.col("line_no"))
@@ -258,7 +258,7 @@ def write_attempt(spark: SparkSession, root: str, staged: DataFrame, batch_id: i
     named = [F.lit(batch_id).cast("long").alias("batch_id"), F.lit(attempt).alias("attempt")]
 
     def put(df: DataFrame, name: str, bloom: bool = True) -> None:
-        writer = df.select("*", *named).write.mode("append").partitionBy("batch_id", "attempt")
+        writer = df.select("*", *named).write.mode("append").option("compression", "zstd").partitionBy("batch_id", "attempt")
         (writer.option("parquet.bloom.filter.enabled#job_id", "true") if bloom else writer).parquet(f"{root}/{name}")
 
     new = plan_new_records(staged.where(F.col("status") == "valid"), read_keys(spark, root, buckets), clock, key_bytes)

@@ -513,12 +513,12 @@ def q_status_document(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("readiness_verdict")
 def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts of five stores built from the test tables."""
+    """Verdicts of five stores built from the test tables; four of them ingest the same landed lines."""
     base = scratch_dir(spark, "ready")
-    ev = _events(spark, sf)
+    ev, raw = _events(spark, sf), _landed(spark, sf, root=base)
     partial, full, newer = f"{base}/partial", f"{base}/full", f"{base}/newer"
     for root in (partial, full, newer):
-        ingest.ingest_jsonl(spark, root, _landed(spark, sf, root=root), 1, clock=BATCH_CLOCK, mode="quarantine")
+        ingest.ingest_jsonl(spark, root, raw, 1, clock=BATCH_CLOCK, mode="quarantine")
         S.init_store(spark, root, 2 if root == newer else 1, tables=False)
     for root in (full, newer):
         S.write_table(adapters.run_events(ev), root, "run_events")
@@ -527,7 +527,7 @@ def q_readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
         S.write_table(adapters.command_events(ev), root, "command_events")
     unseeded = f"{base}/unseeded"
     S.init_store(spark, unseeded)
-    ingest.ingest_jsonl(spark, unseeded, _landed(spark, sf, root=unseeded), mode="quarantine")
+    ingest.ingest_jsonl(spark, unseeded, raw, mode="quarantine")
     return S.readiness_table(spark, {"unseeded": unseeded, "missing": f"{base}/missing", "partial": partial, "full": full,
                                      "newer": newer})
 

@@ -326,3 +326,16 @@ def test_command_of_a_dead_worker_is_drained_again(spark, scratch, monkeypatch):
     assert out["drained"] == 2 and {r.status for r in rows.values()} == {"applied"}
     assert rows["c1"].started_at < rows["c1"].finished_at and json.loads(rows["c1"].result_json) == {"run_id": "alive"}
     assert api.recent(spark, root).count() == 2
+
+
+def test_readiness_stores_ingest_one_landing(spark, monkeypatch):
+    """The raw lines are landed once for the four stores that ingest them."""
+    from recordlake.plans.catalog import CATALOG
+    from recordlake.sources import adapters
+    from tests.conftest import SF
+
+    landed, write = [], adapters.write_raw_records
+    monkeypatch.setattr(adapters, "write_raw_records", lambda *a, **k: landed.append(a) or write(*a, **k))
+    rows = {r.store: r.reason for r in CATALOG["readiness_verdict"](spark, SF).collect()}
+    assert len(landed) == 1
+    assert rows == {"unseeded": "config_empty", "missing": "db_missing", "partial": "schema_missing", "full": "ready", "newer": "unsupported_schema"}
